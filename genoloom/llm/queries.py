@@ -1,12 +1,16 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from genoloom.llm import exact_dedup, token_counts
+from genoloom.llm import decontaminate, exact_dedup, mixing, token_counts
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_mix_sources": mixing.op5_mix_sources,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op3_decontaminate": decontaminate.SQL,
+    "op5_mix_sources": mixing.SQL,
 }
