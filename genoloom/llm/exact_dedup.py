@@ -45,7 +45,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     )
     again = slim.groupBy("_key").count().filter("count > 1").select("_key")
     texts = base.select("_rid", "_norm", hash_key(F.col("_norm")).alias("_key"))
-    mixed = texts.join(again, "_key").groupBy("_key").agg(F.min("_norm").alias("_lo"), F.max("_norm").alias("_hi")).filter("_lo <> _hi").select("_key")
+    # grouped by an expression, so that the join's partitions needn't keep a key together and may be split
+    mixed = texts.join(again, "_key").groupBy(F.reverse("_key").alias("_yek")).agg(F.min("_norm").alias("_lo"), F.max("_norm").alias("_hi")).filter("_lo <> _hi").select(F.reverse("_yek").alias("_key"))
     mixed = shared.written(mixed, "collisions")
     if mixed.isEmpty():
         slim = slim.withColumn("_text", F.lit(""))
