@@ -1,12 +1,13 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from genoloom.llm import decontaminate, exact_dedup, mixing, token_counts, toxicity
+from genoloom.llm import decontaminate, exact_dedup, mixing, simhash, token_counts, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op7_simhash": simhash.op7_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
