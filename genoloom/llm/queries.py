@@ -1,8 +1,9 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from genoloom.llm import decontaminate, exact_dedup, mixing, simhash, token_counts, toxicity
+from genoloom.llm import decontaminate, exact_dedup, mixing, simhash, token_counts, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_token_counts": token_counts.op4_token_counts,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_warc": warc.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op3_decontaminate": decontaminate.SQL,
     "op5_mix_sources": mixing.SQL,
