@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from genoloom.llm import decontaminate, exact_dedup, html_text, mixing, simhash, token_counts, toxicity, warc
+from genoloom.llm import decontaminate, exact_dedup, html_text, mixing, ngram_lm, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_lm_scores": ngram_lm.op6_lm_scores,
     "op7_simhash": simhash.op7_simhash,
     "op9_html_text": html_text.op9_html_text,
     "op10_toxicity": toxicity.op10_toxicity,
