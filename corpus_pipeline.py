@@ -1,17 +1,44 @@
-"""The corpus pipeline: a list of stages over ``documents``."""
+"""The corpus pipeline over ``documents``: toxic documents, exact copies, near copies and benchmark passages go, and
+the rest is mixed to its sources' target weights.
+
+Each stage takes the table that the one before wrote and decides about all of it. All but the last return the
+columns of ``documents``; the last adds how often the mix has a document (``copies``), and its figures.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genoloom.llm import exact_dedup, shared
+from genoloom.llm import decontaminate, exact_dedup, mixing, shared, simhash, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("exact_dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixture(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("simhash_dedup", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("mix_sources", mix),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

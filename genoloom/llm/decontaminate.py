@@ -193,6 +193,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select("_rid", F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("ids", none)).cast("long").alias("n_items"), F.sha2(F.array_join(F.coalesce("ids", none), ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` without a hit, with all their columns.
+
+    ``docs`` must number its rows alike each time it is read, as a table in files does.
+    """
+    rid = "_rid_of_genoloom"
+    out = contamination(docs, benchmark, id_col, text_col, **how).filter("contaminated").select(F.col("_rid").alias(rid))
+    return docs.withColumn(rid, F.monotonically_increasing_id()).join(out, rid, "left_anti").select(*[docs[c] for c in docs.columns])
+
+
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("_rid")
 

@@ -98,6 +98,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out, offers.drop("_p")
 
 
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of ``docs`` in the mix, with all their columns and those of ``mix`` (named mix_* where they clash).
+
+    ``copies`` says how often the mix has a row. ``docs`` must number its rows alike each time it is read, as a
+    table in files does.
+    """
+    rid = "_rid_of_genoloom"
+    own, taken = {c.lower() for c in docs.columns}, mix(docs, id_col, text_col, source_col, **how)[0].filter("copies > 0")
+    new = ["size", "source_size", "target", "taken", "copies"]
+    taken = taken.select(F.col("_rid").alias(rid), *[F.col(c).alias(f"mix_{c}" if c in own else c) for c in new])
+    both = docs.withColumn(rid, F.monotonically_increasing_id()).join(taken, rid)
+    return both.select(*[docs[c] for c in docs.columns], *[taken[c] for c in taken.columns[1:]])
+
+
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0].drop("_rid", "copies")
 

@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from genoloom.llm import decontaminate, exact_dedup, html_text, mixing, ngram_lm, simhash, token_counts, toxicity, warc
+from genoloom.llm import decontaminate, exact_dedup, html_text, mixing, ngram_lm, quote_links, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_lm_scores": ngram_lm.op6_lm_scores,
     "op7_simhash": simhash.op7_simhash,
+    "op8_chat_format": quote_links.op8_chat_format,
     "op9_html_text": html_text.op9_html_text,
     "op10_toxicity": toxicity.op10_toxicity,
 }

@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -248,23 +249,45 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return {"lexicon": lexicon, "prior": prior, "weights": logistic(x[order], y[order]), "share": prior}
 
 
+def _scores(model: dict):
+    """A function of texts, for workers."""
+    m, w, share = Matcher(model["lexicon"], model["prior"]), model["weights"], model["share"]
+    if w is None:
+        return lambda texts: [share] * len(texts)
+    return lambda texts: [1 / (1 + math.exp(-max(-30.0, min(30.0, float(m.features(t or "") @ w[:-1] + w[-1]))))) for t in texts]
+
+
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of ``docs``; _rid tells equal ids apart."""
+    """doc_id, held_out, score, predicted for each row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON entries
 
     def run(batches):
         import pyarrow as pa
 
-        m, w, share = Matcher(sent.value["lexicon"], sent.value["prior"]), sent.value["weights"], sent.value["share"]
+        of = _scores(sent.value)
         for b in batches:
-            s = [share if w is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, float(m.features(t or "") @ w[:-1] + w[-1]))))) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], names=["_rid", "id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(b.column(1).to_pylist()), pa.float64())], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.monotonically_increasing_id().alias("_rid"), docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"_rid long, id {kind}, score double")
-    return out.select("_rid", F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double")
+    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` below the threshold, with all their columns."""
+    import pandas as pd
+
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON entries
+
+    def run(texts):
+        of = _scores(sent.value)
+        for t in texts:
+            yield pd.Series(of(t.tolist()), dtype="float64")
+
+    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return docs.filter(F.pandas_udf(run, "double")(docs[text_col]) < threshold)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).drop("_rid")
+    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
