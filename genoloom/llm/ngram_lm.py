@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from genoloom.llm import shared
 from genoloom.llm.wordarrays import NOT_SPACE, mixed, segments
 
-FOLDS, HELD_OUT, RANGE, SCORED_BYTES, PENDING = 7, 2, 1 << 17, 4 << 20, 2 << 20
+FOLDS, HELD_OUT, RANGE, SCORED_BYTES, PENDING = 7, 2, 1 << 17, 2 << 20, 1 << 19
 END = np.uint64(0x454E44)  # no word's hash but by chance, as any two
 
 
