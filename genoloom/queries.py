@@ -1,4 +1,434 @@
-"""Queries over the driver's tables, one for each operator, and their SQL."""
+"""Queries over the driver's tables, one for each operator, and their SQL.
+
+The tables hold no genomes, so each query puts an operator to rows of the same shape: suppliers stand for
+samples, parts for families, users' events for genes along a contig, and DNA is made of MD5 digits.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from genoloom.functions import sequences as q
+from genoloom.operators import annotate, families, genes, gfftools, hits, paralogs, report, similarity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Presence of families in samples
+
+_BRANDS = "SELECT concat(p_brand, p_type) AS family, l_suppkey AS sample FROM lineitem JOIN part ON l_partkey = p_partkey"
+
+
+def _members(spark, sf, by_part: bool = False) -> DataFrame:
+    li = _t(spark, sf, "lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("sample_id"))
+    if by_part:
+        return li.withColumn("family", F.col("l_partkey").cast("string"))
+    part = _t(spark, sf, "part").select("p_partkey", F.concat("p_brand", "p_type").alias("family"))
+    return li.join(part, li["l_partkey"] == part["p_partkey"]).select("family", "sample_id")
+
+
+def _summary_sql(members: str) -> str:
+    return f"""
+WITH m AS ({members}), n AS (SELECT count(*)::DOUBLE AS n FROM supplier),
+s AS (SELECT family, count(DISTINCT sample) / (SELECT n FROM n) AS share FROM m GROUP BY family),
+c AS (SELECT CASE WHEN share >= 0.99 THEN 'core' WHEN share >= 0.95 THEN 'soft_core' WHEN share >= 0.15 THEN 'shell' ELSE 'cloud' END AS class FROM s),
+k AS (SELECT unnest(['core', 'soft_core', 'shell', 'cloud']) AS class)
+SELECT k.class, count(c.class)::BIGINT AS n FROM k LEFT JOIN c ON k.class = c.class GROUP BY k.class
+UNION ALL SELECT 'total', count(*)::BIGINT FROM c"""
+
+
+@query(_summary_sql(_BRANDS))
+def summary_core_shell(spark, sf):
+    """Core, soft-core, shell and cloud families."""
+    return report.summary(report.family_stats(_members(spark, sf)), _t(spark, sf, "supplier").count())
+
+
+@query(_summary_sql("SELECT l_partkey AS family, l_suppkey AS sample FROM lineitem"))
+def summary_by_part(spark, sf):
+    return report.summary(report.family_stats(_members(spark, sf, True)), _t(spark, sf, "supplier").count())
+
+
+@query("SELECT l_partkey::VARCHAR AS family, l_suppkey::VARCHAR AS sample_id, count(*)::BIGINT AS n, string_agg(l_orderkey, ' ' ORDER BY l_orderkey) AS genes FROM lineitem GROUP BY ALL")
+def presence_absence_long(spark, sf):
+    t = _t(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("family"), F.col("l_suppkey").cast("string").alias("sample_id"), F.col("l_orderkey").alias("ord"), F.col("l_orderkey").cast("string").alias("gene_id"))
+    return report.presence(t).select("family", "sample_id", "n", F.array_join("gene_ids", " ").alias("genes"))
+
+
+@query("SELECT p_brand AS family, " + ", ".join(f"count(*) FILTER (WHERE s_nationkey = {n})::BIGINT AS n{n}" for n in range(25)) + " FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY p_brand")
+def rtab_pivot(spark, sf):
+    """The count matrix, a column a sample."""
+    li, part, s = _t(spark, sf, "lineitem"), _t(spark, sf, "part"), _t(spark, sf, "supplier")
+    by_supplier = li.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("c"))
+    t = by_supplier.join(part, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    long = t.groupBy(F.col("p_brand").alias("family"), F.concat(F.lit("n"), "s_nationkey").alias("sample_id")).agg(F.sum("c").alias("n"))
+    return report.pivoted(long, [f"n{n}" for n in range(25)])
+
+
+@query(f"SELECT family, count(DISTINCT sample)::BIGINT AS n_isolates, count(*)::BIGINT AS n_sequences, count(*)::DOUBLE / count(DISTINCT sample) AS avg_per_isolate FROM ({_BRANDS}) GROUP BY family")
+def family_stats(spark, sf):
+    return report.family_stats(_members(spark, sf))
+
+
+@query("WITH m AS (SELECT o_custkey AS family, o_orderpriority AS sample, count(*) AS n FROM orders GROUP BY ALL), s AS (SELECT family, count(*) AS s, max(n) AS m FROM m GROUP BY family) SELECT family FROM s WHERE s = (SELECT count(DISTINCT o_orderpriority) FROM orders) AND m = 1")
+def single_copy_core(spark, sf):
+    o = _t(spark, sf, "orders")
+    n = o.select("o_orderpriority").distinct().count()
+    return report.single_copy_core(o.select(F.col("o_custkey").alias("family"), F.col("o_orderpriority").alias("sample_id")), n)
+
+
+@query("SELECT l_partkey AS family, count(*)::BIGINT AS n FROM lineitem GROUP BY 1 HAVING count(*) >= greatest(2, floor((SELECT count(*) FROM supplier) * 0.3))")
+def large_families(spark, sf):
+    t = _t(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("family")).agg(F.collect_list("l_orderkey").alias("gene_ids"))
+    return report.large_families(t, _t(spark, sf, "supplier").count(), 0.3).select("family", F.size("gene_ids").cast("long").alias("n"))
+
+
+# Descriptions of families: orders are genes of their customers' families
+
+def _annotated(spark, sf):
+    o = _t(spark, sf, "orders")
+    gene = F.concat(F.lit("s-c-"), "o_orderkey")
+    membership = o.select(F.col("o_custkey").alias("cluster_idx"), F.col("o_orderkey").alias("member_ord"), gene.alias("gene_id"))
+    name = F.when(F.col("o_orderstatus") == "P", "").otherwise(F.concat(F.substring("o_orderpriority", 3, 4), F.lit("_"), F.substring("o_orderstatus", 1, 1)))
+    annotation = o.select(F.col("o_orderkey").alias("ann_ord"), gene.alias("gene_id"), F.floor("o_totalprice").cast("int").alias("length"), name.alias("gene_name"), F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderpriority")).alias("gene_product"))
+    return annotate.described(membership, annotation)
+
+
+_GENES = "SELECT o_custkey AS family, o_orderkey AS k, floor(o_totalprice)::INT AS len, CASE WHEN o_orderstatus = 'P' THEN '' ELSE substr(o_orderpriority, 3, 4) || '_' || substr(o_orderstatus, 1, 1) END AS name, CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderpriority END AS product FROM orders"
+_MODE = f"g AS ({_GENES}), c AS (SELECT family, name, count(*) AS n, min(k) AS first FROM g WHERE name <> '' GROUP BY ALL), m AS (SELECT family, arg_max(name, (n, -first)) AS name FROM c GROUP BY family)"
+
+
+@query(f"WITH {_MODE} SELECT f.family, coalesce(m.name, 'groups_' || f.family) AS base FROM (SELECT DISTINCT family FROM g) f LEFT JOIN m ON f.family = m.family")
+def name_mode(spark, sf):
+    return _annotated(spark, sf).select(F.col("cluster_idx").alias("family"), "base")
+
+
+@query(f"SELECT family, 's-c-' || arg_max(k, (len, -k)) AS representative, min(len) AS min_length, max(len) AS max_length, avg(len) AS mean_length, count(*)::BIGINT AS size FROM ({_GENES}) GROUP BY family")
+def representative(spark, sf):
+    return _annotated(spark, sf).select(F.col("cluster_idx").alias("family"), "representative", "min_length", "max_length", "mean_length", "size")
+
+
+@query(f"SELECT family, coalesce(string_agg(DISTINCT product, ', ' ORDER BY product) FILTER (WHERE product <> ''), 'unknown') AS product FROM ({_GENES}) GROUP BY family")
+def products_joined(spark, sf):
+    return _annotated(spark, sf).select(F.col("cluster_idx").alias("family"), "product")
+
+
+@query(f"WITH {_MODE}, b AS (SELECT f.family, coalesce(m.name, 'groups_' || f.family) AS base FROM (SELECT DISTINCT family FROM g) f LEFT JOIN m ON f.family = m.family), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY family) AS k FROM b), s AS (SELECT *, sum((k > 1)::INT) OVER (ORDER BY family) AS n FROM r) SELECT family, CASE WHEN k > 1 THEN base || '_' || lpad(n::VARCHAR, 5, '0') ELSE base END AS name FROM s")
+def family_naming(spark, sf):
+    return annotate.named(_annotated(spark, sf)).select(F.col("cluster_idx").alias("family"), "name")
+
+
+@query(f"SELECT family, arg_max('s-c-' || k, (len, -k)) AS rep FROM ({_GENES}) GROUP BY family")
+def raw_representatives(spark, sf):
+    o = _t(spark, sf, "orders")
+    g = F.concat(F.lit("s-c-"), "o_orderkey")
+    return report.representatives(o.select(F.col("o_custkey").alias("cluster_idx"), g.alias("gene_id")), o.select(g.alias("gene_id"), F.col("o_orderkey").alias("ann_ord"), F.floor("o_totalprice").cast("int").alias("length"))).select(F.col("cluster_idx").alias("family"), "rep")
+
+
+# Genes: GFF lines made of parts, places made of events
+
+def _features(spark, sf) -> DataFrame:
+    p = _t(spark, sf, "part")
+    attrs = F.concat(F.lit("note=x;ID="), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("S1-"), "p_partkey")).otherwise(F.col("p_partkey").cast("string")), F.lit(";gene="), "p_name", F.lit(";product="), "p_type", F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit(";product="), "p_brand")).otherwise(F.lit("")))
+    return p.select(
+        F.lit("S1").alias("sample_id"), F.col("p_partkey").alias("line_no"), F.concat(F.lit("c-"), (F.floor(F.col("p_partkey") / 4) % 3).cast("string")).alias("seqid"), F.when(F.col("p_partkey") % 11 == 0, "gene").otherwise("CDS").alias("type"),
+        (F.col("p_partkey") * 10).cast("int").alias("start"), (F.col("p_partkey") * 10 + F.col("p_size") * 9 + F.col("p_partkey") % 3).cast("int").alias("end"), F.when(F.col("p_size") % 2 == 0, "-").otherwise("+").alias("strand"),
+        F.when(F.col("p_partkey") % 13 == 0, F.lit("note=x")).otherwise(attrs).alias("attrs"),
+    )
+
+
+_FEATURES = """f AS (SELECT p_partkey AS line_no, 'c_' || ((p_partkey // 4) % 3) AS seq_id, p_size * 9 + p_partkey % 3 + 1 AS length, CASE WHEN p_size % 2 = 0 THEN '-' ELSE '+' END AS strand, p_partkey % 11 <> 0 AS cds, p_partkey % 13 <> 0 AS has_id,
+ 'S1-c_' || ((p_partkey // 4) % 3) || '-' || p_partkey AS gene_id, regexp_replace(p_name, '\\W', '_', 'g') AS gene_name, CASE WHEN p_partkey % 7 = 0 THEN p_brand ELSE p_type END AS gene_product, p_partkey * 10 - 1 AS start0, p_partkey * 10 + p_size * 9 + p_partkey % 3 AS "end" FROM part),
+c AS (SELECT * FROM f WHERE cds AND length >= 120 AND length % 3 = 0),
+r AS (SELECT *, sum(ch) OVER (ORDER BY line_no) AS run FROM (SELECT *, CASE WHEN seq_id = lag(seq_id) OVER (ORDER BY line_no) THEN 0 ELSE 1 END AS ch FROM c)),
+g AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY line_no) - 1 AS gene_index, row_number() OVER (PARTITION BY seq_id ORDER BY line_no) - 1 AS pos FROM r WHERE has_id)"""
+
+
+@query(f"WITH {_FEATURES} SELECT line_no::BIGINT AS line_no, gene_id, seq_id, start0::INT AS start0, \"end\"::INT AS \"end\", length::INT AS length, strand, gene_name, gene_product, gene_index::INT AS gene_index, pos::INT AS pos FROM g")
+def gff_genes(spark, sf):
+    """Coding features with ids, attributes, run index and place."""
+    return genes.genes(_features(spark, sf)).drop("sample_id")
+
+
+@query(f"WITH {_FEATURES} SELECT line_no::BIGINT AS line_no, length::INT AS length, seq_id FROM c")
+def gff_filters(spark, sf):
+    return genes.coding(_features(spark, sf)).select("line_no", "length", "seq_id")
+
+
+@query("SELECT event_id, sum(ch) OVER (PARTITION BY user_id ORDER BY ts)::BIGINT AS run FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) THEN 0 ELSE 1 END AS ch FROM events)")
+def run_index(spark, sf):
+    t = _t(spark, sf, "events").select("event_id", F.col("user_id").alias("sample_id"), F.col("ts").alias("line_no"), F.col("event_type").alias("seq_id"))
+    return genes.with_runs(t).select("event_id", "run")
+
+
+@query("SELECT event_id, sum(ch) OVER (PARTITION BY user_id ORDER BY ts)::BIGINT AS locus FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER w AND (value > 50) = (lag(value) OVER w > 50) THEN 0 ELSE 1 END AS ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))")
+def locus_counter(spark, sf):
+    t = _t(spark, sf, "events").select("event_id", F.col("user_id").alias("sample_id"), F.col("ts").alias("line_no"), F.col("event_type").alias("seqid"), (F.col("value") > 50).alias("start"), F.lit(0).alias("end"))
+    return gfftools.locus(t).select("event_id", "locus")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'ID=' || user_id || '_' || lpad((sum((event_type = 'click')::INT) OVER (PARTITION BY user_id ORDER BY ts))::VARCHAR, 5, '0') || ';a=1' ELSE 'ID=' || event_id || ';a=1' END AS attrs FROM events")
+def gff_renumber(spark, sf):
+    t = _t(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("sample_id"), F.col("ts").alias("line_no"), F.when(F.col("event_type") == "click", "CDS").otherwise("x").alias("type"), F.concat(F.lit("ID="), "event_id", F.lit(";a=1")).alias("attrs"))
+    return gfftools.renumbered(t).select("event_id", "attrs")
+
+
+@query("SELECT event_id, concat_ws(',', list_reduce(list_prepend('', list(event_id::VARCHAR) OVER a), lambda x, y: x || ' ' || y), list_reduce(list_prepend('', list(event_id::VARCHAR) OVER b), lambda x, y: x || ' ' || y)) AS around FROM events WINDOW a AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)")
+def neighbourhood5(spark, sf):
+    """Up to five genes before and five after on a contig."""
+    t = _t(spark, sf, "events").select(F.lit("s").alias("sample_id"), F.col("user_id").alias("seq_id"), F.col("ts").alias("pos"), F.col("event_id").cast("string").alias("gene_id"), "ts")
+    n = genes.neighbours(t)
+    w = Window.partitionBy("seq_id").orderBy("pos")
+    n = n.withColumn("k", F.least(F.row_number().over(w) - 1, F.lit(5)))
+    side = lambda a: F.concat(F.when(F.size(a) > 0, F.lit(" ")).otherwise(F.lit("")), F.array_join(a, " "))
+    before, after = F.slice("neighbours", F.lit(1), F.col("k")), F.slice("neighbours", F.col("k") + 1, F.lit(5))
+    return n.select(F.col("gene_id").cast("long").alias("event_id"), F.concat(side(before), F.lit(","), side(after)).alias("around"))
+
+
+# Paralogs: orders of a priority are a family, customers are samples
+
+_FAMILY = "SELECT o_custkey % 50 AS c, o_orderpriority AS p, o_orderkey AS k, o_custkey % 7 AS s FROM orders"
+
+
+def _paralog_members(spark, sf):
+    o = _t(spark, sf, "orders")
+    return o.select((F.col("o_custkey") % 50).alias("cluster_idx"), F.col("o_orderkey").alias("member_ord"), F.concat((F.col("o_custkey") % 7).cast("string"), F.lit("-c-"), "o_orderkey").alias("gene_id"))
+
+
+@query(f"WITH f AS ({_FAMILY}), n AS (SELECT c, s, count(*) AS n, min(k) AS first FROM f GROUP BY ALL), b AS (SELECT c, arg_min(s, (n, first)) AS s FROM n WHERE n > 1 GROUP BY c) SELECT f.c AS cluster_idx, (row_number() OVER (PARTITION BY f.c ORDER BY k) - 1)::INT AS paralog, f.s || '-c-' || k AS gene_id FROM f JOIN b ON f.c = b.c AND f.s = b.s")
+def paralog_pick(spark, sf):
+    return paralogs.paralogs(_paralog_members(spark, sf))
+
+
+_SPLIT = """
+WITH g AS (SELECT event_id AS k, (event_id % 40)::BIGINT AS c, user_id % 9 AS s, user_id % 9 || '-u-' || event_id AS gene, user_id, ts FROM events),
+m AS (SELECT c, s, count(*) AS n, min(k) AS first FROM g GROUP BY ALL), b AS (SELECT c, arg_min(s, (n, first)) AS s FROM m WHERE n > 1 GROUP BY c),
+p AS (SELECT g.c, row_number() OVER (PARTITION BY g.c ORDER BY k) - 1 AS p, gene FROM g JOIN b ON g.c = b.c AND g.s = b.s),
+o AS (SELECT gene, c, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos FROM g),
+nb AS (SELECT a.gene, a.c, z.c AS nc FROM o a JOIN o z ON a.user_id = z.user_id AND z.pos <> a.pos AND z.pos BETWEEN a.pos - 5 AND a.pos + 5),
+seen AS (SELECT DISTINCT p.c, p.p, nb.nc FROM p JOIN nb ON p.gene = nb.gene),
+oth AS (SELECT nb.* FROM nb WHERE gene NOT IN (SELECT gene FROM p)),
+sc AS (SELECT oth.c, oth.gene, seen.p, count(*) AS n FROM oth JOIN seen ON oth.c = seen.c AND oth.nc = seen.nc GROUP BY ALL),
+best AS (SELECT c, gene, arg_max(p, (n, -p)) AS p FROM sc GROUP BY ALL),
+goes AS (SELECT c, gene, p FROM p UNION ALL SELECT c, gene, p FROM best)
+SELECT g.c AS cluster_idx, coalesce(goes.p, 2147483647)::INT AS "group", g.gene AS gene_id FROM g LEFT JOIN goes ON g.gene = goes.gene WHERE g.c IN (SELECT c FROM p)
+UNION ALL SELECT c, 0, gene FROM g WHERE c NOT IN (SELECT c FROM p)"""
+
+
+@query(_SPLIT)
+def paralog_split_round(spark, sf):
+    """One round of splitting: paralogs, and others by the families around them."""
+    e = _t(spark, sf, "events").withColumn("gene_id", F.concat((F.col("user_id") % 9).cast("string"), F.lit("-u-"), "event_id"))
+    members = e.select((F.col("event_id") % 40).alias("cluster_idx"), F.col("event_id").alias("member_ord"), "gene_id")
+    places = e.select(F.lit("s").alias("sample_id"), F.col("user_id").alias("seq_id"), F.col("ts").alias("pos"), "gene_id")
+    return paralogs.split_round(members, paralogs.first_neighbours(places))[0].select("cluster_idx", "group", "gene_id")
+
+
+# Sequence functions, on DNA made of digests
+
+_DNA = "translate(md5('a' || o_orderkey) || md5('b' || o_orderkey), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+def _dna(spark, sf):
+    o = _t(spark, sf, "orders")
+    nt = F.translate(F.concat(F.md5(F.concat(F.lit("a"), "o_orderkey")), F.md5(F.concat(F.lit("b"), "o_orderkey"))), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return o.select("o_orderkey", nt.alias("nt"))
+
+
+@query(f"SELECT o_orderkey, reverse(translate(substr({_DNA}, 4, 40), 'ACGT', 'TGCA')) AS rc FROM orders")
+def revcomp(spark, sf):
+    return _dna(spark, sf).select("o_orderkey", q.stranded(q.slice_bases(F.col("nt"), F.lit(3), F.lit(43)), F.lit("-")).alias("rc"))
+
+
+_AA = f"(SELECT o_orderkey, nt, list_transform(range(0, 20), lambda i: substr('{q.code(11)}', (16 * (strpos('TCAG', substr(nt, 3 * i + 1, 1)) - 1) + 4 * (strpos('TCAG', substr(nt, 3 * i + 2, 1)) - 1) + strpos('TCAG', substr(nt, 3 * i + 3, 1)))::BIGINT, 1)) AS aa FROM (SELECT o_orderkey, substr({_DNA}, 1, 60) AS nt FROM orders))"
+
+
+@query(f"SELECT o_orderkey, replace(list_reduce(aa, lambda x, y: x || y), '*', '') AS aa FROM {_AA}")
+def translate_cds(spark, sf):
+    return _dna(spark, sf).select("o_orderkey", q.translate_cds(F.substring("nt", 1, 60), 11).alias("aa"))
+
+
+@query("SELECT o_orderkey, '---' || substr(nt, 1, 3) || '------' || substr(nt, 4, 6) AS codons FROM (SELECT o_orderkey, " + _DNA + " AS nt FROM orders)")
+def back_translate(spark, sf):
+    return _dna(spark, sf).select("o_orderkey", q.back_translate(F.lit("-M--KL"), F.col("nt")).alias("codons"))
+
+
+@query("SELECT o_orderkey, 'S' || o_custkey AS sample_id, 'c' || (o_orderkey % 9) AS seq_id FROM orders")
+def sequence_ids(spark, sf):
+    ids = q.seq_ids(F.concat(F.lit("S"), "o_custkey", F.lit("-c"), (F.col("o_orderkey") % 9).cast("string"), F.lit("-tag-"), "o_orderkey"))
+    return _t(spark, sf, "orders").select("o_orderkey", ids.alias("i")).select("o_orderkey", "i.*")
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '\\W', '_', 'g') AS name, 'S1-c_1-' || CASE WHEN p_partkey % 3 = 2 THEN 'x-' ELSE '' END || p_partkey AS gene_id FROM part")
+def gene_names_and_ids(spark, sf):
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("S1-c_1-"), "p_partkey")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("S1-"), "p_partkey")).otherwise(F.concat(F.lit("x-"), "p_partkey"))
+    return _t(spark, sf, "part").select("p_partkey", q.clean_name(F.col("p_name")).alias("name"), q.canonical_gene_id(raw, F.lit("S1"), q.no_dash(F.lit("c-1"))).alias("gene_id"))
+
+
+# Hits, clusters, families
+
+_HITS = "SELECT l_orderkey::VARCHAR AS qseqid, l_partkey || '_' || l_linenumber AS sseqid, 50 + l_quantity AS pident, (l_suppkey % 90 + 10)::INT AS length, (l_partkey % 80 + 60)::INT AS qlen, (l_orderkey % 80 + 60)::INT AS slen, l_extendedprice AS bitscore, l_discount AS evalue, l_linenumber AS qstart, l_suppkey::INT AS sstart FROM lineitem"
+
+
+def _hits(spark, sf):
+    return _t(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("qseqid"), F.concat("l_partkey", F.lit("_"), "l_linenumber").alias("sseqid"), (50 + F.col("l_quantity")).alias("pident"), (F.col("l_suppkey") % 90 + 10).cast("int").alias("length"),
+        (F.col("l_partkey") % 80 + 60).cast("int").alias("qlen"), (F.col("l_orderkey") % 80 + 60).cast("int").alias("slen"), F.col("l_extendedprice").alias("bitscore"), F.col("l_discount").alias("evalue"), F.col("l_linenumber").alias("qstart"), F.col("l_suppkey").cast("int").alias("sstart"),
+    )
+
+
+@query(f"SELECT qseqid, sseqid, pident, length, qlen, slen FROM ({_HITS}) WHERE pident / 100.0::DOUBLE > 0.7::DOUBLE AND least(qlen, slen)::DOUBLE / greatest(qlen, slen) > 0.7::DOUBLE AND length / least(qlen, slen)::DOUBLE > 0.2::DOUBLE AND length / greatest(qlen, slen)::DOUBLE > 0.3::DOUBLE")
+def hit_filter(spark, sf):
+    return hits.filtered(_hits(spark, sf), 0.7, 0.7, 0.2, 0.3).select("qseqid", "sseqid", "pident", "length", "qlen", "slen")
+
+
+@query(f"SELECT qseqid, sseqid, bitscore FROM ({_HITS}) QUALIFY row_number() OVER (PARTITION BY qseqid ORDER BY bitscore DESC, evalue, sseqid, qstart, sstart) <= 2")
+def topk_hits(spark, sf):
+    """The best targets of each query; the limit is the operator."""
+    return hits.best_targets(_hits(spark, sf), 2).select("qseqid", "sseqid", "bitscore")
+
+
+def _dedup(spark, sf):
+    """Orders of a customer and date are copies; the first is the representative."""
+    o = _t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_orderkey", F.concat("o_orderpriority", (F.col("o_custkey") % 97).cast("string")).alias("k"))
+    reps = o.groupBy("k").agg(F.min("o_orderkey").alias("rep"), F.count("*").alias("n"))
+    t = o.join(reps, "k")
+    members = t.filter("o_orderkey <> rep").select(F.col("rep").cast("string").alias("rep_id"), F.col("id").alias("member_id"), F.col("o_orderkey").alias("member_ord"))
+    alone = t.filter("n = 1").select(F.col("rep").cast("string").alias("rep_id"), F.lit(None).cast("string").alias("member_id"), F.lit(None).cast("long").alias("member_ord"))
+    return members.unionByName(alone)
+
+
+_DEDUP = "d AS (SELECT o_orderkey AS k, min(o_orderkey) OVER (PARTITION BY o_orderpriority, o_custkey % 97) AS rep FROM orders), m AS (SELECT DISTINCT rep, rep % 100 AS mcl FROM d WHERE rep % 3 > 0)"
+
+
+@query(f"WITH {_DEDUP}, h AS (SELECT mcl AS a, rep, row_number() OVER (PARTITION BY mcl ORDER BY rep) AS o FROM m UNION ALL SELECT DISTINCT NULL, rep, 1 FROM d WHERE rep % 3 = 0), i AS (SELECT *, dense_rank() OVER (ORDER BY a IS NULL, a, CASE WHEN a IS NULL THEN rep::VARCHAR END) - 1 AS c FROM h) SELECT c::BIGINT AS cluster_idx, (row_number() OVER (PARTITION BY c ORDER BY o, d.k <> d.rep, d.k) - 1)::BIGINT AS member_ord, d.k::VARCHAR AS gene_id FROM i JOIN d ON i.rep = d.rep")
+def reinflate(spark, sf):
+    """Clusters of representatives with all their members, and families of those that no cluster has."""
+    d = _dedup(spark, sf)
+    rep = d.select(F.col("rep_id").cast("long").alias("r")).distinct().filter("r % 3 > 0")
+    mcl = rep.select((F.col("r") % 100).alias("mcl_ord"), F.col("r").cast("string").alias("gene_id"), F.col("r").alias("ord"))
+    return families.reinflated(mcl, d)
+
+
+def _two_sets(spark, sf):
+    p = _t(spark, sf, "part")
+    a = p.select(F.concat("p_brand", "p_type").alias("cluster"), F.col("p_partkey").cast("string").alias("gene_id"))
+    b = p.select(F.when(F.col("p_size") % 10 == 0, "moved").otherwise(F.concat("p_brand", "p_type")).alias("cluster"), F.col("p_partkey").cast("string").alias("gene_id"))
+    return a, b
+
+
+_SETS = "a AS (SELECT p_brand || p_type AS c, p_partkey AS g FROM part), b AS (SELECT CASE WHEN p_size % 10 = 0 THEN 'moved' ELSE p_brand || p_type END AS c, p_partkey AS g FROM part)"
+
+
+@query(f"WITH {_SETS}, x AS (SELECT c, list(g ORDER BY g) AS s FROM a GROUP BY c), y AS (SELECT DISTINCT list(g ORDER BY g) AS s FROM b GROUP BY c) SELECT count(y.s)::BIGINT AS same, (count(*) - count(y.s))::BIGINT AS diff, count(*)::BIGINT AS total FROM x LEFT JOIN y ON x.s = y.s")
+def cluster_equality(spark, sf):
+    return families.equal_families(*_two_sets(spark, sf))
+
+
+@query(f"WITH {_SETS}, n AS (SELECT a.c, b.c AS d, count(*) AS n FROM a JOIN b ON a.g = b.g GROUP BY ALL), z AS (SELECT c, count(*) AS size FROM a GROUP BY c) SELECT z.c AS cluster, z.size::BIGINT AS size, z.size = max(n.n) AS same FROM z JOIN n ON z.c = n.c GROUP BY z.c, z.size")
+def cluster_subset(spark, sf):
+    return families.kept_families(*_two_sets(spark, sf))
+
+
+@query("SELECT substr(md5('a' || o_orderkey), i, 3) AS kmer, count(DISTINCT o_orderkey)::BIGINT AS n FROM orders, (SELECT unnest(range(1, 31)) AS i) GROUP BY 1")
+def kmer_index(spark, sf):
+    """Words of sequences, and how many sequences have each."""
+    t = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("gene_id"), F.md5(F.concat(F.lit("a"), "o_orderkey")).alias("aa"))
+    return similarity.kmers(t, 3).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, 'ID=S' || o_orderkey || '-c_' || (o_orderkey % 5) || '-1-' || o_orderkey || ';k=v' AS attrs FROM orders")
+def gff_normalise(spark, sf):
+    t = _t(spark, sf, "orders").select(F.concat(F.lit("S"), "o_orderkey").alias("sample_id"), "o_orderkey", F.concat(F.lit("c-"), (F.col("o_orderkey") % 5).cast("string")).alias("seqid"), F.lit(1).alias("start"), F.lit(2).alias("end"), F.concat(F.lit("ID="), "o_orderkey", F.lit(";x=y;k=v")).alias("attrs"))
+    return gfftools.normalised(t.withColumn("line_no", F.lit(0))).select("o_orderkey", "attrs")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'ID=' || o_orderkey || ';pangenome_id=' || (o_orderkey % 10) ELSE 'ID=' || o_orderkey END AS attrs FROM orders")
+def gff_tag(spark, sf):
+    o = _t(spark, sf, "orders")
+    t = o.select("o_orderkey", F.lit("s").alias("sample_id"), F.when(F.col("o_orderstatus") == "O", "CDS").otherwise("x").alias("type"), F.concat(F.lit("ID="), "o_orderkey").alias("attrs"))
+    c = o.filter("o_orderkey % 2 = 0").select(F.lit("s").alias("sample_id"), F.col("o_orderkey").cast("string").alias("gene_id"), (F.col("o_orderkey") % 10).alias("cluster_no"))
+    return gfftools.tagged(t, c).select("o_orderkey", "attrs")
+
+
+@query("SELECT year, month, count(*)::BIGINT AS n FROM (SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month FROM orders WHERE NOT (o_totalprice < 50000 AND o_orderstatus = 'F')) GROUP BY ROLLUP (year, month) HAVING year IS NOT NULL")
+def catalog_rollup(spark, sf):
+    t = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("RefSeq FTP"), (F.col("o_totalprice") / 10000).alias("Size(Mb)"), F.when(F.col("o_orderstatus") == "F", "Complete").otherwise("Scaffold").alias("Level"), F.col("o_orderdate").alias("Release Date"))
+    return gfftools.releases(gfftools.catalogue(t))
+
+
+@query("SELECT (row_number() OVER (ORDER BY k) - 1)::BIGINT AS sample_ord, sample_id, 'f' || k AS gff_file FROM (SELECT c_nationkey || '_' || (c_custkey % 10) AS sample_id, min(c_custkey) AS k FROM customer GROUP BY 1)")
+def sample_list(spark, sf):
+    """The first row of each sample id, numbered."""
+    from genoloom.sources import genomes
+
+    t = _t(spark, sf, "customer")
+    t = t.select(q.no_dash(F.concat("c_nationkey", F.lit("-"), (F.col("c_custkey") % 10).cast("string"))).alias("sample_id"), F.col("c_custkey").alias("line_no"), F.concat(F.lit("f"), "c_custkey").alias("gff_file"), F.lit(None).cast("string").alias("assembly"))
+    return genomes.numbered_samples(t).select("sample_ord", "sample_id", "gff_file")
+
+
+@query("SELECT s_nationkey AS sample_ord, string_agg(p, '' ORDER BY k) AS aligned FROM (SELECT s_nationkey, s_suppkey AS k, substr(md5(s_suppkey::VARCHAR), 1, 4) AS p FROM supplier) GROUP BY 1")
+def ordered_concat(spark, sf):
+    """Aligned parts of a sample, one after the other in order."""
+    t = _t(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("sample_ord")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 4).alias("p")))).alias("x"))
+    return t.select("sample_ord", F.array_join(F.transform("x", lambda y: y["p"]), "").alias("aligned"))
+
+
+# Heavy operators, checked by tests on small genomes; here they run over proteins made of digests
+
+def _proteins(spark, sf):
+    """A protein a part: digits that eight parts share, with the part's own residues at a few places, so that families exist."""
+    p = _t(spark, sf, "part")
+    base = F.translate(F.concat(*[F.md5(F.concat(F.floor(F.col("p_partkey") / 8).cast("string"), F.lit(f"-{i}"))) for i in range(3)]), "0123456789abcdef", "ARNDCQEGHILKMFPS")
+    own = F.translate(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 2), "0123456789abcdef", "ARNDCQEGHILKMFPS")
+    return p.select(F.col("p_partkey").alias("seq_ord"), F.concat(F.lit("s-c-"), "p_partkey").alias("gene_id"), F.concat(F.substring(base, 1, 40), own, F.substring(base, 43, 60)).alias("aa"))
+
+
+@query()
+def dedup_98(spark, sf):
+    """Near-identical proteins: representatives and members."""
+    return similarity.near_identical(_proteins(spark, sf))
+
+
+@query()
+def search_proteins(spark, sf):
+    """Hits of representatives against each other."""
+    from genoloom.storage import checkpoint
+
+    seqs = _proteins(spark, sf)
+    d = similarity.near_identical(seqs)
+    reps = checkpoint(seqs.join(d.select(F.col("rep_id").alias("gene_id")).distinct(), "gene_id", "left_semi").select("gene_id", "aa"))
+    return similarity.search(reps, reps)
+
+
+@query()
+def markov_clusters(spark, sf):
+    """Clusters of customers that order the same parts' brands: a graph of the tables."""
+    from genoloom.operators import graphs
+
+    s = _t(spark, sf, "supplier")
+    e = s.select(F.concat(F.lit("n"), F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.lit("n"), F.floor(F.col("s_suppkey") / 4).cast("string")).alias("b"), (F.abs("s_acctbal") + 1).alias("w"))
+    return graphs.markov_clusters(e)
+
+
+@query()
+def family_msa(spark, sf):
+    """Alignments of the families of proteins."""
+    from genoloom.operators import msa
+
+    p = _proteins(spark, sf)
+    return msa.family_alignments(p.select(F.floor(F.col("seq_ord") / 8).cast("string").alias("family"), "gene_id", F.col("aa").alias("seq")))
