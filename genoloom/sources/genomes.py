@@ -39,7 +39,8 @@ def numbered_samples(t: DataFrame, known: DataFrame | None = None) -> DataFrame:
     start = 0
     if known is not None:
         t = t.join(known.select("sample_id"), "sample_id", "left_anti")
-        start = (known.agg(F.max("sample_ord")).first()[0] or -1) + 1
+        last = known.agg(F.max("sample_ord")).first()[0]
+        start = 0 if last is None else last + 1
     # the list of samples is the command's input, a row a genome
     return t.select((F.row_number().over(Window.orderBy("line_no")) - 1 + start).cast("long").alias("sample_ord"), "sample_id", "gff_file", "assembly")
 
