@@ -43,7 +43,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         base.select("_rid", "_id", "_len", hash_key(F.col("_norm")).alias("_key"), F.unhex(F.sha2(F.col("_norm"), 256)).alias("_sha")),
         "dedup",
     )
-    again = slim.groupBy("_key").count().filter("count > 1").select("_key")
+    # written, so that the join reads two plain shuffles and large groups can be split
+    again = shared.written(slim.groupBy("_key").count().filter("count > 1").select("_key"), "copies")
     texts = base.select("_rid", "_norm", hash_key(F.col("_norm")).alias("_key"))
     # grouped by an expression, so that the join's partitions needn't keep a key together and may be split
     mixed = texts.join(again, "_key").groupBy(F.reverse("_key").alias("_yek")).agg(F.min("_norm").alias("_lo"), F.max("_norm").alias("_hi")).filter("_lo <> _hi").select(F.reverse("_yek").alias("_key"))
@@ -58,6 +59,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         F.max(F.struct("_len", F.bitwise_not("_id").alias("_nid"), F.bitwise_not("_rid").alias("_nrid"))).alias("_best"),
     )
     best = best.select("_key", "_text", "group_size", F.bitwise_not("_best._nid").alias("keep_id"), F.bitwise_not("_best._nrid").alias("_keep_rid"))
+    best = shared.written(best, "best")
     return slim.join(best, ["_key", "_text"]).select(
         "_rid",
         F.col("_id").alias(id_col),
