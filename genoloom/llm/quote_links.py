@@ -99,15 +99,17 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
         links = links.join(parents, "_id", "left")
     links = links.withColumn("link", F.when(F.col("_parent").isNotNull(), "quote").when(F.col("_prev").isNotNull(), "turn").otherwise("root"))
     links = shared.written(links.withColumn("_parent", F.coalesce("_parent", "_prev")).select("_id", "_c", "_turn", "_conv", "_parent", "link"), "links")
-    # pointer doubling: _up is _depth steps above; a root points at itself
-    up = links.select("_id", F.coalesce("_parent", "_id").alias("_up"), F.when(F.col("_parent").isNull(), 0).otherwise(1).cast("long").alias("_depth"))
-    while True:
-        top = up.select(F.col("_id").alias("_up"), F.col("_up").alias("_next"), F.col("_depth").alias("_more"))
-        up = shared.written(up.join(top, "_up").select("_id", F.col("_next").alias("_up"), (F.col("_depth") + F.col("_more")).alias("_depth"), (F.col("_next") != F.col("_up")).alias("_moved")), "roots")
-        if up.filter("_moved").isEmpty():
-            break
-        up = up.drop("_moved")
-    rows = links.join(up.drop("_moved"), "_id").withColumnRenamed("_up", "_root")
+    # pointer doubling: _up is _depth steps above, and a root where _done; only those below their root go on
+    root = F.col("_parent").isNull()
+    up = shared.written(links.select("_id", F.coalesce("_parent", "_id").alias("_up"), F.when(root, 0).otherwise(1).cast("long").alias("_depth"), root.alias("_done")), "roots")
+    done, going = up.filter("_done"), up.filter("not _done")
+    while not going.isEmpty():
+        every = done.unionByName(going)
+        top = every.select(F.col("_id").alias("_up"), F.col("_up").alias("_next"), F.col("_depth").alias("_more"), "_done")
+        went = shared.written(going.drop("_done").join(top, "_up").select("_id", F.col("_next").alias("_up"), (F.col("_depth") + F.col("_more")).alias("_depth"), "_done"), "roots")
+        done, going = done.unionByName(went.filter("_done")), went.filter("not _done")
+    up = done.drop("_done")
+    rows = links.join(up, "_id").withColumnRenamed("_up", "_root")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["_root", "_depth", "_conv", F.col("_turn").asc_nulls_last(), "_id"]
     rows = shared.written(rows.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranges")
