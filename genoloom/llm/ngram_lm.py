@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from genoloom.llm import shared
 from genoloom.llm.wordarrays import NOT_SPACE, mixed, segments
 
-FOLDS, HELD_OUT, RANGE, SCORED_BYTES, PENDING = 7, 2, 1 << 17, 2 << 20, 1 << 19
+FOLDS, HELD_OUT, RANGE, SCORED_BYTES, PENDING = 7, 2, 1 << 17, 2 << 20, 1 << 18
 END = np.uint64(0x454E44)  # no word's hash but by chance, as any two
 
 
@@ -64,6 +64,14 @@ def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    if not len(x):
+        return []
+    edges = np.flatnonzero(x[1:] != x[:-1]) + 1
+    return list(zip([0, *edges.tolist()], [*edges.tolist(), len(x)], strict=True))
+
+
 class Tally:
     """Counts keys; ``blobs`` gives what there is by shard."""
 
@@ -91,8 +99,7 @@ class Tally:
         order = np.argsort(shard, kind="stable")
         keys, counts, shard = self.keys[order], self.counts[order], shard[order]
         self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        edges = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(shard)], strict=True):
+        for a, b in runs(shard):
             yield int(shard[a]), pack(keys[a:b]), planes(counts[a:b].astype(np.uint64))
 
 
@@ -187,8 +194,7 @@ class Shards:
         place, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
         shard = self.shard_of(keys)
         order = np.argsort(shard, kind="stable")
-        edges = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)) if len(keys) else np.zeros(0, np.int64)
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True):
+        for a, b in runs(shard[order]):
             own, s = order[a:b], int(shard[order[a]])
             if not self.sizes[s]:
                 continue
@@ -309,10 +315,10 @@ def train(texts: DataFrame, at: str | None = None) -> dict:
         return pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()
 
     def _ranges(ids, values, kind):
-        edges = np.unique(ids // np.uint64(RANGE), return_index=True)
         rows = []
-        for r, a, b in zip(edges[0].tolist(), edges[1].tolist(), [*edges[1][1:].tolist(), len(ids)], strict=True):
-            rows.append((int(r), 0, None, pack(ids[a:b] - np.uint64(r * RANGE)), b"".join(planes(x[a:b]) for x in values), kind))
+        for a, b in runs(ids // np.uint64(RANGE)):
+            r = int(ids[a]) // RANGE
+            rows.append((r, 0, None, pack(ids[a:b] - np.uint64(r * RANGE)), b"".join(planes(x[a:b]) for x in values), kind))
         if rows:
             yield _batch(rows, ("shard", "n", "seen", "ids", "values", "kind"), _PAIR_TYPES())
 
@@ -356,8 +362,8 @@ class Scorer:
     def figures(self, ids: np.ndarray) -> np.ndarray:
         """Five rows of figures of sorted ids."""
         out = np.zeros((5, len(ids)))
-        edges = np.unique(ids // RANGE, return_index=True)
-        for r, a, b in zip(edges[0].tolist(), edges[1].tolist(), [*edges[1][1:].tolist(), len(ids)], strict=True):
+        for a, b in runs(ids // RANGE):
+            r = int(ids[a]) // RANGE
             out[:, a:b] = mapped(f"{self.m['at']}/figures-{r}").view(np.uint64).reshape(5, RANGE)[:, ids[a:b] - r * RANGE]
         return out
 
