@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _root(spark: SparkSession) -> str:
+    """A folder of our own only where the session has none."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="genoloom-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def _remove(spark: SparkSession, at: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session has ended; nothing is left to do
+        pass
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` as files that all executors share; a folder of our own only where the session has none."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="genoloom-"))
-    return df.checkpoint()
+    """``df`` as a table that all executors share. Unlike a checkpoint it has the size of its files as statistics, where
+    estimates multiplied from round to round would grow without end."""
+    spark = df.sparkSession
+    at = f"{_root(spark)}/genoloom/rounds-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, at)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
