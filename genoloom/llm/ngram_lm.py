@@ -13,7 +13,7 @@ the worker's own disk first) and look up the distinct words and pairs of a batch
 The model: p(w|v) = max(c(vw) - D(c), 0) / c(v) + g(v) p(w), with p(w) of the same form over continuation
 counts and 1/(V+1) below it, which leaves a share for words never seen. Texts begin after a context of
 their own and end with an end token, which is predicted like a word. D1, D2 and D3+ are the usual
-estimates from the counts of counts, kept between 0 and the count.
+estimates from the counts of counts, kept between a small share and the count.
 
 Defined results: a null text counts as empty and has the end token alone; a row with a null id is not held out
 and is learned from; without training rows all probabilities are those of an unseen word; repeated rows are
@@ -32,6 +32,8 @@ from genoloom.llm import shared
 from genoloom.llm.wordarrays import NOT_SPACE, mixed, segments
 
 FOLDS, HELD_OUT, RANGE, SCORED_BYTES, PENDING = 7, 2, 1 << 17, 2 << 20, 1 << 18
+#: So that unseen words keep a share in any corpus.
+LEAST_DISCOUNT = 0.05
 END = np.uint64(0x454E44)  # no word's hash but by chance, as any two
 
 
@@ -235,7 +237,7 @@ def discounts(n: list[int]) -> list[float]:
     out = []
     for k in (1, 2, 3):
         d = k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k - 0.5
-        out.append(min(max(d, 0.0), float(k)))
+        out.append(min(max(d, LEAST_DISCOUNT), float(k)))
     return out
 
 

@@ -1,0 +1,10 @@
+import corpus_pipeline
+
+
+def test_stages(spark):
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert got.columns[: len(docs.columns)] == docs.columns
+    rows = got.collect()
+    assert 0.5 * docs.count() < len(rows) <= docs.count() and len({r.doc_id for r in rows}) == len(rows)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_dedup", "decontaminate", "mix_sources"]
