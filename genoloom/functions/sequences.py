@@ -75,23 +75,34 @@ def stranded(seq: Column, strand: Column) -> Column:
 
 def translate_cds(seq: Column, table: int = 11) -> Column:
     """Residues of whole codons, stops left out wherever they are; an empty sequence gives ''."""
-    up = F.translate(F.upper(seq), "U", "T")
-    n = F.floor(F.length(seq) / 3).cast("int")
     unclear = ambiguous_codons(table)
     known = F.create_map(*[F.lit(x) for kv in unclear.items() for x in kv])
 
-    def residue(i):
-        c = F.substring(up, i * 3 + 1, 3)
-        at = [F.instr(F.lit("TCAG"), F.substring(c, k, 1)) for k in (1, 2, 3)]
+    def residue(up, i):
+        at = [F.instr(F.lit("TCAG"), F.substring(up, i * 3 + k, F.lit(1))) for k in (1, 2, 3)]
         plain = F.substring(F.lit(code(table)), (at[0] - 1) * 16 + (at[1] - 1) * 4 + at[2], 1)
-        return F.when((at[0] > 0) & (at[1] > 0) & (at[2] > 0), plain).otherwise(F.coalesce(F.try_element_at(known, c), F.lit("X")))
+        clear = (at[0] > 0) & (at[1] > 0) & (at[2] > 0)
+        return F.when(clear, plain).otherwise(F.coalesce(F.try_element_at(known, F.substring(up, i * 3 + 1, F.lit(3))), F.lit("X")))
 
-    residues = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), residue)
-    return F.when(n > 0, F.translate(F.array_join(residues, ""), "*", "")).otherwise(F.lit(""))
+    def whole(up):
+        n = F.floor(F.length(up) / 3).cast("int")
+        residues = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: residue(up, i))
+        return F.when(n > 0, F.translate(F.array_join(residues, ""), "*", "")).otherwise(F.lit(""))
+
+    # bound as a variable, so that the sequence's own expression runs once and not once a codon
+    return F.transform(F.array(F.translate(F.upper(seq), "U", "T")), whole)[0]
 
 
 def back_translate(aligned: Column, nt: Column) -> Column:
     """Codons of ``nt`` laid on an aligned protein: a gap is three gaps, each residue takes the next codon."""
+    def laid(pair):
+        return _laid(pair["a"], pair["n"])
+
+    # bound as a variable, so that the sequences' own expressions run once and not once a residue
+    return F.transform(F.array(F.struct(aligned.alias("a"), nt.alias("n"))), laid)[0]
+
+
+def _laid(aligned: Column, nt: Column) -> Column:
     chars = F.filter(F.split(aligned, ""), lambda c: c != "")
     step = F.aggregate(
         chars,
