@@ -11,6 +11,10 @@ cell with more than ``LARGE`` members only those that agree in one of four quart
 pair within three bits does. Copies share a fingerprint and never meet. Components of the links come from
 rounds of neighbourhood contraction over tables in the shared folder.
 
+Three bits of a fingerprint of shingles are few: of pairs whose sets of five-word shingles have a Jaccard similarity of 0.8, most
+differ in more. ``similar_documents`` therefore searches several fingerprints of the distinct words, in which an edited word weighs
+one feature and not a shingle's worth, and verifies what they propose by the shingles themselves.
+
 Defined results: null counts as empty; a text without words has fingerprint zero and is linked like any
 other; rows with a null id take part, and a component of null ids only has a null component_id; repeated
 rows are separate rows; an empty table gives an empty result; other columns are not read.
@@ -22,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from genoloom.llm import shared
-from genoloom.llm.wordarrays import NOT_SPACE, Segment, segments
+from genoloom.llm.wordarrays import NOT_SPACE, Segment, mixed, segments
 
 SHINGLE, SEED, DISTANCE, LARGE = 3, 42, 3, 2048
 _BLOCK = 1 << 18
@@ -221,8 +225,94 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
+def word_fingerprints(seg: Segment, tables: int) -> np.ndarray:
+    """(row, table): fingerprints of the distinct words, by a hash for each table."""
+    rows, h = seg.rows(), seg.hashes()
+    order = np.lexsort((h, rows))
+    rows, h = rows[order], h[order]
+    new = np.append(True, (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    rows, h = rows[new], h[new]
+    n, out = np.bincount(rows, minlength=seg.n), np.zeros((seg.n, tables), np.uint64)
+    for t in range(tables):
+        counts = np.zeros((seg.n, 64), np.int64)
+        for k in range(0, len(h), _BLOCK):
+            bits = np.unpackbits(mixed(h[k : k + _BLOCK] ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1)
+            here, at = np.unique(rows[k : k + _BLOCK], return_index=True)
+            counts[here] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+        out[:, t] = np.packbits(counts * 2 > n[:, None], axis=1).view(np.uint64).ravel()
+    return out
+
+
+def shingle_sets(seg: Segment, shingle: int) -> list[bytes]:
+    """The sorted hashes of each row's distinct shingles; fewer words are one shingle."""
+    h, out = seg.hashes(), []
+    for a, b in zip(seg.bounds[:-1].tolist(), seg.bounds[1:].tolist(), strict=True):
+        n = max(min(1, b - a), b - a - shingle + 1)
+        x = np.zeros(n, np.uint64)
+        for j in range(min(shingle, b - a)):
+            x = mixed(x + h[a + j : a + j + n])
+        out.append(np.unique(x).tobytes())
+    return out
+
+
+def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 5, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): links between rows (their ``monotonically_increasing_id``) of a Jaccard similarity of ``similarity`` or more.
+
+    Rows with the same fingerprint are proposed to the first of them, rows whose fingerprints are near to each other; every
+    proposal is verified. Documents without words are left out.
+    """
+    parts = []
+    base = docs.select(F.monotonically_increasing_id().alias("_rid"), docs[text_col].alias("text"))
+
+    def prints(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for seg in segments(b.column(1), NOT_SPACE):
+                x = word_fingerprints(seg, tables)[np.diff(seg.bounds) > 0].view(np.int64)
+                who = b.column(0)[seg.first : seg.first + seg.n].filter(pa.array(np.diff(seg.bounds) > 0))
+                yield pa.RecordBatch.from_arrays([who, *(pa.array(np.ascontiguousarray(x[:, t])) for t in range(tables))], names=["_rid", *(f"f{t}" for t in range(tables))])
+
+    rows = shared.written(base.mapInArrow(prints, "_rid long, " + ", ".join(f"f{t} long" for t in range(tables))), "words")
+    for t in range(tables):
+        own = rows.select("_rid", F.col(f"f{t}").alias("fp"))
+        first = shared.written(own.groupBy("fp").agg(F.min("_rid").alias("first")), "distinct")
+        star = own.join(first, "fp").filter("_rid <> first").select(F.col("first").alias("a"), F.col("_rid").alias("b"))
+        near = links(first.select("fp"), distance).withColumnsRenamed({"a": "x", "b": "y"})
+        near = near.join(first.select(F.col("fp").alias("x"), F.col("first").alias("a")), "x").join(first.select(F.col("fp").alias("y"), F.col("first").alias("b")), "y")
+        parts.append(shared.written(star.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "proposed"))
+    pairs = parts[0]
+    for x in parts[1:]:
+        pairs = pairs.unionByName(x)
+    pairs = shared.written(pairs.distinct(), "proposed")
+    asked = pairs.select(F.col("a").alias("_rid")).unionByName(pairs.select(F.col("b").alias("_rid"))).distinct()
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for seg in segments(b.column(1), NOT_SPACE):
+                yield pa.RecordBatch.from_arrays([b.column(0)[seg.first : seg.first + seg.n], pa.array(shingle_sets(seg, shingle), pa.binary())], names=["_rid", "s"])
+
+    def verify(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            on = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                on.append(both >= similarity * (len(x) + len(y) - both))
+            on = pa.array(on, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on)], names=["a", "b"])
+
+    own = shared.written(base.join(asked, "_rid", "left_semi").mapInArrow(sets, "_rid long, s binary"), "shingles")
+    full = pairs.join(own.select(F.col("_rid").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("_rid").alias("b"), F.col("s").alias("y")), "b")
+    return full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One row a document: _rid, doc_id, fingerprint, component_id, _first (whether it is its component's first row)."""
+    """One row a document: _rid, doc_id, fingerprint, component_id, _group (the _rid of its component's first row)."""
     rows = shared.written(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     # nulls last, and repeated ids by their place
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("_rid").alias("rid"))
@@ -231,18 +321,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = each.join(found, each["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = each.groupBy("root").agg(F.min("first").alias("least"))
     each = each.join(least, "root").select("fp", "least")
-    return rows.join(each, "fp").select("_rid", F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.id").alias("component_id"), (F.col("_rid") == F.col("least.rid")).alias("_first"))
+    return rows.join(each, "fp").select("_rid", F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.id").alias("component_id"), F.col("least.rid").alias("_group"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The first row of each component, with all columns.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, **how) -> DataFrame:
+    """One row of each group, that with the least id, with all columns. A group is what is linked by ``near_duplicates`` or by
+    ``similar_documents``.
 
     ``docs`` must number its rows alike each time it is read, as a table in files does.
     """
     rid = "_rid_of_genoloom"
-    out = near_duplicates(docs, id_col, text_col, **how).filter("not _first").select(F.col("_rid").alias(rid))
+    rows = shared.written(near_duplicates(docs, id_col, text_col, **how).select("_rid", F.col(id_col).alias("_id"), "_group"), "near")
+    stars = rows.filter("_rid <> _group").select(F.col("_group").alias("a"), F.col("_rid").alias("b"))
+    edges = stars.unionByName(similar_documents(docs, text_col, shingle, similarity))
+    found = shared.written(components(edges), "groups")
+    ids = rows.select(F.col("_rid").alias("node"), F.col("_id").alias("id"))
+    best = found.join(ids, "node").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"))
+    lost = found.join(best, "root").filter("node <> least.node").select(F.col("node").alias(rid))
+    out = shared.written(lost, "lost")
     return docs.withColumn(rid, F.monotonically_increasing_id()).join(out, rid, "left_anti").select(*[docs[c] for c in docs.columns])
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("_rid", "_first")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("_rid", "_group")

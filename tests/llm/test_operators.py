@@ -361,3 +361,20 @@ def test_toxicity_of_odd_rows(spark, tmp_path):
 
 def test_shared_folder(spark):
     assert shared.root(spark).startswith("file:")
+
+
+def test_one_of_each_similar_group_stays(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in rng.permutation(4000)]
+    texts = [words[k * 100 : k * 100 + 100] for k in range(12)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    for k in range(8):
+        t = list(texts[k])
+        t[50] = "edited"
+        rows.append((100 + k, " ".join(t)))
+    rows += [(3, " ".join(words[3000:3100])), (None, " ".join(words[3200:3300])), (None, " ".join(words[3400:3500]))]  # equal ids of unlike texts
+    at = f"file://{tmp_path}/similar"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(at)
+    kept = simhash.drop_near_duplicates(spark.read.parquet(at)).collect()
+    assert sorted((str(r.doc_id) for r in kept)) == sorted(map(str, [*range(12), 3, None, None]))
+    assert not simhash.similar_documents(spark.read.parquet(at), similarity=0.96).collect()
