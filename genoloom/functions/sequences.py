@@ -75,14 +75,13 @@ def stranded(seq: Column, strand: Column) -> Column:
 
 def translate_cds(seq: Column, table: int = 11) -> Column:
     """Residues of whole codons, stops left out wherever they are; an empty sequence gives ''."""
-    unclear = ambiguous_codons(table)
-    known = F.create_map(*[F.lit(x) for kv in unclear.items() for x in kv])
+    own = dict(zip(map("".join, product("TCAG", repeat=3)), code(table), strict=True)) | ambiguous_codons(table)
+    # a codon's place among the codons is its residue's place among the residues
+    codons, residues_ = ",".join(own), "".join(r.ljust(4) for r in own.values())
 
     def residue(up, i):
-        at = [F.instr(F.lit("TCAG"), F.substring(up, i * 3 + k, F.lit(1))) for k in (1, 2, 3)]
-        plain = F.substring(F.lit(code(table)), (at[0] - 1) * 16 + (at[1] - 1) * 4 + at[2], 1)
-        clear = (at[0] > 0) & (at[1] > 0) & (at[2] > 0)
-        return F.when(clear, plain).otherwise(F.coalesce(F.try_element_at(known, F.substring(up, i * 3 + 1, F.lit(3))), F.lit("X")))
+        at = F.instr(F.lit(codons), F.substring(up, i * 3 + 1, F.lit(3)))
+        return F.when(at > 0, F.substring(F.lit(residues_), at, F.lit(1))).otherwise(F.lit("X"))
 
     def whole(up):
         n = F.floor(F.length(up) / 3).cast("int")

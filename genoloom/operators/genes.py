@@ -65,3 +65,13 @@ def neighbours(positions_: DataFrame, reach: int = 5) -> DataFrame:
     """Adds neighbours: up to ``reach`` genes before and after on the contig."""
     w = Window.partitionBy("sample_id", "seq_id").orderBy("pos")
     return positions_.withColumn("neighbours", F.concat(F.collect_list("gene_id").over(w.rowsBetween(-reach, -1)), F.collect_list("gene_id").over(w.rowsBetween(1, reach))))
+
+
+def only(seqs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Sequences whose gene_id is in ``ids``."""
+    return seqs.join(ids.select("gene_id").distinct(), "gene_id", "left_semi")
+
+
+def without(seqs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Sequences whose gene_id is not in ``ids``."""
+    return seqs.join(ids.select("gene_id").distinct(), "gene_id", "left_anti")

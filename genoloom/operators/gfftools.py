@@ -42,6 +42,19 @@ def renumbered(features: DataFrame) -> DataFrame:
     return features.withColumn("n", n).withColumn("attrs", F.when(F.col("type") == "CDS", new).otherwise(F.col("attrs"))).drop("n")
 
 
+def gff_text(features: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
+    """(sample_id, ord, value): lines of GFF files, and after ``##FASTA`` the contigs where they are given."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
+    line = F.concat_ws("\t", cell("seqid"), F.lit("."), cell("type"), cell("start"), cell("end"), F.lit("."), cell("strand"), F.lit("0"), cell("attrs"))
+    out = features.select("sample_id", F.struct(F.lit(1).alias("part"), F.col("line_no").cast("long").alias("n"), F.lit("").alias("c")).alias("ord"), line.alias("value"))
+    heads = [(0, "##gff-version 3")] + ([(2, "##FASTA")] if contigs is not None else [])
+    for part, text in heads:
+        out = out.unionByName(features.select("sample_id").distinct().select("sample_id", F.struct(F.lit(part).alias("part"), F.lit(0).cast("long").alias("n"), F.lit("").alias("c")).alias("ord"), F.lit(text).alias("value")))
+    if contigs is not None:
+        out = out.unionByName(contigs.select("sample_id", F.struct(F.lit(3).alias("part"), F.lit(0).cast("long").alias("n"), F.col("contig_id").alias("c")).alias("ord"), F.concat(F.lit(">"), "contig_id", F.lit("\n"), "seq").alias("value")))
+    return out
+
+
 def tagged(features: DataFrame, clusters: DataFrame) -> DataFrame:
     """Adds pangenome_id to coding features whose id is in a cluster (sample_id, gene_id, cluster_no); others pass as they are."""
     t = features.withColumn("gene_id", attribute(F.col("attrs"), "ID")).join(clusters.select("sample_id", "gene_id", "cluster_no"), ["sample_id", "gene_id"], "left")

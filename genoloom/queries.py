@@ -388,6 +388,48 @@ def ordered_concat(spark, sf):
     return t.select("sample_ord", F.array_join(F.transform("x", lambda y: y["p"]), "").alias("aligned"))
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def sequences_included(spark, sf):
+    """Sequences of a set of ids."""
+    ids = _t(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("gene_id"))
+    return genes.only(_t(spark, sf, "orders").withColumnRenamed("o_custkey", "gene_id"), ids).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def sequences_excluded(spark, sf):
+    ids = _t(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("gene_id"))
+    return genes.without(_t(spark, sf, "orders").withColumnRenamed("o_custkey", "gene_id"), ids).select("o_orderkey")
+
+
+@query(f"SELECT qseqid, count(*)::BIGINT AS n, sum(bitscore) AS bits FROM (SELECT * FROM ({_HITS}) UNION ALL SELECT * FROM ({_HITS}) WHERE evalue > 0.05) GROUP BY 1")
+def hits_united(spark, sf):
+    """Saved and new hits together."""
+    h = _hits(spark, sf)
+    return hits.combined(h, h.filter("evalue > 0.05")).groupBy("qseqid").agg(F.count("*").alias("n"), F.sum("bitscore").alias("bits"))
+
+
+@query("WITH a AS (SELECT DISTINCT p_brand AS f, p_size AS g FROM part), b AS (SELECT DISTINCT p_brand AS f, CASE WHEN p_brand LIKE '%1' THEN p_size + 1 ELSE p_size END AS g FROM part), x AS (SELECT f, list(g ORDER BY g) AS s FROM a GROUP BY f), y AS (SELECT f, list(g ORDER BY g) AS s FROM b GROUP BY f) SELECT x.f AS family FROM x JOIN y ON x.f = y.f AND x.s = y.s")
+def alignments_that_hold(spark, sf):
+    """Families whose genes are as they were."""
+    from genoloom.operators import msa
+
+    p = _t(spark, sf, "part")
+    size = F.when(F.col("p_brand").like("%1"), F.col("p_size") + 1).otherwise(F.col("p_size"))
+    return msa.unchanged(p.select(F.col("p_brand").alias("family"), F.col("p_size").alias("gene_id")), p.select(F.col("p_brand").alias("family"), size.alias("gene_id")))
+
+
+@query("SELECT s_nationkey AS sample_no, 'c' || s_nationkey % 3 AS seq_id, string_agg('g' || s_suppkey || '@' || CASE WHEN s_acctbal < 0 THEN '-1' ELSE '1' END, ';' ORDER BY s_suppkey) AS genes FROM supplier GROUP BY ALL")
+def numeric_positions(spark, sf):
+    """Genes along contigs, with their strands, as numbers for other tools."""
+    s = _t(spark, sf, "supplier")
+    gene, sample = F.concat(F.lit("g"), "s_suppkey"), F.col("s_nationkey").cast("string")
+    annotation = s.select(gene.alias("gene_id"), sample.alias("sample_id"), F.col("s_suppkey").alias("ann_ord"), F.when(F.col("s_acctbal") < 0, "-").otherwise("+").alias("strand"))
+    places = s.select(sample.alias("sample_id"), F.concat(F.lit("c"), (F.col("s_nationkey") % 3).cast("string")).alias("seq_id"), F.col("s_suppkey").alias("pos"), gene.alias("gene_id"))
+    own = s.select(sample.alias("name"), gene.alias("g")).groupBy("name").agg(F.collect_list("g").alias("gene_ids"))
+    samples = s.select(sample.alias("sample_id"), F.col("s_nationkey").alias("sample_ord")).distinct()
+    return gfftools.numeric_export(annotation, places, own, samples)[2]
+
+
 # Heavy operators, checked by tests on small genomes; here they run over proteins made of digests
 
 def _proteins(spark, sf):
