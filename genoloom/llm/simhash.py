@@ -147,7 +147,7 @@ def forest(fp: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
 
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that connect all within ``distance``."""
+    """(t, a, b): links between distinct fingerprints of the columns (t, fp) that connect all within ``distance`` of one table t."""
     if distance > 3:
         raise ValueError("two halves leave at most one step to either only up to a distance of 3")
 
@@ -155,14 +155,14 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            x = b.column(0).to_numpy().view(np.uint64)
-            for k in range(0, len(x), 4096):
-                c, f = cells(x[k : k + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(f.view(np.int64))], names=["cell", "fp"])
+            t, x = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            for own in np.unique(t).tolist():
+                fp = x[t == own]
+                for k in range(0, len(fp), 4096):
+                    c, f = cells(fp[k : k + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array((c | np.uint64(own << 33)).view(np.int64)), pa.array(f.view(np.int64))], names=["cell", "fp"])
 
     def meet(batches):
-        import pyarrow as pa
-
         cell = fp = np.zeros(0, np.int64)
         for b in batches:
             cell = np.concatenate([cell, b.column(0).to_numpy()])
@@ -173,16 +173,16 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 cell, fp = cell[done:], fp[done:]
         yield _links_of(cell, fp, distance)
 
-    entered = fps.mapInArrow(enter, "cell long, fp long")
+    entered = fps.select(F.col("t").cast("long"), "fp").mapInArrow(enter, "cell long, fp long")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entered.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(meet, "a long, b long").distinct()
+    return entered.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(meet, "t long, a long, b long").distinct()
 
 
 def _links_of(cell: np.ndarray, fp: np.ndarray, distance: int):
     """Of rows in order of their cells."""
     import pyarrow as pa
 
-    u, a, b = fp.view(np.uint64), [], []
+    u, t, a, b = fp.view(np.uint64), [], [], []
     first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(cell)))
     for n in range(2, 9):  # most cells are small: all those of one size at once
@@ -191,14 +191,16 @@ def _links_of(cell: np.ndarray, fp: np.ndarray, distance: int):
             for j in range(i + 1, n):
                 x, y = u[at + i], u[at + j]
                 on = (np.bitwise_count(x ^ y) <= distance) & (x != y)
+                t.append(cell[at[on]] >> 33)
                 a.append(x[on])
                 b.append(y[on])
     for k, n in zip(first[size > 8].tolist(), size[size > 8].tolist(), strict=True):
         if found := forest(u[k : k + n], distance):
+            t.append(np.full(len(found), cell[k] >> 33))
             a.append(np.array([x for x, _ in found], np.uint64))
             b.append(np.array([y for _, y in found], np.uint64))
-    a, b = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    t, a, b = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (t, a, b))
+    return pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["t", "a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -261,7 +263,6 @@ def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5,
     Rows with the same fingerprint are proposed to the first of them, rows whose fingerprints are near to each other; every
     proposal is verified. Documents without words are left out.
     """
-    parts = []
     base = docs.select(F.monotonically_increasing_id().alias("_rid"), docs[text_col].alias("text"))
 
     def prints(batches):
@@ -273,17 +274,14 @@ def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5,
                 who = b.column(0)[seg.first : seg.first + seg.n].filter(pa.array(np.diff(seg.bounds) > 0))
                 yield pa.RecordBatch.from_arrays([who, *(pa.array(np.ascontiguousarray(x[:, t])) for t in range(tables))], names=["_rid", *(f"f{t}" for t in range(tables))])
 
-    rows = shared.written(base.mapInArrow(prints, "_rid long, " + ", ".join(f"f{t} long" for t in range(tables))), "words")
-    for t in range(tables):
-        own = rows.select("_rid", F.col(f"f{t}").alias("fp"))
-        first = shared.written(own.groupBy("fp").agg(F.min("_rid").alias("first")), "distinct")
-        star = own.join(first, "fp").filter("_rid <> first").select(F.col("first").alias("a"), F.col("_rid").alias("b"))
-        near = links(first.select("fp"), distance).withColumnsRenamed({"a": "x", "b": "y"})
-        near = near.join(first.select(F.col("fp").alias("x"), F.col("first").alias("a")), "x").join(first.select(F.col("fp").alias("y"), F.col("first").alias("b")), "y")
-        parts.append(shared.written(star.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "proposed"))
-    pairs = parts[0]
-    for x in parts[1:]:
-        pairs = pairs.unionByName(x)
+    rows = base.mapInArrow(prints, "_rid long, " + ", ".join(f"f{t} long" for t in range(tables)))
+    each = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"f{t}").alias("fp")) for t in range(tables)])
+    rows = shared.written(rows.select("_rid", F.explode(each).alias("x")).select("_rid", "x.t", "x.fp"), "words")
+    first = shared.written(rows.groupBy("t", "fp").agg(F.min("_rid").alias("first")), "distinct")
+    star = rows.join(first, ["t", "fp"]).filter("_rid <> first").select(F.col("first").alias("a"), F.col("_rid").alias("b"))
+    near = links(first.select("t", "fp"), distance).withColumnsRenamed({"a": "x", "b": "y"})
+    near = near.join(first.select("t", F.col("fp").alias("x"), F.col("first").alias("a")), ["t", "x"]).join(first.select("t", F.col("fp").alias("y"), F.col("first").alias("b")), ["t", "y"])
+    pairs = star.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     pairs = shared.written(pairs.distinct(), "proposed")
     asked = pairs.select(F.col("a").alias("_rid")).unionByName(pairs.select(F.col("b").alias("_rid"))).distinct()
 
@@ -317,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # nulls last, and repeated ids by their place
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("_rid").alias("rid"))
     each = shared.written(rows.groupBy("fp").agg(F.min(rank).alias("first")), "distinct")
-    found = components(links(each.select("fp"), distance))
+    found = components(links(each.select(F.lit(0).alias("t"), "fp"), distance))
     each = each.join(found, each["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = each.groupBy("root").agg(F.min("first").alias("least"))
     each = each.join(least, "root").select("fp", "least")

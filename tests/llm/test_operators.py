@@ -250,7 +250,7 @@ def test_links_lose_nothing(spark):
     fps = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 7), replace=False)) for b in base for _ in range(12)]
     fps = sorted(set(fps))
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    found = simhash.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))).collect()
+    found = simhash.components(simhash.links(spark.createDataFrame([(0, x) for x in signed], "t int, fp long"))).collect()
     root = {r.node: r.root for r in found}
     mine = roots(fps)
     for i in range(len(fps)):
