@@ -12,8 +12,7 @@ pair within three bits does. Copies share a fingerprint and never meet. Componen
 rounds of neighbourhood contraction over tables in the shared folder.
 
 Three bits of a fingerprint of shingles are few: of pairs whose sets of five-word shingles have a Jaccard similarity of 0.8, most
-differ in more. ``similar_documents`` therefore searches several fingerprints of the distinct words, in which an edited word weighs
-one feature and not a shingle's worth, and verifies what they propose by the shingles themselves.
+differ in more. ``similar_documents`` therefore joins the shingles themselves by prefixes, which is complete, and verifies the pairs.
 
 Defined results: null counts as empty; a text without words has fingerprint zero and is linked like any
 other; rows with a null id take part, and a component of null ids only has a null component_id; repeated
@@ -30,6 +29,9 @@ from genoloom.llm.wordarrays import NOT_SPACE, Segment, mixed, segments
 
 SHINGLE, SEED, DISTANCE, LARGE = 3, 42, 3, 2048
 _BLOCK = 1 << 18
+#: Of the similar documents: one document in so many is looked at for common shingles, of which the most common are kept; groups
+#: whose pairs are all verified at once; rows of a larger one that are compared with all first; rows of a block of one.
+SAMPLED, HOT, MANY, PIVOTS, BLOCK = 16, 2_000_000, 8, 4, 1024
 
 
 def _normalised(seg: Segment) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -227,24 +229,6 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
-def word_fingerprints(seg: Segment, tables: int) -> np.ndarray:
-    """(row, table): fingerprints of the distinct words, by a hash for each table."""
-    rows, h = seg.rows(), seg.hashes()
-    order = np.lexsort((h, rows))
-    rows, h = rows[order], h[order]
-    new = np.append(True, (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-    rows, h = rows[new], h[new]
-    n, out = np.bincount(rows, minlength=seg.n), np.zeros((seg.n, tables), np.uint64)
-    for t in range(tables):
-        counts = np.zeros((seg.n, 64), np.int64)
-        for k in range(0, len(h), _BLOCK):
-            bits = np.unpackbits(mixed(h[k : k + _BLOCK] ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1)
-            here, at = np.unique(rows[k : k + _BLOCK], return_index=True)
-            counts[here] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
-        out[:, t] = np.packbits(counts * 2 > n[:, None], axis=1).view(np.uint64).ravel()
-    return out
-
-
 def shingle_sets(seg: Segment, shingle: int) -> list[bytes]:
     """The sorted hashes of each row's distinct shingles; fewer words are one shingle."""
     h, out = seg.hashes(), []
@@ -257,56 +241,218 @@ def shingle_sets(seg: Segment, shingle: int) -> list[bytes]:
     return out
 
 
-def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 5, distance: int = DISTANCE) -> DataFrame:
-    """(a, b): links between rows (their ``monotonically_increasing_id``) of a Jaccard similarity of ``similarity`` or more.
-
-    Rows with the same fingerprint are proposed to the first of them, rows whose fingerprints are near to each other; every
-    proposal is verified. Documents without words are left out.
-    """
-    base = docs.select(F.monotonically_increasing_id().alias("_rid"), docs[text_col].alias("text"))
+def ordered_shingles(seg: Segment, shingle: int, hot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the distinct shingles, each row's in the order of their keys: by ``rank`` where ``hot`` (sorted hashes) has
+    them and else first, then by hash."""
+    n = np.diff(seg.bounds)
+    count = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
+    rows = np.repeat(np.arange(seg.n), count)
+    first = seg.bounds[rows] + (np.arange(len(rows)) - (np.cumsum(count) - count)[rows])
+    h, last, x = seg.hashes(), seg.bounds[rows + 1], np.zeros(len(rows), np.uint64)
+    for j in range(shingle):
+        on = first + j < last
+        x[on] = mixed(x[on] + h[first[on] + j])
+    key = x >> np.uint64(6)
+    if len(hot) and len(x):
+        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        key |= np.where(hot[at] == key, rank[at], 0).astype(np.uint64) << np.uint64(58)
+    order = np.lexsort((key, rows))
+    rows, key = rows[order], key[order]
+    new = np.append(True, (rows[1:] != rows[:-1]) | (key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+    return rows[new], key[new]
+
+
+def _hot(base: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents have and ranks of how many, from one document in ``SAMPLED``. They only decide which shingles
+    are looked at first; any order finds the same pairs."""
 
-    def prints(batches):
+    def run(batches):
         import pyarrow as pa
 
+        none = np.zeros(0, np.uint64)
         for b in batches:
-            for seg in segments(b.column(1), NOT_SPACE):
-                x = word_fingerprints(seg, tables)[np.diff(seg.bounds) > 0].view(np.int64)
-                who = b.column(0)[seg.first : seg.first + seg.n].filter(pa.array(np.diff(seg.bounds) > 0))
-                yield pa.RecordBatch.from_arrays([who, *(pa.array(np.ascontiguousarray(x[:, t])) for t in range(tables))], names=["_rid", *(f"f{t}" for t in range(tables))])
-
-    rows = base.mapInArrow(prints, "_rid long, " + ", ".join(f"f{t} long" for t in range(tables)))
-    each = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"f{t}").alias("fp")) for t in range(tables)])
-    rows = shared.written(rows.select("_rid", F.explode(each).alias("x")).select("_rid", "x.t", "x.fp"), "words")
-    first = shared.written(rows.groupBy("t", "fp").agg(F.min("_rid").alias("first")), "distinct")
-    star = rows.join(first, ["t", "fp"]).filter("_rid <> first").select(F.col("first").alias("a"), F.col("_rid").alias("b"))
-    near = links(first.select("t", "fp"), distance).withColumnsRenamed({"a": "x", "b": "y"})
-    near = near.join(first.select("t", F.col("fp").alias("x"), F.col("first").alias("a")), ["t", "x"]).join(first.select("t", F.col("fp").alias("y"), F.col("first").alias("b")), ["t", "y"])
-    pairs = star.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = shared.written(pairs.distinct(), "proposed")
-    asked = pairs.select(F.col("a").alias("_rid")).unionByName(pairs.select(F.col("b").alias("_rid"))).distinct()
-
-    def sets(batches):
+            for seg in segments(b.column(0), NOT_SPACE):
+                yield pa.RecordBatch.from_arrays([pa.array(ordered_shingles(seg, shingle, none, none)[1].view(np.int64))], names=["key"])
+
+    few = base.filter(F.pmod(F.xxhash64("_rid"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "key long")
+    found = few.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= 4).orderBy(F.desc("n")).limit(HOT).toArrow()
+    key, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(key)
+    return key[order], np.minimum(np.log2(n[order]), 63).astype(np.uint64)
+
+
+def _runs(batches, columns: int):
+    """Arrays of the columns of rows sorted by the first column, all rows of a key in one of the lists."""
+    kept = None
+    for b in batches:
+        now = [b.column(i).to_numpy() for i in range(columns)]
+        kept = now if kept is None else [np.concatenate(x) for x in zip(kept, now, strict=True)]
+        if len(kept[0]) and kept[0][0] != kept[0][-1]:
+            done = int(np.searchsorted(kept[0], kept[0][-1]))
+            yield [x[:done] for x in kept]
+            kept = [x[done:] for x in kept]
+    if kept is not None and len(kept[0]):
+        yield kept
+
+
+def _spans(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return first, np.diff(np.append(first, len(key)))
+
+
+def _verified(base: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are as similar. Most others fall by 16 bits of each shingle, which may only find them too similar."""
+    for bits in (16, 64):
+        asked = pairs.select(F.col("a").alias("_rid")).unionByName(pairs.select(F.col("b").alias("_rid"))).distinct()
+        own = shared.written(base.join(asked, "_rid", "left_semi").mapInArrow(_sets(shingle, bits), "_rid long, n int, s binary"), "shingles")
+        x, y = (own.select(F.col("_rid").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
+        full = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb")
+        pairs = shared.written(full.mapInArrow(_similar(similarity, bits), "a long, b long"), "verified")
+    return pairs
+
+
+def _sets(shingle: int, bits: int):
+    def run(batches):
         import pyarrow as pa
 
         for b in batches:
             for seg in segments(b.column(1), NOT_SPACE):
-                yield pa.RecordBatch.from_arrays([b.column(0)[seg.first : seg.first + seg.n], pa.array(shingle_sets(seg, shingle), pa.binary())], names=["_rid", "s"])
+                sets = shingle_sets(seg, shingle)
+                n = [len(x) // 8 for x in sets]
+                if bits < 64:
+                    sets = [np.unique(np.frombuffer(x, np.uint64).astype(np.uint16)).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0)[seg.first : seg.first + seg.n], pa.array(n, pa.int32()), pa.array(sets, pa.binary())], names=["_rid", "n", "s"])
+
+    return run
+
 
-    def verify(batches):
+def _similar(similarity: float, bits: int):
+    kind = np.dtype(f"u{bits // 8}")
+
+    def run(batches):
         import pyarrow as pa
 
         for b in batches:
             on = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                on.append(both >= similarity * (len(x) + len(y) - both))
+            for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+                x, y = np.frombuffer(x.as_py(), kind), np.frombuffer(y.as_py(), kind)
+                # shingles of one row that are alike in these bits may all be shared
+                both = len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y))
+                on.append(both >= similarity * (n + m - both))
             on = pa.array(on, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on)], names=["a", "b"])
 
-    own = shared.written(base.join(asked, "_rid", "left_semi").mapInArrow(sets, "_rid long, s binary"), "shingles")
-    full = pairs.join(own.select(F.col("_rid").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("_rid").alias("b"), F.col("s").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return run
+
+
+def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b): links between rows (their ``monotonically_increasing_id``) of a Jaccard similarity of ``similarity`` or more, that
+    connect all that are as similar.
+
+    Of two such rows' shingles in any common order, the first ``n - ceil(similarity * n) + 1`` of either share one. Those are
+    joined, rare shingles first in the order. A first round verifies small groups' pairs, and of each large group the pairs with
+    the rows that have the least rare shingles; a second all pairs left whose rows the verified links do not connect yet. Rows
+    with the same shingles are proposed to the first of them. Documents without words are left out.
+    """
+    base = docs.select(F.monotonically_increasing_id().alias("_rid"), docs[text_col].alias("text"))
+    hot, rank = _hot(base, shingle)
+    hot = base.sparkSession.sparkContext.broadcast((hot, rank))
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def whole(batches):
+        import pyarrow as pa
+        from xxhash import xxh3_64_intdigest
+
+        for b in batches:
+            for seg in segments(b.column(1), NOT_SPACE):
+                same = [xxh3_64_intdigest(x) for x in shingle_sets(seg, shingle)]
+                on = np.diff(seg.bounds) > 0
+                yield pa.RecordBatch.from_arrays([b.column(0)[seg.first : seg.first + seg.n].filter(pa.array(on)), pa.array(np.array(same, np.uint64)[on].view(np.int64))], names=["_rid", "same"])
+
+    def begin(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for seg in segments(b.column(1), NOT_SPACE):
+                rows, key = ordered_shingles(seg, shingle, *hot.value)
+                size = np.bincount(rows, minlength=seg.n)
+                pos = np.arange(len(rows)) - (np.cumsum(size) - size)[rows]
+                on = pos <= (size - np.ceil(similarity * size - 1e-6).astype(np.int64))[rows]
+                rid = b.column(0).to_numpy()[seg.first : seg.first + seg.n]
+                rows = rows[on]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[on].view(np.int64), rid[rows], size[rows].astype(np.int32), pos[on].astype(np.int32))], names=["key", "_rid", "size", "pos"])
+
+    def meet(batches):
+        import pyarrow as pa
+
+        for cols in _runs(batches, 4):
+            n = np.repeat(*(lambda x: (x, x))(_spans(cols[0])[1]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[n > 1]) for x in cols), pa.array(n[n > 1].astype(np.int32))], names=["key", "_rid", "size", "pos", "n"])
+
+    def some(batches):
+        for key, rid, size, pos in _runs(batches, 4):
+            a, b = [], []
+            first, n = _spans(key)
+            for k in range(2, MANY + 1):
+                at = first[n == k]
+                for i in range(k):
+                    for j in range(i + 1, k):
+                        a.append(at + i)
+                        b.append(at + j)
+            for f, k in zip(first[n > MANY].tolist(), n[n > MANY].tolist(), strict=True):
+                lead = f + np.argsort(pos[f : f + k], kind="stable")[:PIVOTS]
+                a.append(np.repeat(lead, k))
+                b.append(np.tile(np.arange(f, f + k), len(lead)))
+            if a:
+                yield _pairs(rid, size, np.concatenate(a), np.concatenate(b), similarity)
+
+    def rest(batches):
+        for key, rid, size, group, home, i, j in _runs(batches, 7):
+            for f, k in zip(*(x.tolist() for x in _spans(key)), strict=True):
+                own = np.arange(f, f + k)
+                if (group[own] == group[f]).all():
+                    continue
+                for lo, hi in set(zip(i[own].tolist(), j[own].tolist(), strict=True)):
+                    mine = own[(i[own] == lo) & (j[own] == hi)]
+                    left, right = mine[home[mine] == lo], mine[home[mine] == hi]
+                    for at in range(0, len(left), 256):
+                        x, y = np.nonzero(group[left[at : at + 256], None] != group[None, right])
+                        yield _pairs(rid, size, left[at + x], right[y], similarity)
+
+    same = shared.written(base.mapInArrow(whole, "_rid long, same long"), "same")
+    first = same.groupBy("same").agg(F.min("_rid").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    star = shared.written(same.join(first, "same").filter("_rid <> first").select(F.col("first").alias("a"), F.col("_rid").alias("b")), "stars")
+    one = base.join(star.select(F.col("b").alias("_rid")), "_rid", "left_anti")
+    met = one.mapInArrow(begin, "key long, _rid long, size int, pos int").repartition(parts, "key").sortWithinPartitions("key")
+    met = shared.written(met.mapInArrow(meet, "key long, _rid long, size int, pos int, n int"), "met")
+    dealt = met.select("key", "_rid", "size", "pos").repartition(parts, "key").sortWithinPartitions("key")
+    pairs = shared.written(dealt.mapInArrow(some, "a long, b long").unionByName(star).distinct(), "proposed")
+    found = _verified(base, pairs, shingle, similarity)
+
+    large = met.filter(F.col("n") > MANY)  # of all others each pair was verified
+    groups = components(found)
+    large = large.join(groups, large["_rid"] == groups["node"], "left").withColumn("group", F.coalesce("root", "_rid"))
+    open_ = large.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("key")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    large = large.join(open_, "key", "left_semi").withColumn("home", F.pmod(F.xxhash64("_rid"), blocks).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    large = large.select("key", "_rid", "size", "group", "home", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
+    large = large.repartition(parts, "key", "i", "j").sortWithinPartitions("key")
+    more = shared.written(large.mapInArrow(rest, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "proposed")
+    return found.unionByName(_verified(base, more, shingle, similarity))
+
+
+def _pairs(rid: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float):
+    """Distinct pairs of rows that may be as similar by their numbers of shingles, the lesser first."""
+    import pyarrow as pa
+
+    on = (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6) & (rid[a] != rid[b])
+    x, y = rid[a[on]], rid[b[on]]
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])) if len(x) else np.zeros(0, bool)
+    return pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -378,3 +379,56 @@ def test_one_of_each_similar_group_stays(spark, tmp_path):
     kept = simhash.drop_near_duplicates(spark.read.parquet(at)).collect()
     assert sorted((str(r.doc_id) for r in kept)) == sorted(map(str, [*range(12), 3, None, None]))
     assert not simhash.similar_documents(spark.read.parquet(at), similarity=0.96).collect()
+
+
+def _similar_groups(spark, tmp_path, texts):
+    """Groups of the texts by similar_documents, and by all pairs."""
+    at = f"file://{tmp_path}/groups"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(at)
+    table = spark.read.parquet(at)
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    got, want = list(range(len(texts))), list(range(len(texts)))
+
+    def join(parent, a, b):
+        a, b = parent[a], parent[b]
+        parent[:] = [min(a, b) if x in (a, b) else x for x in parent]
+
+    ids = {r.i: r.doc_id for r in table.selectExpr("monotonically_increasing_id() AS i", "doc_id").collect()}
+    for r in simhash.similar_documents(table).collect():
+        join(got, ids[r.a], ids[r.b])
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                join(want, a, b)
+    return got, want
+
+
+def test_similar_documents_of_a_large_group(spark, tmp_path):
+    """Variants are similar to their original only, and to the first text of their words not at all."""
+    rng = random.Random(3)
+    first = [f"w{rng.randrange(4000)}" for _ in range(100)]
+    texts = []
+    for n in range(120):
+        x = list(first)
+        for k in range(2):
+            x[10 + (7 * n + 40 * k) % 80] = f"v{n}x{k}"
+        texts.append(" ".join(x))
+    texts.append(" ".join(first))
+    base = [f"u{k}" for k in range(60)]
+    for _ in range(3):  # one set of words, in other orders, each with a copy
+        rng.shuffle(base)
+        texts += [" ".join(base), " ".join(base[:-3] + base[-2:] + base[-3:-2])]
+    got, want = _similar_groups(spark, tmp_path, texts)
+    assert got == want and len(set(want)) == 4
+
+
+def test_similar_documents_with_added_passages(spark, tmp_path):
+    rng = random.Random(4)
+    words = lambda n: [f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(n)]
+    texts = []
+    for n in (50, 100, 300, 1000):
+        for _ in range(4):
+            x = words(n)
+            texts += [" ".join(x), " ".join(x + words(n // 5)), " ".join(words(n // 6) + x)]
+    got, want = _similar_groups(spark, tmp_path, texts)
+    assert got == want and len(set(want)) < len(texts) / 2
