@@ -5,12 +5,14 @@ Candidates come from seeds joined on equality; each candidate pair is aligned on
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from genoloom import schemas
 from genoloom.storage import checkpoint
 
-IDENTITY, LENGTH_RATIO, K, WINDOW, EVALUE, TARGETS = 0.98, 0.98, 12, 20, 1e-6, 2000
+IDENTITY, LENGTH_RATIO, K, EVALUE, TARGETS = 0.98, 0.98, 12, 1e-6, 2000
 
 
 def kmers(seqs: DataFrame, k: int = 5, keep: str = "gene_id") -> DataFrame:
@@ -20,7 +22,23 @@ def kmers(seqs: DataFrame, k: int = 5, keep: str = "gene_id") -> DataFrame:
     return seqs.filter(F.length("aa") >= k).select(keep, F.explode(words).alias("kmer"))
 
 
-def minimizers(seqs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
+def shared_run(identity: float, ratio: float) -> int:
+    """Residues in a row that any two sequences so alike in residues and length have in common.
+
+    Of ``n`` residues of the shorter, ``lost`` at most are not identical. Each breaks a run, as does each residue that only the
+    longer has: one for each that it is longer, and one for each lost residue that stands in a gap. Longer sequences than those
+    looked at have longer runs than the least.
+    """
+    least = 10**9
+    for n in range(1, 5001):
+        same = math.ceil(identity * n - 1e-9)
+        lost, more = n - same, math.floor(n / ratio + 1e-9) - n
+        if lost or more:
+            least = min(least, -(-same // (2 * lost + more + 1)))
+    return max(least, 1)
+
+
+def minimizers(seqs: DataFrame, k: int, window: int) -> DataFrame:
     """(ord, seed): of any ``window`` words in a row the one with the least hash, so that two sequences that share
     ``window + k - 1`` residues in a row share a seed."""
 
@@ -33,11 +51,12 @@ def minimizers(seqs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
             who, seeds = [], []
             for o, aa in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x = np.frombuffer(aa.encode(), np.uint8).astype(np.uint64)
-                if len(x) < k:
+                if not len(x):
                     continue
-                h = np.zeros(len(x) - k + 1, np.uint64)
-                for j in range(k):
-                    h = h * np.uint64(0x100000001B3) + x[j : len(x) - k + 1 + j]
+                w = min(k, len(x))
+                h = np.zeros(len(x) - w + 1, np.uint64)
+                for j in range(w):
+                    h = h * np.uint64(0x100000001B3) + x[j : len(x) - w + 1 + j]
                 h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 h ^= h >> np.uint64(32)
                 s = np.unique(sliding_window_view(h, min(window, len(h))).min(axis=1))
@@ -68,9 +87,11 @@ def _identities(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "aa_a", "aa_b").mapInArrow(run, "a long, b long, identity double")
 
 
-def _candidates(left: DataFrame, right: DataFrame, ratio: float, both: bool) -> DataFrame:
-    """Pairs that share a seed and are alike in length; with ``both`` sides the same table, a < b."""
-    l, r = minimizers(left).withColumnRenamed("ord", "a"), minimizers(right).withColumnRenamed("ord", "b")
+def _candidates(left: DataFrame, right: DataFrame, identity: float, ratio: float, both: bool) -> DataFrame:
+    """Pairs that share a seed, as all of that identity do, and are alike in length; with ``both`` sides the same table, a < b."""
+    run = shared_run(identity, ratio)
+    k = min(K, run)
+    l, r = (minimizers(t, k, run - k + 1).withColumnRenamed("ord", c) for t, c in ((left, "a"), (right, "b")))
     pairs = l.join(r, "seed").select("a", "b")
     pairs = (pairs.filter("a < b") if both else pairs).distinct()
     pairs = pairs.join(left.select(F.col("ord").alias("a"), F.col("aa").alias("aa_a")), "a").join(right.select(F.col("ord").alias("b"), F.col("aa").alias("aa_b")), "b")
@@ -89,7 +110,7 @@ def near_identical(seqs: DataFrame, identity: float = IDENTITY, ratio: float = L
     one = seqs.groupBy("aa").agg(F.min_by("gene_id", "seq_ord").alias("gene_id"), F.min("seq_ord").alias("seq_ord"))
     one = checkpoint(one.withColumn("ord", F.col("seq_ord")))
     rank = one.select("ord", F.struct((-F.length("aa")).alias("l"), "ord").alias("rank"))
-    edges = _identities(_candidates(one, one, ratio, True)).filter(F.col("identity") >= identity)
+    edges = _identities(_candidates(one, one, identity, ratio, True)).filter(F.col("identity") >= identity)
     both = edges.select("a", "b", "identity").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "identity"))
     both = both.join(rank.withColumnsRenamed({"ord": "a", "rank": "ra"}), "a").join(rank.withColumnsRenamed({"ord": "b", "rank": "rb"}), "b")
     edges = checkpoint(both.filter("ra < rb").select("a", "b", "identity"))  # a comes before b
@@ -114,7 +135,7 @@ def matched_to(new: DataFrame, reps: DataFrame, identity: float = IDENTITY, rati
     """((rep_id, member_id, member_ord), unmatched rows of ``new``): new sequences to their most similar saved representative."""
     n, r = new.withColumn("ord", F.col("seq_ord")), checkpoint(reps.withColumn("ord", F.col("seq_ord")))
     n = checkpoint(n)
-    found = _identities(_candidates(n, r, ratio, False)).filter(F.col("identity") >= identity)
+    found = _identities(_candidates(n, r, identity, ratio, False)).filter(F.col("identity") >= identity)
     best = checkpoint(found.groupBy("a").agg(F.max_by("b", F.struct("identity", -F.col("b"))).alias("b")))
     members = best.join(n.select(F.col("ord").alias("a"), F.col("gene_id").alias("member_id")), "a").join(r.select(F.col("ord").alias("b"), F.col("gene_id").alias("rep_id")), "b")
     return members.select("rep_id", "member_id", F.col("a").alias("member_ord")), n.join(best.select(F.col("a").alias("ord")), "ord", "left_anti").drop("ord")

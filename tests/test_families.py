@@ -157,3 +157,20 @@ def test_markov_clusters(spark, small):
 def test_components_of_a_chain(spark):
     e = spark.range(40).select(F.format_string("n%03d", "id").alias("a"), F.format_string("n%03d", F.col("id") + 1).alias("b"))
     assert {r.root for r in graphs.components(e).collect()} == {"n000"}
+
+
+def test_near_identity_of_short_proteins(spark):
+    """One residue of 50 to 61 differs, or one differs and another is added: long words in common are not to be had."""
+    rng = random.Random(5)
+    from genome import protein
+
+    change = lambda p, at: p[:at] + ("A" if p[at] != "A" else "C") + p[at + 1 :]
+    rows = []
+    for k in range(60):
+        p = protein(rng, 50 + k % 12)
+        rows += [(2 * k, f"a{k:02}", p), (2 * k + 1, f"b{k:02}", change(p, len(p) // 2))]
+    t = spark.createDataFrame(rows, "seq_ord long, gene_id string, aa string")
+    assert sorted((r.rep_id, r.member_id) for r in similarity.near_identical(t).collect()) == [(f"a{k:02}", f"b{k:02}") for k in range(60)]
+    members, rest = similarity.matched_to(t.filter("seq_ord % 2 = 1"), t.filter("seq_ord % 2 = 0"))
+    assert members.count() == 60 and rest.count() == 0
+    assert similarity.shared_run(0.98, 0.98) == 13
