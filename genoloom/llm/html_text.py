@@ -2,7 +2,7 @@
 
 A tolerant reader makes a tree of the page. What can't be article text goes first: scripts, styles, forms,
 navigation, headers, footers, sidebars, notices, adverts and reader comments, known by their elements, roles,
-and the words of their class and id. For every node left, the composite text density is
+and the words of their class and id; the last, and forms, are hints that content overrules (``_settle``). For every node left, the composite text density is
 ``C/T * log(C*T/(LC*LT)) / log(ln(C*LC/nLC + LCb*C/Cb + e))``, of characters C, tags T, link characters LC,
 link tags LT, characters outside links nLC, and those of the body; a node's density sum is that of its
 children. The node with the largest sum, and those subtrees whose density reaches the least density on
@@ -41,16 +41,16 @@ _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("chars", "children", "dropped", "link_chars", "link_tags", "parent", "parts", "score", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "dropped", "hint", "link_chars", "link_tags", "parent", "parts", "score", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.tag, self.parent, self.dropped, self.hint = tag, parent, dropped, False
         self.parts: list = []  # texts and nodes in order
         self.children: list[Node] = []
 
 
 def _refused(tag: str, attrs: str, parent: Node) -> bool:
-    if tag in DROPPED:
+    if tag in DROPPED and tag != "form":
         return True
     inside = parent
     while tag == "header" and inside is not None:
@@ -65,11 +65,48 @@ def _refused(tag: str, attrs: str, parent: Node) -> bool:
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES or name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-        if name in ("class", "id") and not WORDS.isdisjoint(w.lower() for w in _SPLIT.split(value)):
-            return True
     return False
 
 
+def _hinted(tag: str, attrs: str) -> bool:
+    """Whether the element's name, class or id speak against it."""
+    if tag == "form":
+        return True
+    if not attrs.strip(" /") or tag in ("html", "body", "main", "h1"):
+        return False
+    return any(name.lower() in ("class", "id") and not WORDS.isdisjoint(w.lower() for w in _SPLIT.split(a or b or c)) for name, a, b, c in _ATTR.findall(attrs))
+
+
+def _settle(root: Node) -> None:
+    """Drop the elements that hints speak against, from the outermost, but not one that holds an article or a main element of
+    good name, on pages without these half of the text, or, inside an article or main element, prose: no link and a full stop.
+    All stay where nothing else would be left."""
+    order = _measure(root)
+    if not any(x.hint for x in order):
+        return
+    holds = {}
+    for x in order:
+        holds[id(x)] = any(holds[id(c)] or c.tag == "main" or c.tag == "article" and not c.hint for c in x.children)
+    stack, lost = [(root, False)], []
+    while stack:
+        x, inside = stack.pop()
+        inside = inside or x.tag in ("article", "main")
+        for c in x.children:
+            if c.hint and c.tag != "article" and not holds[id(c)] and (holds[id(root)] or 2 * c.chars < root.chars) and not (inside and c.tag != "form" and not c.link_chars and _prose(c)):
+                lost.append(c)
+            else:
+                stack.append((c, inside))
+    if sum(c.chars for c in lost) < root.chars:
+        for c in lost:
+            c.parent.children.remove(c)
+            c.dropped = True
+
+
+def _prose(x: Node) -> bool:
+    text = " ".join(blocks([x]))
+    return len(text.split()) >= 8 and text.rstrip("\"'”’)").endswith((".", "!", "?", "…", "。"))
+
+
 def tree(page: str) -> Node:
     """The page's nodes, without those that are dropped by what they are."""
     root = node = Node("html", None)
@@ -126,6 +163,7 @@ def tree(page: str) -> Node:
         if tag != "head" and node.tag == "head" and tag in _BLOCK:
             node = node.parent
         child = Node(tag, node, node.dropped or _refused(tag, m["attrs"], node))
+        child.hint = not child.dropped and _hinted(tag, m["attrs"])
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else n
@@ -136,6 +174,7 @@ def tree(page: str) -> Node:
             if not child.dropped:
                 node.children.append(child)
             node = child
+    _settle(root)
     return root
 
 

@@ -432,3 +432,17 @@ def test_similar_documents_with_added_passages(spark, tmp_path):
             texts += [" ".join(x), " ".join(x + words(n // 5)), " ".join(words(n // 6) + x)]
     got, want = _similar_groups(spark, tmp_path, texts)
     assert got == want and len(set(want)) < len(texts) / 2
+
+
+PROSE = "<p>The long river ran past the old mill, and the miller, who had seen it rise before, said that it would fall again by noon.</p>" * 4
+
+
+@pytest.mark.parametrize("page", [f'<div class="site has-sidebar"><article>{PROSE}</article></div>', f'<div id="social-science">{PROSE}</div>', f"<form>{PROSE}</form>", f'<div class="no-sidebar"><div class="ad">Buy this now.</div>{PROSE}</div>'])
+def test_names_are_hints(page):
+    text = html_text.main_text(f"<body><nav><a href=x>home</a></nav>{page}<div class=sidebar>Some other words.</div></body>")
+    assert text.count("The long river") == 4 and "Buy" not in text and "other" not in text
+
+
+def test_prose_in_an_article_stays_whatever_its_name():
+    text = html_text.main_text(f'<article>{PROSE}<section class="related-work">Others have told of this mill and of its miller before us.</section><div class="related"><a href=x>More</a></div></article>')
+    assert "Others have told" in text and "More" not in text
