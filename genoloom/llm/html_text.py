@@ -6,7 +6,9 @@ and the words of their class and id; the last, and forms, are hints that content
 ``C/T * log(C*T/(LC*LT)) / log(ln(C*LC/nLC + LCb*C/Cb + e))``, of characters C, tags T, link characters LC,
 link tags LT, characters outside links nLC, and those of the body; a node's density sum is that of its
 children. The node with the largest sum, and those subtrees whose density reaches the least density on
-the path from it to the body, are the article; if they lie in an ``article`` or ``main`` element, that is.
+the path from it to the body, are the article. If the largest lies in an ``article`` or ``main`` element, the page says itself where its text begins
+and ends: that element is the article with those ``article`` elements beside it that reach the least density, without
+blocks of links. The densities alone choose on all other pages.
 
 Blocks are what block-level elements set apart; a line break inside a block is white space. Character
 references are decoded as HTML5 does. Nothing is capped.
@@ -211,6 +213,20 @@ def _path(x: Node):
         x = x.parent
 
 
+def _unlinked(top: Node) -> Node:
+    """``top`` without the blocks in it that are links and little else."""
+    stack = [top]
+    while stack:
+        x = stack.pop()
+        for c in list(x.children):
+            if c.tag in ("div", "section", "ul", "ol", "table") and c.link_tags > 2 and c.link_chars > 0.8 * c.chars:
+                x.children.remove(c)
+                c.dropped = True
+            else:
+                stack.append(c)
+    return top
+
+
 def content(root: Node) -> list[Node]:
     """The subtrees that are the article, in page order."""
     order = _measure(root)
@@ -220,7 +236,9 @@ def content(root: Node) -> list[Node]:
     least = min(x.score for x in _path(best))
     whole = [x for x in _path(best) if x.tag == "article"] or [x for x in _path(best) if x.tag == "main"]
     if whole:
-        return whole[-1:]
+        top = whole[-1]
+        beside = top.parent.children if top.tag == "article" and top.parent is not None else [top]
+        return [_unlinked(x) for x in beside if x is top or x.tag == "article" and not x.hint and x.score >= least and x.chars]
     peak = {}
     for x in order:  # children first
         peak[id(x)] = max((peak[id(c)] for c in x.children), key=lambda y: y.sum, default=x)

@@ -446,3 +446,9 @@ def test_names_are_hints(page):
 def test_prose_in_an_article_stays_whatever_its_name():
     text = html_text.main_text(f'<article>{PROSE}<section class="related-work">Others have told of this mill and of its miller before us.</section><div class="related"><a href=x>More</a></div></article>')
     assert "Others have told" in text and "More" not in text
+
+
+def test_articles_side_by_side_stay():
+    links = "<div>" + "<a href=x>Another story</a> " * 5 + "</div>"
+    text = html_text.main_text(f"<body><div><article>{PROSE}{links}</article><article>{PROSE.replace('river', 'road')}</article></div></body>")
+    assert text.count("long river") == 4 and text.count("long road") == 4 and "Another" not in text
