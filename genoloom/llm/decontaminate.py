@@ -133,7 +133,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.monotonically_increasing_id().alias("_rid"), docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    docs = shared.numbered(docs)
+    slim = docs.select(docs[shared.RID].alias("_rid"), docs[id_col].alias("_id"), docs[text_col].alias("_text"))
     if blocks == 1:
         # at most block_bytes of text, as measured above
         tables = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
@@ -194,13 +195,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` without a hit, with all their columns.
-
-    ``docs`` must number its rows alike each time it is read, as a table in files does.
-    """
-    rid = "_rid_of_genoloom"
-    out = contamination(docs, benchmark, id_col, text_col, **how).filter("contaminated").select(F.col("_rid").alias(rid))
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(out, rid, "left_anti").select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` without a hit, with all their columns."""
+    docs = shared.numbered(docs)
+    with shared.scope():
+        hit = contamination(docs, benchmark, id_col, text_col, **how).filter("contaminated").select(F.col("_rid").alias(shared.RID))
+        hit = shared.kept(shared.written(hit, "hit"))
+    return docs.join(hit, shared.RID, "left_anti").drop(shared.RID)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -27,14 +27,12 @@ def md5_key(norm: Column) -> Column:
     return F.unhex(F.md5(norm))
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_key=md5_key, rows: Column | None = None) -> DataFrame:
-    """One row a document: _rid, doc_id, keep_id, group_size, kept, text_sha256.
-
-    ``_rid`` is ``monotonically_increasing_id`` of ``docs`` unless ``rows`` gives another.
-    """
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_key=md5_key) -> DataFrame:
+    """One row a document: _rid (its number, see ``shared.numbered``), doc_id, keep_id, group_size, kept, text_sha256."""
+    docs = shared.numbered(docs)
     norm = normalised(docs[text_col])
     base = docs.select(
-        (F.monotonically_increasing_id() if rows is None else rows).alias("_rid"),
+        docs[shared.RID].alias("_rid"),
         docs[id_col].alias("_id"),
         F.length(F.coalesce(docs[text_col], F.lit(""))).alias("_len"),
         norm.alias("_norm"),
@@ -56,9 +54,9 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         slim = shared.written(slim.join(apart, "_rid", "left").fillna("", ["_text"]), "dedup")
     best = slim.groupBy("_key", "_text").agg(
         F.count("*").alias("group_size"),
-        F.max(F.struct("_len", F.bitwise_not("_id").alias("_nid"), F.bitwise_not("_rid").alias("_nrid"))).alias("_best"),
+        F.min(F.struct((-F.col("_len")).alias("_less"), F.col("_id").isNull().alias("_none"), "_id", "_rid")).alias("_best"),
     )
-    best = best.select("_key", "_text", "group_size", F.bitwise_not("_best._nid").alias("keep_id"), F.bitwise_not("_best._nrid").alias("_keep_rid"))
+    best = best.select("_key", "_text", "group_size", F.col("_best._id").alias("keep_id"), F.col("_best._rid").alias("_keep_rid"))
     best = shared.written(best, "best")
     return slim.join(best, ["_key", "_text"]).select(
         "_rid",
@@ -71,13 +69,12 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    ``docs`` must number its rows alike each time it is read, as a table in files does.
-    """
-    rid = "_rid_of_genoloom"
-    out = decisions(docs, id_col, text_col).filter("not kept").select(F.col("_rid").alias(rid))
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(out, rid, "left_anti").select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` that stay, with all their columns."""
+    rows = shared.numbered(docs)
+    with shared.scope():
+        lost = decisions(rows, id_col, text_col).filter("not kept").select(F.col("_rid").alias(shared.RID))
+        lost = shared.kept(shared.written(lost, "lost"))
+    return rows.join(lost, shared.RID, "left_anti").drop(shared.RID)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

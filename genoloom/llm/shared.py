@@ -1,17 +1,33 @@
-"""Places that the driver and all executors see.
+"""Places that the driver and all executors see, and numbers of rows that hold from job to job.
 
-Everything that must outlive a task goes under ``spark.checkpoint.dir``; a folder of our own is set
-only where a session has none (tests).
+Everything that must outlive a task goes under ``spark.checkpoint.dir``. A folder of our own is set only where a
+session has none and all its executors are this machine's (tests).
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+RID = "_rid_of_genoloom"
+#: Of a table in more files, the rows are numbered by writing them. 16 bytes a file are broadcast.
+FILES = 4_000_000
+_here = threading.local()
+
+
+def _scopes() -> list[dict[str, SparkSession]]:
+    """The open scopes of this thread: folders and their sessions."""
+    if not hasattr(_here, "scopes"):
+        _here.scopes = []
+    return _here.scopes
 
 
 def root(spark: SparkSession) -> str:
@@ -20,15 +36,20 @@ def root(spark: SparkSession) -> str:
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="genoloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at if "://" in at or at.startswith("file:") else "file://" + os.path.abspath(at)
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI; it is removed when the driver ends."""
+    """A new folder's URI; it is removed with the innermost ``scope``, else when the driver ends."""
     at = f"{root(spark).rstrip('/')}/genoloom/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, at)
+    if _scopes():
+        _scopes()[-1][at] = spark
+    else:
+        atexit.register(_remove, spark, at)
     return at
 
 
@@ -44,11 +65,85 @@ def _remove(spark: SparkSession, at: str) -> None:
         pass
 
 
+@contextlib.contextmanager
+def scope():
+    """Folders that this thread makes inside are removed at the end, but those of tables that were given to ``kept``."""
+    own: dict[str, SparkSession] = {}
+    _scopes().append(own)
+    try:
+        yield
+    finally:
+        _scopes().remove(own)
+        for at, spark in own.items():
+            _remove(spark, at)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table that ``written`` gave, which outlives the innermost scope."""
+    at, open_ = df._genoloom_at, _scopes()
+    if open_ and (spark := open_[-1].pop(at, None)):
+        if len(open_) > 1:
+            open_[-2][at] = spark
+        else:
+            atexit.register(_remove, spark, at)
+    return df
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` gave and nothing reads any more."""
+    for df in tables:
+        for own in _scopes():
+            own.pop(df._genoloom_at, None)
+        _remove(df.sparkSession, df._genoloom_at)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage is cut, and a lost executor loses nothing."""
     at = folder(df.sparkSession, name)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._genoloom_at = at
+    return out
+
+
+def _plain(docs: DataFrame) -> bool:
+    """Whether each row is one row of one file: columns and filters over a scan."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().head()
+    return plan.children().isEmpty() and "Relation" in plan.nodeName()
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``RID``: a number of each row that every job which reads the result finds again, whatever cores
+    are alive and however files are split.
+
+    Of a table in Parquet files it is made of the file's number, by the order of paths, and of the row's place in it. Anything else is
+    written once, with its numbers.
+    """
+    if RID in docs.columns:
+        return docs
+    spark = docs.sparkSession
+    if _plain(docs):
+        path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        try:
+            files = docs.select(path.alias("path")).distinct()
+            both = docs.select("*", F.xxhash64(path).alias("_file_of_genoloom"), place.alias("_place_of_genoloom"))
+        except AnalysisException:
+            files = None
+        if files is not None:
+            found = files.select("path", F.xxhash64("path").alias("_file_of_genoloom")).limit(FILES + 1).toArrow().sort_by("path")
+            names = found["_file_of_genoloom"]
+            if found.num_rows <= FILES and len(names.unique()) == found.num_rows:
+                if found.num_rows < 2:
+                    return both.withColumn(RID, F.col("_place_of_genoloom")).drop("_file_of_genoloom", "_place_of_genoloom")
+                # 16 bytes a file, and no more than FILES
+                number = F.broadcast(spark.createDataFrame(pa.table({"_file_of_genoloom": names, "_number_of_genoloom": pa.array(range(found.num_rows), pa.int64())})))
+                rid = F.shiftleft("_number_of_genoloom", 40).bitwiseOR(F.col("_place_of_genoloom"))
+                return both.join(number, "_file_of_genoloom").withColumn(RID, rid).drop("_file_of_genoloom", "_number_of_genoloom", "_place_of_genoloom")
+    return written(docs.withColumn(RID, F.monotonically_increasing_id()), "numbered")
 
 
 def filesystem(at: str):
