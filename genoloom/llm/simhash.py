@@ -22,16 +22,18 @@ rows are separate rows; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from genoloom.llm import shared
 from genoloom.llm.wordarrays import NOT_SPACE, Segment, mixed, segments
 
 SHINGLE, SEED, DISTANCE, LARGE = 3, 42, 3, 2048
-_BLOCK = 1 << 18
+#: Shingles hashed at a time: their bits take 64 bytes each.
+_BLOCK = 1 << 13
 #: Of the similar documents: one document in so many is looked at for common shingles, of which the most common are kept; groups
-#: whose pairs are all verified at once; rows of a larger one that are compared with all first; rows of a block of one.
-SAMPLED, HOT, MANY, PIVOTS, BLOCK = 16, 2_000_000, 8, 4, 1024
+#: whose pairs are all verified at once; rows of a larger one that are compared with all first; rows of a block of one; the rank
+#: (the logarithm of the sampled documents) from which a shingle's rows are dealt to slices.
+SAMPLED, HOT, MANY, PIVOTS, BLOCK, SLICED = 16, 2_000_000, 8, 4, 1024, 12
 
 
 def _normalised(seg: Segment) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -82,7 +84,8 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([b.column(0)[to], b.column(1)[to], pa.array(fingerprints(seg, shingle).view(np.int64))], names=["_rid", "id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.monotonically_increasing_id().alias("_rid"), docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"_rid long, id {kind}, fp long")
+    docs = shared.numbered(docs)
+    return docs.select(docs[shared.RID].alias("_rid"), docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"_rid long, id {kind}, fp long")
 
 
 def popcounts(x: np.ndarray) -> np.ndarray:
@@ -211,7 +214,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star rounds, each a pass of map-side aggregates and one join over the edges.
     """
     e = shared.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    old = None
+    old, before = None, e
     while True:
         # large star: neighbours above a node go to the least around it
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -220,7 +223,9 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: those below a node, and the node, go to the least of them
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
-        e = shared.written(e, "edges")
+        last, e = before, shared.written(e, "edges")
+        shared.drop(last)
+        before = e
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == old or now[0] == 0:
             break
@@ -308,6 +313,7 @@ def _verified(base: DataFrame, pairs: DataFrame, shingle: int, similarity: float
         x, y = (own.select(F.col("_rid").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
         full = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb")
         pairs = shared.written(full.mapInArrow(_similar(similarity, bits), "a long, b long"), "verified")
+        shared.drop(own)
     return pairs
 
 
@@ -345,18 +351,24 @@ def _similar(similarity: float, bits: int):
     return run
 
 
-def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a, b): links between rows (their ``monotonically_increasing_id``) of a Jaccard similarity of ``similarity`` or more, that
-    connect all that are as similar.
+def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, sliced: int = SLICED) -> DataFrame:
+    """(a, b): links between rows (their numbers) of a Jaccard similarity of ``similarity`` or more, that connect all that are
+    as similar.
 
     Of two such rows' shingles in any common order, the first ``n - ceil(similarity * n) + 1`` of either share one. Those are
-    joined, rare shingles first in the order. A first round verifies small groups' pairs, and of each large group the pairs with
-    the rows that have the least rare shingles; a second all pairs left whose rows the verified links do not connect yet. Rows
-    with the same shingles are proposed to the first of them. Documents without words are left out.
+    joined, rare shingles first in the order. Two rows that first meet at places ``i`` and ``j`` share ``min(n - i, m - j)`` shingles
+    at most, so that rows of many shingles of their own meet nobody. A first round verifies small groups' pairs, and of each large
+    group the pairs with the rows that have the least rare shingles; a second all pairs left whose rows the verified links do not
+    connect yet. A shingle of very many documents (a rank of ``sliced`` at least) is dealt to slices that have first rows of
+    their own, and all its rows also meet the first of all. Rows with the same shingles are proposed to the first of them.
+    Documents without words are left out.
     """
-    base = docs.select(F.monotonically_increasing_id().alias("_rid"), docs[text_col].alias("text"))
+    docs = shared.numbered(docs)
+    base = docs.select(docs[shared.RID].alias("_rid"), docs[text_col].alias("text"))
     hot, rank = _hot(base, shingle)
-    hot = base.sparkSession.sparkContext.broadcast((hot, rank))
+    hot = base.sparkSession.sparkContext.broadcast((hot, rank))  # at most HOT shingles
+    rank_of = F.shiftrightunsigned("key", 58)
+    slice_ = F.expr(f"IF(shiftrightunsigned(key, 58) >= {sliced}, CAST(pmod(xxhash64(_rid), shiftleft(1L, CAST(shiftrightunsigned(key, 58) - {sliced - 1} AS INT))) AS INT), 0)")
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def whole(batches):
@@ -383,11 +395,13 @@ def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5,
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[on].view(np.int64), rid[rows], size[rows].astype(np.int32), pos[on].astype(np.int32))], names=["key", "_rid", "size", "pos"])
 
     def meet(batches):
+        """Rows that aren't alone with their key, and how many there are; all of a slice."""
         import pyarrow as pa
 
         for cols in _runs(batches, 4):
             n = np.repeat(*(lambda x: (x, x))(_spans(cols[0])[1]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[n > 1]) for x in cols), pa.array(n[n > 1].astype(np.int32))], names=["key", "_rid", "size", "pos", "n"])
+            on = (n > 1) | (cols[0].view(np.uint64) >> np.uint64(58) >= sliced)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[on]) for x in cols), pa.array(n[on].astype(np.int64))], names=["key", "_rid", "size", "pos", "n"])
 
     def some(batches):
         for key, rid, size, pos in _runs(batches, 4):
@@ -400,14 +414,14 @@ def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5,
                         a.append(at + i)
                         b.append(at + j)
             for f, k in zip(first[n > MANY].tolist(), n[n > MANY].tolist(), strict=True):
-                lead = f + np.argsort(pos[f : f + k], kind="stable")[:PIVOTS]
+                lead = f + np.lexsort((rid[f : f + k], pos[f : f + k]))[:PIVOTS]  # mostly the same for all keys of a group
                 a.append(np.repeat(lead, k))
                 b.append(np.tile(np.arange(f, f + k), len(lead)))
             if a:
-                yield _pairs(rid, size, np.concatenate(a), np.concatenate(b), similarity)
+                yield _pairs(rid, size, pos, np.concatenate(a), np.concatenate(b), similarity)
 
     def rest(batches):
-        for key, rid, size, group, home, i, j in _runs(batches, 7):
+        for key, rid, size, pos, group, home, i, j in _runs(batches, 8):
             for f, k in zip(*(x.tolist() for x in _spans(key)), strict=True):
                 own = np.arange(f, f + k)
                 if (group[own] == group[f]).all():
@@ -417,36 +431,56 @@ def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5,
                     left, right = mine[home[mine] == lo], mine[home[mine] == hi]
                     for at in range(0, len(left), 256):
                         x, y = np.nonzero(group[left[at : at + 256], None] != group[None, right])
-                        yield _pairs(rid, size, left[at + x], right[y], similarity)
+                        yield _pairs(rid, size, pos, left[at + x], right[y], similarity)
 
     same = shared.written(base.mapInArrow(whole, "_rid long, same long"), "same")
     first = same.groupBy("same").agg(F.min("_rid").alias("first"), F.count("*").alias("n")).filter("n > 1")
     star = shared.written(same.join(first, "same").filter("_rid <> first").select(F.col("first").alias("a"), F.col("_rid").alias("b")), "stars")
+    shared.drop(same)
     one = base.join(star.select(F.col("b").alias("_rid")), "_rid", "left_anti")
-    met = one.mapInArrow(begin, "key long, _rid long, size int, pos int").repartition(parts, "key").sortWithinPartitions("key")
-    met = shared.written(met.mapInArrow(meet, "key long, _rid long, size int, pos int, n int"), "met")
-    dealt = met.select("key", "_rid", "size", "pos").repartition(parts, "key").sortWithinPartitions("key")
-    pairs = shared.written(dealt.mapInArrow(some, "a long, b long").unionByName(star).distinct(), "proposed")
+    met = one.mapInArrow(begin, "key long, _rid long, size int, pos int").repartition(parts, "key", slice_).sortWithinPartitions("key")
+    met = shared.written(met.mapInArrow(meet, "key long, _rid long, size int, pos int, n long"), "met")
+    dealt = met.select("key", "_rid", "size", "pos").repartition(parts, "key", slice_).sortWithinPartitions("key")
+    pairs = dealt.mapInArrow(some, "a long, b long").unionByName(star)
+    common = met.filter(rank_of >= sliced)
+    heads = shared.written(common.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("pos", "_rid", "size")).alias("head")), "heads")
+    if not heads.isEmpty():
+        hub = common.drop("n").join(heads, "key").filter("_rid <> head._rid")
+        hub = hub.filter(_may_be(F.col("size"), F.col("pos"), F.col("head.size"), F.col("head.pos"), similarity))
+        pairs = pairs.unionByName(hub.select(F.least("_rid", "head._rid").alias("a"), F.greatest("_rid", "head._rid").alias("b")))
+    pairs = shared.written(pairs.distinct(), "proposed")
     found = _verified(base, pairs, shingle, similarity)
 
-    large = met.filter(F.col("n") > MANY)  # of all others each pair was verified
-    groups = components(found)
+    large = met.filter((F.col("n") > MANY) & (rank_of < sliced))  # of all others each pair was verified
+    if not heads.isEmpty():
+        large = large.unionByName(common.drop("n").join(heads.select("key", "n"), "key"))
+    groups = shared.written(components(found), "groups")
     large = large.join(groups, large["_rid"] == groups["node"], "left").withColumn("group", F.coalesce("root", "_rid"))
+    large = shared.written(large.select("key", "_rid", "size", "pos", "n", "group"), "large")
+    shared.drop(met, heads)
     open_ = large.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     large = large.join(open_, "key", "left_semi").withColumn("home", F.pmod(F.xxhash64("_rid"), blocks).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    large = large.select("key", "_rid", "size", "group", "home", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
+    large = large.select("key", "_rid", "size", "pos", "group", "home", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
     large = large.repartition(parts, "key", "i", "j").sortWithinPartitions("key")
     more = shared.written(large.mapInArrow(rest, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "proposed")
+    shared.drop(pairs)
     return found.unionByName(_verified(base, more, shingle, similarity))
 
 
-def _pairs(rid: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float):
-    """Distinct pairs of rows that may be as similar by their numbers of shingles, the lesser first."""
+def _may_be(n, i, m, j, similarity: float):
+    """Whether rows of ``n`` and ``m`` shingles that first share those at places ``i`` and ``j`` may be as similar."""
+    least = F.least if isinstance(n, Column) else np.minimum
+    return least(n - i, m - j) * (1 + similarity) >= similarity * (n + m) - 1e-6
+
+
+def _pairs(rid: np.ndarray, size: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float):
+    """Distinct pairs of rows that may be as similar by their numbers of shingles and the places where they meet, the lesser first.
+    That they met before, at lesser places, lets pairs through there if not here."""
     import pyarrow as pa
 
-    on = (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6) & (rid[a] != rid[b])
+    on = _may_be(size[a].astype(np.int64), pos[a], size[b].astype(np.int64), pos[b], similarity) & (rid[a] != rid[b])
     x, y = rid[a[on]], rid[b[on]]
     x, y = np.minimum(x, y), np.maximum(x, y)
     order = np.lexsort((y, x))
@@ -469,21 +503,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, **how) -> DataFrame:
-    """One row of each group, that with the least id, with all columns. A group is what is linked by ``near_duplicates`` or by
-    ``similar_documents``.
-
-    ``docs`` must number its rows alike each time it is read, as a table in files does.
-    """
-    rid = "_rid_of_genoloom"
-    rows = shared.written(near_duplicates(docs, id_col, text_col, **how).select("_rid", F.col(id_col).alias("_id"), "_group"), "near")
-    stars = rows.filter("_rid <> _group").select(F.col("_group").alias("a"), F.col("_rid").alias("b"))
-    edges = stars.unionByName(similar_documents(docs, text_col, shingle, similarity))
-    found = shared.written(components(edges), "groups")
-    ids = rows.select(F.col("_rid").alias("node"), F.col("_id").alias("id"))
-    best = found.join(ids, "node").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"))
-    lost = found.join(best, "root").filter("node <> least.node").select(F.col("node").alias(rid))
-    out = shared.written(lost, "lost")
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(out, rid, "left_anti").select(*[docs[c] for c in docs.columns])
+    """One row of each group, that with the least id (nulls last, then the first in the input), with all columns. A group is what is
+    linked by ``near_duplicates`` or by ``similar_documents``."""
+    docs = shared.numbered(docs)
+    with shared.scope():
+        with shared.scope():
+            rows = shared.kept(shared.written(near_duplicates(docs, id_col, text_col, **how).select("_rid", F.col(id_col).alias("_id"), "_group"), "near"))
+        stars = rows.filter("_rid <> _group").select(F.col("_group").alias("a"), F.col("_rid").alias("b"))
+        with shared.scope():
+            similar = shared.kept(shared.written(similar_documents(docs, text_col, shingle, similarity), "similar"))
+        found = shared.written(components(stars.unionByName(similar)), "groups")
+        ids = rows.select(F.col("_rid").alias("node"), F.col("_id").alias("id"))
+        best = found.join(ids, "node").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"))
+        lost = found.join(best, "root").filter("node <> least.node").select(F.col("node").alias(shared.RID))
+        lost = shared.kept(shared.written(lost, "lost"))
+    return docs.join(lost, shared.RID, "left_anti").drop(shared.RID)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
