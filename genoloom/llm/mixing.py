@@ -4,12 +4,13 @@ Every source is a queue of its documents in shuffled order (by MD5 of the id), o
 over. An offer's virtual finish time is the words its source has offered so far, divided by the source's
 weight; offers are range-sorted by it over the whole table and the mix is cut where its words reach the
 budget. A source that runs dry leaves its share to the others in proportion to their weights, which is the
-target that ``targets`` works out in closed form.
+target that ``level`` works out.
 
 Running sums never put one source, or the whole table, in one task: a queue is cut into ranges of the
 shuffle key, about ``ROWS`` documents each, and the global order into range partitions of which only the
-one with the cut is looked at row by row. Per-source figures go to the driver; more than ``MAX_SOURCES``
-sources are refused.
+one with the cut is looked at row by row. Sources are a table like any other, however many: their order is
+that of range partitions, and the common level of those below their cap is found by rounds of sums over them.
+To the driver go sums, and a row a partition.
 
 Defined results: a null or empty text has size 0 and takes nothing; a null source is a source of its own,
 last in order; rows with equal ids are told apart by their place in the input; an empty table gives an
@@ -23,23 +24,22 @@ from pyspark.sql import DataFrame, Window, functions as F
 from genoloom.llm import shared
 
 WORD = r"[^\x20\x09-\x0D]+"
-WEIGHTS, SHARE, CAP, ROWS, MAX_SOURCES = (3, 1, 2), 1.5, 2, 4096, 100_000
-
-
-def targets(sizes: list[int], weights: list[float], budget: float, cap: int = CAP) -> list[float]:
-    """Shares of ``budget`` by weight, none above ``cap`` times its size; excess is shared anew."""
-    order = sorted(range(len(sizes)), key=lambda i: cap * sizes[i] / weights[i])
-    left, weight, out = budget, sum(weights), [0.0] * len(sizes)
-    for n, i in enumerate(order):
-        level = left / weight
-        if level * weights[i] <= cap * sizes[i]:
-            for j in order[n:]:
-                out[j] = level * weights[j]
-            break
-        out[i] = float(cap * sizes[i])
-        left -= cap * sizes[i]
-        weight -= weights[i]
-    return out
+WEIGHTS, SHARE, CAP, ROWS = (3, 1, 2), 1.5, 2, 4096
+
+
+def level(sources: DataFrame, budget: float, cap: int = CAP) -> float | None:
+    """The words a unit of weight gets, of the columns (n, w), where no source gets more than ``cap`` times its ``n``; None if all
+    get as much. Rounds over those that reach their cap, whose level only rises."""
+    at = 0.0
+    while True:
+        full = F.col("n") * cap <= F.lit(at) * F.col("w")
+        r = sources.agg(F.sum(F.when(full, F.col("n"))).alias("n"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        if r.w is None:
+            return None
+        now = (budget - cap * (r.n or 0)) / r.w
+        if now <= at:
+            return at
+        at = now
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
@@ -50,9 +50,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     gives the order of the mix.
     """
     spark = docs.sparkSession
+    docs = shared.numbered(docs)
     slim = shared.written(
         docs.select(
-            F.monotonically_increasing_id().alias("_rid"),
+            docs[shared.RID].alias("_rid"),
             docs[id_col].alias("_id"),
             docs[source_col].alias("_source"),
             F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -60,19 +61,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         ),
         "mix",
     )
-    table = slim.groupBy("_source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(table) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    table.sort(key=lambda r: (r[0] is None, r[0] or ""))
-    given = [weights[i % len(weights)] for i in range(len(table))]
-    total = sum(r.n for r in table)
-    target = targets([r.n for r in table], given, share * total, cap)
-    kind = slim.schema["_source"].dataType.simpleString()
-    sources = spark.createDataFrame(
-        [(r[0], i, r.n, float(t), float(w), max(1, -(-r.rows // ROWS))) for i, (r, t, w) in enumerate(zip(table, target, given, strict=True))],
-        f"_source {kind}, _s int, source_size long, target double, weight double, parts long",
-    )  # at most MAX_SOURCES rows, so that a broadcast is bounded
-    own = slim.join(F.broadcast(sources), slim["_source"].eqNullSafe(sources["_source"])).drop("_source")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("_source").isNull(), F.col("_source")]
+    table = slim.groupBy("_source").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+    table = shared.written(table.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "sources")
+    starts, before, total = [], 0, 0
+    for r in sorted(table.groupBy("_p").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()):  # a row a partition
+        starts.append((r["_p"], before))
+        before += r.rows
+        total += r.n
+    first = F.broadcast(spark.createDataFrame(starts, "_p int, _before long"))
+    table = table.withColumn("_s", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
+    table = table.join(first, "_p").withColumn("_s", F.col("_s") + F.col("_before"))
+    given = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_s") % len(weights) + 1).cast("int"))
+    sources = shared.written(table.select("_source", "_s", "n", "rows", given.alias("w")), "sources")
+    most = level(sources, share * total, cap)
+    whole = F.col("n").cast("double") * cap
+    target = whole if most is None else F.least(whole, F.lit(most) * F.col("w"))
+    sources = sources.select("_source", "_s", F.col("n").alias("source_size"), target.alias("target"), F.col("w").alias("weight"), F.ceil(F.col("rows") / ROWS).alias("parts"))
+    own = slim.join(sources, slim["_source"].eqNullSafe(sources["_source"])).drop("_source")
     own = own.withColumn("_part", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 4294967296.0 * F.col("parts")).cast("int"))
     before = own.groupBy("_s", "_part").agg(F.sum("size").alias("_n"))
     before = before.select("_s", "_part", (F.sum("_n").over(Window.partitionBy("_s").orderBy("_part")) - F.col("_n")).alias("_before"))
@@ -80,7 +87,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     queue = queue.join(before, ["_s", "_part"]).withColumn("_epochs", F.array(*[F.lit(k) for k in range(cap)]))
     offers = queue.select("_rid", "size", "key", "weight", (F.col("_before") + F.col("_in")).alias("_cum"), "source_size", F.explode("_epochs").alias("epoch"))
     offers = offers.select("_rid", "size", "key", "epoch", ((F.col("_cum") + F.col("source_size") * F.col("epoch")).cast("double") / F.col("weight")).alias("finish"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     offers = shared.written(offers.repartitionByRange(parts, "finish", "key", "epoch", "_rid").withColumn("_p", F.spark_partition_id()), "offers")
     sums = {r["_p"]: r.n for r in offers.groupBy("_p").agg(F.sum("size").alias("n")).collect()}  # a row a partition
     budget, done, cut = share * total, 0, None
@@ -101,15 +107,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of ``docs`` in the mix, with all their columns and those of ``mix`` (named mix_* where they clash).
 
-    ``copies`` says how often the mix has a row. ``docs`` must number its rows alike each time it is read, as a
-    table in files does.
+    ``copies`` says how often the mix has a row.
     """
-    rid = "_rid_of_genoloom"
-    own, taken = {c.lower() for c in docs.columns}, mix(docs, id_col, text_col, source_col, **how)[0].filter("copies > 0")
+    docs = shared.numbered(docs)
+    own = {c.lower() for c in docs.columns}
+    with shared.scope():
+        taken = shared.kept(shared.written(mix(docs, id_col, text_col, source_col, **how)[0].filter("copies > 0"), "taken"))
     new = ["size", "source_size", "target", "taken", "copies"]
-    taken = taken.select(F.col("_rid").alias(rid), *[F.col(c).alias(f"mix_{c}" if c in own else c) for c in new])
-    both = docs.withColumn(rid, F.monotonically_increasing_id()).join(taken, rid)
-    return both.select(*[docs[c] for c in docs.columns], *[taken[c] for c in taken.columns[1:]])
+    taken = taken.select(F.col("_rid").alias(shared.RID), *[F.col(c).alias(f"mix_{c}" if c in own else c) for c in new])
+    both = docs.join(taken, shared.RID)
+    return both.select(*[docs[f"`{c}`"] for c in docs.columns if c != shared.RID], *[taken[c] for c in taken.columns[1:]])
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:

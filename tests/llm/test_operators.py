@@ -143,10 +143,17 @@ def test_token_counts(spark):
 # 5
 
 
-def test_targets():
-    assert mixing.targets([10, 10, 10], [3, 1, 2], 45) == [20.0, 25 / 3, 50 / 3]
-    assert mixing.targets([0, 10], [3, 1], 15) == [0.0, 15.0]
-    assert mixing.targets([], [], 0) == []
+def test_level_of_sources(spark):
+    for sizes, weights, budget, want in (([10, 10, 10], [3, 1, 2], 45, [20.0, 25 / 3, 50 / 3]), ([0, 10], [3, 1], 15, [0.0, 15.0]), ([5, 5], [1, 1], 30, [10.0, 10.0]), ([1, 2, 100], [1, 1, 1], 30, [2.0, 4.0, 24.0])):
+        at = mixing.level(spark.createDataFrame(list(zip(sizes, map(float, weights), strict=True)), "n long, w double"), budget)
+        assert [min(2.0 * n, n * 2.0 if at is None else at * w) for n, w in zip(sizes, weights, strict=True)] == want
+    assert mixing.level(spark.createDataFrame([], "n long, w double"), 0) is None
+
+
+def test_mixing_of_very_many_sources(spark):
+    docs = spark.range(0, 120_000).selectExpr("id AS doc_id", "repeat('w ', CAST(id % 7 AS INT)) AS text", "IF(id % 40 = 0, 'hot', concat('s', id)) AS source")
+    out = mixing.mix(docs)[0].agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.sum(F.when(F.col("source_size") > 10, F.col("taken"))).alias("hot"), F.max("target").alias("target")).first()
+    assert out.n == 120_000 and 1.499 * out["size"] < out.taken <= 1.5 * out["size"] and abs(out.hot - out.target) < 20
 
 
 def test_mixing(spark, tmp_path):
