@@ -13,6 +13,7 @@ import tempfile
 import threading
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -146,6 +147,40 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(docs.withColumn(RID, F.monotonically_increasing_id()), "numbered")
 
 
+class Listed:
+    """Numbers in sorted files of the shared folder. A task that reads rows in the order of their numbers looks at the files of its
+    own range only, so that rows are picked without dealing their texts out."""
+
+    def __init__(self, numbers: DataFrame):
+        parts = int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        c = numbers.columns[0]
+        table = written(numbers.distinct().repartitionByRange(parts, c).sortWithinPartitions(c), "listed")
+        self.at, path = table._genoloom_at, F.col("_metadata.file_name")
+        # a row a file
+        found = sorted(tuple(r) for r in table.groupBy(path.alias("f")).agg(F.min(c).alias("lo"), F.max(c).alias("hi")).select("lo", "hi", "f").collect())
+        self.lo, self.hi = np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64)
+        self.names, self.read = [r[2] for r in found], {}
+
+    def has(self, rid: np.ndarray) -> np.ndarray:
+        """Which of the numbers are listed."""
+        import pyarrow.parquet as pq
+
+        out = np.zeros(len(rid), bool)
+        if not len(rid) or not len(self.lo):
+            return out
+        for k in np.flatnonzero((self.hi >= rid.min()) & (self.lo <= rid.max())).tolist():
+            if k not in self.read:
+                if len(self.read) > 3:
+                    self.read.clear()
+                system, at = filesystem(f"{self.at}/{self.names[k]}")
+                with system.open_input_file(at) as f:
+                    self.read[k] = pq.read_table(f).column(0).to_numpy()
+            own = self.read[k]
+            i = np.minimum(np.searchsorted(own, rid), len(own) - 1)
+            out |= own[i] == rid
+        return out
+
+
 def filesystem(at: str):
     """pyarrow's file system for a URI and the path in it, for code that runs on executors."""
     from pyarrow import fs

@@ -308,8 +308,8 @@ def _spans(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _verified(base: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) that are as similar. Most others fall by 16 bits of each shingle, which may only find them too similar."""
     for bits in (16, 64):
-        asked = pairs.select(F.col("a").alias("_rid")).unionByName(pairs.select(F.col("b").alias("_rid"))).distinct()
-        own = shared.written(base.join(asked, "_rid", "left_semi").mapInArrow(_sets(shingle, bits), "_rid long, n int, s binary"), "shingles")
+        asked = shared.Listed(pairs.select(F.col("a").alias("_rid")).unionByName(pairs.select(F.col("b").alias("_rid"))))
+        own = shared.written(base.mapInArrow(_sets(shingle, bits, asked), "_rid long, n int, s binary"), "shingles")
         x, y = (own.select(F.col("_rid").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
         full = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb")
         pairs = shared.written(full.mapInArrow(_similar(similarity, bits), "a long, b long"), "verified")
@@ -317,11 +317,18 @@ def _verified(base: DataFrame, pairs: DataFrame, shingle: int, similarity: float
     return pairs
 
 
-def _sets(shingle: int, bits: int):
+def _picked(b, keep: np.ndarray):
+    import pyarrow as pa
+
+    return b if keep.all() else b.filter(pa.array(keep))
+
+
+def _sets(shingle: int, bits: int, asked: shared.Listed):
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
+            b = _picked(b, asked.has(b.column(0).to_numpy()))
             for seg in segments(b.column(1), NOT_SPACE):
                 sets = shingle_sets(seg, shingle)
                 n = [len(x) // 8 for x in sets]
@@ -385,6 +392,7 @@ def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5,
         import pyarrow as pa
 
         for b in batches:
+            b = _picked(b, ~copies.has(b.column(0).to_numpy()))
             for seg in segments(b.column(1), NOT_SPACE):
                 rows, key = ordered_shingles(seg, shingle, *hot.value)
                 size = np.bincount(rows, minlength=seg.n)
@@ -437,8 +445,8 @@ def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5,
     first = same.groupBy("same").agg(F.min("_rid").alias("first"), F.count("*").alias("n")).filter("n > 1")
     star = shared.written(same.join(first, "same").filter("_rid <> first").select(F.col("first").alias("a"), F.col("_rid").alias("b")), "stars")
     shared.drop(same)
-    one = base.join(star.select(F.col("b").alias("_rid")), "_rid", "left_anti")
-    met = one.mapInArrow(begin, "key long, _rid long, size int, pos int").repartition(parts, "key", slice_).sortWithinPartitions("key")
+    copies = shared.Listed(star.select("b"))
+    met = base.mapInArrow(begin, "key long, _rid long, size int, pos int").repartition(parts, "key", slice_).sortWithinPartitions("key")
     met = shared.written(met.mapInArrow(meet, "key long, _rid long, size int, pos int, n long"), "met")
     dealt = met.select("key", "_rid", "size", "pos").repartition(parts, "key", slice_).sortWithinPartitions("key")
     pairs = dealt.mapInArrow(some, "a long, b long").unionByName(star)
