@@ -3,13 +3,15 @@
 A text is cut into clauses and a clause into symbols: insult, threat, target (someone addressed or spoken
 of), negation, reported speech, or other. Four transducers rewrite the symbols one after the other
 (reported speech, negation, target, and the scorer); ``compose`` makes one deterministic machine of them,
-so a clause is read once. What it says of a match (plain, aimed at a target, negated, reported) decides
-the feature to which the weight of the matched word goes; single words have no other way into a score.
-
-The lexicon of insults and the weights of the features are learned from labelled rows whose
-``crc32(doc_id) mod 4`` is not 2: word forms and word beginnings get the log odds of toxic documents, each
-row's own label being left out when its own features are made, and a logistic regression weighs the
-features. ``FIT_ROWS`` bounds the labelled rows that are used (those with the smallest MD5 of the id); a
+so a clause is read once. What it says of a match (plain, aimed at a target, negated, reported; a threat may be followed by its
+target) is a weighted arc: the matched word's weight is multiplied by it, and a clause weighs what its matches add up to.
+A text has two figures, the weight of its heaviest clause and the logarithm of that of all clauses. Nothing else enters
+a score, so a word counts as the grammar reads it.
+
+What is learned comes from labelled rows whose ``crc32(doc_id) mod 4`` is not 2. Word forms and word beginnings get the log odds of
+toxic documents, each row's own label being left out when its own figures are made; those above ``LEAST`` are insults. Threats are a
+closed class of weight ``THREAT_WEIGHT``, or their log odds if more. A logistic regression makes scores of the figures.
+``FIT_ROWS`` bounds the labelled rows that are used (those with the smallest MD5 of the id); a
 near copy counts once, by a MinHash of its shingles. ``LEXICON`` bounds the entries that are broadcast.
 
 Defined results: null counts as empty; a text without matches, empty ones too, gets the score of the
@@ -29,8 +31,8 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 FIT_ROWS, LEXICON, THRESHOLD, FOLDS, HELD_OUT = 20_000, 50_000, 0.3, 4, 2
-#: Prior weight of a count, and the log odds from which an entry is an insult.
-PRIOR, LEAST = 3.0, 1.8
+#: Prior weight of a count, the log odds from which an entry is an insult, and the weight of a threat.
+PRIOR, LEAST, THREAT_WEIGHT = 6.0, 1.8, 4.0
 BEGINNINGS = (4, 5, 6)
 
 # Closed classes in the languages of the corpus.
@@ -41,7 +43,9 @@ THREATS = frozenset("kill hurt destroy beat stab shoot attack burn hang strangle
 
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n…|]+")
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-KINDS = ("insult", "insult_aimed", "insult_negated", "insult_reported", "threat", "threat_aimed", "threat_negated", "threat_reported")
+#: Arcs of the grammar: by what the weight of a match is multiplied. The last is added where a target follows a threat.
+ARCS = {"insult": 1.0, "insult_aimed": 1.5, "insult_negated": 0.3, "insult_reported": 0.4, "threat": 0.3, "threat_aimed": 1.5, "threat_negated": 0.2, "threat_reported": 0.3, "threat_then_target": 1.2}
+KINDS = tuple(ARCS)
 
 
 class Transducer:
@@ -72,18 +76,22 @@ def _negated(state, s):
 
 
 def _aimed(state, s):
-    """A target reaches over the next six words."""
+    """A target reaches over the next six words, and back to a plain threat among the three before it."""
     kind, mark = s
+    near, threat = divmod(state, 4)
     if kind == END:
         return 0, s
     if kind == TARGET:
-        return 6, s
-    return max(0, state - 1), (kind, mark or "aimed") if state and kind in (INSULT, THREAT) else s
+        return 6 * 4, (kind, "hit" if threat else "")
+    out = (kind, mark or "aimed") if near and kind in (INSULT, THREAT) else s
+    return max(0, near - 1) * 4 + (3 if out == (THREAT, "") else max(0, threat - 1)), out
 
 
 def _scored(state, s):
-    """A match becomes the feature that its weight goes to."""
+    """A match becomes the arc that its weight goes over."""
     kind, mark = s
+    if kind == TARGET and mark:
+        return 0, KINDS.index("threat_then_target")
     if kind not in (INSULT, THREAT):
         return 0, None
     return 0, KINDS.index(("insult" if kind == INSULT else "threat") + (f"_{mark}" if mark else ""))
@@ -143,6 +151,8 @@ class Matcher:
                 if pos >= 2:
                     best = max(best, log_odds(pos, max(neg, 0), self.prior))
         best = best if best >= LEAST else 0.0
+        if word in THREATS:
+            best = max(best, THREAT_WEIGHT)
         if own is None:
             if len(self.seen) > 500_000:
                 self.seen.clear()
@@ -150,33 +160,35 @@ class Matcher:
         return best
 
     def features(self, text: str, own: int | None = None) -> np.ndarray:
-        low, out = text.lower(), np.zeros(len(KINDS) + 3)
-        words = set(TOKEN.findall(low))
-        found = {w: x for w in words if (x := self.weight(w, own))}
-        if not found and words.isdisjoint(THREATS):
-            return out
-        state, nexts, outs, matched = 0, self.next, self.out, {}
-        for w in TOKEN.findall(low):
-            kind = INSULT if w in found else THREAT if w in THREATS else TARGET if w in TARGETS else NEGATION if w in NEGATIONS else REPORT if w in REPORTED else OTHER if w[0].isalpha() else END
+        words = TOKEN.findall(text.lower())
+        found = {w: x for w in set(words) if (x := self.weight(w, own))}
+        if not found:
+            return np.zeros(2)
+        arcs = tuple(ARCS.values())
+        state, nexts, outs, clause, threat, most, total = 0, self.next, self.out, 0.0, 0.0, 0.0, 0.0
+        for w in [*words, "."]:
+            kind = (THREAT if w in THREATS else INSULT) if w in found else TARGET if w in TARGETS else NEGATION if w in NEGATIONS else REPORT if w in REPORTED else OTHER if w[0].isalpha() else END
             if (f := outs[state][kind]) >= 0:
-                matched[f, w] = matched.get((f, w), 0) + 1
+                threat = found[w] if kind == THREAT else threat
+                clause += arcs[f] * (found[w] if w in found else threat)
+            elif kind == END and clause:
+                most, total, clause = max(most, clause), total + clause, 0.0
             state = nexts[state][kind]
-        for (f, w), n in matched.items():
-            out[f] += math.log1p(n) * found.get(w, 1.0)
-        best = sorted((found[w] for _, w in matched if w in found), reverse=True)
-        out[: len(KINDS)] = np.log1p(out[: len(KINDS)])
-        out[len(KINDS) :] = best[0] if best else 0, best[1] if len(best) > 1 else 0, math.log1p(len(best))
-        return out
+        return np.array([most, math.log1p(total)])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights and, last, the intercept, by Newton's method with a ridge."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Weights and, last, the intercept, by Newton's method with a ridge. A step that makes the loss larger is halved."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w, keep = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-3])
+    keep = np.diag([ridge] * (x.shape[1] - 1) + [1e-3])
+    loss = lambda w: np.sum(np.logaddexp(0, x @ w) - y * (x @ w)) + 0.5 * w @ keep @ w
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + keep, x.T @ (p - y) + keep @ w)
-        w -= step
+        step, now = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + keep, x.T @ (p - y) + keep @ w), loss(w)
+        while loss(w - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return w
@@ -242,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = [m.features(t, y).tolist() for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    # at most fit_rows rows of a dozen numbers
+    # at most fit_rows rows of two numbers
     made = sample.select("text", "toxic").mapInArrow(features, "toxic int, x array<double>").toArrow()
     x, y = np.array(made.column("x").to_pylist()), np.array(made.column("toxic").to_pylist(), float)
     order = np.lexsort((*x.T, y))  # so that reruns add up alike

@@ -341,12 +341,49 @@ def test_extraction(spark):
 # 10
 
 
-def test_grammar():
+def arcs_of(clause):
+    """What the grammar says, by looking around each word of one clause."""
+    t, out, done = toxicity, [], -1
+    for i, k in enumerate(clause):
+        back = lambda n, kinds: any(x in kinds for x in clause[max(0, i - n) : i])  # noqa: B023, E731
+        if k in (t.INSULT, t.THREAT):
+            mark = "reported" if t.REPORT in clause[:i] else "negated" if back(3, [t.NEGATION]) else "aimed" if back(6, [t.TARGET]) else ""
+            out.append(("insult" if k == t.INSULT else "threat") + f"_{mark}" * bool(mark))
+        elif k == t.TARGET:
+            plain = [j for j in range(max(0, i - 3, done + 1), i) if clause[j] == t.THREAT and arcs_of(clause[: j + 1])[-1] == "threat"]
+            out += ["threat_then_target"] * bool(plain)
+            done = i
+    return out
+
+
+def test_grammar_against_its_definition():
+    nexts, outs = toxicity.compose(*toxicity.GRAMMAR)
+    pick = random.Random(3)
+    for _ in range(4000):
+        clause, state, got = pick.choices(range(6), weights=[6, 2, 2, 2, 1, 0.3], k=pick.randint(0, 14)), 0, []
+        for k in [*clause, toxicity.END]:
+            if outs[state][k] >= 0:
+                got.append(toxicity.KINDS[outs[state][k]])
+            state = nexts[state][k]
+        assert state == 0 and got == arcs_of(clause), clause
+
+
+def test_clauses_carry_the_weight():
     m = toxicity.Matcher({"moron": (50, 0)}, 0.1)
-    kinds = lambda t: {k for k, x in zip(toxicity.KINDS, m.features(t), strict=False) if x}
-    assert kinds("what a moron") == {"insult"} and kinds("you are a moron") == {"insult_aimed"}
-    assert kinds("he is not a moron") == {"insult_negated"} and kinds("they said: no. she wrote he is a moron") == {"insult_reported"}
-    assert kinds("I will kill you") == {"threat"} and kinds("nothing here") == set() and kinds("") == set()
+    x, arc = m.weight("moron"), toxicity.ARCS
+    most = lambda t: m.features(t)[0]
+    assert most("what a moron") == x and most("you are a moron") == arc["insult_aimed"] * x
+    assert most("he is not a moron") == arc["insult_negated"] * x and most("they said: no. she wrote he is a moron") == arc["insult_reported"] * x
+    assert most("I will kill you") == (arc["threat"] + arc["threat_then_target"]) * toxicity.THREAT_WEIGHT
+    assert most("kill the process") == arc["threat"] * toxicity.THREAT_WEIGHT and most("nothing here") == most("") == 0
+    assert m.features("a moron. a moron!").tolist() == [x, math.log1p(2 * x)]
+
+
+def test_grammar_decides_scores(spark):
+    sf = "/root/testdata/sf0.1"
+    of = toxicity._scores(toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")))
+    aimed, plain, negated, reported, threat, tool, none = of(["you are a moron", "what a moron day", "you are not a moron", "she wrote you are a moron", "I will kill you", "kill the process", "nothing here"])
+    assert aimed > plain > max(negated, reported, none) and min(aimed, plain, threat) >= 0.3 > max(negated, reported, tool, none)
 
 
 def test_toxicity_held_out(spark):
