@@ -6,8 +6,10 @@ of two words, tells how far the window may move; where it may not, the hash of t
 selects the patterns to try, and they are confirmed by comparing bytes. Documents are cut into short lanes
 which all move at once in numpy.
 
-Tables are built from at most ``BLOCK_BYTES`` of benchmark text and broadcast; a larger benchmark is searched
-in as many blocks, each over all documents, and the hits are united.
+Tables are built from at most ``BLOCK_BYTES`` of benchmark text; a larger benchmark is searched in as many blocks,
+each over all documents, and the hits are united. Long items are cut into pieces of ``PIECE`` words that overlap
+by a window, so that blocks stay near their bound. A block's tables take 13 times its text, and 40 times while they are built
+(0.4 GB, 2 s for the bound); each worker builds them once.
 
 Defined results: null text has no words and never matches; items without words match nothing; an item whose
 id is null marks words but is listed nowhere; repeated items with one id count once; empty tables give empty or
@@ -17,6 +19,7 @@ clean results; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
@@ -24,31 +27,49 @@ from pyspark.sql import DataFrame, Window, functions as F
 from genoloom.llm import shared
 from genoloom.llm.wordarrays import ALNUM, Segment, mixed, segments
 
-WINDOW, LANE, BLOCK_BYTES = 10, 128, 32 << 20
+WINDOW, LANE, BLOCK_BYTES, PIECE = 10, 128, 8 << 20, 1 << 14
 _K = np.uint64(0x9DDFEA08EB382D69)
 
 
 class Patterns:
-    """Patterns of one length, and their tables."""
-
-    def __init__(self, length: int, found: dict[bytes, tuple[np.ndarray, set]]):
-        self.length, self.block = length, min(2, length)
-        self.items = {p: tuple(sorted(i)) for p, (_, i) in found.items()}
-        words = np.stack([w for w, _ in found.values()])
-        self.bits = np.uint64(64 - max(12, int(len(words) * length).bit_length() + 3))
-        self.shift = np.full(1 << (64 - int(self.bits)), length - self.block + 1, np.uint16)
-        for q in range(self.block - 1, length):
-            np.minimum.at(self.shift, self._hash(words, q) >> self.bits, length - 1 - q)
-        ends = self._hash(words, length - 1)
+    """Patterns of one length, and their tables. A pattern is a place in the benchmark's words; equal ones are one."""
+
+    def __init__(self, length: int, seg: Segment, h: np.ndarray, places: np.ndarray, owners: np.ndarray, names: np.ndarray):
+        self.length, self.block, self.seg, self.h, self.names = length, min(2, length), seg, h, names
+        whole = h[places].copy()
+        for q in range(1, length):
+            whole = mixed(whole * _K + h[places + q])
+        order = np.lexsort((owners, whole))
+        places, owners, whole = places[order], owners[order], whole[order]
+        new = np.append(True, whole[1:] != whole[:-1])
+        # patterns whose hash meets that of another stay apart
+        again = np.flatnonzero(~new)
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))[again]
+        new[again[[not self._same(places[i], places[j]) for i, j in zip(again.tolist(), first.tolist(), strict=True)]]] = True
+        starts = np.flatnonzero(new)
+        self.places, ends = places[starts], self._hash(h, places[starts] + length - 1)
         order = np.argsort(ends, kind="stable")
+        #: By suffix: the patterns. By pattern: its items.
         self.suffixes, first = np.unique(ends[order], return_index=True)
-        #: By suffix: the hashes of all words of its patterns, and the patterns.
-        self.words, self.first = words[order], np.append(first, len(order))
-        self.texts = [list(found)[i] for i in order]
+        self.first, self.places = np.append(first, len(order)), self.places[order]
+        self.item_from, self.item_to, self.owners = starts[order], np.append(starts[1:], len(new))[order], owners
+        # at most as many blocks as words
+        self.bits = np.uint64(64 - max(12, int(len(h)).bit_length() + 2))
+        self.shift = np.full(1 << (64 - int(self.bits)), length - self.block + 1, np.uint8)
+        for q in range(self.block - 1, length):
+            np.minimum.at(self.shift, self._hash(h, self.places + q) >> self.bits, length - 1 - q)
+
+    def _hash(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of the blocks that end at these words."""
+        return h[ends] if self.block == 1 else mixed(h[ends - 1] * _K + h[ends])
 
-    def _hash(self, words: np.ndarray, q) -> np.ndarray:
-        """Of the block that ends at word ``q`` of each row."""
-        return words[:, q] if self.block == 1 else mixed(words[:, q - 1] * _K + words[:, q])
+    def _same(self, p: int, q: int) -> bool:
+        return _words(self.seg, p, self.length) == _words(self.seg, q, self.length)
+
+    def items(self, k: int) -> list:
+        """Ids of a pattern's items, as strings."""
+        own = np.unique(self.owners[self.item_from[k] : self.item_to[k]])
+        return [x for x in self.names[own] if x is not None]
 
     def search(self, h: np.ndarray, bounds: np.ndarray):
         """Places, in ``h``, where the last block of a pattern ends a window inside one document."""
@@ -58,8 +79,7 @@ class Patterns:
         ends = np.concatenate([np.minimum(x + LANE, b - self.length + 1) for x, b in zip(at, bounds[1:][np.diff(bounds) >= self.length], strict=True)])
         at, places, hashes = np.concatenate(at), [], []
         while len(at):
-            e = at + (self.length - 1)
-            block = h[e] if self.block == 1 else mixed(h[e - 1] * _K + h[e])
+            block = self._hash(h, at + (self.length - 1))
             move = self.shift[block >> self.bits]
             if len(hit := np.flatnonzero(move == 0)):
                 places.append(at[hit])
@@ -72,44 +92,82 @@ class Patterns:
         return np.concatenate(places), np.concatenate(hashes)
 
     def occurrences(self, seg: Segment, h: np.ndarray):
-        """(place, pattern) for each occurrence, confirmed by its bytes."""
+        """(place, number of the pattern) for each occurrence, confirmed by its bytes."""
         places, hashes = self.search(h, seg.bounds)
         k = np.searchsorted(self.suffixes, hashes)
         k[k == len(self.suffixes)] = 0
         on = self.suffixes[k] == hashes
+        span = np.arange(self.length)
         for p, s in zip(places[on].tolist(), k[on].tolist(), strict=True):
             a, b = self.first[s], self.first[s + 1]
-            for j in np.flatnonzero((self.words[a:b] == h[p : p + self.length]).all(axis=1)) + a:
-                text = b" ".join(seg.data[x:y].tobytes() for x, y in zip(seg.starts[p : p + self.length], seg.ends[p : p + self.length], strict=True))
-                if text == self.texts[j]:
-                    yield p, text
+            for j in (np.flatnonzero((self.h[self.places[a:b, None] + span] == h[p : p + self.length]).all(axis=1)) + a).tolist():
+                if _words(seg, p, self.length) == _words(self.seg, int(self.places[j]), self.length):
+                    yield p, j
+
+
+def _words(seg: Segment, p: int, n: int) -> bytes:
+    return b" ".join(seg.data[x:y].tobytes() for x, y in zip(seg.starts[p : p + n], seg.ends[p : p + n], strict=True))
 
 
 def compiled(rows: list[tuple], window: int = WINDOW) -> list[Patterns]:
     """Tables of (item_id, text) rows, one for each length of patterns."""
     import pyarrow as pa
 
-    found: dict[int, dict[bytes, tuple[np.ndarray, set]]] = {}
-    for seg in segments(pa.array([t or "" for _, t in rows], pa.large_string()), ALNUM):
-        h = seg.hashes()
-        for r in range(seg.n):
-            a, b = int(seg.bounds[r]), int(seg.bounds[r + 1])
-            n = min(window, b - a)
-            words = [seg.data[x:y].tobytes() for x, y in zip(seg.starts[a:b], seg.ends[a:b], strict=True)]
-            for i in range(b - a - n + 1) if n else ():
-                own = found.setdefault(n, {}).setdefault(b" ".join(words[i : i + n]), (h[a + i : a + i + n], set()))
-                if (item := rows[seg.first + r][0]) is not None:
-                    own[1].add(str(item))
-    return [Patterns(n, x) for n, x in sorted(found.items())]
+    if not rows:
+        return []
+    seg = next(segments(pa.array([t or "" for _, t in rows], pa.large_string()), ALNUM, 1 << 62))
+    h, count = seg.hashes(), np.diff(seg.bounds)
+    names, owner = np.unique(["" if i is None else str(i) for i, _ in rows], return_inverse=True)
+    none = np.array([i is None for i, _ in rows])
+    names, owner = np.append(names.astype(object), None), np.where(none, len(names), owner)
+    length = np.minimum(count, window)
+    out = []
+    for n in np.unique(length[length > 0]).tolist():
+        own = np.flatnonzero(length == n)
+        times = count[own] - n + 1
+        places = np.repeat(seg.bounds[own], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        out.append(Patterns(n, seg, h, places, np.repeat(owner[own], times), names))
+    return out
+
+
+_tables: dict[str, list[Patterns]] = {}
+
+
+def tables_of(key: str, rows: list[tuple], window: int) -> list[Patterns]:
+    """Built once a worker; the tables of another block go."""
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = compiled(rows, window)
+    return _tables[key]
+
+
+def pieces(items: DataFrame, window: int, most: int = PIECE) -> DataFrame:
+    """(item, text) with long items cut into overlapping pieces that have all their windows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for seg in segments(b.column(1), ALNUM):
+                ids, texts = [], []
+                for r in range(seg.n):
+                    x, y = int(seg.bounds[r]), int(seg.bounds[r + 1])
+                    for k in range(x, max(x + 1, y - window + 1), most):
+                        if x < y:
+                            ids.append(b.column(0)[seg.first + r].as_py())
+                            texts.append(seg.data[seg.starts[k] : seg.ends[min(y, k + most + window - 1) - 1]].tobytes().decode())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(texts, pa.string())], names=["item", "text"])
+
+    return items.mapInArrow(run, f"item {items.schema['item'].dataType.simpleString()}, text string")
 
 
 def hits(seg: Segment, tables: list[Patterns]) -> list[tuple[set, list]]:
     """For each row: its items, and the spans of words that are hit, from the row's first word."""
     h, out = seg.hashes(), [(set(), []) for _ in range(seg.n)]
     for t in tables:
-        for p, text in t.occurrences(seg, h):
+        for p, k in t.occurrences(seg, h):
             r = int(np.searchsorted(seg.bounds, p, "right")) - 1
-            out[r][0].update(t.items[text])
+            out[r][0].update(t.items(k))
             out[r][1].append((p - int(seg.bounds[r]), t.length))
     return out
 
@@ -130,19 +188,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row a document: _rid, doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
     items = benchmark.select(benchmark[item_col].alias("item"), benchmark[item_text_col].alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = shared.written(pieces(items, window), "pieces")
+    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
     docs = shared.numbered(docs)
     slim = docs.select(docs[shared.RID].alias("_rid"), docs[id_col].alias("_id"), docs[text_col].alias("_text"))
     if blocks == 1:
         # at most block_bytes of text, as measured above
-        tables = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
+        tables, key = spark.sparkContext.broadcast([tuple(r) for r in items.collect()]), uuid.uuid4().hex
 
         def search(batches):
             import pyarrow as pa
 
-            own = compiled(tables.value, window)
+            own = tables_of(key, tables.value, window)
             clean = _sha(())
             for b in batches:
                 for seg in segments(b.column(2), ALNUM):
@@ -160,12 +219,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     parts = []
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        tables = spark.sparkContext.broadcast([tuple(r) for r in rows.collect()])
+        tables, key = spark.sparkContext.broadcast([tuple(r) for r in rows.collect()]), uuid.uuid4().hex
 
-        def spans(batches, tables=tables):
+        def spans(batches, tables=tables, key=key):
             import pyarrow as pa
 
-            own = compiled(tables.value, window)
+            own = tables_of(key, tables.value, window)
             for b in batches:
                 for seg in segments(b.column(2), ALNUM):
                     rows = [(b.column(0)[seg.first + r].as_py(), sorted(i), [list(s) for s in x]) for r, (i, x) in enumerate(hits(seg, own)) if x]

@@ -123,6 +123,32 @@ def test_decontamination(spark, tmp_path):
     assert decontaminate.drop_contaminated(docs, bench).count() == sum(not x[5] for x in want)
 
 
+def test_pieces_of_long_items_have_all_windows(spark):
+    words = [f"w{k % 97}" for k in range(500)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "a b"), (None, "x " * 30), (3, None)], "item long, text string").coalesce(1)
+    wins = lambda rows: {(i, tuple(w[k : k + 10])) for i, t in rows for w in [(t or "").split()] for k in range(max(0, len(w) - 9))}
+    got = [tuple(r) for r in decontaminate.pieces(items, 10, 7).collect()]
+    assert wins(got) == wins([tuple(r) for r in items.collect()]) and (2, "a b") in got and max(len(t.split()) for _, t in got) <= 16
+
+
+def test_tables_of_a_full_block_and_repeated_windows():
+    pick = random.Random(1)
+    line = "one two three four five six seven eight nine ten eleven"
+    rows = [(i, line) for i in range(3000)] + [(-1, "short one"), (-2, "short one")]
+    size = sum(len(t) for _, t in rows)
+    while size < decontaminate.BLOCK_BYTES:
+        rows.append((len(rows), " ".join(f"v{pick.randrange(50_000)}" for _ in range(200))))
+        size += len(rows[-1][1])
+    tables = decontaminate.compiled(rows)
+    assert sum(a.nbytes for t in tables for a in (t.places, t.suffixes, t.first, t.item_from, t.item_to, t.owners, t.shift)) < 16 * size
+    import pyarrow as pa
+
+    seg = next(decontaminate.segments(pa.array([f"x {line} y short one", rows[-1][1], "clean text " * 50]), decontaminate.ALNUM))
+    (a, x), (b, y), (c, z) = decontaminate.hits(seg, tables)
+    assert a == {str(i) for i in range(3000)} | {"-1", "-2"} and sorted(x) == [(1, 10), (2, 10), (13, 2)]
+    assert b == {str(rows[-1][0])} and len(y) == 191 and not c and not z
+
+
 # 4
 
 
