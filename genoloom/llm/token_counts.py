@@ -2,11 +2,14 @@
 
 Only lengths leave the workers. A text is cut at ASCII white space, where this tokenizer always ends a
 token (its pre-tokenizer drops white space and no rule spans it; ``safe_to_split`` checks that from the
-file), so a long text never reaches the library whole. Each worker encodes a piece once a batch and keeps
-a bounded table of counts; batches to the library are closed by bytes.
+file). A piece of more than ``LONG`` characters without white space is cut further where the pre-tokenizer ends a word in any
+case: beside ASCII digits, and between a letter and a mark, but not inside special strings. Only a longer run of
+letters alone, or of marks alone, reaches the library whole, as it is one word to it. Each worker encodes a piece once a batch
+and keeps a bounded table of counts; batches to the library are closed by bytes.
 
 Defined results: null counts as empty, with 0 bytes and 0 tokens; special strings inside texts are taken
-as the library does by default; no truncation or padding; other columns are not read.
+as the library does by default; no truncation or padding; null ids stay null and repeated rows are separate rows; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Entries of a worker's table of counts, the longest piece kept there, bytes a batch of the library.
 CACHE, CACHE_CHARS, BATCH_BYTES = 400_000, 40, 1 << 20
-LIMIT = 2048
+LIMIT, LONG = 2048, 1 << 16
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -41,6 +44,31 @@ def safe_to_split(path: str) -> bool:
     return bool(split and split.get("invert") and split.get("behavior") == "Removed" and "\\s+" not in pattern and "[^\\s" in pattern and not level.get("add_prefix_space") and not level.get("use_regex") and not t.get("post_processor") and not any(a["lstrip"] or a["rstrip"] or " " in a["content"] for a in t["added_tokens"]))
 
 
+#: The words of the pre-tokenizer for which ``cut`` is safe: runs of letters, single digits, runs of marks.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BOUND = re.compile(r"(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[^\W\d_])(?=[!-/:-@\[-`{-~。、！？，．；：「」])")
+
+
+def word_pattern(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        steps = (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return next((s["pattern"].get("Regex", "") for s in steps if s.get("type") == "Split"), "")
+
+
+def cut(text: str, special: frozenset[str], most: int = LONG) -> list[str]:
+    """Pieces of ``most`` characters or a little more, up to the next place where a word ends; ``special``: pairs of
+    characters that are beside each other in special strings."""
+    out, at = [], 0
+    while len(text) - at > most:
+        found = _BOUND.finditer(text, at + most)
+        end = next((k for m in found if (k := m.start()) > at and text[k - 1 : k + 1] not in special), None)
+        if end is None:
+            break
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
 class Counter:
     """Counts tokens of texts. One for each worker process and file."""
 
@@ -55,6 +83,9 @@ class Counter:
         self.tokenizer.no_padding()
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.split = safe_to_split(path)
+        self.words = word_pattern(path) == WORDS
+        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = frozenset(t[k : k + 2] for t in contents for k in range(len(t) - 1))
         self.known: dict[str, int] = {}
 
     def lengths(self, texts: list[str]) -> list[int]:
@@ -75,6 +106,8 @@ class Counter:
         if not self.split:
             return self.lengths(texts)
         known, pieces = self.known, [_ascii_split(t) for t in texts]
+        if self.words:
+            pieces = [[q for p in ps for q in (cut(p, self.special) if len(p) > LONG else (p,))] if len(t) > LONG else ps for t, ps in zip(texts, pieces, strict=True)]
         new = list({p for ps in pieces for p in ps if p not in known})
         if len(known) + len(new) > CACHE:
             known.clear()

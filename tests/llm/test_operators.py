@@ -166,6 +166,22 @@ def test_token_counts(spark):
     assert got == {r.doc_id: len(t.encode(r.text, add_special_tokens=False).ids) for r in rows}
 
 
+def test_token_counts_of_long_texts_without_white_space():
+    from tokenizers import Tokenizer
+
+    path = token_counts.vocabulary_path()
+    assert token_counts.word_pattern(path) == token_counts.WORDS
+    t, c, pick = Tokenizer.from_file(path), token_counts.Counter(path), random.Random(5)
+    for chars in ("ab1.,'s|<>", "a'sé2!²e\u0301\u0327。漢Σ", "x<|endoftext|>it's9"):
+        whole = "".join(pick.choice([chars, *chars]) for _ in range(3000))
+        pieces = token_counts.cut(whole, c.special, 20)
+        assert "".join(pieces) == whole and len(pieces) > 20
+        assert sum(c.lengths(pieces)) == len(t.encode(whole, add_special_tokens=False).ids)
+    long = "abc12.def" * 30_000
+    assert max(map(len, token_counts.cut(long, c.special))) < token_counts.LONG + 20
+    assert c.count([long, "a" * 200_000]) == [len(t.encode(x, add_special_tokens=False).ids) for x in (long, "a" * 200_000)]
+
+
 # 5
 
 
