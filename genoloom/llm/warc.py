@@ -7,10 +7,15 @@ lengths of their gzip members in the "sl" extra field, others are decompressed a
 Plain and gzip archives of other writers are read too.
 
 Writing: each task writes its own archives, closed at about ``fileBytes`` bytes; the commit lists the files
-of the tasks that count in ``_manifest``, so that retried or lost tasks leave nothing that is read.
+of the tasks that count in a manifest of its own, so that retried or lost tasks leave nothing that is read. Appending adds a
+manifest; overwriting removes those before it, and their files, once the new one is there. An archive is read by one task, as
+other writers' archives have no index of their records.
 
 Paths are URIs of any store that pyarrow's file systems open. Control characters and spaces in a URI
 are percent-encoded; a null URI has no header and is read as null.
+
+Defined results: null html is an empty payload; a null id is written and read back as null; repeated rows are records of their own, of
+which the first in the input is the response; an empty table gives an archive without records; other columns are not read.
 """
 
 from __future__ import annotations
@@ -241,9 +246,8 @@ class WarcReader(DataSourceReader):
         system, at = shared.filesystem(self.at)
         if system.get_file_info(at).type == fs.FileType.File:
             found = [system.get_file_info(at)]
-        elif system.get_file_info(f"{at}/_manifest").type == fs.FileType.File:
-            with system.open_input_stream(f"{at}/_manifest") as f:
-                found = system.get_file_info([f"{at}/{n}" for n in f.read().decode().split()])
+        elif lists := _manifests(system, at):
+            found = system.get_file_info([f"{at}/{n}" for m in lists for n in _listed(system, m)])
         else:
             found = [i for i in system.get_file_info(fs.FileSelector(at)) if re.search(r"\.warc(\.gz)?$", i.path)]
         out, size = [[]], 0
@@ -288,10 +292,22 @@ def _value(h: dict, column: str) -> str | None:
     return v[1:-1] if column in ("record_id", "refers_to") and v[:1] == "<" else v.removeprefix("sha1:") if column == "payload_digest" else v
 
 
+def _manifests(system, at: str) -> list[str]:
+    from pyarrow import fs
+
+    return sorted(i.path for i in system.get_file_info(fs.FileSelector(at, allow_not_found=True)) if "/_manifest" in i.path)
+
+
+def _listed(system, manifest: str) -> list[str]:
+    with system.open_input_stream(manifest) as f:
+        return f.read().decode().split()
+
+
 class WarcWriter(DataSourceArrowWriter):
     """Of rows (record_id, record_type, target_uri, record_date, refers_to, payload)."""
 
-    def __init__(self, options):
+    def __init__(self, options, overwrite: bool = False):
+        self.overwrite = overwrite
         self.at, self.most = options["path"], int(options.get("fileBytes", 256 << 20))
         self.gz = str(options.get("compression", "gzip")).lower() != "none"
 
@@ -320,8 +336,12 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         system, at = shared.filesystem(self.at)
         system.create_dir(at, recursive=True)
-        with system.open_output_stream(f"{at}/_manifest") as f:
+        old = _manifests(system, at) if self.overwrite else []
+        with system.open_output_stream(f"{at}/_manifest-{uuid.uuid4().hex}") as f:
             f.write("\n".join(p for m in messages if m for p in m.paths).encode())
+        files = [f"{at}/{n}" for m in old for n in _listed(system, m)]
+        for p in [*old, *files]:
+            system.delete_file(p)
 
     def abort(self, messages):
         system, at = shared.filesystem(self.at)
@@ -341,7 +361,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options, schema)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark) -> None:
@@ -352,19 +372,20 @@ def register(spark) -> None:
 # Pages to archives and back
 
 
-def write_pages(pages: DataFrame, at: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = "2024-01-01T00:00:00Z", **options) -> None:
+def write_pages(pages: DataFrame, at: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = "2024-01-01T00:00:00Z", mode: str = "append", **options) -> None:
     """A record for each row. Of equal payloads of ``min_revisit_bytes`` at least, the row with the smallest id
     (null last, then the first in the input) is a response and the others revisit it. Null html is an empty payload."""
     register(pages.sparkSession)
+    pages = shared.numbered(pages)
     rid = F.concat(F.lit("urn:genoloom:page:"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(":"), F.col("_rid"))
-    base = pages.select(F.monotonically_increasing_id().alias("_rid"), pages[id_col].alias("_id"), pages[url_col].alias("target_uri"), F.coalesce(pages[html_col], F.lit("")).alias("payload"))
+    base = pages.select(pages[shared.RID].alias("_rid"), pages[id_col].alias("_id"), pages[url_col].alias("target_uri"), F.coalesce(pages[html_col], F.lit("")).alias("payload"))
     base = base.withColumns({"_key": F.unhex(F.sha1("payload")), "_n": F.octet_length("payload"), "record_id": rid})
     first = base.groupBy("_key", "_n").agg(F.count("*").alias("_copies"), F.min(F.struct(F.col("_id").isNull(), "_id", "_rid", "record_id")).alias("_first"))
     first = first.filter((F.col("_copies") > 1) & (F.col("_n") >= min_revisit_bytes)).select("_key", "_n", F.col("_first.record_id").alias("_to"))
     rows = base.join(first, ["_key", "_n"], "left")
     again = F.col("_to") != F.col("record_id")
     rows = rows.select("record_id", F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", F.lit(date).alias("record_date"), F.when(again, F.col("_to")).alias("refers_to"), "payload")
-    rows.write.format("warc").mode("append").options(**options).save(at)
+    rows.write.format("warc").mode(mode).options(**options).save(at)
 
 
 def read_pages(spark, at: str) -> DataFrame:

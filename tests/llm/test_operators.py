@@ -55,6 +55,42 @@ def test_warc_round_trip_of_odd_pages(spark, tmp_path):
     assert warc.read_pages(spark, at).count() == 0
 
 
+def test_warc_appends_and_overwrites(spark, tmp_path):
+    pages = lambda a, b: spark.range(a, b).selectExpr("id AS page_id", "'u' AS url", "concat('p', id) AS html")
+    at = f"file://{tmp_path}/w"
+    warc.write_pages(pages(0, 5), at)
+    warc.write_pages(pages(5, 8), at)
+    assert sorted(r.page_id for r in warc.read_pages(spark, at).collect()) == list(range(8))
+    warc.write_pages(pages(8, 10), at, mode="overwrite")
+    assert sorted(r.page_id for r in warc.read_pages(spark, at).collect()) == [8, 9]
+    assert len(list((tmp_path / "w").glob("_manifest*"))) == 1 and all(f.name.startswith(("part-", "_manifest")) for f in (tmp_path / "w").iterdir())
+
+
+def test_numbers_of_rows_hold_when_files_are_split_anew(spark, tmp_path):
+    at = f"file://{tmp_path}/t"
+    spark.range(20_000).selectExpr("id AS doc_id", "repeat(md5(string(id)), 20) AS text").repartition(7).write.parquet(at)
+    docs, conf = spark.read.parquet(at), "spark.sql.files.maxPartitionBytes"
+    places = []
+    try:
+        for size in ("128m", "100k", "37k"):
+            spark.conf.set(conf, size)
+            for t in (docs, docs.filter("doc_id % 3 = 0").select("doc_id"), docs.repartition(3)):
+                rows = shared.numbered(t).select("doc_id", shared.RID).collect()
+                assert len({r[1] for r in rows}) == len(rows) == t.count()
+                if t is not docs and t.columns == ["doc_id"] or t is docs:
+                    places.append(dict(map(tuple, rows)))
+    finally:
+        spark.conf.unset(conf)
+    assert all(p.items() <= places[0].items() for p in places)
+    assert shared.numbered(docs.limit(0)).count() == 0 and shared.numbered(spark.createDataFrame([(1,)], "a int")).columns == ["a", shared.RID]
+
+
+def test_listed_numbers(spark):
+    own = shared.Listed(spark.range(0, 1000, 3).unionByName(spark.range(0, 9, 3)))
+    assert own.has(np.array([0, 1, 3, 998, 999, 5000, -1])).tolist() == [True, False, True, False, True, False, False]
+    assert not shared.Listed(spark.range(0)).has(np.arange(5)).any()
+
+
 def test_warc_reads_members_without_lengths_and_checks_digests(tmp_path):
     import gzip
     import io
