@@ -2,13 +2,14 @@
 
 Counting. Workers hash the words of their texts in numpy and count them before anything is sent; counts go
 to shards of the hash space as packed arrays, one row a worker and shard, are added up there, and written
-as sorted hash arrays. A word's place in the sorted arrays of all shards is its id. Pairs of ids are counted
+as sorted hash arrays. There is a shard for about ``SHARD_BYTES`` of text, and each is a task's alone, so that a task's memory does
+not grow with the corpus. A word's place in the sorted arrays of all shards is its id. Pairs of ids are counted
 and stored in the same way, sharded by a hash of the pair, so that a frequent word is no heavier than
 others. A third pass gives each id, as a context, its total and the number of followers seen once, twice and
 more often, and, as a word, the number of contexts it follows.
 
-Scoring. Workers map the arrays of the shards they need into memory (a store without local paths is copied to
-the worker's own disk first) and look up the distinct words and pairs of a batch at once.
+Scoring. Workers map the arrays of the shards they need into memory, at most ``MAPS`` at a time (of a store without local paths, a copy
+whose name is removed at once, so that it ends with the worker), and look up the distinct words and pairs of a batch at once.
 
 The model: p(w|v) = max(c(vw) - D(c), 0) / c(v) + g(v) p(w), with p(w) of the same form over continuation
 counts and 1/(V+1) below it, which leaves a share for words never seen. Texts begin after a context of
@@ -16,8 +17,9 @@ their own and end with an end token, which is predicted like a word. D1, D2 and
 estimates from the counts of counts, kept between a small share and the count.
 
 Defined results: a null text counts as empty and has the end token alone; a row with a null id is not held out
-and is learned from; without training rows all probabilities are those of an unseen word; repeated rows are
-separate rows, and count as often as they occur; other columns are not read.
+and is learned from; without training rows all probabilities are those of an unseen word; an empty table gives an
+empty result; repeated rows are separate rows, and count as often as they occur; other columns are not read. Pairs are of two ids of 32
+bits: ``train`` refuses a corpus of more distinct words.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from genoloom.llm import shared
 from genoloom.llm.wordarrays import NOT_SPACE, mixed, segments
 
-FOLDS, HELD_OUT, RANGE, SCORED_BYTES, PENDING = 7, 2, 1 << 17, 2 << 20, 1 << 18
+FOLDS, HELD_OUT, RANGE, SCORED_BYTES, PENDING, SHARD_BYTES, MAPS = 7, 2, 1 << 17, 2 << 20, 1 << 18, 32 << 20, 4096
 #: So that unseen words keep a share in any corpus.
 LEAST_DISCOUNT = 0.05
 END = np.uint64(0x454E44)  # no word's hash but by chance, as any two
@@ -171,12 +173,16 @@ def mapped(at: str) -> np.ndarray:
 
         system, path = shared.filesystem(at)
         if not isinstance(system, fs.LocalFileSystem):
-            own = os.path.join(tempfile.mkdtemp(prefix="model-"), "part")
+            own, name = tempfile.mkstemp(prefix="model-")
             with system.open_input_stream(path) as src, open(own, "wb") as dst:
                 while block := src.read(1 << 22):
                     dst.write(block)
-            path = own
+            path = name
+        if len(_maps) >= MAPS:
+            del _maps[next(iter(_maps))]
         _maps[at] = np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+        if not isinstance(system, fs.LocalFileSystem):
+            os.unlink(path)
     return _maps[at]
 
 
@@ -246,19 +252,20 @@ def _discounted(counts: np.ndarray, d: list[float]) -> np.ndarray:
 
 
 def _merge(blobs: DataFrame, parts: int, run, schema: str) -> DataFrame:
-    return blobs.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    """Each shard to a task of its own."""
+    return blobs.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
-def train(texts: DataFrame, at: str | None = None) -> dict:
+def train(texts: DataFrame, at: str | None = None, shard_bytes: int = SHARD_BYTES) -> dict:
     """A model of the column ``text`` of ``texts``: figures and the place of its files."""
     import pyarrow as pa
 
     spark = texts.sparkSession
     at = at or shared.folder(spark, "lm")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(0, (parts - 1).bit_length())
-    top, hashed = _top(bits), _hashed(bits)
     texts = texts.select("text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, (-(-size // shard_bytes) - 1).bit_length())
+    parts, top, hashed = 1 << bits, _top(bits), _hashed(bits)
 
     def words(batches):
         t = Tally(top)
@@ -343,7 +350,7 @@ def train(texts: DataFrame, at: str | None = None) -> dict:
             seen = np.bincount(np.minimum(out[4], 5).astype(np.int64), minlength=6)[1:].tolist()
             yield _batch([(r, seen, int(out[4].sum()))], ("range", "seen", "total"), (pa.int32(), pa.list_(pa.int64()), pa.int64()))
 
-    own = _merge(both.filter("shard >= 0").select("shard", "ids", "values", "kind"), parts, figures, "range int, seen array<long>, total long").collect()  # a row a range
+    own = _merge(both.filter("shard >= 0").select("shard", "ids", "values", "kind"), v // RANGE + 1, figures, "range int, seen array<long>, total long").collect()  # a row a range
     seen = [sum(r.seen[i] for r in own) for i in range(5)]
     model["types"] = sum(r.total for r in own)
     model["low"] = discounts(seen)

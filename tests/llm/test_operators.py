@@ -254,7 +254,8 @@ def test_language_model_against_plain_counts(spark):
     rows = [(i, t) for i, t, _ in DOCS if i != 7] + [(7, "a b " * 500)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     train = rows[:6]
-    model = ngram_lm.train(spark.createDataFrame(train, "doc_id long, text string"))
+    model = ngram_lm.train(spark.createDataFrame(train, "doc_id long, text string"), shard_bytes=40)
+    assert len(model["words"]) > 4
     toks = lambda t: WORD.findall(lowered(t)) + ["</s>"]
     uni = Counter(w for _, t in train for w in toks(t))
     bi = Counter(p for _, t in train for p in zip(["<s>", *toks(t)], toks(t), strict=False))
