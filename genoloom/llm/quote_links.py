@@ -3,8 +3,9 @@
 The lines of a message are read with their level of quotation (the number of leading ``>``). Runs of lines of one
 level, cut at blank lines, are passages; passages and their single lines are hashed after lower-casing
 and joining white space. Quoted hashes are joined to those of what messages say themselves: to the earliest
-message with the passage in the same conversation before the reply, else to the earliest of all
-conversations. So a passage meets one message however many repeat it. A reply's parent is the message
+message with the passage in the same conversation before the reply, else to that of another conversation before it, if the passage has
+``least`` characters and at most ``origins`` conversations say it: what is short or said by many tells nothing of where
+it comes from. So a passage meets one message however many repeat it. A reply's parent is the message
 that most of its least-nested quoted characters come from; without such a match it is the turn before in
 the conversation. Parents always come earlier in the order (conv_id, turn, place in the input), so there are
 no cycles; roots and depths are found by pointer doubling. A global range sort numbers the messages of each
@@ -13,7 +14,7 @@ thread, parents first, and no thread or conversation is ever in one task.
 Defined results: null text counts as empty; a null role is shown as "user"; a message with a null conv_id is
 a conversation of its own; null turns come last; repeated rows are separate messages, told apart by their
 place in the input; lines that only say who wrote what follows are dropped with the quotes; a message that
-only quotes has an empty text; extra columns are not read.
+only quotes has an empty text; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from genoloom.llm import shared
 
-SLICE = 4096
+SLICE, LEAST, ORIGINS = 4096, 24, 1
 #: Lines before a quotation that say who wrote it.
 ATTRIBUTION = r"(?i)^.{0,200}\b(wrote|writes|said|schrieb|schreibt|a écrit|escribió|dijo)\s*:$"
 _MARKS = r"^(?:[ \t]*>)+"
@@ -63,7 +64,7 @@ def _previous(m: DataFrame) -> DataFrame:
     return inside.join(last, ["_conv", "_slice"]).select("_id", F.coalesce("_prev", "_carry").alias("_prev"))
 
 
-def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", least: int = LEAST, origins: int = ORIGINS) -> DataFrame:
     """One row a message: conv_id, turn, role, thread_conv_id, thread_turn, position (from 0, parents first), depth,
     parent_conv_id, parent_turn, link ('quote', 'turn' or 'root'), n_quotes, text (without quotations), formatted."""
     spark = messages.sparkSession
@@ -85,10 +86,10 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
         parents = None
     else:
         here = said.groupBy("hash", "_conv").agg(F.min("_place").alias("_here"))
-        anywhere = here.groupBy("hash").agg(F.min("_here").alias("_there"))
+        anywhere = here.groupBy("hash").agg(F.min("_here").alias("_there"), F.count("*").alias("_origins")).filter(F.col("_origins") <= origins)
         found = quoted.join(here, ["hash", "_conv"], "left").join(anywhere, "hash", "left")
         near = F.when(F.col("_here") < F.col("_place"), F.col("_here"))
-        found = found.withColumn("_to", F.coalesce(near, F.when(F.col("_there") < F.col("_place"), F.col("_there")))).filter("_to is not null")
+        found = found.withColumn("_to", F.coalesce(near, F.when((F.col("_there") < F.col("_place")) & (F.col("n") >= least), F.col("_there")))).filter("_to is not null")
         votes = found.groupBy("_place", "level", "_to").agg(F.sum("n").alias("n"))
         best = votes.groupBy("_place").agg(F.max_by("_to", F.struct(-F.col("level"), "n", (-F.col("_to._id")))).alias("_to"))
         parents = best.select(F.col("_place._id").alias("_id"), F.col("_to._id").alias("_parent"))

@@ -372,7 +372,7 @@ def test_quote_links(spark):
         (2, 1, None, None), (2, 1, None, None), (None, None, "user", "x"), (3, 0, "user", "> nothing known\nz"), (3, 2, "user", "> > what?\n> never said\nv"),
     ]
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS position", "2 AS _conv").coalesce(1)
-    got = {(r.conv_id, r.turn, r.position): r for r in quote_links.conversations(t).collect()}
+    got = {(r.conv_id, r.turn, r.position): r for r in quote_links.conversations(t, least=1).collect()}
     at = {(c, n): (r.thread_conv_id, p, r.depth, r.parent_conv_id, r.parent_turn, r.link, r.text) for (c, n, p), r in got.items()}
     assert at[1, 1] == (1, 1, 1, 1, 0, "quote", "I am fine.")
     assert at[1, 2] == (1, 3, 2, 1, 1, "quote", "Good.")
@@ -393,6 +393,82 @@ def test_conversations_without_quotes_keep_their_order(spark):
     assert len(got) == spark.read.parquet(f"{SF}/conversations.parquet").count()
 
 
+def linked_by_hand(rows, least, origins):
+    """(conv, turn, place) of each message's parent, by looking at all messages before it. Rows in the order of conversations."""
+    marks, by = re.compile(r"^(?:[ \t]*>)+"), re.compile(quote_links.ATTRIBUTION)
+    norm = lambda t: re.sub(r"\s+", " ", t.lower()).strip(" ")
+    parsed = []
+    for conv, turn, _, text in rows:
+        lines = [((m := marks.match(x)) and m[0].count(">") or 0, marks.sub("", x).strip(" ") if marks.match(x) else x.rstrip(" ")) for x in re.split(r"\r\n?|\n", text or "")]
+        lines = [x for i, x in enumerate(lines) if not (by.match(x[1]) and i + 1 < len(lines) and lines[i + 1][0] == x[0] + 1)]
+        found, run = set(), []
+        for i, (level, t) in enumerate(lines):
+            if i and (level != lines[i - 1][0] or lines[i - 1][1] == ""):
+                run = []
+            run.append(norm(t))
+            found.add((level, norm(t)))
+            if i + 1 == len(lines) or lines[i + 1][0] != level or t == "":
+                found.add((level, " ".join(x for x in run if x)))
+        parsed.append({x for x in found if x[1]})
+    says = defaultdict(list)
+    for i, found in enumerate(parsed):
+        for level, t in found:
+            if not level:
+                says[t].append(i)
+    out = []
+    for i, (conv, _, _, _) in enumerate(rows):
+        votes = Counter()
+        for level, t in parsed[i]:
+            if level:
+                near = [j for j in says[t] if rows[j][0] == conv]
+                to = near[0] if near and near[0] < i else says[t][0] if says[t] and says[t][0] < i and len(t) >= least and len({rows[j][0] for j in says[t]}) <= origins else None
+                if to is not None:
+                    votes[level, to] += len(t)
+        best = max(votes, key=lambda k: (-k[0], votes[k], -k[1]), default=None)
+        before = i - 1 if i and rows[i - 1][0] == conv else None
+        out.append(best[1] if best else before)
+    return out
+
+
+def generated_mail(seed):
+    """Conversations that quote and nest, here and elsewhere, at length and shortly, with lines that many say."""
+    pick, rows = random.Random(seed), []
+    words = lambda n: " ".join(pick.choice("alpha beta gamma delta rho sigma tau Omega zeta eta".split()) for _ in range(n))
+    for conv in range(60):
+        for turn in range(pick.randint(1, 9)):
+            parts = []
+            for _ in range(pick.choice([0, 0, 1, 1, 2]) if rows else 0):
+                near = [r for r in rows if r[0] == conv]
+                src = pick.choice(near if near and pick.random() < 0.7 else rows)[3].split("\n")
+                if pick.random() < 0.4:
+                    parts.append("On Monday someone wrote:")
+                parts += [pick.choice([">", "> ", ">  "]) + x for x in (src if pick.random() < 0.6 else [pick.choice(src)])]
+                if pick.random() < 0.5:
+                    parts.append("")
+            parts += [pick.choice(["Thanks!", "ok", "I agree  with this", "", words(pick.randint(1, 9)), words(12)]) for _ in range(pick.randint(1, 4))]
+            rows.append((conv, turn, pick.choice(["user", "assistant"]), "\n".join(parts)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quotes_are_linked_as_by_hand(spark, seed):
+    rows = generated_mail(seed)
+    for least, origins in ((quote_links.LEAST, quote_links.ORIGINS), (1, 3)):
+        want = linked_by_hand(rows, least, origins)
+        got = quote_links.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), least=least, origins=origins)
+        found = {(r.conv_id, r.turn): (r.parent_conv_id, r.parent_turn) for r in got.collect()}
+        assert found == {r[:2]: (None, None) if p is None else rows[p][:2] for r, p in zip(rows, want, strict=True)}
+        assert sum(p is not None and rows[p][0] != r[0] for r, p in zip(rows, want, strict=True)) > 10
+        assert sum(p is not None and rows[p][0] == r[0] and rows[p][1] < r[1] - 1 for r, p in zip(rows, want, strict=True)) > 20
+
+
+def test_short_and_common_passages_stay_in_their_conversation(spark):
+    long = "this sentence is said once and long enough to be known again"
+    rows = [(1, 0, "user", "Thanks!"), (1, 1, "user", long), (2, 0, "user", "hello"), (2, 1, "user", "> Thanks!\nwelcome"), (3, 0, "user", f"> {long}\nyes"), (4, 0, "user", "a common line that people say very often"), (5, 0, "user", "a common line that people say very often"), (6, 0, "user", "> a common line that people say very often\nno")]
+    got = {(r.conv_id, r.turn): (r.parent_conv_id, r.parent_turn, r.link) for r in quote_links.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[2, 1] == (2, 0, "turn") and got[3, 0] == (1, 1, "quote") and got[6, 0] == (None, None, "root")
+
+
 # 9
 
 PAGES = [
