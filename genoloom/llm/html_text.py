@@ -6,15 +6,15 @@ and the words of their class and id; the last, and forms, are hints that content
 ``C/T * log(C*T/(LC*LT)) / log(ln(C*LC/nLC + LCb*C/Cb + e))``, of characters C, tags T, link characters LC,
 link tags LT, characters outside links nLC, and those of the body; a node's density sum is that of its
 children. The node with the largest sum, and those subtrees whose density reaches the least density on
-the path from it to the body, are the article. If the largest lies in an ``article`` or ``main`` element, the page says itself where its text begins
-and ends: that element is the article with those ``article`` elements beside it that reach the least density, without
-blocks of links. The densities alone choose on all other pages.
+the path from it to the body, are the article, without blocks of links in them. Elements such as ``article`` or ``main``
+only keep what stands in them from being taken for a page's header or for what names speak against.
 
 Blocks are what block-level elements set apart; a line break inside a block is white space. Character
 references are decoded as HTML5 does. Nothing is capped.
 
 Defined results: null html is empty and gives an empty text; a page without any text gives an empty text;
-a page that is plain text gives that text; a null url stays null; repeated rows stay separate.
+a page that is plain text gives that text; a null id or url stays null; repeated rows stay separate; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -51,15 +51,9 @@ class Node:
         self.children: list[Node] = []
 
 
-def _refused(tag: str, attrs: str, parent: Node) -> bool:
-    if tag in DROPPED and tag != "form":
-        return True
-    inside = parent
-    while tag == "header" and inside is not None:
-        if inside.tag in ("article", "main"):
-            break
-        inside = inside.parent
-    if tag == "header" and inside is None:
+def _refused(tag: str, attrs: str, inside: bool) -> bool:
+    """inside: an article or main element."""
+    if tag in DROPPED and tag != "form" or tag == "header" and not inside:
         return True
     if not attrs.strip(" /") or tag in ("html", "body", "article", "main", "h1"):
         return False
@@ -111,19 +105,22 @@ def _prose(x: Node) -> bool:
 
 def tree(page: str) -> Node:
     """The page's nodes, without those that are dropped by what they are."""
-    root = node = Node("html", None)
+    root = Node("html", None)
+    path: list[Node] = [root]
+    depths: dict[str, list[int]] = {}  # of the open elements of a name
     at, n = 0, len(page)
 
+    def leave(depth: int):
+        while len(path) > depth:
+            depths[path.pop().tag].pop()
+
+    def nearest(tags) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+
     def close(tags, limits=()):
         """Leave the nearest open element of ``tags``, unless one of ``limits`` is nearer."""
-        nonlocal node
-        x = node
-        while x is not root and x.tag not in tags:
-            if x.tag in limits:
-                return
-            x = x.parent
-        if x is not root:
-            node = x.parent
+        if (here := nearest(tags)) and here >= nearest(limits):
+            leave(here)
 
     while at < n:
         k = page.find("<", at)
@@ -131,6 +128,7 @@ def tree(page: str) -> Node:
         while k >= 0 and m is None:
             k = page.find("<", k + 1)
             m = _TAG.match(page, k) if k >= 0 else None
+        node = path[-1]
         text = page[at : k if k >= 0 else n]
         if text and not node.dropped:
             node.parts.append(_html.unescape(text) if "&" in text else text)
@@ -154,8 +152,9 @@ def tree(page: str) -> Node:
             close(("p",), ("td", "th", "article", "section", "div", "li", "main", "button", "table", "blockquote"))
         if tag in _SAME:
             close(*_SAME[tag])
-        if tag in _HEADS and node.tag in _HEADS:
-            node = node.parent
+        if tag in _HEADS and path[-1].tag in _HEADS:
+            leave(len(path) - 1)
+        node = path[-1]
         if tag in _VOID:
             if not node.dropped:
                 node.parts.append("\n" if tag == "hr" else " " if tag == "br" else "")
@@ -163,8 +162,9 @@ def tree(page: str) -> Node:
                     node.parts[-1] = Node("hr", node)
             continue
         if tag != "head" and node.tag == "head" and tag in _BLOCK:
-            node = node.parent
-        child = Node(tag, node, node.dropped or _refused(tag, m["attrs"], node))
+            leave(len(path) - 1)
+            node = path[-1]
+        child = Node(tag, node, node.dropped or _refused(tag, m["attrs"], bool(nearest(("article", "main")))))
         child.hint = not child.dropped and _hinted(tag, m["attrs"])
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -175,7 +175,8 @@ def tree(page: str) -> Node:
             node.parts.append(child)
             if not child.dropped:
                 node.children.append(child)
-            node = child
+            depths.setdefault(tag, []).append(len(path))
+            path.append(child)
     _settle(root)
     return root
 
@@ -213,13 +214,17 @@ def _path(x: Node):
         x = x.parent
 
 
+def _links(x: Node) -> bool:
+    return x.tag in ("div", "section", "ul", "ol", "table") and x.link_tags > 2 and x.link_chars > 0.8 * x.chars
+
+
 def _unlinked(top: Node) -> Node:
     """``top`` without the blocks in it that are links and little else."""
     stack = [top]
     while stack:
         x = stack.pop()
         for c in list(x.children):
-            if c.tag in ("div", "section", "ul", "ol", "table") and c.link_tags > 2 and c.link_chars > 0.8 * c.chars:
+            if _links(c):
                 x.children.remove(c)
                 c.dropped = True
             else:
@@ -228,17 +233,17 @@ def _unlinked(top: Node) -> Node:
 
 
 def content(root: Node) -> list[Node]:
-    """The subtrees that are the article, in page order."""
+    """The subtrees that are the article, in page order, without blocks of links unless there is nothing else."""
+    chosen = _chosen(root)
+    return [_unlinked(x) for x in chosen if not _links(x)] or chosen
+
+
+def _chosen(root: Node) -> list[Node]:
     order = _measure(root)
     best = max(order, key=lambda x: (x.sum, x.chars), default=root)
     if best.sum <= 0:
         return [root]
     least = min(x.score for x in _path(best))
-    whole = [x for x in _path(best) if x.tag == "article"] or [x for x in _path(best) if x.tag == "main"]
-    if whole:
-        top = whole[-1]
-        beside = top.parent.children if top.tag == "article" and top.parent is not None else [top]
-        return [_unlinked(x) for x in beside if x is top or x.tag == "article" and not x.hint and x.score >= least and x.chars]
     peak = {}
     for x in order:  # children first
         peak[id(x)] = max((peak[id(c)] for c in x.children), key=lambda y: y.sum, default=x)
@@ -251,7 +256,14 @@ def content(root: Node) -> list[Node]:
             y = peak[id(x)]
             marked[id(y)] = y
             stack += x.children
-    marked = [x for x in marked.values() if not any(id(y) in marked for y in _path(x.parent))]
+    tops, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if id(x) in marked:
+            tops.append(x)
+        else:
+            stack += x.children[::-1]
+    marked = tops
     # headings and texts between the first and the last of them, under what holds them all
     paths = [list(_path(x))[::-1] for x in marked]
     depth = 0

@@ -485,6 +485,39 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+def page_without_marks(pick):
+    """A page of plain elements without telling names, and its main text."""
+    words = lambda n: " ".join(pick.choice("stone water north letter garden winter bridge silver market".split()) for _ in range(n))
+    paragraphs = [words(pick.randint(18, 60)).capitalize() + "." for _ in range(pick.randint(4, 9))]
+    title = words(5)
+    links = lambda n: "<div>" + "".join(f"<a href='/{words(1)}'>{words(2)}</a> " for _ in range(n)) + "</div>"
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    if pick.random() < 0.5:
+        k = pick.randint(2, len(paragraphs) - 2)
+        body = "".join(f"<p>{p}</p>" for p in paragraphs[:k]) + links(6) * pick.randint(0, 1) + "".join(f"<p>{p}</p>" for p in paragraphs[k:])
+    page = f"<html><body>{links(12)}<div><div><h1>{title}</h1><div>{body}</div></div></div>{links(20)}<div><p><a href=/>{words(4)}</a></p></div></body></html>"
+    return page, "\n".join([title, *paragraphs])
+
+
+def test_density_alone_finds_the_text():
+    pick = random.Random(7)
+    for _ in range(60):
+        page, want = page_without_marks(pick)
+        assert html_text.main_text(page) == want
+
+
+def test_reading_takes_time_in_proportion():
+    import time
+
+    for page in (lambda n: "<b>" * n + "x" + "</i>" * n, lambda n: "<i><table><tr><td>" + "<b>" * n + "x" + "</i>" * n, lambda n: "<div>" * n + "<header>x</header>" * n):
+        took = []
+        for n in (3000, 24_000):
+            began = time.process_time()
+            html_text.tree(page(n))
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * max(took[0], 0.01)
+
+
 def test_extraction(spark):
     t = spark.createDataFrame([(n, None if n % 2 else "u", p) for n, (p, _) in enumerate(PAGES)] + [(0, "u", None)], "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS id")
     got = html_text.extract(t).collect()
