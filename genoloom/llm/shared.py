@@ -107,6 +107,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def lean(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Batches of texts to the workers take ``most`` bytes or less, as either side holds a few at a time; a session's own limit, if
+    it is less, holds."""
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > most or int(now.rstrip("b")) <= 0:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def _plain(docs: DataFrame) -> bool:
     """Whether each row is one row of one file: columns and filters over a scan."""
     plan = docs._jdf.queryExecution().analyzed()
@@ -124,6 +132,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     Of a table in Parquet files it is made of the file's number, by the order of paths, and of the row's place in it. Anything else is
     written once, with its numbers.
     """
+    lean(docs.sparkSession)
     if RID in docs.columns:
         return docs
     spark = docs.sparkSession

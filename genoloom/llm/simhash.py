@@ -260,7 +260,7 @@ def ordered_shingles(seg: Segment, shingle: int, hot: np.ndarray, rank: np.ndarr
     key = x >> np.uint64(6)
     if len(hot) and len(x):
         at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-        key |= np.where(hot[at] == key, rank[at], 0).astype(np.uint64) << np.uint64(58)
+        key |= np.where(hot[at] == key, rank[at], np.uint8(0)).astype(np.uint64) << np.uint64(58)
     order = np.lexsort((key, rows))
     rows, key = rows[order], key[order]
     new = np.append(True, (rows[1:] != rows[:-1]) | (key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
@@ -283,7 +283,7 @@ def _hot(base: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     found = few.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= 4).orderBy(F.desc("n")).limit(HOT).toArrow()
     key, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(key)
-    return key[order], np.minimum(np.log2(n[order]), 63).astype(np.uint64)
+    return key[order], np.minimum(np.log2(n[order]), 63).astype(np.uint8)
 
 
 def _runs(batches, columns: int):

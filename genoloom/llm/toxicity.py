@@ -17,7 +17,8 @@ near copy counts once, by a MinHash of its shingles. ``LEXICON`` bounds the entr
 Defined results: null counts as empty; a text without matches, empty ones too, gets the score of the
 intercept; a row with a null id is not held out and has no label; of labels that repeat, the largest
 holds; with no labelled row of either class every score is the share of toxic rows (0.5 without any);
-labels, lang, source and id are no inputs of a score.
+labels, lang, source and id are no inputs of a score; repeated rows are scored alike; an empty table gives an empty result;
+other columns are not read, and those of the rows that stay are kept.
 """
 
 from __future__ import annotations
@@ -28,12 +29,17 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from genoloom.llm import shared
+
 FIT_ROWS, LEXICON, THRESHOLD, FOLDS, HELD_OUT = 20_000, 50_000, 0.3, 4, 2
 #: Prior weight of a count, the log odds from which an entry is an insult, and the weight of a threat.
 PRIOR, LEAST, THREAT_WEIGHT = 6.0, 1.8, 4.0
 BEGINNINGS = (4, 5, 6)
+#: Entries that a worker counts before it sends them, and words of which it keeps the weights.
+PENDING, SEEN = 100_000, 200_000
 
 # Closed classes in the languages of the corpus.
 TARGETS = frozenset("you your yours u ur he she they them him her his their tu te toi ton ta tes vous votre vos il elle ils elles du dich dir dein deine ihr euch er sie ihn tú ti usted ustedes vosotros él ella ellos ellas su".split())
@@ -154,7 +160,7 @@ class Matcher:
         if word in THREATS:
             best = max(best, THREAT_WEIGHT)
         if own is None:
-            if len(self.seen) > 500_000:
+            if len(self.seen) > SEEN:
                 self.seen.clear()
             self.seen[word] = best
         return best
@@ -208,33 +214,35 @@ def held_out(id_col) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> dict:
     """The model: lexicon, prior, weights. It has at most ``LEXICON`` entries."""
+    shared.lean(docs.sparkSession)
     known = labels.select(labels[id_col].alias("id"), labels["toxic"].cast("int").alias("toxic")).filter("id is not null and toxic is not null")
     known = known.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.md5(F.col("id").cast("string"))).limit(fit_rows)
     # at most fit_rows rows of two numbers
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(known), "id")
 
     def sketches(batches):
-        import pyarrow as pa
-
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([_sketch(t) for t in b.column(1).to_pylist()], pa.int64())], names=["id", "text", "toxic", "sketch"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    from genoloom.llm import shared
-
     sample = shared.written(rows.mapInArrow(sketches, f"id {kind}, text string, toxic int, sketch long"), "labelled")
     first = sample.groupBy("sketch", "toxic").agg(F.min("id").alias("id")).select("id").distinct()
     sample = sample.join(first, "id", "left_semi")
 
     def counts(batches):
-        import pyarrow as pa
+        def table(n):
+            found = list(n.items())
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in found], pa.string()), pa.array([v if k[1] else 0 for k, v in found], pa.int64()), pa.array([0 if k[1] else v for k, v in found], pa.int64())], names=["entry", "pos", "neg"])
 
         n: Counter = Counter()
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n.update((e, y) for e in {e for w in set(TOKEN.findall(t.lower())) if w[0].isalpha() for e in entries(w)})
-        found = list(n.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in found], pa.string()), pa.array([v if k[1] else 0 for k, v in found], pa.int64()), pa.array([0 if k[1] else v for k, v in found], pa.int64())], names=["entry", "pos", "neg"])
+            for t, y in zip(b.column(0), b.column(1), strict=True):
+                y = y.as_py()
+                n.update((e, y) for e in {e for w in set(TOKEN.findall(t.as_py().lower())) if w[0].isalpha() for e in entries(w)})
+                if len(n) > PENDING:
+                    yield table(n)
+                    n.clear()
+        yield table(n)
 
     table = sample.select("text", "toxic").mapInArrow(counts, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -247,8 +255,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared_lexicon = docs.sparkSession.sparkContext.broadcast((lexicon, prior))
 
     def features(batches):
-        import pyarrow as pa
-
         m = Matcher(*shared_lexicon.value)
         for b in batches:
             x = [m.features(t, y).tolist() for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
@@ -265,7 +271,7 @@ def _scores(model: dict):
     """A function of texts, for workers."""
     m, w, share = Matcher(model["lexicon"], model["prior"]), model["weights"], model["share"]
     if w is None:
-        return lambda texts: [share] * len(texts)
+        return lambda texts: [share for _ in texts]
     return lambda texts: [1 / (1 + math.exp(-max(-30.0, min(30.0, float(m.features(t or "") @ w[:-1] + w[-1]))))) for t in texts]
 
 
@@ -274,11 +280,9 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON entries
 
     def run(batches):
-        import pyarrow as pa
-
         of = _scores(sent.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(b.column(1).to_pylist()), pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(t.as_py() for t in b.column(1)), pa.float64())], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double")
@@ -287,17 +291,16 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` below the threshold, with all their columns."""
-    import pandas as pd
-
+    shared.lean(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON entries
 
     def run(texts):
         of = _scores(sent.value)
-        for t in texts:
-            yield pd.Series(of(t.tolist()), dtype="float64")
+        for column in texts:
+            yield pa.array(of(t.as_py() for t in column), pa.float64())
 
-    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.filter(F.pandas_udf(run, "double")(docs[text_col]) < threshold)
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.filter(F.arrow_udf(run, "double")(docs[text_col]) < threshold)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
