@@ -31,6 +31,8 @@ BLOSUM62 = """
  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
 """
 OPEN, EXTEND, LAMBDA, K = 11, 1, 0.267, 0.041
+#: Bytes of the moves of pairs that are aligned at once.
+CELLS = 1 << 27
 _LOW = -(10**6)
 
 
@@ -58,6 +60,9 @@ def aligned(pairs: list[tuple[bytes, bytes]], local: bool = True, scores: np.nda
     if not pairs:
         return []
     n_pairs, m, n = len(pairs), max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
+    if n_pairs > 1 and n_pairs * (m + 1) * (m + n + 1) > CELLS:
+        half = n_pairs // 2
+        return [x for own in (pairs[:half], pairs[half:]) for x in aligned(own, local, scores, open_, extend)]
     la, lb = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
     q, t = np.zeros((n_pairs, m + 1), np.uint8), np.zeros((n_pairs, n + 1), np.uint8)
     for k, (a, b) in enumerate(pairs):

@@ -30,8 +30,12 @@ DIFFERENCES = {
     24: {"AGA": "S", "AGG": "K", "TGA": "W"},
     25: {"TGA": "G"},
     26: {"CTG": "A"},
+    27: {"TAA": "Q", "TAG": "Q", "TGA": "W"},
+    28: {"TAA": "Q", "TAG": "Q", "TGA": "W"},
     29: {"TAA": "Y", "TAG": "Y"},
     30: {"TAA": "E", "TAG": "E"},
+    31: {"TAA": "E", "TAG": "E", "TGA": "W"},
+    32: {"TAG": "W"},
     33: {"TAA": "Y", "TGA": "W", "AGA": "S", "AGG": "K"},
 }
 AMBIGUOUS = {"R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}

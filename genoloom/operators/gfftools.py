@@ -34,12 +34,15 @@ def normalised(features: DataFrame) -> DataFrame:
 
 
 def renumbered(features: DataFrame) -> DataFrame:
-    """Coding features get ID=sample_00001 and on, in file order; others keep their attributes."""
+    """Coding features get ID=sample_00001 and on, in file order, in the place of the first ID they have or else last; others keep
+    their attributes."""
     w = Window.partitionBy("sample_id").orderBy("line_no")
     n = F.sum((F.col("type") == "CDS").cast("int")).over(w)
-    rest = F.array_join(F.filter(F.split("attrs", ";"), lambda a: ~F.startswith(a, F.lit("ID="))), ";")
-    new = F.concat(F.lit("ID="), "sample_id", F.format_string("_%05d", "n"), F.when(rest != "", F.concat(F.lit(";"), rest)).otherwise(F.lit("")))
-    return features.withColumn("n", n).withColumn("attrs", F.when(F.col("type") == "CDS", new).otherwise(F.col("attrs"))).drop("n")
+    tags = F.split("attrs", ";")
+    new = F.concat(F.lit("ID="), "sample_id", F.format_string("_%05d", "n"))
+    at = F.coalesce(F.array_position(F.transform(tags, lambda a: a.rlike("^ID=.")), F.lit(True)), F.lit(0)).cast("int")
+    put = F.when(at > 0, F.transform(tags, lambda a, i: F.when(i + 1 == at, new).otherwise(a))).otherwise(F.concat(tags, F.array(new)))
+    return features.withColumn("n", n).withColumn("attrs", F.when(F.col("type") == "CDS", F.array_join(put, ";")).otherwise(F.col("attrs"))).drop("n")
 
 
 def gff_text(features: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
@@ -70,7 +73,9 @@ def numeric_export(annotation: DataFrame, positions: DataFrame, families: DataFr
     s = samples.select("sample_id", F.col("sample_ord").alias("sample_no"))
     names = numbered(families.select(F.col("name").alias("key")), ["key"]).select(F.col("cluster_idx").alias("cluster_no"), F.col("key").alias("name"))
     of = families.join(names, "name").select("cluster_no", F.explode("gene_ids").alias("gene_id"))
-    info = annotation.join(s, "sample_id").join(of, "gene_id").select(F.concat("gene_id", F.lit("@"), F.when(F.col("strand") == "-", "-1").otherwise("1")).alias("gene"), "sample_no", "cluster_no", "ann_ord")
+    info = annotation.join(s, "sample_id", "left").join(of, "gene_id", "left")
+    lost = F.when(F.col("cluster_no").isNull() | F.col("sample_no").isNull(), F.raise_error(F.concat(F.lit("no family or sample of "), "gene_id")).cast("int"))
+    info = info.withColumn("cluster_no", F.coalesce(lost.cast("long"), "cluster_no")).select(F.concat("gene_id", F.lit("@"), F.when(F.col("strand") == "-", "-1").otherwise("1")).alias("gene"), "sample_no", "cluster_no", "ann_ord")
     strand = annotation.select("gene_id", F.when(F.col("strand") == "-", "-1").otherwise("1").alias("sign"))
     place = positions.join(strand, "gene_id").join(s, "sample_id").groupBy("sample_no", "seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat("gene_id", F.lit("@"), "sign").alias("g")))), lambda x: x["g"]), ";").alias("genes"))
     return s, info, place
@@ -82,6 +87,6 @@ def catalogue(t: DataFrame) -> DataFrame:
 
 
 def releases(t: DataFrame, column: str = "Release Date") -> DataFrame:
-    """year, month, quarter, n: counts by year and month, and by year with month null."""
+    """year, quarter, month, n: counts by month, by quarter with month null, and by year with both null."""
     d = F.to_timestamp(F.col(f"`{column}`"), "yyyy-MM-dd'T'HH:mm:ss'Z'") if t.schema[column].dataType.simpleString() == "string" else F.col(f"`{column}`")
-    return t.select(F.year(d).alias("year"), F.month(d).alias("month")).rollup("year", "month").agg(F.count("*").alias("n")).filter("year is not null")
+    return t.select(F.year(d).alias("year"), F.quarter(d).alias("quarter"), F.month(d).alias("month")).rollup("year", "quarter", "month").agg(F.count("*").alias("n")).filter("year is not null")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from genoloom.storage import checkpoint
+from genoloom.storage import checkpoint, drop
 
 INFLATION, PRUNE, SMALL = 1.5, 1e-5, 1500
+#: A flow has settled when no weight moves by more; one that doesn't in so many rounds is an error; weights this near are equal.
+SETTLED, ROUNDS, EQUAL = 1e-5, 300, 1e-6
 WEIGHTS = ("bitscore", "evalue", "ratio")
 
 
@@ -35,10 +37,13 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(t.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         new = t.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = t.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = checkpoint(new.join(jump, "root").select("node", "old", F.least("root", "up").alias("root")))
+        last, new = t, checkpoint(new.join(jump, "root").select("node", "old", F.least("root", "up").alias("root")))
         if new.filter("old <> root").isEmpty():
+            drop(both)
             return new.select("node", "root")
+        drop(last)
         t = new.select("node", "root")
+        t._genoloom_at = new._genoloom_at
 
 
 def _small(pdf, inflation: float, prune: float):
@@ -54,15 +59,17 @@ def _small(pdf, inflation: float, prune: float):
     np.fill_diagonal(m, 0)
     np.fill_diagonal(m, np.maximum(m.max(axis=0), 1e-12))
     m /= m.sum(axis=0)
-    for _ in range(200):
+    for _ in range(ROUNDS):
         new = (m @ m) ** inflation
         new /= new.sum(axis=0)
         new[new < prune] = 0
         new /= new.sum(axis=0)
-        if np.abs(new - m).max() < 1e-7:
+        moved, m = np.abs(new - m).max(), new
+        if moved < SETTLED:
             break
-        m = new
-    owner = m.argmax(axis=0)
+    else:
+        raise ValueError(f"the flow of the component of {nodes[0]} doesn't settle in {ROUNDS} rounds")
+    owner = (m >= m.max(axis=0) * (1 - EQUAL)).argmax(axis=0)
     # attractors that share a column are one cluster
     parent = list(range(len(nodes)))
 
@@ -77,7 +84,7 @@ def _small(pdf, inflation: float, prune: float):
     return pd.DataFrame({"cluster": [nodes[find(k)] for k in range(len(nodes))], "gene_id": nodes})
 
 
-def _large(edges: DataFrame, inflation: float, prune: float, rounds: int = 60) -> DataFrame:
+def _large(edges: DataFrame, inflation: float, prune: float) -> DataFrame:
     """The same over a sparse matrix (i, j, w), a column a j, as joins and sums; pruning keeps it sparse."""
     t = edges.filter("a <> b")
     t = t.select(F.col("a").alias("i"), F.col("b").alias("j"), "w").unionByName(t.select(F.col("b").alias("i"), F.col("a").alias("j"), "w"))
@@ -87,25 +94,32 @@ def _large(edges: DataFrame, inflation: float, prune: float, rounds: int = 60) -
         return m.join(m.groupBy("j").agg(F.sum("w").alias("s")), "j").select("i", "j", (F.col("w") / F.col("s")).alias("w"))
 
     m = checkpoint(scaled(t))
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         left = m.select("i", F.col("j").alias("k"), F.col("w").alias("x"))
         right = m.select(F.col("i").alias("k"), "j", F.col("w").alias("y"))
         new = left.join(right, "k").groupBy("i", "j").agg(F.pow(F.sum(F.col("x") * F.col("y")), F.lit(inflation)).alias("w"))
-        new = checkpoint(scaled(scaled(new).filter(F.col("w") >= prune)))
+        grown = checkpoint(new)
+        new = checkpoint(scaled(scaled(grown).filter(F.col("w") >= prune)))
         moved = new.join(m.withColumnRenamed("w", "v"), ["i", "j"], "full").agg(F.max(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("v", F.lit(0.0))))).first()[0]
+        drop(grown, m)
         m = new
-        if moved is None or moved < 1e-5:
+        if moved is None or moved < SETTLED:
             break
-    owner = m.groupBy("j").agg(F.max_by("i", F.struct("w", "i")).alias("i")).select(F.col("i").alias("a"), F.col("j").alias("b"))
+    else:
+        raise ValueError(f"the flow of a component doesn't settle in {ROUNDS} rounds")
+    most = m.groupBy("j").agg(F.max("w").alias("most"))
+    owner = m.join(most, "j").filter(F.col("w") >= F.col("most") * (1 - EQUAL)).groupBy("j").agg(F.min("i").alias("i")).select(F.col("i").alias("a"), F.col("j").alias("b"))
     return components(owner).select(F.col("root").alias("cluster"), F.col("node").alias("gene_id"))
 
 
 def markov_clusters(edges: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, small: int = SMALL) -> DataFrame:
-    """(mcl_ord, gene_id, ord): clusters, larger ones first, of (a, b, w). Components of up to ``small`` nodes are one task's
-    matrix each; larger ones are tables."""
+    """(mcl_ord, gene_id, ord): clusters, larger ones first, of (a, b, w), undirected; of edges between the same nodes the heaviest
+    counts. A node follows the node that draws it most, the least among equals, and those that follow each other
+    are a cluster. Components of up to ``small`` nodes are one task's matrix each; larger ones are tables, by the same rule."""
     from genoloom.operators.families import numbered
 
-    edges = checkpoint(edges)
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")
+    edges = checkpoint(edges.groupBy("a", "b").agg(F.max("w").alias("w")))
     root = components(edges)
     size = root.groupBy("root").agg(F.count("*").alias("n"))
     own = edges.join(root.withColumnRenamed("node", "a"), "a").join(size, "root")

@@ -27,10 +27,11 @@ def first_neighbours(positions: DataFrame) -> DataFrame:
 
 def split_round(membership: DataFrame, around: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(membership after one round, indexes of the families that split). ``around``: gene_id, neighbours."""
-    chosen = paralogs(membership)
+    chosen = checkpoint(paralogs(membership))
     where = membership.select(F.col("gene_id").alias("n"), F.col("cluster_idx").alias("c")).distinct()
     touched = membership.join(chosen.select("cluster_idx").distinct(), "cluster_idx", "left_semi")
-    near = touched.join(around, "gene_id").select("cluster_idx", "gene_id", F.size("neighbours").alias("all"), F.explode("neighbours").alias("n")).join(where, "n")
+    near = touched.join(around, "gene_id").select("cluster_idx", "gene_id", F.size("neighbours").alias("all"), F.explode("neighbours").alias("n"))
+    near = checkpoint(near.join(where, "n").select("cluster_idx", "gene_id", "all", "c"))
     seen = near.join(chosen, ["cluster_idx", "gene_id"]).select("cluster_idx", "paralog", "c").distinct()
     others = near.join(chosen.select("cluster_idx", "gene_id"), ["cluster_idx", "gene_id"], "left_anti")
     votes = others.join(seen, ["cluster_idx", "c"]).groupBy("cluster_idx", "gene_id", "paralog").agg((F.count("*") / F.first("all")).alias("score"))

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from genoloom import schemas
-from genoloom.storage import checkpoint
+from genoloom.storage import checkpoint, drop
 
 IDENTITY, LENGTH_RATIO, K, EVALUE, TARGETS = 0.98, 0.98, 12, 1e-6, 2000
 
@@ -121,7 +121,8 @@ def near_identical(seqs: DataFrame, identity: float = IDENTITY, ratio: float = L
         new = open_.join(waits, "ord", "left_anti")
         taken = edges.join(new.withColumnRenamed("ord", "a"), "a", "left_semi").select(F.col("b").alias("ord")).distinct()
         marks = new.withColumn("now", F.lit(1)).unionByName(taken.withColumn("now", F.lit(2)))
-        state = checkpoint(state.join(marks, "ord", "left").select("ord", F.when(F.col("state") == 0, F.coalesce("now", F.lit(0))).otherwise(F.col("state")).alias("state")))
+        last, state = state, checkpoint(state.join(marks, "ord", "left").select("ord", F.when(F.col("state") == 0, F.coalesce("now", F.lit(0))).otherwise(F.col("state")).alias("state")))
+        drop(last)
     reps = state.filter("state = 1").select("ord")
     best = edges.join(reps.withColumnRenamed("ord", "a"), "a", "left_semi").groupBy("b").agg(F.max_by("a", F.struct("identity", -F.col("a"))).alias("rep"))
     owner = state.join(best, state["ord"] == best["b"], "left").select("ord", F.when(F.col("state") == 1, F.col("ord")).otherwise(F.col("rep")).alias("rep"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from genoloom import storage
 from genoloom.operators import annotate, families, genes, graphs, hits, msa, paralogs, report, similarity
 from genoloom.sources import export, genomes
 from genoloom.storage import checkpoint
@@ -44,16 +46,18 @@ class Collection:
     families: DataFrame
 
     def save(self, path: str) -> None:
-        """All tables of one version, then the note that names it; a reader never sees half a collection."""
+        """All tables of one version, then a note that names it; a reader never sees half a collection, and a writer that ends
+        half way leaves the version before."""
         spark = self.samples.sparkSession
-        version = str(spark.range(1).select(F.expr("uuid()")).first()[0])
+        version = uuid.uuid4().hex
         for t in TABLES:
-            getattr(self, t).write.mode("overwrite").parquet(f"{path}/{version}/{t}")
-        spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+            getattr(self, t).write.parquet(f"{path}/{version}/{t}")
+        storage.publish(spark, path, version)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Collection:
-        version = spark.read.text(f"{path}/current").first()[0]
+        if (version := storage.latest(spark, path)) is None:
+            raise FileNotFoundError(f"no collection in {path}")
         return Collection(**{t: spark.read.parquet(f"{path}/{version}/{t}") for t in TABLES})
 
 
@@ -128,18 +132,28 @@ def summary(c: Collection, o: Options = Options()) -> DataFrame:
     return report.summary(stats, c.samples.count(), o.core, o.soft, o.shell)
 
 
-def align(c: Collection, o: Options) -> dict[str, DataFrame]:
-    """Alignments of families of enough genes, and of the core."""
+def align(c: Collection, o: Options, saved: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Alignments of families of enough genes, and of the core. Of ``saved`` alignments (family, gene_id, aligned), those of
+    families that have the same genes are taken as they are."""
     large = checkpoint(report.large_families(c.families, c.samples.count(), o.ratio_coverage))
     of = large.select(F.col("name").alias("family"), F.explode("gene_ids").alias("gene_id"))
     seqs = c.gene_seq.groupBy("gene_id").agg(F.min_by("nt", "seq_ord").alias("nt"), F.min_by("aa", "seq_ord").alias("aa"))
     own = of.join(seqs, "gene_id")
+
+    def aligned(kind: str, column: str) -> DataFrame:
+        todo, old = own.select("family", "gene_id", F.col(column).alias("seq")), (saved or {}).get(kind)
+        if old is None:
+            return checkpoint(msa.family_alignments(todo, kind == "protein"))
+        same = checkpoint(msa.unchanged(old, of))
+        new = msa.family_alignments(todo.join(same, "family", "left_anti"), kind == "protein")
+        return checkpoint(old.join(same, "family", "left_semi").select("family", "gene_id", "aligned").unionByName(new))
+
     out = {}
     if o.alignment == "protein":
-        out["protein"] = checkpoint(msa.family_alignments(own.select("family", "gene_id", F.col("aa").alias("seq"))))
+        out["protein"] = aligned("protein", "aa")
         out["nucleotide"] = checkpoint(msa.codon_alignments(out["protein"], own))
     else:
-        out["nucleotide"] = checkpoint(msa.family_alignments(own.select("family", "gene_id", F.col("nt").alias("seq")), protein=False))
+        out["nucleotide"] = aligned("nucleotide", "nt")
     out["core"] = msa.core_alignment(out["nucleotide"], large.select(F.col("name").alias("family"), "family_ord"), c.samples)
     return out
 
@@ -153,11 +167,25 @@ def write_outputs(c: Collection, path: str, o: Options = Options()) -> None:
     export.write_lines(spark.createDataFrame([("\n".join(lines),)], "value string"), f"{path}/summary_statistics.txt")
     export.write_lines(export.representative_fasta(c.families, c.gene_seq, "nt"), f"{path}/representative_clusters_nucl.fasta")
     export.write_lines(export.representative_fasta(c.families, c.gene_seq, "aa"), f"{path}/representative_clusters_prot.fasta")
+    export.write_lines(export.annotation_lines(c.gene_annotation), f"{path}/gene_annotation.csv")
+    export.write_lines(export.position_lines(c.gene_position), f"{path}/gene_position.csv")
+    export.write_lines(export.samples_json(c.samples), f"{path}/samples.json")
+    export.write_lines(export.clusters_json(c.dedup), f"{path}/clusters.json")
+    export.write_lines(export.families_json(c.families), f"{path}/annotated_clusters.json")
+    for column, kind in (("nt", "fna"), ("aa", "faa")):
+        export.sample_fasta(c.gene_seq, column).write.partitionBy("sample_id").mode("overwrite").text(f"{path}/samples/{kind}")
     if o.alignment:
-        done = align(c, o)
-        for kind in ("protein", "nucleotide"):
-            if kind in done:
-                done[kind].select("family", F.concat(F.lit(">"), "gene_id", F.lit("\n"), "aligned").alias("value")).write.partitionBy("family").mode("overwrite").text(f"{path}/alignments/{kind}")
-        large = report.large_families(c.families, len(names), o.ratio_coverage)
+        at = f"{path}/alignment_tables"
+        version, new = storage.latest(spark, at), uuid.uuid4().hex
+        kinds = ("protein", "nucleotide") if o.alignment == "protein" else ("nucleotide",)
+        saved = {kinds[0]: spark.read.parquet(f"{at}/{version}")} if version and version.startswith(o.alignment) else None
+        done = align(c, o, saved)
+        done[kinds[0]].write.parquet(f"{at}/{o.alignment}-{new}")
+        storage.publish(spark, at, f"{o.alignment}-{new}")
+        for kind in kinds:
+            done[kind].select("family", F.concat(F.lit(">"), "gene_id", F.lit("\n"), "aligned").alias("value")).write.partitionBy("family").mode("overwrite").text(f"{path}/alignments/{kind}")
+        large = checkpoint(report.large_families(c.families, len(names), o.ratio_coverage))
+        for column, kind in (("nt", "fna"), ("aa", "faa")) if o.alignment == "protein" else (("nt", "fna"),):
+            export.family_files(large, c.gene_seq, column, f"{path}/clusters/{kind}")
         export.write_lines(export.reference_fasta(large, c.gene_seq), f"{path}/pan_genome_reference.fna")
         export.write_lines(export.core_fasta(done["core"]), f"{path}/core_gene_alignment.aln", "gzip")

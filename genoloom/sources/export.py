@@ -54,16 +54,16 @@ def fasta(t: DataFrame, header, seq) -> DataFrame:
 
 
 def representative_fasta(families: DataFrame, seqs: DataFrame, column: str) -> DataFrame:
-    """One record a family, in order: ``>name gene, size samples``."""
-    one = seqs.groupBy("gene_id").agg(F.min_by(column, "seq_ord").alias("seq"))
-    t = families.join(one, families["representative"] == one["gene_id"]).orderBy("family_ord")
+    """One record a family, in order of samples and their genes: ``>name gene, size samples``."""
+    one = seqs.groupBy("gene_id").agg(F.min_by(column, "seq_ord").alias("seq"), F.min("seq_ord").alias("seq_ord"))
+    t = families.join(one, families["representative"] == one["gene_id"]).orderBy("seq_ord", "family_ord")
     return fasta(t, F.concat("name", F.lit(" "), "representative", F.lit(", "), F.col("size").cast("string"), F.lit(" samples")), F.col("seq"))
 
 
 def reference_fasta(families: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Nucleotides of the representatives of aligned families, in order of samples."""
-    t = seqs.join(families.select("name", "representative"), seqs["gene_id"] == F.col("representative"))
-    return fasta(t.orderBy("seq_ord"), F.col("name"), F.col("nt"))
+    """Nucleotides of the representatives of aligned families, under their own ids, in order of samples."""
+    t = seqs.join(families.select("representative").distinct(), seqs["gene_id"] == F.col("representative"))
+    return fasta(t.orderBy("seq_ord"), F.col("gene_id"), F.col("nt"))
 
 
 def family_files(families: DataFrame, seqs: DataFrame, column: str, path: str) -> None:
@@ -81,26 +81,27 @@ def sample_fasta(seqs: DataFrame, column: str) -> DataFrame:
     return seqs.orderBy("seq_ord").select("sample_id", F.concat(F.lit(">"), "gene_id", F.lit("\n"), F.col(column)).alias("value"))
 
 
-def families_json(families: DataFrame) -> str:
-    """For people and other tools; small collections only, as one document can't be split."""
-    import json
+def json_lines(t: DataFrame, key: str, value, brackets: str = "{}") -> DataFrame:
+    """Lines of one JSON document, in the order of ``key``: an object of key and ``value``, or with other brackets a list."""
+    entry = F.concat(F.regexp_replace(F.to_json(F.struct(F.col(key).alias("k"))), r'^\{"k":|\}$', ""), F.lit(": "), F.to_json(value)) if brackets == "{}" else F.to_json(value)
+    first = t.agg(F.min(key)).first()[0]
+    lines = t.orderBy(key).select(F.concat(F.when(F.col(key) == F.lit(first), "").otherwise(","), entry).alias("value"))
+    ends = [t.sparkSession.createDataFrame([(x,)], "value string") for x in brackets]
+    return ends[0].unionByName(lines).unionByName(ends[1])
 
-    fields = ("product", "representative", "min_length", "max_length", "mean_length", "size")
-    rows = families.collect()
-    return json.dumps({r.name: {"gene_id": list(r.gene_ids), **{f: r[f] for f in fields}} for r in rows}, indent=4, sort_keys=True)
 
+def families_json(families: DataFrame) -> DataFrame:
+    fields = ("product", "representative", "min_length", "max_length", "mean_length", "size")
+    return json_lines(families, "name", F.struct(F.col("gene_ids").alias("gene_id"), *fields))
 
-def clusters_json(clusters: DataFrame) -> str:
-    import json
 
+def clusters_json(clusters: DataFrame) -> DataFrame:
     t = clusters.groupBy("rep_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("member_id").isNotNull(), F.struct("member_ord", "member_id")))), lambda x: x["member_id"]).alias("m"))
-    return json.dumps({r.rep_id: list(r.m) for r in t.collect()}, indent=4, sort_keys=True)
-
+    return json_lines(t, "rep_id", F.col("m"))
 
-def samples_json(samples: DataFrame) -> str:
-    import json
 
-    return json.dumps([{"id": r.sample_id, "gff_file": r.gff_file, "assembly": r.assembly} for r in samples.orderBy("sample_ord").collect()], indent=4, sort_keys=True)
+def samples_json(samples: DataFrame) -> DataFrame:
+    return json_lines(samples, "sample_ord", F.struct(F.col("sample_id").alias("id"), "gff_file", F.coalesce("assembly", F.lit("")).alias("assembly")), "[]")
 
 
 def annotation_lines(annotation: DataFrame, sep: str = ",", header: bool = True) -> DataFrame:

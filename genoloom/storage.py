@@ -1,4 +1,4 @@
-"""Cutting lineage between rounds, in the folder that ``spark.checkpoint.dir`` names."""
+"""Cutting lineage between rounds, in the folder that ``spark.checkpoint.dir`` names, and versions of saved tables."""
 
 from __future__ import annotations
 
@@ -10,18 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _root(spark: SparkSession) -> str:
-    """A folder of our own only where the session has none."""
+    """A folder of our own only where the session has none and all its executors are this machine's."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="genoloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def _files(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def _remove(spark: SparkSession, at: str) -> None:
     try:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        system, path = _files(spark, at)
+        system.delete(path, True)
     except Exception:  # noqa: BLE001 - the session has ended; nothing is left to do
         pass
 
@@ -33,4 +40,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     at = f"{_root(spark)}/genoloom/rounds-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, at)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._genoloom_at = at
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``checkpoint`` gave and no later round reads."""
+    for t in tables:
+        if at := getattr(t, "_genoloom_at", None):
+            _remove(t.sparkSession, at)
+
+
+def publish(spark: SparkSession, path: str, version: str) -> None:
+    """Make ``version`` the latest of ``path``, by a note of its own; notes are never changed, so that a reader
+    finds a whole version whenever a writer ends."""
+    n = max((k for k, _ in _notes(spark, path)), default=0) + 1
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.text(f"{path}/notes/{n:012d}-{version}")
+
+
+def _notes(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    system, at = _files(spark, f"{path}/notes")
+    if not system.exists(at):
+        return []
+    names = [str(s.getPath().getName()) for s in system.listStatus(at) if system.exists(_files(spark, f"{path}/notes/{s.getPath().getName()}/_SUCCESS")[1])]
+    return [(int(n.partition("-")[0]), n.partition("-")[2]) for n in names]
+
+
+def latest(spark: SparkSession, path: str) -> str | None:
+    """The version that was published last; None where there is none."""
+    return max(_notes(spark, path), default=(0, None))[1]
