@@ -33,8 +33,11 @@ def split_round(membership: DataFrame, around: DataFrame) -> tuple[DataFrame, Da
     near = touched.join(around, "gene_id").select("cluster_idx", "gene_id", F.size("neighbours").alias("all"), F.explode("neighbours").alias("n"))
     near = checkpoint(near.join(where, "n").select("cluster_idx", "gene_id", "all", "c"))
     seen = near.join(chosen, ["cluster_idx", "gene_id"]).select("cluster_idx", "paralog", "c").distinct()
-    others = near.join(chosen.select("cluster_idx", "gene_id"), ["cluster_idx", "gene_id"], "left_anti")
-    votes = others.join(seen, ["cluster_idx", "c"]).groupBy("cluster_idx", "gene_id", "paralog").agg((F.count("*") / F.first("all")).alias("score"))
+    # each gene meets all paralogs that see one of its families, so genes are dealt out however small their table is
+    parts = int(membership.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    others = near.join(chosen.select("cluster_idx", "gene_id"), ["cluster_idx", "gene_id"], "left_anti").groupBy("cluster_idx", "gene_id", "c").agg(F.count("*").alias("k"), F.first("all").alias("all"))
+    others = others.repartition(parts, "cluster_idx", "gene_id")
+    votes = others.join(seen, ["cluster_idx", "c"]).groupBy("cluster_idx", "gene_id", "paralog").agg((F.sum("k") / F.first("all")).alias("score"))
     best = votes.groupBy("cluster_idx", "gene_id").agg(F.max_by("paralog", F.struct("score", -F.col("paralog"))).alias("paralog"))
     rest = (1 << 31) - 1
     own = chosen.select("cluster_idx", "gene_id", "paralog", F.lit(0).alias("later"))

@@ -84,11 +84,11 @@ def family_stats(spark, sf):
     return report.family_stats(_members(spark, sf))
 
 
-@query("WITH m AS (SELECT o_custkey AS family, o_orderpriority AS sample, count(*) AS n FROM orders GROUP BY ALL), s AS (SELECT family, count(*) AS s, max(n) AS m FROM m GROUP BY family) SELECT family FROM s WHERE s = (SELECT count(DISTINCT o_orderpriority) FROM orders) AND m = 1")
+@query("WITH m AS (SELECT p_partkey // 4 AS family, p_partkey % 4 AS sample FROM part WHERE p_size % 9 > 0 UNION ALL SELECT p_partkey // 4, p_partkey % 4 FROM part WHERE p_size % 11 = 1) SELECT family FROM m GROUP BY family HAVING count(DISTINCT sample) = 4 AND count(*) = 4")
 def single_copy_core(spark, sf):
-    o = _t(spark, sf, "orders")
-    n = o.select("o_orderpriority").distinct().count()
-    return report.single_copy_core(o.select(F.col("o_custkey").alias("family"), F.col("o_orderpriority").alias("sample_id")), n)
+    """Families with one gene of each of four samples; some lack a sample, some have a second gene of one."""
+    p = _t(spark, sf, "part").select(F.floor(F.col("p_partkey") / 4).alias("family"), (F.col("p_partkey") % 4).alias("sample_id"), "p_size")
+    return report.single_copy_core(p.filter("p_size % 9 > 0").unionByName(p.filter("p_size % 11 = 1")), 4)
 
 
 @query("SELECT l_partkey AS family, count(*)::BIGINT AS n FROM lineitem GROUP BY 1 HAVING count(*) >= greatest(2, floor((SELECT count(*) FROM supplier) * 0.3))")
@@ -181,9 +181,12 @@ def locus_counter(spark, sf):
     return gfftools.locus(t).select("event_id", "locus")
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'ID=' || user_id || '_' || lpad((sum((event_type = 'click')::INT) OVER (PARTITION BY user_id ORDER BY ts))::VARCHAR, 5, '0') || ';a=1' ELSE 'ID=' || event_id || ';a=1' END AS attrs FROM events")
+@query("WITH n AS (SELECT event_id, event_type = 'click' AS cds, 'ID=' || user_id || '_' || lpad((sum((event_type = 'click')::INT) OVER (PARTITION BY user_id ORDER BY ts))::VARCHAR, 5, '0') AS id FROM events) SELECT event_id, CASE event_id % 3 WHEN 0 THEN CASE WHEN cds THEN id ELSE 'ID=' || event_id END || ';a=1' WHEN 1 THEN 'a=1;' || CASE WHEN cds THEN id ELSE 'ID=' || event_id END || ';b=2' ELSE 'a=1' || CASE WHEN cds THEN ';' || id ELSE '' END END AS attrs FROM n")
 def gff_renumber(spark, sf):
-    t = _t(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("sample_id"), F.col("ts").alias("line_no"), F.when(F.col("event_type") == "click", "CDS").otherwise("x").alias("type"), F.concat(F.lit("ID="), "event_id", F.lit(";a=1")).alias("attrs"))
+    """Ids first, later, or missing."""
+    own = F.concat(F.lit("ID="), F.col("event_id").cast("string"))
+    attrs = F.when(F.col("event_id") % 3 == 0, F.concat(own, F.lit(";a=1"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("a=1;"), own, F.lit(";b=2"))).otherwise("a=1")
+    t = _t(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("sample_id"), F.col("ts").alias("line_no"), F.when(F.col("event_type") == "click", "CDS").otherwise("x").alias("type"), attrs.alias("attrs"))
     return gfftools.renumbered(t).select("event_id", "attrs")
 
 
@@ -254,17 +257,50 @@ def revcomp(spark, sf):
     return _dna(spark, sf).select("o_orderkey", q.stranded(q.slice_bases(F.col("nt"), F.lit(3), F.lit(43)), F.lit("-")).alias("rc"))
 
 
-_AA = f"(SELECT o_orderkey, nt, list_transform(range(0, 20), lambda i: substr('{q.code(11)}', (16 * (strpos('TCAG', substr(nt, 3 * i + 1, 1)) - 1) + 4 * (strpos('TCAG', substr(nt, 3 * i + 2, 1)) - 1) + strpos('TCAG', substr(nt, 3 * i + 3, 1)))::BIGINT, 1)) AS aa FROM (SELECT o_orderkey, substr({_DNA}, 1, 60) AS nt FROM orders))"
+_AA = f"(SELECT o_orderkey, nt, list_transform(range(0, 21), lambda i: substr('{q.code(11)}', (16 * (strpos('TCAG', substr(nt, 3 * i + 1, 1)) - 1) + 4 * (strpos('TCAG', substr(nt, 3 * i + 2, 1)) - 1) + strpos('TCAG', substr(nt, 3 * i + 3, 1)))::BIGINT, 1)) AS aa FROM (SELECT o_orderkey, {_DNA} AS nt FROM orders))"
 
 
 @query(f"SELECT o_orderkey, replace(list_reduce(aa, lambda x, y: x || y), '*', '') AS aa FROM {_AA}")
 def translate_cds(spark, sf):
-    return _dna(spark, sf).select("o_orderkey", q.translate_cds(F.substring("nt", 1, 60), 11).alias("aa"))
+    return _dna(spark, sf).select("o_orderkey", q.translate_cds(F.col("nt"), 11).alias("aa"))
+
+
+# Alignments of a dozen columns with gaps where a digest has its first digits
+_ALIGNED = "translate(substr(md5('g' || o_orderkey), 1, 12), '0123456789abcdef', '----MKLMKLMKLMKL')"
+_CODONS = f"(SELECT o_orderkey, o_custkey, list_reduce(list_prepend('', list_transform(range(1, 13), lambda i: CASE WHEN substr(p, i, 1) = '-' THEN '---' ELSE substr(nt, (3 * length(replace(substr(p, 1, i - 1), '-', '')) + 1)::BIGINT, 3) END)), lambda x, y: x || y) AS codons FROM (SELECT o_orderkey, o_custkey, {_ALIGNED} AS p, {_DNA} AS nt FROM orders))"
+
 
+def _aligned():
+    return F.translate(F.substring(F.md5(F.concat(F.lit("g"), "o_orderkey")), 1, 12), "0123456789abcdef", "----MKLMKLMKLMKL")
 
-@query("SELECT o_orderkey, '---' || substr(nt, 1, 3) || '------' || substr(nt, 4, 6) AS codons FROM (SELECT o_orderkey, " + _DNA + " AS nt FROM orders)")
+
+@query(f"SELECT o_orderkey, codons FROM {_CODONS}")
 def back_translate(spark, sf):
-    return _dna(spark, sf).select("o_orderkey", q.back_translate(F.lit("-M--KL"), F.col("nt")).alias("codons"))
+    return _dna(spark, sf).select("o_orderkey", q.back_translate(_aligned(), F.col("nt")).alias("codons"))
+
+
+def _codons(spark, sf):
+    from genoloom.operators import msa
+
+    nt = _dna(spark, sf).withColumn("gene_id", F.concat((F.col("o_orderkey") % 4).cast("string"), F.lit("-c-"), "o_orderkey"))
+    proteins = nt.select(F.concat(F.lit("f"), F.floor(F.col("o_orderkey") / 4).cast("string")).alias("family"), "gene_id", _aligned().alias("aligned"))
+    return msa.codon_alignments(proteins, nt)
+
+
+@query(f"SELECT 'f' || (o_orderkey // 4) AS family, (o_orderkey % 4) || '-c-' || o_orderkey AS gene_id, codons AS aligned FROM {_CODONS}")
+def codon_alignment(spark, sf):
+    """Protein alignments of families in codons."""
+    return _codons(spark, sf)
+
+
+@query(f"WITH c AS (SELECT o_orderkey // 4 AS f, o_orderkey % 4 AS s, codons FROM {_CODONS}), k AS (SELECT f FROM c GROUP BY f HAVING count(*) = 4 AND count(DISTINCT s) = 4) SELECT x.s AS sample_ord, x.s::VARCHAR AS sample_id, coalesce(string_agg(codons, '' ORDER BY c.f), '') AS aligned FROM (SELECT unnest(range(0, 4)) AS s) x LEFT JOIN (SELECT * FROM c WHERE f IN (SELECT f FROM k)) c ON x.s = c.s GROUP BY x.s")
+def core_alignment(spark, sf):
+    """Alignments of the single-copy core, one after the other for each sample."""
+    from genoloom.operators import msa
+
+    t = _codons(spark, sf).withColumn("family_ord", F.substring("family", 2, 20).cast("long"))
+    samples = spark.range(4).select(F.col("id").alias("sample_ord"), F.col("id").cast("string").alias("sample_id"))
+    return msa.core_alignment(t.drop("family_ord"), t.select("family", "family_ord").distinct(), samples)
 
 
 @query("SELECT o_orderkey, 'S' || o_custkey AS sample_id, 'c' || (o_orderkey % 9) AS seq_id FROM orders")
@@ -351,10 +387,13 @@ def kmer_index(spark, sf):
     return similarity.kmers(t, 3).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, 'ID=S' || o_orderkey || '-c_' || (o_orderkey % 5) || '-1-' || o_orderkey || ';k=v' AS attrs FROM orders")
+@query("WITH i AS (SELECT o_orderkey AS k, 'S' || (o_custkey % 9) || '-c_' || (o_orderkey % 5) || '-' || row_number() OVER (PARTITION BY o_custkey % 9 ORDER BY o_orderkey) || '-' AS p FROM orders) SELECT 2 * k AS line_no, 'ID=' || p || 'g' || k AS attrs FROM i UNION ALL SELECT 2 * k + 1, 'ID=' || p || 'k' || k || ';Parent=' || p || 'g' || k || ';y=2' FROM i")
 def gff_normalise(spark, sf):
-    t = _t(spark, sf, "orders").select(F.concat(F.lit("S"), "o_orderkey").alias("sample_id"), "o_orderkey", F.concat(F.lit("c-"), (F.col("o_orderkey") % 5).cast("string")).alias("seqid"), F.lit(1).alias("start"), F.lit(2).alias("end"), F.concat(F.lit("ID="), "o_orderkey", F.lit(";x=y;k=v")).alias("attrs"))
-    return gfftools.normalised(t.withColumn("line_no", F.lit(0))).select("o_orderkey", "attrs")
+    """A gene and its coding part at each locus of nine samples."""
+    k = F.col("o_orderkey")
+    o = _t(spark, sf, "orders").select(F.concat(F.lit("S"), (F.col("o_custkey") % 9).cast("string")).alias("sample_id"), F.concat(F.lit("c-"), (k % 5).cast("string")).alias("seqid"), k.alias("start"), (k + 9).alias("end"), F.explode(F.array(
+        F.struct((2 * k).alias("line_no"), F.concat(F.lit("ID=g"), k, F.lit(";x=1")).alias("attrs")), F.struct((2 * k + 1).alias("line_no"), F.concat(F.lit("ID=k"), k, F.lit(";Parent=g"), k, F.lit(";y=2")).alias("attrs")))).alias("x"))
+    return gfftools.normalised(o.select("sample_id", "seqid", "start", "end", "x.*")).select("line_no", "attrs")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'ID=' || o_orderkey || ';pangenome_id=' || (o_orderkey % 10) ELSE 'ID=' || o_orderkey END AS attrs FROM orders")
@@ -365,9 +404,10 @@ def gff_tag(spark, sf):
     return gfftools.tagged(t, c).select("o_orderkey", "attrs")
 
 
-@query("SELECT year, month, count(*)::BIGINT AS n FROM (SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month FROM orders WHERE NOT (o_totalprice < 50000 AND o_orderstatus = 'F')) GROUP BY ROLLUP (year, month) HAVING year IS NOT NULL")
+@query("SELECT year, quarter, month, count(*)::BIGINT AS n FROM (SELECT year(o_orderdate)::INT AS year, quarter(o_orderdate)::INT AS quarter, month(o_orderdate)::INT AS month FROM orders WHERE NOT (o_totalprice < 50000 AND o_orderstatus = 'F')) GROUP BY ROLLUP (year, quarter, month) HAVING year IS NOT NULL")
 def catalog_rollup(spark, sf):
-    t = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("RefSeq FTP"), (F.col("o_totalprice") / 10000).alias("Size(Mb)"), F.when(F.col("o_orderstatus") == "F", "Complete").otherwise("Scaffold").alias("Level"), F.col("o_orderdate").alias("Release Date"))
+    """Releases by year, quarter and month, of dates as catalogues write them."""
+    t = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("RefSeq FTP"), (F.col("o_totalprice") / 10000).alias("Size(Mb)"), F.when(F.col("o_orderstatus") == "F", "Complete").otherwise("Scaffold").alias("Level"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("Release Date"))
     return gfftools.releases(gfftools.catalogue(t))
 
 
@@ -381,13 +421,6 @@ def sample_list(spark, sf):
     return genomes.numbered_samples(t).select("sample_ord", "sample_id", "gff_file")
 
 
-@query("SELECT s_nationkey AS sample_ord, string_agg(p, '' ORDER BY k) AS aligned FROM (SELECT s_nationkey, s_suppkey AS k, substr(md5(s_suppkey::VARCHAR), 1, 4) AS p FROM supplier) GROUP BY 1")
-def ordered_concat(spark, sf):
-    """Aligned parts of a sample, one after the other in order."""
-    t = _t(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("sample_ord")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 4).alias("p")))).alias("x"))
-    return t.select("sample_ord", F.array_join(F.transform("x", lambda y: y["p"]), "").alias("aligned"))
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def sequences_included(spark, sf):
     """Sequences of a set of ids."""
@@ -435,17 +468,28 @@ def numeric_positions(spark, sf):
 def _proteins(spark, sf):
     """A protein a part: digits that eight parts share, with the part's own residues at a few places, so that families exist."""
     p = _t(spark, sf, "part")
-    base = F.translate(F.concat(*[F.md5(F.concat(F.floor(F.col("p_partkey") / 8).cast("string"), F.lit(f"-{i}"))) for i in range(3)]), "0123456789abcdef", "ARNDCQEGHILKMFPS")
+    base = F.translate(F.concat(*[F.md5(F.concat(F.floor(F.col("p_partkey") / 8).cast("string"), F.lit(f"-{i}"))) for i in range(4)]), "0123456789abcdef", "ARNDCQEGHILKMFPS")
     own = F.translate(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 2), "0123456789abcdef", "ARNDCQEGHILKMFPS")
     return p.select(F.col("p_partkey").alias("seq_ord"), F.concat(F.lit("s-c-"), "p_partkey").alias("gene_id"), F.concat(F.substring(base, 1, 40), own, F.substring(base, 43, 60)).alias("aa"))
 
 
-@query()
+# eight parts' proteins differ at two of 102 places at most, so they are alike, and the first is the longest's first
+_GROUPS = "g AS (SELECT p_partkey AS k, min(p_partkey) OVER (PARTITION BY p_partkey // 8) AS rep, count(*) OVER (PARTITION BY p_partkey // 8) AS n FROM part)"
+
+
+@query(f"WITH {_GROUPS} SELECT 's-c-' || rep AS rep_id, CASE WHEN n > 1 THEN 's-c-' || k END AS member_id, CASE WHEN n > 1 THEN k END AS member_ord FROM g WHERE n = 1 OR k <> rep")
 def dedup_98(spark, sf):
     """Near-identical proteins: representatives and members."""
     return similarity.near_identical(_proteins(spark, sf))
 
 
+@query(f"WITH {_GROUPS} SELECT 's-c-' || rep AS rep_id, 's-c-' || k AS member_id, k AS member_ord FROM g WHERE rep % 8 = 0 AND k % 8 <> 0")
+def matched_98(spark, sf):
+    """New proteins to their saved representatives."""
+    p = _proteins(spark, sf)
+    return similarity.matched_to(p.filter("seq_ord % 8 <> 0"), p.filter("seq_ord % 8 = 0"))[0]
+
+
 @query()
 def search_proteins(spark, sf):
     """Hits of representatives against each other."""
@@ -457,20 +501,35 @@ def search_proteins(spark, sf):
     return similarity.search(reps, reps)
 
 
-@query()
+@query("WITH g AS (SELECT c_custkey AS k, min('n' || c_custkey) OVER (PARTITION BY c_custkey // 6) AS root, count(*) OVER (PARTITION BY c_custkey // 6) AS n FROM customer) SELECT (dense_rank() OVER (ORDER BY -n, root) - 1)::BIGINT AS mcl_ord, 'n' || k AS gene_id, (row_number() OVER (PARTITION BY root ORDER BY 'n' || k) - 1)::INT AS ord FROM g")
 def markov_clusters(spark, sf):
-    """Clusters of customers that order the same parts' brands: a graph of the tables."""
+    """Six customers in a row are all linked, and weakly to the next six, so that the flow has to cut one long chain."""
     from genoloom.operators import graphs
 
-    s = _t(spark, sf, "supplier")
-    e = s.select(F.concat(F.lit("n"), F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.lit("n"), F.floor(F.col("s_suppkey") / 4).cast("string")).alias("b"), (F.abs("s_acctbal") + 1).alias("w"))
-    return graphs.markov_clusters(e)
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.floor(F.col("c_custkey") / 6).alias("g"))
+    name = lambda x: F.concat(F.lit("n"), x.cast("string"))
+    inside = c.join(c.withColumnRenamed("k", "l"), "g").filter("k <= l").select(name(F.col("k")).alias("a"), name(F.col("l")).alias("b"), F.lit(1.0).alias("w"))
+    weak = c.filter("k % 60 <> 0").join(c.select(F.col("k").alias("l")), F.col("l") == F.col("k") - 1).filter("floor(k / 6) <> floor(l / 6)")
+    return graphs.markov_clusters(inside.unionByName(weak.select(name(F.col("k")).alias("a"), name(F.col("l")).alias("b"), F.lit(0.01).alias("w"))))
 
 
-@query()
+_PROTEIN = "translate(concat(" + ", ".join(f"md5((p_partkey // 8) || '-{i}')" for i in range(4)) + "), '0123456789abcdef', 'ARNDCQEGHILKMFPS')"
+
+
+@query(f"SELECT (p_partkey // 8)::VARCHAR AS family, 's-c-' || p_partkey AS gene_id, substr(b, 1, 40) || translate(substr(md5(p_partkey::VARCHAR), 1, 2), '0123456789abcdef', 'ARNDCQEGHILKMFPS') || substr(b, 43, 60) AS aligned FROM (SELECT p_partkey, {_PROTEIN} AS b FROM part)")
 def family_msa(spark, sf):
-    """Alignments of the families of proteins."""
+    """Alignments of the families of proteins, which need no gaps as they differ by single residues."""
     from genoloom.operators import msa
 
     p = _proteins(spark, sf)
     return msa.family_alignments(p.select(F.floor(F.col("seq_ord") / 8).cast("string").alias("family"), "gene_id", F.col("aa").alias("seq")))
+
+
+@query("WITH d AS (SELECT o_orderkey AS k, min(o_orderkey) OVER (PARTITION BY o_orderpriority, o_custkey % 97) AS rep, count(*) OVER (PARTITION BY o_orderpriority, o_custkey % 97) AS n FROM orders), g AS (SELECT c_custkey AS k, (SELECT min(o_orderkey) FROM orders) AS rep FROM customer), l AS (SELECT rep, max(k) AS last FROM d WHERE k <> rep GROUP BY rep) SELECT rep::VARCHAR AS rep_id, CASE WHEN n > 1 THEN k::VARCHAR END AS member_id, CASE WHEN n > 1 THEN k END AS member_ord FROM d WHERE (n = 1 OR k <> rep) AND NOT (n = 1 AND rep IN (SELECT rep FROM g)) UNION ALL SELECT g.rep::VARCHAR, 'new' || g.k, coalesce(l.last, -1) + 1 + g.k FROM g LEFT JOIN l ON g.rep = l.rep UNION ALL SELECT 'fresh', NULL, NULL")
+def merged_clusters(spark, sf):
+    """Saved clusters with new genes matched to one of them, and a new cluster."""
+    d, c = _dedup(spark, sf), _t(spark, sf, "customer")
+    first = _t(spark, sf, "orders").agg(F.min("o_orderkey").cast("string")).first()[0]
+    matched = c.select(F.lit(first).alias("rep_id"), F.concat(F.lit("new"), "c_custkey").alias("member_id"), F.col("c_custkey").alias("member_ord"))
+    fresh = spark.createDataFrame([("fresh", None, None)], "rep_id string, member_id string, member_ord long")
+    return families.merged_clusters(d, matched, fresh)

@@ -174,3 +174,68 @@ def test_near_identity_of_short_proteins(spark):
     members, rest = similarity.matched_to(t.filter("seq_ord % 2 = 1"), t.filter("seq_ord % 2 = 0"))
     assert members.count() == 60 and rest.count() == 0
     assert similarity.shared_run(0.98, 0.98) == 13
+
+
+def graphs_of(seed):
+    """Random graphs, and symmetric ones: rings, stars, chains, cliques with a bridge, grids, with equal weights."""
+    rng, out = random.Random(seed), []
+
+    def put(name, edges):
+        out.extend((f"{name}{a:02}", f"{name}{b:02}", float(w)) for a, b, w in edges)
+
+    for k in range(12):
+        n = rng.randint(3, 14)
+        put(f"r{k:02}-", [(a, b, rng.choice([1, 2, 2, 5, 0.3])) for a in range(n) for b in range(a) if rng.random() < 0.4])
+    for n in (3, 4, 6, 9):
+        put(f"ring{n}-", [(a, (a + 1) % n, 1) for a in range(n)])
+        put(f"star{n}-", [(0, a, 1) for a in range(1, n)])
+        put(f"chain{n}-", [(a, a + 1, 1) for a in range(n - 1)])
+        put(f"pair{n}-", [(a + o, b + o, 1) for o in (0, n) for a in range(n) for b in range(a)] + [(0, n, 1)])
+        put(f"bip{n}-", [(a, b + n, 1) for a in range(n) for b in range(n)])
+    put("grid-", [(5 * x + y, 5 * x + y + d, 1) for x in range(4) for y in range(5) for d in (1, 5) if (d == 5 and x < 3) or (d == 1 and y < 4)])
+    return out
+
+
+def test_clusters_do_not_depend_on_the_size_of_tables(spark):
+    e = graphs_of(4)
+    e += [(b, a, w / 2) for a, b, w in e[::3]] + e[::5]  # the other way round, lighter, and again
+    t = spark.createDataFrame(e, "a string, b string, w double")
+    small, large = ({r.gene_id: r.mcl_ord for r in graphs.markov_clusters(t, small=k).collect()} for k in (1500, 0))
+    assert small == large and len(set(small.values())) > 25
+
+
+def test_a_flow_that_does_not_settle_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "ROUNDS", 1)
+    t = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 0.5)], "a string, b string, w double")
+    with pytest.raises(ValueError, match="settle"):
+        graphs._large(t, graphs.INFLATION, graphs.PRUNE)
+    with pytest.raises(Exception, match="settle"):
+        graphs._small(t.toPandas(), graphs.INFLATION, graphs.PRUNE)
+
+
+def test_near_identity_finds_all_pairs(spark):
+    """Every pair of proteins of 40 to 120 residues that is as alike has a seed in common: brute force over all pairs."""
+    from genome import protein
+
+    from genoloom.functions.alignment import aligned
+
+    rng, rows = random.Random(9), []
+    for n in range(40, 121, 2):
+        p = protein(rng, n)
+        for _ in range(3):
+            x = list(p)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                at = rng.randrange(len(x))
+                x[at : at + 1] = rng.choice([[rng.choice("ARNDCQEG")], [], [x[at], "W"]])
+            rows.append((len(rows), f"g{len(rows):03}", "".join(x)))
+    want = set()
+    for i, (_, _, x) in enumerate(rows):
+        for j in range(i):
+            y = rows[j][2]
+            if min(len(x), len(y)) >= 0.98 * max(len(x), len(y)) and abs(len(x) - len(y)) < 4:
+                (_, path), = aligned([(x.encode(), y.encode())])
+                if sum(a >= 0 and b >= 0 and x[a] == y[b] for a, b in path) >= 0.98 * min(len(x), len(y)):
+                    want.add((j, i))
+    t = spark.createDataFrame(rows, "seq_ord long, gene_id string, aa string").withColumn("ord", F.col("seq_ord"))
+    found = {(r.a, r.b) for r in similarity._identities(similarity._candidates(t, t, 0.98, 0.98, True)).filter("identity >= 0.98").collect()}
+    assert len(want) > 40 and found == want

@@ -7,7 +7,7 @@ import pytest
 from genoloom import cli
 from genoloom.functions import alignment
 from genoloom.operators import gfftools, msa
-from genoloom.plans.pipeline import Collection, Options, align, sample_names
+from genoloom.plans.pipeline import Collection, Options, align, sample_names, write_outputs
 from genoloom.sources import tables
 
 
@@ -66,6 +66,87 @@ def test_streaming_adds_what_arrives(spark, made, tmp_path):
     assert sample_names(Collection.load(spark, str(tmp_path / "c"))) == ["A", "B", "C"]
 
 
+def test_streaming_waits_for_two_samples(spark, made, tmp_path):
+    from genoloom import storage
+    from genoloom.streaming.samples import into_collection
+
+    at = str(tmp_path / "c")
+    run = into_collection(spark, at)
+    batch = lambda *s: spark.createDataFrame([(str(made / f"{x}.gff"),) for x in s], "gff_file string")
+    run(batch("A"), 0)
+    run(batch("A"), 0)  # again
+    assert storage.latest(spark, at) is None
+    run(batch("B"), 1)
+    assert sample_names(Collection.load(spark, at)) == ["A", "B"]
+
+
+def test_a_save_that_ends_half_way_leaves_the_version_before(spark, made, tmp_path, monkeypatch):
+    from genoloom import storage
+
+    c, at = Collection.load(spark, str(made / "out/collection")), str(tmp_path / "c")
+    with pytest.raises(FileNotFoundError):
+        Collection.load(spark, at)
+    c.save(at)
+    version = storage.latest(spark, at)
+    monkeypatch.setattr(storage, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        c.save(at)
+    (tmp_path / "c/notes/000000000009-half").mkdir()  # a note without its mark
+    assert storage.latest(spark, at) == version and sample_names(Collection.load(spark, at)) == sample_names(c)
+
+
+def test_exports(spark, made, tmp_path):
+    import json
+
+    out, c = tmp_path, Collection.load(spark, str(made / "out/collection"))
+    write_outputs(c, str(out), Options(alignment="protein"))
+    lines = lambda name: text(out / name).splitlines()
+    seqs = {r.gene_id: r for r in c.gene_seq.collect()}
+    heads = [x[1:] for x in lines("pan_genome_reference.fna") if x.startswith(">")]
+    order = {g: r.seq_ord for g, r in seqs.items()}
+    assert heads == sorted(heads, key=order.get) and set(heads) == {r.representative for r in c.families.collect() if len(r.gene_ids) > 1}
+    reps = [x[1:].split(" ", 1)[1].split(",")[0] for x in lines("representative_clusters_nucl.fasta") if x.startswith(">")]
+    assert reps == sorted(reps, key=order.get)
+    assert json.loads(text(out / "samples.json"))[0]["id"] == "A" and len(json.loads(text(out / "samples.json"))) == c.samples.count()
+    doc = json.loads(text(out / "annotated_clusters.json"))
+    assert {k: v["gene_id"] for k, v in doc.items()} == {r.name: list(r.gene_ids) for r in c.families.collect()}
+    assert set(json.loads(text(out / "clusters.json"))) == {r.rep_id for r in c.dedup.collect()}
+    assert lines("gene_annotation.csv")[0].startswith("gene_id,sample_id") and len(lines("gene_annotation.csv")) == 1 + c.gene_annotation.count()
+    assert lines("gene_position.csv")[0].startswith("A,c1,A-c1-ga,")
+    assert "".join(f.read_text() for f in (out / "samples/faa/sample_id=A").glob("part-*")).count(">") == 8
+    assert "".join(f.read_text() for f in (out / "clusters/fna/family=ga").glob("part-*")).count(">") == 3
+
+
+def test_saved_alignments_hold_for_unchanged_families(spark, made):
+    from genoloom.plans import pipeline
+
+    c = Collection.load(spark, str(made / "out/collection"))
+    o = Options(alignment="protein")
+    first = align(c, o)["protein"]
+    marked = first.withColumn("aligned", pipeline.F.concat(pipeline.F.lit("#"), "aligned")).filter("family <> 'ga'")
+    again = align(c, o, {"protein": marked.unionByName(first.filter("family = 'ga' and gene_id <> 'A-c1-ga'"))})["protein"]
+    assert {r.family for r in again.collect() if not r.aligned.startswith("#")} == {"ga"}
+    assert again.count() == first.count()
+
+
+def test_numeric_export_refuses_genes_of_no_family(spark):
+    a = spark.createDataFrame([(0, "s-c-1", "s", "+"), (1, "s-c-2", "s", "-")], "ann_ord long, gene_id string, sample_id string, strand string")
+    places = spark.createDataFrame([("s", "c", 0, "s-c-1"), ("s", "c", 1, "s-c-2")], "sample_id string, seq_id string, pos int, gene_id string")
+    samples = spark.createDataFrame([(0, "s")], "sample_ord long, sample_id string")
+    whole = spark.createDataFrame([("f", ["s-c-1", "s-c-2"])], "name string, gene_ids array<string>")
+    assert sorted((r.gene, r.sample_no, r.cluster_no) for r in gfftools.numeric_export(a, places, whole, samples)[1].collect()) == [("s-c-1@1", 0, 0), ("s-c-2@-1", 0, 0)]
+    part = spark.createDataFrame([("f", ["s-c-1"])], "name string, gene_ids array<string>")
+    with pytest.raises(Exception, match="no family or sample of s-c-2"):
+        gfftools.numeric_export(a, places, part, samples)[1].collect()
+
+
+def test_large_pairs_are_aligned_in_turn(monkeypatch):
+    rows = [(b"MKTAYIAKQR" * k, b"MKTAIAKQR" * k) for k in (1, 3, 2, 5)]
+    whole = alignment.aligned(rows)
+    monkeypatch.setattr(alignment, "CELLS", 1000)
+    assert alignment.aligned(rows) == whole
+
+
 def test_alignment_paths():
     (score, path), = alignment.aligned([(b"MKTAYIAKQR", b"MKTAIAKQR")], local=False)
     assert [(i, j) for i, j in path if i < 0 or j < 0] == [(4, -1)] and len(path) == 10
@@ -79,6 +160,8 @@ def test_gff_tools(spark):
     t = spark.createDataFrame([("s", 0, "c-1", "gene", 1, 9, "ID=g;x=1"), ("s", 1, "c-1", "CDS", 1, 9, "ID=k;Parent=g;y=2"), ("s", 2, "c-1", "CDS", 10, 19, "ID=m")], "sample_id string, line_no int, seqid string, type string, start int, end int, attrs string")
     assert [r.attrs for r in gfftools.normalised(t).orderBy("line_no").collect()] == ["ID=s-c_1-1-g", "ID=s-c_1-1-k;Parent=s-c_1-1-g;y=2", "ID=s-c_1-2-m"]
     assert [r.attrs for r in gfftools.renumbered(t).orderBy("line_no").collect()] == ["ID=g;x=1", "ID=s_00001;Parent=g;y=2", "ID=s_00002"]
+    t = spark.createDataFrame([("s", n, "c", "CDS", 1, 9, x) for n, x in enumerate(["x=1;ID=a;ID=b;y=2", "x=1", "ID=;x=1"])], t.schema)
+    assert [r.attrs for r in gfftools.renumbered(t).orderBy("line_no").collect()] == ["x=1;ID=s_00001;ID=b;y=2", "x=1;ID=s_00002", "ID=;x=1;ID=s_00003"]
     v = spark.createDataFrame([("a", False, "1\t2\t3\t4\t5\t6\t7\t8"), ("a", True, ">x"), ("a", True, "ACGN"), ("b", True, "ACGX")], "file string, in_fasta boolean, line string")
     assert {r.file: r.valid for r in gfftools.valid(v).collect()} == {"a": True, "b": False}
 
