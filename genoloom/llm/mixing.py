@@ -55,7 +55,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         docs.select(
             docs[shared.RID].alias("_rid"),
             docs[id_col].alias("_id"),
-            docs[source_col].alias("_source"),
+            (docs[source_col].cast("string") if docs.schema[source_col].dataType.simpleString() == "void" else docs[source_col]).alias("_source"),
             F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.md5(F.coalesce(docs[id_col].cast("string"), F.lit(""))).alias("key"),
         ),

@@ -592,6 +592,49 @@ def test_toxicity_of_odd_rows(spark, tmp_path):
     assert toxicity.drop_toxic(docs, {"lexicon": {}, "prior": 0.5, "weights": None, "share": 0.0}).columns == docs.columns
 
 
+def test_ids_of_any_type(spark, tmp_path):
+    """String ids, and a source column without any value."""
+    rows = [("b", "one two  three", None), ("a", "one two three", None), (None, "onetwothree", None), ("a", "other words in this text", None)]
+    spark.createDataFrame(rows, "doc_id string, text string, source string").write.parquet(f"file://{tmp_path}/d")
+    docs = spark.read.parquet(f"file://{tmp_path}/d")
+    assert sorted((str(r.doc_id), r.keep_id, r.kept) for r in exact_dedup.decisions(docs).collect()) == [("None", "b", False), ("a", "a", True), ("a", "b", False), ("b", "b", True)]
+    assert {r.component_id for r in simhash.near_duplicates(docs).collect()} >= {"a"}
+    assert sorted(str(r.doc_id) for r in mixing.mix(docs)[0].collect()) == ["None", "a", "a", "b"]
+    bench = spark.createDataFrame([("x", "three")], "item_id string, text string")
+    assert sorted((str(r.doc_id), r.n_items) for r in decontaminate.contamination(docs, bench).collect()) == [("None", 0), ("a", 0), ("a", 1), ("b", 1)]
+    assert {r.doc_id for r in token_counts.token_counts(docs).collect()} == {"a", "b", None}
+    void = docs.select("doc_id", "text", F.lit(None).alias("source"))
+    assert mixing.mix(void)[0].agg(F.sum("taken")).first()[0] > 0
+
+
+def test_similar_documents_of_the_tables_are_all_found(spark):
+    """All pairs of five-word shingles with a similarity of 0.8 or more, by brute force."""
+    docs = shared.numbered(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rows = docs.select(shared.RID, "text").collect()
+    sets = []
+    for r in rows:
+        w = WORD.findall(lowered(r.text))
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    by, want = defaultdict(list), []
+    for i, x in enumerate(sets):
+        for t in x:
+            by[t].append(i)
+    for i, x in enumerate(sets):
+        for j in {j for t in x for j in by[t] if j < i}:
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                want.append((rows[j][0], rows[i][0]))
+    own = {}
+
+    def top(x):
+        while own.setdefault(x, x) != x:
+            x = own[x]
+        return x
+
+    for a, b in simhash.similar_documents(docs).collect():
+        own[max(top(a), top(b))] = min(top(a), top(b))
+    assert len(want) > 20 and all(top(a) == top(b) for a, b in want)
+
+
 def test_shared_folder(spark):
     assert shared.root(spark).startswith("file:")
 
