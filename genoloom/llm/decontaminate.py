@@ -144,6 +144,7 @@ def tables_of(key: str, rows: list[tuple], window: int) -> list[Patterns]:
 def pieces(items: DataFrame, window: int, most: int = PIECE) -> DataFrame:
     """(item, text) with long items cut into overlapping pieces that have all their windows."""
 
+    @shared.trims
     def run(batches):
         import pyarrow as pa
 
@@ -240,6 +241,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     one = one.groupBy("_rid").agg(F.sum(F.greatest(F.lit(0), F.col("b") - F.greatest("a", "last"))).alias("n_hit"))
     ids = all_hits.groupBy("_rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("ids"))
 
+    @shared.trims
     def count(batches):
         import pyarrow as pa
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import threading
@@ -115,6 +117,21 @@ def lean(spark: SparkSession, most: int = 16 << 20) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+def trims(run):
+    """For functions of batches: when a task ends, its worker, which waits for the next, gives back memory that it no longer uses."""
+
+    @functools.wraps(run)
+    def wrapped(batches, *args, **how):
+        try:
+            yield from run(batches, *args, **how)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def _plain(docs: DataFrame) -> bool:
     """Whether each row is one row of one file: columns and filters over a scan."""
     plan = docs._jdf.queryExecution().analyzed()

@@ -75,6 +75,7 @@ def fingerprints(seg: Segment, shingle: int = SHINGLE) -> np.ndarray:
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """_rid, id, fp (the fingerprint as a long) for each row of ``docs``."""
 
+    @shared.trims
     def run(batches):
         import pyarrow as pa
 
@@ -156,6 +157,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     if distance > 3:
         raise ValueError("two halves leave at most one step to either only up to a distance of 3")
 
+    @shared.trims
     def enter(batches):
         import pyarrow as pa
 
@@ -167,6 +169,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
                     c, f = cells(fp[k : k + 4096])
                     yield pa.RecordBatch.from_arrays([pa.array((c | np.uint64(own << 33)).view(np.int64)), pa.array(f.view(np.int64))], names=["cell", "fp"])
 
+    @shared.trims
     def meet(batches):
         cell = fp = np.zeros(0, np.int64)
         for b in batches:
@@ -271,6 +274,7 @@ def _hot(base: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many documents have and ranks of how many, from one document in ``SAMPLED``. They only decide which shingles
     are looked at first; any order finds the same pairs."""
 
+    @shared.trims
     def run(batches):
         import pyarrow as pa
 
@@ -324,6 +328,7 @@ def _picked(b, keep: np.ndarray):
 
 
 def _sets(shingle: int, bits: int, asked: shared.Listed):
+    @shared.trims
     def run(batches):
         import pyarrow as pa
 
@@ -342,6 +347,7 @@ def _sets(shingle: int, bits: int, asked: shared.Listed):
 def _similar(similarity: float, bits: int):
     kind = np.dtype(f"u{bits // 8}")
 
+    @shared.trims
     def run(batches):
         import pyarrow as pa
 
@@ -378,6 +384,7 @@ def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5,
     slice_ = F.expr(f"IF(shiftrightunsigned(key, 58) >= {sliced}, CAST(pmod(xxhash64(_rid), shiftleft(1L, CAST(shiftrightunsigned(key, 58) - {sliced - 1} AS INT))) AS INT), 0)")
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @shared.trims
     def whole(batches):
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest
@@ -388,6 +395,7 @@ def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5,
                 on = np.diff(seg.bounds) > 0
                 yield pa.RecordBatch.from_arrays([b.column(0)[seg.first : seg.first + seg.n].filter(pa.array(on)), pa.array(np.array(same, np.uint64)[on].view(np.int64))], names=["_rid", "same"])
 
+    @shared.trims
     def begin(batches):
         import pyarrow as pa
 
@@ -402,6 +410,7 @@ def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5,
                 rows = rows[on]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[on].view(np.int64), rid[rows], size[rows].astype(np.int32), pos[on].astype(np.int32))], names=["key", "_rid", "size", "pos"])
 
+    @shared.trims
     def meet(batches):
         """Rows that aren't alone with their key, and how many there are; all of a slice."""
         import pyarrow as pa
@@ -411,6 +420,7 @@ def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5,
             on = (n > 1) | (cols[0].view(np.uint64) >> np.uint64(58) >= sliced)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[on]) for x in cols), pa.array(n[on].astype(np.int64))], names=["key", "_rid", "size", "pos", "n"])
 
+    @shared.trims
     def some(batches):
         for key, rid, size, pos in _runs(batches, 4):
             a, b = [], []
@@ -428,6 +438,7 @@ def similar_documents(docs: DataFrame, text_col: str = "text", shingle: int = 5,
             if a:
                 yield _pairs(rid, size, pos, np.concatenate(a), np.concatenate(b), similarity)
 
+    @shared.trims
     def rest(batches):
         for key, rid, size, pos, group, home, i, j in _runs(batches, 8):
             for f, k in zip(*(x.tolist() for x in _spans(key)), strict=True):

@@ -220,6 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # at most fit_rows rows of two numbers
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(known), "id")
 
+    @shared.trims
     def sketches(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([_sketch(t) for t in b.column(1).to_pylist()], pa.int64())], names=["id", "text", "toxic", "sketch"])
@@ -229,6 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     first = sample.groupBy("sketch", "toxic").agg(F.min("id").alias("id")).select("id").distinct()
     sample = sample.join(first, "id", "left_semi")
 
+    @shared.trims
     def counts(batches):
         def table(n):
             found = list(n.items())
@@ -254,6 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lexicon = {r.entry: (r.pos, r.neg) for r in table.collect()}
     shared_lexicon = docs.sparkSession.sparkContext.broadcast((lexicon, prior))
 
+    @shared.trims
     def features(batches):
         m = Matcher(*shared_lexicon.value)
         for b in batches:
@@ -279,6 +282,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     """doc_id, held_out, score, predicted for each row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON entries
 
+    @shared.trims
     def run(batches):
         of = _scores(sent.value)
         for b in batches:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _P = 0x9E3779B97F4A7C15
 _ODD = np.uint64(_P)
 _INVERSE = np.uint64(pow(_P, -1, 1 << 64))
