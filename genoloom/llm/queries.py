@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from genoloom.llm import decontaminate, exact_dedup, html_text, mixing, ngram_lm, quote_links, simhash, token_counts, toxicity, warc
+from genoloom.llm import decontaminate, exact_dedup, html_text, minhash, mixing, ngram_lm, periodic_runs, quote_links, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_chat_format": quote_links.op8_chat_format,
     "op9_html_text": html_text.op9_html_text,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_minhash": minhash.op11_minhash,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 
 ORACLE_SQL = {

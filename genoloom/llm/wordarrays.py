@@ -1,7 +1,7 @@
 """Words of Arrow string columns as numpy arrays: byte spans, rows and 64-bit hashes, no Python object a word.
 
 Texts are taken in segments of about ``SEGMENT`` bytes, so that memory stays bounded for any batch; one
-longer text is a segment of its own, and its words are hashed in blocks.
+longer text is a segment of its own.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ import numpy as np
 import pyarrow as pa
 
 SEGMENT = 1 << 18
-_P = 0x9E3779B97F4A7C15
-_ODD = np.uint64(_P)
-_INVERSE = np.uint64(pow(_P, -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of the longest word that is hashed with all others at once.
+LONG = 256
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -44,27 +44,29 @@ class Segment:
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), np.diff(self.bounds))
 
-    def hashes(self) -> np.ndarray:
-        out, k = np.empty(len(self.starts), np.uint64), 0
-        while k < len(out):
-            base = int(self.starts[k])
-            to = max(k + 1, int(np.searchsorted(self.ends, base + SEGMENT, "right")))
-            s, e = self.starts[k:to] - base, self.ends[k:to] - base
-            up, down = _tables(int(e[-1]) + 1)
-            h = np.zeros(int(e[-1]) + 1, np.uint64)
-            np.cumsum((self.data[base : base + int(e[-1])].astype(np.uint64) + np.uint64(1)) * up[: int(e[-1])], out=h[1:])
-            out[k:to] = mixed((h[e] - h[s]) * down[s] + (e - s).astype(np.uint64))
-            k = to
-        return out
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_ODD, _INVERSE)):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            _powers[i] = np.cumprod(table, dtype=np.uint64)
-    return _powers
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        return hashed(self.data, self.starts, self.ends, salt)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of ``data``, mixed after each eight bytes; spans of more than ``LONG`` bytes by XXH3. Another ``salt``
+    is another function."""
+    length = ends - starts
+    out = mixed(length.astype(np.uint64) + np.uint64(salt) * _ODD)
+    buffer = np.concatenate([data, np.zeros(8, np.uint8)])
+    wide = np.ndarray(len(data) + 1, "<u8", buffer, strides=(1,))
+    at, j = np.flatnonzero(length <= LONG), 0
+    while len(at):
+        left = np.minimum(length[at] - j, 8)
+        out[at] = mixed(out[at] ^ (wide[starts[at] + j] & _MASKS[left]))
+        j += 8
+        at = at[length[at] > j]
+    at = np.flatnonzero(length > LONG)
+    if len(at):
+        from xxhash import xxh3_64_intdigest
+
+        out[at] = [xxh3_64_intdigest(buffer[a:b], salt) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
