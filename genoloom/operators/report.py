@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 CORE, SOFT, SHELL = 0.99, 0.95, 0.15
 LABELS = ("core", "soft_core", "shell", "cloud", "total")
@@ -28,11 +28,13 @@ def pivoted(long: DataFrame, samples: list[str], value: str = "n", empty=0) -> D
     return long.groupBy("family").pivot("sample_id", samples).agg(F.first(value)).na.fill(empty)
 
 
-def classes(present: DataFrame, n_samples: int, core: float = CORE, soft: float = SOFT, shell: float = SHELL) -> DataFrame:
-    """Adds class to (family, n_isolates)."""
-    if n_samples <= 0:
-        raise ValueError("no samples")
-    share = F.col("n_isolates") / F.lit(float(n_samples))
+def classes(present: DataFrame, n_samples: int | Column, core: float = CORE, soft: float = SOFT, shell: float = SHELL) -> DataFrame:
+    """Adds class to (family, n_isolates); the samples are a number, or a column where rows are of several groups."""
+    if not isinstance(n_samples, Column):
+        if n_samples <= 0:
+            raise ValueError("no samples")
+        n_samples = F.lit(float(n_samples))
+    share = F.col("n_isolates") / n_samples
     return present.withColumn("class", F.when(share >= core, "core").when(share >= soft, "soft_core").when(share >= shell, "shell").otherwise("cloud"))
 
 

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _root(spark: SparkSession) -> str:
+def shared_root(spark: SparkSession) -> str:
     """A folder of our own only where the session has none and all its executors are this machine's."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="genoloom-")
         spark.sparkContext.setCheckpointDir(at)
@@ -37,7 +38,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` as a table that all executors share. Unlike a checkpoint it has the size of its files as statistics, where
     estimates multiplied from round to round would grow without end."""
     spark = df.sparkSession
-    at = f"{_root(spark)}/genoloom/rounds-{uuid.uuid4().hex}"
+    at = f"{shared_root(spark)}/genoloom/rounds-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, at)
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
