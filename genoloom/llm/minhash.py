@@ -12,8 +12,9 @@ Pairs are verified on full sets of 64-bit shingle hashes, in three rounds:
 1. each row with the least row that any of its bands has (one pair a row);
 2. with the least rows of its other bands, as far as the links found don't join them yet;
 3. in bands whose rows are still of several components, all pairs of different components of which one is not of the band's
-   largest. They are compared by one bit of each coordinate, in blocks of about ``BLOCK`` rows, so that a band of any size is spread
-   over tasks; only pairs that may be similar leave a task. At a similarity of 0.8 a pair falls there with a chance below 1e-11.
+   largest. Rows of a band are dealt to blocks of about ``BLOCK`` shingles, so that a band of any size is spread over tasks. A task indexes its
+   block by 16 bits of each shingle and counts what each row shares with all of the block at once; that count is never too small, and only
+   pairs that it lets be similar leave the task.
 
 A group of copies, near or exact, costs a pair a row, not all its pairs.
 
@@ -36,9 +37,9 @@ from genoloom.llm.wordarrays import NOT_SPACE, Segment, mixed, segments
 SHINGLE, PERCENT = 2, 80
 #: A larger set than ``PLACES`` only meets more rows than it must.
 ROWS, BANDS, PLACES = 5, 51, 1 << 20
-COORDINATES = 256
-#: Of 256 bits those that agree at least, rows of a block, shingles whose coordinates are held at once.
-AGREE, BLOCK, _CHUNK = 190, 2048, 256
+COORDINATES = ROWS * BANDS
+#: Shingles of a block; those whose coordinates are held at once.
+BLOCK, _CHUNK = 1 << 20, 256
 
 
 @functools.lru_cache(1)
@@ -80,7 +81,7 @@ def signatures(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 
 def bands(signature: np.ndarray) -> np.ndarray:
     """A key for each band of each row."""
-    part = signature[:, : ROWS * BANDS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    part = signature.reshape(-1, BANDS, ROWS).astype(np.uint64)
     x = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), part.shape[:2])
     for j in range(ROWS):
         x = mixed(x + part[:, :, j])
@@ -98,8 +99,7 @@ def _digest(rows: np.ndarray, hashes: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """_rid, id, n (of the set), d1 and d2 (its digest), bands, bits (one of each coordinate) for each row; the last two are null for
-    an empty set."""
+    """_rid, id, n (of the set), d1 and d2 (its digest) and bands for each row; an empty set has no bands."""
 
     @shared.trims
     def run(batches):
@@ -109,23 +109,21 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
             for seg in segments(b.column(2), NOT_SPACE):
                 rows, h = sets(seg, shingle)
                 size, (d1, d2) = np.bincount(rows, minlength=seg.n), _digest(rows, h, seg.n)
-                signature, none = signatures(rows, h, seg.n), pa.array(size == 0)
-                keys = bands(signature).view(np.int64)
-                bits = np.packbits((signature & 1).astype(bool), axis=1).view(np.int64)
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()), mask=none)  # noqa: E731, B023
+                keys = bands(signatures(rows, h, seg.n)).view(np.int64)[size > 0]
+                places = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))])
                 to = slice(seg.first, seg.first + seg.n)
                 made = [pa.array(x) for x in (size.astype(np.int64), d1.view(np.int64), d2.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([b.column(0)[to], b.column(1)[to], *made, lists(keys), lists(bits)], names=["_rid", "id", "n", "d1", "d2", "bands", "bits"])
+                lists = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0)[to], b.column(1)[to], *made, lists], names=["_rid", "id", "n", "d1", "d2", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     docs = shared.numbered(docs)
-    return docs.select(docs[shared.RID].alias("_rid"), docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"_rid long, id {kind}, n long, d1 long, d2 long, bands array<long>, bits array<long>")
+    return docs.select(docs[shared.RID].alias("_rid"), docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"_rid long, id {kind}, n long, d1 long, d2 long, bands array<long>")
 
 
-def _verified(base: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are as similar. Texts are read again, and the sets of asked rows written; pairs meet their sets by joins, whose
-    hot keys Spark splits."""
-    asked = shared.Listed(pairs.select(F.col("a").alias("_rid")).unionByName(pairs.select(F.col("b").alias("_rid"))))
+def _sets_of(base: DataFrame, rids: DataFrame, shingle: int, bits: int = 64) -> DataFrame:
+    """(_rid, s): the sorted sets of the listed rows, or distinct low bits of them. Texts are read again and picked by lists of numbers."""
+    asked = shared.Listed(rids)
 
     @shared.trims
     def run(batches):
@@ -136,10 +134,19 @@ def _verified(base: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
             b = b if on.all() else b.filter(pa.array(on))
             for seg in segments(b.column(1), NOT_SPACE):
                 rows, h = sets(seg, shingle)
-                to = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=seg.n))]) * 8
+                if bits < 64:
+                    both = np.unique(rows.astype(np.int64) << bits | (h & np.uint64((1 << bits) - 1)).astype(np.int64))
+                    rows, h = both >> bits, (both & ((1 << bits) - 1)).astype(f"u{bits // 8}")
+                to = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=seg.n))]) * h.itemsize
                 own = pa.Array.from_buffers(pa.large_binary(), seg.n, [None, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(h)])
                 yield pa.RecordBatch.from_arrays([b.column(0)[seg.first : seg.first + seg.n], own.cast(pa.binary())], names=["_rid", "s"])
 
+    return shared.written(base.mapInArrow(run, "_rid long, s binary"), "sets")
+
+
+def _verified(base: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are as similar. Pairs meet their sets by joins, whose hot keys Spark splits."""
+
     @shared.trims
     def alike(batches):
         import pyarrow as pa
@@ -153,7 +160,7 @@ def _verified(base: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
             on = pa.array(on, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on)], names=["a", "b"])
 
-    own = shared.written(base.mapInArrow(run, "_rid long, s binary"), "sets")
+    own = _sets_of(base, pairs.select(F.col("a").alias("_rid")).unionByName(pairs.select(F.col("b").alias("_rid"))), shingle)
     x, y = (own.select(F.col("_rid").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     found = shared.written(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"), "verified")
     shared.drop(own)
@@ -173,7 +180,7 @@ def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int
     base = docs.select(docs[shared.RID].alias("_rid"), docs[text_col].alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("_rid").alias("_rid"))
-    keyed = rows.join(one.select("_rid"), "_rid").select("_rid", F.col("n").cast("int").alias("n"), "bands", "bits")
+    keyed = rows.join(one.select("_rid"), "_rid").select("_rid", F.col("n").cast("int").alias("n"), "bands")
     met = keyed.select("_rid", "n", F.explode("bands").alias("key"))
     heads = shared.written(met.groupBy("key").agg(F.min(F.struct("_rid", "n")).alias("head"), F.count("*").alias("rows")).filter("rows > 1"), "heads")
     met = shared.written(met.join(heads.select("key", "head"), "key"), "met")
@@ -195,63 +202,73 @@ def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int
     found = shared.written(found.unionByName(more), "found")
 
     groups = joined(found)
-    open_ = shared.written(group(met.select("key", "_rid", "n"), groups, "_rid", "group"), "open")
-    counts = open_.groupBy("key", "group").agg(F.count("*").alias("rows"))
-    large = counts.groupBy("key").agg(F.max(F.struct("rows", "group")).alias("most"), F.count("*").alias("groups"), F.sum("rows").alias("all")).filter("groups > 1")
-    large = shared.written(large.select("key", F.col("most.group").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")), "large")
-    rest = open_.join(large, "key").join(keyed.select("_rid", "bits"), "_rid")
-    rest = rest.select("key", "_rid", "n", "bits", "group", F.expr("group <> most").alias("minor"), "blocks", F.pmod(F.xxhash64("_rid"), "blocks").cast("int").alias("home"))
-    rest = shared.written(rest, "rest")
-    right = rest.select("key", F.col("home").alias("block"), F.lit(1).alias("side"), "_rid", "n", "bits", "group", "minor")
-    left = rest.filter("minor").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(2).alias("side"), "_rid", "n", "bits", "group", "minor")
+    others = met.filter("_rid <> head._rid").select("key", "_rid", "n")  # each was compared with the head
+    open_ = shared.written(group(others, groups, "_rid", "group"), "open")
+    counts = open_.groupBy("key", "group").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    large = counts.groupBy("key").agg(F.max(F.struct("rows", "group")).alias("most"), F.count("*").alias("groups"), F.sum("shingles").alias("shingles")).filter("groups > 1")
+    large = large.select("key", F.col("most.group").alias("most"), F.ceil(F.col("shingles") / BLOCK).cast("int").alias("blocks"))
+    rest = shared.written(open_.join(large, "key").withColumn("minor", F.expr("group <> most")).drop("most"), "rest")
+    own = _sets_of(base, rest.select("_rid"), shingle, 16)
+    full = rest.join(own, "_rid")
+    right = full.select("key", F.expr("CAST(pmod(xxhash64(_rid), blocks) AS INT)").alias("block"), F.lit(1).alias("side"), "_rid", "n", "group", "minor", "s")
+    left = full.filter("minor").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(2).alias("side"), "_rid", "n", "group", "minor", "s")
     dealt = left.unionByName(right).repartition(parts, "key", "block").sortWithinPartitions("key", "block", "side")
+    last = shared.written(dealt.mapInArrow(_shared_shingles(percent), "a long, b long").distinct(), "rest_pairs")
+    shared.drop(own)
+    return found.unionByName(_verified(base, last, shingle, percent))
+
+
+def _shared_shingles(percent: int):
+    """For rows in the order of key, block and side: pairs of a row of the second side and one of the first, of different groups, that may be as
+    similar. A pair of two minor rows is met from either side and told once."""
 
     @shared.trims
-    def compare(batches):
+    def run(batches):
         import pyarrow as pa
 
-        held: tuple = ()
-        kept: list = []  # rows of the right side of the block at hand
-
+        held, block = None, None
         for b in batches:
-            key, block, side, rid, n, group_, minor = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 4, 6, 7))
-            bits = b.column(5).flatten().to_numpy().view(np.uint64).reshape(-1, COORDINATES // 64)
-            edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (side[1:] != side[:-1]))).tolist() + [len(key)]
+            key, place, side, rid, n, group, minor = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (side[1:] != side[:-1]))).tolist() + [len(key)]
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                now = (key[lo], block[lo])
-                if now != held:
-                    held, kept = now, []
-                own = [x[lo:hi] for x in (rid, n, group_, minor, bits)]
+                if held != (key[lo], place[lo]):
+                    held, block = (key[lo], place[lo]), _Block()
+                own = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(7)[lo:hi]]
                 if side[lo] == 1:
-                    kept.append(own)
-                    continue
-                if not kept:
+                    block.add(rid[lo:hi], n[lo:hi], group[lo:hi], minor[lo:hi], own)
                     continue
-                if len(kept) > 1:
-                    kept = [[np.concatenate(x) for x in zip(*kept, strict=True)]]
-                for found_ in _may_link(own, kept[0], percent):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found_], names=["a", "b"])
-
-    last = dealt.mapInArrow(compare, "a long, b long").distinct()
-    last = last.join(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return found.unionByName(_verified(base, shared.written(last, "rest_pairs"), shingle, percent))
-
-
-def _may_link(left: list, right: list, percent: int):
-    """(a, b) of rows of two groups that may be as similar, in pieces. A pair of two minor rows is found from either side and told once."""
-    rid, n, group, _, bits = left
-    rid2, n2, group2, minor2, bits2 = right
-    for k in range(0, len(rid), 256):
-        to = slice(k, k + 256)
-        on = (group[to, None] != group2[None, :]) & (100 * np.minimum(n[to, None], n2[None, :]) >= percent * np.maximum(n[to, None], n2[None, :]))
-        on &= ~minor2[None, :] | (rid[to, None] < rid2[None, :])
-        i, j = np.nonzero(on)
-        if len(i):
-            differ = np.bitwise_count(bits[k + i] ^ bits2[j]).sum(axis=1, dtype=np.int64)
-            good = differ <= COORDINATES - AGREE
-            i, j = k + i[good], j[good]
-            if len(i):
-                yield np.minimum(rid[i], rid2[j]), np.maximum(rid[i], rid2[j])
+                for k, x in enumerate(own, lo):
+                    found = block.like(int(rid[k]), int(n[k]), int(group[k]), x, percent)
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, rid[k])), pa.array(np.maximum(found, rid[k]))], names=["a", "b"])
+
+    return run
+
+
+class _Block:
+    """Rows with an index from 16 bits of a shingle to those that have it."""
+
+    def __init__(self):
+        self.parts, self.index = [], None
+
+    def add(self, rid, n, group, minor, own: list[np.ndarray]) -> None:
+        self.parts.append((rid, n, group, minor, np.array([len(x) for x in own]), np.concatenate(own)))
+        self.index = None
+
+    def like(self, rid: int, n: int, group: int, x: np.ndarray, percent: int) -> np.ndarray:
+        if not self.parts:
+            return np.zeros(0, np.int64)
+        if self.index is None:
+            cols = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+            self.rid, self.n, self.group, self.minor, self.size = cols[:5]
+            order = np.argsort(cols[5], kind="stable")
+            self.rows = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)[order]
+            self.index = np.searchsorted(cols[5][order], np.arange(65537))
+        first, count = self.index[x], self.index[x.astype(np.int64) + 1] - self.index[x]
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        both = np.bincount(self.rows[at], minlength=len(self.size)) + np.minimum(n - len(x), self.n - self.size)
+        on = (100 * both >= percent * (n + self.n - both)) & (self.group != group) & (~self.minor | (self.rid > rid))
+        return self.rid[on]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
