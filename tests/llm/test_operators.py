@@ -11,7 +11,7 @@ from cases import DOCS, frame, saved
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from genoloom.llm import decontaminate, exact_dedup, html_text, mixing, ngram_lm, queries, quote_links, shared, simhash, token_counts, toxicity, warc
+from genoloom.llm import decontaminate, exact_dedup, html_text, minhash, mixing, ngram_lm, periodic_runs, queries, quote_links, shared, simhash, token_counts, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -727,3 +727,198 @@ def test_articles_side_by_side_stay():
     links = "<div>" + "<a href=x>Another story</a> " * 5 + "</div>"
     text = html_text.main_text(f"<body><div><article>{PROSE}{links}</article><article>{PROSE.replace('river', 'road')}</article></div></body>")
     assert text.count("long river") == 4 and text.count("long road") == 4 and "Another" not in text
+
+
+# 11
+
+
+def linked_by_brute_force(rows, shingle=2, percent=80):
+    """id, size of the set, component, kept of each of the rows (id, text)."""
+    own, parent = {}, {}
+    for i, text in rows:
+        w = WORD.findall(lowered(text))
+        own[i] = {tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)} or ({tuple(w)} if w else set())
+        parent[i] = i
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(own)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(own[a] & own[b])
+            if both and 100 * both >= percent * (len(own[a]) + len(own[b]) - both):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return sorted((i, len(own[i]), find(i), find(i) == i) for i in ids)
+
+
+def test_minhash_against_brute_force(spark, tmp_path):
+    """Edits of one original from a few words to a third, so that many rows share bands and are no links; long blocks too."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for family in range(3):
+        original = rng.choices(words, k=150)
+        for _ in range(60):
+            text = list(original)
+            for _ in range(rng.choice([0, 1, 2, 4, 6, 8, 10, 14, 20, 40])):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    rows += [(len(rows) + k, " ".join(rng.choices(words, k=rng.randrange(1, 6)))) for k in range(60)]
+    rows += [(1000, "a b c d e f"), (1001, "A  b\tc d e F"), (1002, "a b c d e"), (1003, "a b c d"), (1004, "x"), (1005, "X "), (1006, "x x x x"), (1007, ""), (1008, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/d")
+    got = minhash.near_duplicates(spark.read.parquet(f"file://{tmp_path}/d"))
+    want = linked_by_brute_force(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == want
+    assert 3 < len({w[2] for w in want if w[0] < 180}) < 180
+
+
+@pytest.mark.parametrize("block", [64, 1 << 20])
+def test_minhash_of_small_blocks(spark, tmp_path, monkeypatch, block):
+    """Every pair of rows of one band is looked at, however the band is cut."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(9)
+    base = [f"v{k}" for k in range(60)]
+    rows = []
+    for k in range(80):
+        text = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            text[rng.randrange(60)] = f"n{rng.randrange(12)}"
+        rows.append((k, " ".join(text)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/d")
+    got = minhash.near_duplicates(spark.read.parquet(f"file://{tmp_path}/d"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == linked_by_brute_force(rows)
+
+
+def test_circulant_signatures():
+    """Coordinate k is the least rank k places after a shingle; the share of equal coordinates follows the similarity."""
+    rng = np.random.default_rng(3)
+    h = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    a, b = h[:300], h[60:360]
+    rows = np.repeat([0, 2], [len(a), len(b)])
+    got = minhash.signatures(rows, np.concatenate([a, b]), 3)
+    place = (minhash.mixed(a ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(minhash.PLACES)).astype(int)
+    rank = minhash.ranks()[:, 0]
+    assert sorted(rank.tolist()) == list(range(minhash.PLACES))
+    for k in (0, 1, 100, 254):
+        assert got[0, k] == min(rank[(p + k) % minhash.PLACES] for p in place)
+    assert (got[1] == np.iinfo(np.uint32).max).all()
+    assert abs((got[0] == got[2]).mean() - 240 / 360) < 0.12
+
+
+def test_minhash_of_odd_rows(spark, tmp_path):
+    docs = saved(spark, tmp_path)
+    got = minhash.near_duplicates(docs).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+    assert len(got) == len(DOCS) and all(r.n_shingles == 0 for i in (4, 5, 6) for r in by[i])
+    assert {r.component_id for r in by[2]} == {1} and [r.component_id for r in by[4]] == [4] and [r.kept for r in by[2]] == [False, False]
+    assert sorted((r.component_id, r.kept, r.n_shingles) for r in by[None] if r.component_id is not None) == [(1, False, 12)]
+    assert [(r.component_id, r.kept) for r in by[None] if r.component_id is None] == [(None, True)]
+    left = minhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(["1", "4", "5", "6", "None", "7", "8", "9"])
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+    text_ids = docs.select(F.concat(F.lit("id:"), "doc_id").alias("doc_id"), "text")
+    assert {r.component_id for r in minhash.near_duplicates(text_ids).collect()} >= {"id:1", "id:9", None}
+
+
+# 12
+
+
+def runs_by_brute_force(w, minimum=24, times=3):
+    n, out = len(w), []
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            size = j - i + q
+            if j > i and size >= max(minimum, times * q) and not any(w[i + d : i + size] == w[i : i + size - d] for d in range(1, q)):
+                out.append((i, size, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda x: (x[0], x[2]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_against_brute_force(seed):
+    """Few words and many, planted repeats side by side, one inside another, and with a word changed."""
+    rng = random.Random(seed)
+    for _ in range(40):
+        w = []
+        while len(w) < rng.choice([5, 60, 300]):
+            q = rng.choice([1, 2, 3, 5, 8, 13, 40])
+            part = [rng.randrange(rng.choice([1, 2, 3, 50])) for _ in range(q)]
+            w += (part * rng.randrange(1, 8))[: rng.randrange(1, 8 * q + 1)]
+            if rng.random() < 0.3:
+                w[-1] = 99
+        if rng.random() < 0.3:
+            w = w * 4
+        assert periodic_runs.find_runs(np.array(w, np.int32)) == runs_by_brute_force(w)
+        assert periodic_runs.find_runs(np.array(w, np.int32), 6, 2) == runs_by_brute_force(w, 6, 2)
+
+
+def test_lags_of_frequent_words_by_transforms_and_of_rare_ones_by_pairs():
+    rng = np.random.default_rng(1)
+    w = np.where(rng.random(3000) < 0.5, rng.integers(0, 4, 3000), rng.integers(4, 900, 3000)).astype(np.int32)
+    want = [0] + [int((w[q:] == w[:-q]).sum()) for q in range(1, 1001)]
+    assert periodic_runs.lag_counts(w, 1000)[1:].tolist() == want[1:]
+
+
+def test_runs_of_long_texts_take_time_in_proportion():
+    import time
+
+    rng = random.Random(2)
+    for text in (b"x " * 400_000, b" ".join(b"%d" % (k * k % 7919) for k in range(400_000)), b" ".join(rng.choice([b"a", b"b"]) for _ in range(60_000))):
+        began = time.process_time()
+        w, words = periodic_runs.numbers(text)
+        assert [words[i] for i in w[:100].tolist()] == text.split()[:100]
+        periodic_runs.find_runs(w)
+        assert time.process_time() - began < 10
+
+
+def test_periodic_runs_query(spark, tmp_path):
+    """Whole rows of the query, with the repeats that it makes itself, against the contract written out."""
+    from fractions import Fraction
+    from zlib import crc32
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: tuple(r)[1:] for r in queries.QUERIES["op12_periodic_runs"](spark, SF).collect()}
+    assert len(got) == len(docs)
+    planted = 0
+    for i, text in docs:
+        w = WORD.findall(text or "")
+        if len(w) > 1200:
+            continue
+        h, n = crc32(str(i).encode()), len(w)
+        if h % 10 == 0 and n:
+            a, g = h // 10 % n, h // 10
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[k] if k < a else w[a + (k - a) % p] for k in range(n)]
+            planted += 1
+        runs = runs_by_brute_force(w)
+        top = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+        gone = {k for s, size, q in runs for k in range(s + q, s + size)}
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want = (len(runs), *(top or (None,) * 3), 1000 * top[1] // top[2] if top else None, sha("".join(f"{a},{b},{c}\n" for a, b, c in runs)), sha(" ".join(x for k, x in enumerate(w) if k not in gone)))
+        assert got[i] == want
+    assert planted > 5
+
+
+def test_periodic_runs_of_odd_rows(spark, tmp_path):
+    docs = saved(spark, tmp_path)
+    got = periodic_runs.periodic_runs(docs)
+    assert got.columns == ["doc_id", "n_words", "runs", "collapsed"] and got.count() == len(DOCS)
+    by = {r.doc_id: r for r in got.collect()}
+    assert [tuple(x) for x in by[7].runs] == [(0, 180_000, 6)] and by[7].collapsed == "lorem ipsum dolor sit amet consectetur"
+    assert (by[4].n_words, by[4].runs, by[4].collapsed) == (0, [], "") and by[6].collapsed == ""
+    out = periodic_runs.collapse_runs(docs)
+    assert out.columns == docs.columns
+    after, before = ({str(r.doc_id): r.text for r in t.collect()} for t in (out, docs))
+    assert after["7"] == "lorem ipsum dolor sit amet consectetur" and {k: v for k, v in after.items() if k != "7"} == {k: v for k, v in before.items() if k != "7"}
+    assert periodic_runs.periodic_runs(docs.limit(0)).count() == 0
+    assert {r.doc_id for r in periodic_runs.periodic_runs(docs.select(F.concat(F.lit("id:"), "doc_id").alias("doc_id"), "text")).collect()} >= {"id:1", None}
