@@ -2,7 +2,8 @@
 
 A tolerant reader makes a tree of the page. What can't be article text goes first: scripts, styles, forms,
 navigation, headers, footers, sidebars, notices, adverts and reader comments, known by their elements, roles,
-and the words of their class and id; the last, and forms, are hints that content overrules (``_settle``). For every node left, the composite text density is
+and the words of their class and id (``_settle``): a name of a comment section, an advert, a newsletter, a notice or the like stands for
+itself, wherever the element stands; names of page furniture and of related matter, and forms, are hints that content overrules. For every node left, the composite text density is
 ``C/T * log(C*T/(LC*LT)) / log(ln(C*LC/nLC + LCb*C/Cb + e))``, of characters C, tags T, link characters LC,
 link tags LT, characters outside links nLC, and those of the body; a node's density sum is that of its
 children. The node with the largest sum, and those subtrees whose density reaches the least density on
@@ -35,18 +36,29 @@ _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ENDS_P = _BLOCK - frozenset("html body td th tr tbody thead tfoot caption".split())
 _SAME = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 
-#: Elements, roles and words of class or id that are never article text.
+#: Elements and roles that are never article text.
 DROPPED = frozenset("head script style noscript template iframe object embed svg canvas math audio video form button input select textarea option nav aside footer menu dialog title noembed noframes xmp map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-WORDS = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets ad ads adv advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations pagination pager toolbar skip".split())
+#: Words of class or id. What is named so isn't the article's, wherever it stands;
+KINDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies share sharing".split())
+#: furniture, which an article may be built in;
+FURNITURE = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer sidebar aside widget widgets banner banners pagination pager toolbar skip".split())
+#: and what may be the article's own.
+RELATED = frozenset("header social related recommended recommendations".split())
+#: Beside words of a kind in one name, these leave the kind as it is; others (``social-science``) make it a mere hint.
+NEUTRAL = frozenset("area article author bar blog block body bottom box button buttons container content count entry form group icons inline inner item items js left link links list main media message meta module news outer page panel post primary reader readers right row secondary section site slot story text thread title top unit user users wrap wrapper".split())
+STATES = frozenset("has no not with without is".split())
+SOFT, FIRM, STRONG = 1, 2, 3
+#: Words of a sentence that may stand for prose.
+PROSE_WORDS = 8
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("chars", "children", "dropped", "hint", "link_chars", "link_tags", "parent", "parts", "score", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "dropped", "end", "hint", "link_chars", "link_tags", "parent", "parts", "score", "sum", "tag", "tags", "words")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped, self.hint = tag, parent, dropped, False
+        self.tag, self.parent, self.dropped, self.hint = tag, parent, dropped, 0
         self.parts: list = []  # texts and nodes in order
         self.children: list[Node] = []
 
@@ -64,31 +76,49 @@ def _refused(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def _hinted(tag: str, attrs: str) -> bool:
-    """Whether the element's name, class or id speak against it."""
-    if tag == "form":
-        return True
+def _hinted(tag: str, attrs: str) -> int:
+    """How much the element's names in class and id speak against it."""
+    hint = SOFT if tag == "form" else 0
     if not attrs.strip(" /") or tag in ("html", "body", "main", "h1"):
-        return False
-    return any(name.lower() in ("class", "id") and not WORDS.isdisjoint(w.lower() for w in _SPLIT.split(a or b or c)) for name, a, b, c in _ATTR.findall(attrs))
+        return hint
+    for name, a, b, c in _ATTR.findall(attrs):
+        if name.lower() in ("class", "id"):
+            for token in (a or b or c).split():
+                words = [w for w in (w.lower() for w in _SPLIT.split(token)) if w]
+                if not words or words[0] in STATES:
+                    continue
+                known = [STRONG if w in KINDS else FIRM if w in FURNITURE else SOFT if w in RELATED else 0 for w in words]
+                if any(known):
+                    plain = all(k or w in NEUTRAL for k, w in zip(known, words, strict=True))
+                    hint = max(hint, max(known) if plain else SOFT)
+    return hint
 
 
 def _settle(root: Node) -> None:
-    """Drop the elements that hints speak against, from the outermost, but not one that holds an article or a main element of
-    good name, on pages without these half of the text, or, inside an article or main element, prose: no link and a full stop.
-    All stay where nothing else would be left."""
+    """Drop the elements that hints speak against, from the outermost.
+
+    A strong hint drops its element unless that holds a main element, an article of good name or the page's first heading. Others drop theirs
+    unless it holds a main element or such an article, or, on a page without these, half of the text. A soft one also spares prose inside
+    an article or main element: no link, a sentence's length and end. All stay where nothing else would be left.
+    """
     order = _measure(root)
     if not any(x.hint for x in order):
         return
-    holds = {}
+    holds, heads = {}, {}
     for x in order:
         holds[id(x)] = any(holds[id(c)] or c.tag == "main" or c.tag == "article" and not c.hint for c in x.children)
+        heads[id(x)] = x.tag == "h1" or any(heads[id(c)] for c in x.children)
     stack, lost = [(root, False)], []
     while stack:
         x, inside = stack.pop()
         inside = inside or x.tag in ("article", "main")
         for c in x.children:
-            if c.hint and c.tag != "article" and not holds[id(c)] and (holds[id(root)] or 2 * c.chars < root.chars) and not (inside and c.tag != "form" and not c.link_chars and _prose(c)):
+            if c.hint == STRONG:
+                drop = not holds[id(c)] and not heads[id(c)] and (c.tag != "article" or holds[id(root)])
+            else:
+                drop = c.hint and c.tag != "article" and not holds[id(c)] and (holds[id(root)] or 2 * c.chars < root.chars)
+                drop = drop and not (c.hint == SOFT and inside and c.tag != "form" and not c.link_chars and c.words >= PROSE_WORDS and c.end.rstrip("\"'”’)").endswith((".", "!", "?", "…", "。")))
+            if drop:
                 lost.append(c)
             else:
                 stack.append((c, inside))
@@ -98,11 +128,6 @@ def _settle(root: Node) -> None:
             c.dropped = True
 
 
-def _prose(x: Node) -> bool:
-    text = " ".join(blocks([x]))
-    return len(text.split()) >= 8 and text.rstrip("\"'”’)").endswith((".", "!", "?", "…", "。"))
-
-
 def tree(page: str) -> Node:
     """The page's nodes, without those that are dropped by what they are."""
     root = Node("html", None)
@@ -190,7 +215,15 @@ def _measure(root: Node) -> list[Node]:
         stack += x.children
     order.reverse()
     for x in order:
-        own = sum(len("".join(p.split())) for p in x.parts if isinstance(p, str))
+        own, x.words, x.end = 0, sum(c.words for c in x.children), ""
+        for p in x.parts:
+            if isinstance(p, str):
+                words = p.split()
+                own += sum(map(len, words))
+                x.words += len(words)
+                x.end = words[-1][-8:] if words else x.end
+            elif not p.dropped and p.tag != "hr":
+                x.end = p.end or x.end
         x.chars = own + sum(c.chars for c in x.children)
         x.tags = sum(c.tags + 1 for c in x.children)
         x.link_chars = x.chars if x.tag == "a" else sum(c.link_chars for c in x.children)
@@ -214,8 +247,8 @@ def _path(x: Node):
         x = x.parent
 
 
-def _links(x: Node) -> bool:
-    return x.tag in ("div", "section", "ul", "ol", "table") and x.link_tags > 2 and x.link_chars > 0.8 * x.chars
+def _links(x: Node, most: int = 2) -> bool:
+    return x.tag in ("div", "section", "ul", "ol", "table") and x.link_tags > most and x.link_chars > 0.8 * x.chars
 
 
 def _unlinked(top: Node) -> Node:
@@ -270,17 +303,19 @@ def _chosen(root: Node) -> list[Node]:
     while all(len(p) > depth + 1 for p in paths) and len({id(p[depth]) for p in paths}) == 1 and len({id(p[depth + 1]) for p in paths}) == 1:
         depth += 1
     holder = paths[0][depth]
-    if len(marked) == 1:
-        own, up = marked[0], marked[0].parent
-        before = up.children[: up.children.index(own)] if up is not None else []
-        return [c for c in before[-2:] if c.tag in ("h1", "h2", "header", "hgroup")] + [own]
-    on = [i for i, c in enumerate(holder.children) if any(c is p[depth + 1] for p in paths if len(p) > depth + 1)]
+    heads = ("h1", "h2", "header", "hgroup")
+    if len(marked) == 1 and (up := marked[0].parent) is not None:
+        holder, on = up, [up.children.index(marked[0])]
+    else:
+        on = [i for i, c in enumerate(holder.children) if any(c is p[depth + 1] for p in paths if len(p) > depth + 1)]
     if not on:
         return [holder]
     first = min(on)
-    while first and holder.children[first - 1].tag in ("h1", "h2", "header", "hgroup"):
+    while first and holder.children[first - 1].tag in heads:
         first -= 1
-    return holder.children[first : max(on) + 1]
+    chosen = set(on)
+    # what stands between is the article's but for links, however few
+    return [c for i, c in enumerate(holder.children[first : max(on) + 1], first) if i in chosen or not _links(c, 0)]
 
 
 def blocks(nodes: list[Node]) -> list[str]:

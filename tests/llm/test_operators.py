@@ -723,6 +723,114 @@ def test_prose_in_an_article_stays_whatever_its_name():
     assert "Others have told" in text and "More" not in text
 
 
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<body><div>{}</div></body>"])
+@pytest.mark.parametrize("name", ["comments", "post-comments", "commentList", "newsletter", "newsletter-signup", "ad", "ad-slot top", "cookie-notice", "gdpr_consent", "notice", "sponsored", "share-buttons"])
+def test_kinds_of_blocks_go_wherever_they_stand(wrap, name):
+    """Also such as are longer than the article, and hold prose without links."""
+    own = '<h1>The mill</h1><div class="has-comments">' + PROSE + "</div>"
+    for n in (1, 8):
+        other = f'<div class="{name}">' + "<p>We like what was said here, and we have said so to our friends.</p>" * n + "</div>"
+        for page in (own + other, '<h1>The mill</h1><div>' + other + PROSE + "</div>"):
+            text = html_text.main_text(wrap.format(page))
+            assert text.count("The long river") == 4 and text.startswith("The mill") and "our friends" not in text
+
+
+def test_comments_as_articles_go():
+    text = html_text.main_text(f'<article><h1>The mill</h1>{PROSE}</article><section id="comments"><article class="comment">I was there, and it was just as they say it was.</article></section>')
+    assert text.count("The long river") == 4 and "I was there" not in text
+
+
+def test_few_links_between_parts_and_many_headings():
+    text = html_text.main_text(f"<div><h1>One</h1><h2>Two</h2><h2>Three</h2><div>{PROSE}</div><div><a href=x>Also read this</a> <a href=y>And that</a></div><div>{PROSE.replace('river', 'road')}</div></div>")
+    assert text.startswith("One\nTwo\nThree\n") and text.count("long road") == 4 and "Also read" not in text
+    assert html_text.main_text(f"<div><h1>One</h1><h2>Two</h2><h2>Three</h2><div>{PROSE}</div></div>").startswith("One\nTwo\nThree\n")
+
+
+def test_nested_hints_take_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    html_text.main_text("<article>" + "<div class=related>" * 4000 + "Some words of a sentence that is told here." + "</div>" * 4000)
+    assert time.process_time() - began < 0.5
+
+
+def plainly_chosen(root):
+    """Roots of the chosen subtrees by the formulas alone, each figure counted anew by walking the tree."""
+    every, walk = [], [root]
+    while walk:
+        x = walk.pop()
+        every.append(x)
+        walk += x.children
+
+    def under(x):
+        return [x, *(y for c in x.children for y in under(c))]
+
+    chars = lambda x: sum(len(re.sub(r"\s", "", p)) for y in under(x) for p in y.parts if isinstance(p, str))
+
+    def linked(x):
+        return chars(x) if x.tag == "a" else sum(linked(c) for c in x.children)
+
+    def density(x):
+        c = chars(x)
+        if not c:
+            return 0.0
+        t, lc, lt = max(len(under(x)) - 1, 1), max(linked(x), 1), max(sum(y.tag == "a" for y in under(x)[1:]), 1)
+        log = math.log(math.log(c / max(c - linked(x), 1) * linked(x) + linked(root) / max(chars(root), 1) * c + math.e))
+        ratio = math.log(c * t / (lc * lt))
+        return c / t * (ratio / log if log > 1e-9 else ratio / 1e-3)
+
+    score = {id(x): density(x) for x in every}
+    total = {id(x): sum(score[id(c)] for c in x.children) for x in every}
+    best = max(total.values())
+    top = [x for x in every if total[id(x)] > best - 1e-9]
+    x, least = top[0], math.inf
+    while x is not None:
+        x, least = x.parent, min(least, score[id(x)])
+    marked = set()
+    for x in every:
+        up = x
+        while up is not None and score[id(up)] >= least and chars(up):
+            up = up.parent
+        if up is None:
+            most = max(total[id(y)] for y in under(x))
+            marked.add(next(id(y) for y in under(x) if total[id(y)] > most - 1e-12))
+    kept = []
+    for x in every:
+        up, held = x.parent, False
+        while up is not None:
+            held, up = held or id(up) in marked, up.parent
+        if id(x) in marked and not held:
+            kept.append(x)
+    return top, kept
+
+
+def test_density_choice_against_its_definition():
+    pick, looked_at = random.Random(11), 0
+    words = lambda n: " ".join(pick.choice("stone water north letter garden".split()) for _ in range(n))
+
+    def part(depth):
+        kind = pick.random()
+        if depth == 0 or kind < 0.35:
+            return f"<p>{words(pick.randint(1, 40))}</p>"
+        if kind < 0.5:
+            return f"<div>{' '.join(f'<a>{words(2)}</a>' for _ in range(pick.randint(1, 5)))}</div>"
+        return f"<div>{''.join(part(depth - 1) for _ in range(pick.randint(1, 4)))}</div>"
+
+    for _ in range(150):
+        root = html_text.tree("".join(part(3) for _ in range(pick.randint(1, 4))))
+        top, kept = plainly_chosen(root)
+        if len(top) > 1 or html_text._measure(root)[-1].sum <= 0:
+            continue
+        got = html_text._chosen(root)
+        inside = lambda x, tops: any(y is t for t in tops for y in html_text._path(x))
+        assert all(inside(x, got) or any(inside(g, [x]) for g in got) for x in kept)
+        text = {id(t) for t in kept}
+        for g in got:  # anything else is a heading or stands between
+            assert any(inside(x, [g]) for x in kept) or inside(g, kept) or g.parent is not None and len(text) > 1
+        looked_at += 1
+    assert looked_at > 100
+
+
 def test_articles_side_by_side_stay():
     links = "<div>" + "<a href=x>Another story</a> " * 5 + "</div>"
     text = html_text.main_text(f"<body><div><article>{PROSE}{links}</article><article>{PROSE.replace('river', 'road')}</article></div></body>")
