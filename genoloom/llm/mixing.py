@@ -6,8 +6,8 @@ weight; offers are range-sorted by it over the whole table and the mix is cut wh
 budget. A source that runs dry leaves its share to the others in proportion to their weights, which is the
 target that ``level`` works out.
 
-Running sums never put one source, or the whole table, in one task: a queue is cut into ranges of the
-shuffle key, about ``ROWS`` documents each, and the global order into range partitions of which only the
+Running sums never put one source, or the whole table, in one task: queues are cut into ranges of (source, shuffle key, row), which
+no key that many rows share makes large, and the global order into range partitions of which only the
 one with the cut is looked at row by row. Sources are a table like any other, however many: their order is
 that of range partitions, and the common level of those below their cap is found by rounds of sums over them.
 To the driver go sums, and a row a partition.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from genoloom.llm import shared
 
 WORD = r"[^\x20\x09-\x0D]+"
-WEIGHTS, SHARE, CAP, ROWS = (3, 1, 2), 1.5, 2, 4096
+WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 
 
 def level(sources: DataFrame, budget: float, cap: int = CAP) -> float | None:
@@ -78,9 +78,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     most = level(sources, share * total, cap)
     whole = F.col("n").cast("double") * cap
     target = whole if most is None else F.least(whole, F.lit(most) * F.col("w"))
-    sources = sources.select("_source", "_s", F.col("n").alias("source_size"), target.alias("target"), F.col("w").alias("weight"), F.ceil(F.col("rows") / ROWS).alias("parts"))
+    sources = sources.select("_source", "_s", F.col("n").alias("source_size"), target.alias("target"), F.col("w").alias("weight"))
     own = slim.join(sources, slim["_source"].eqNullSafe(sources["_source"])).drop("_source")
-    own = own.withColumn("_part", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 4294967296.0 * F.col("parts")).cast("int"))
+    own = shared.written(own.repartitionByRange(parts, "_s", "key", "_rid").withColumn("_part", F.spark_partition_id()), "queues")
     before = own.groupBy("_s", "_part").agg(F.sum("size").alias("_n"))
     before = before.select("_s", "_part", (F.sum("_n").over(Window.partitionBy("_s").orderBy("_part")) - F.col("_n")).alias("_before"))
     queue = own.withColumn("_in", F.sum("size").over(Window.partitionBy("_s", "_part").orderBy("key", "_rid").rowsBetween(Window.unboundedPreceding, 0)))

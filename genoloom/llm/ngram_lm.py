@@ -36,7 +36,9 @@ from genoloom.llm.wordarrays import NOT_SPACE, mixed, segments
 FOLDS, HELD_OUT, RANGE, SCORED_BYTES, PENDING, SHARD_BYTES, MAPS = 7, 2, 1 << 17, 2 << 20, 1 << 18, 32 << 20, 4096
 #: So that unseen words keep a share in any corpus.
 LEAST_DISCOUNT = 0.05
-END = np.uint64(0x454E44)  # no word's hash but by chance, as any two
+END = np.uint64(0x454E44)  # a word with this hash clashes like any other two
+#: From a hash function to the one that checks it.
+CHECK = 1 << 20
 
 
 # Packed arrays
@@ -76,6 +78,47 @@ def runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *edges.tolist()], [*edges.tolist(), len(x)], strict=True))
 
 
+class Words:
+    """Counts words by their hash and a second hash, so that two words of one hash stay two and are found when shards are added up."""
+
+    def __init__(self, shard_of):
+        self.shard_of, self.pending, self.size = shard_of, [], 0
+        self.rows = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+
+    def add(self, keys: np.ndarray, checks: np.ndarray):
+        self.pending.append((keys, checks))
+        self.size += len(keys)
+        if self.size >= PENDING:
+            self.merge()
+        return len(self.rows[0]) >= 2 * PENDING
+
+    def merge(self):
+        new = [np.concatenate([x[j] for x in self.pending]) if self.pending else np.zeros(0, np.uint64) for j in (0, 1)]
+        self.rows = list(told_apart(*(np.concatenate([a, b]) for a, b in zip(self.rows, [*new, np.ones(len(new[0]), np.int64)], strict=True))))
+        self.pending, self.size = [], 0
+
+    def blobs(self):
+        self.merge()
+        shard = self.shard_of(self.rows[0])
+        order = np.argsort(shard, kind="stable")
+        (keys, checks, counts), shard = (x[order] for x in self.rows), shard[order]
+        self.rows = [x[:0] for x in self.rows]
+        for a, b in runs(shard):
+            yield int(shard[a]), pack(keys[a:b]), planes(counts[a:b].astype(np.uint64)) + planes(checks[a:b])
+
+
+def told_apart(keys: np.ndarray, checks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs of key and check, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, checks, counts = keys[order], checks[order], counts[order]
+    same = keys[1:] == keys[:-1]
+    if (same & (checks[1:] != checks[:-1])).any():  # hardly ever
+        order = np.lexsort((checks, keys))
+        keys, checks, counts = keys[order], checks[order], counts[order]
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], checks[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 class Tally:
     """Counts keys; ``blobs`` gives what there is by shard."""
 
@@ -267,40 +310,50 @@ def train(texts: DataFrame, at: str | None = None, shard_bytes: int = SHARD_BYTE
     bits = max(0, (-(-size // shard_bytes) - 1).bit_length())
     parts, top, hashed = 1 << bits, _top(bits), _hashed(bits)
 
-    def words(batches):
-        t = Tally(top)
-        for b in batches:
-            for seg in segments(b.column(0), NOT_SPACE):
-                if t.add(np.append(seg.hashes(), np.full(seg.n, END, np.uint64))):
-                    yield from _blob_batches(t.blobs())
-        yield from _blob_batches(t.blobs())
+    def words(salt):
+        def run(batches):
+            t = Words(top)
+            for b in batches:
+                for seg in segments(b.column(0), NOT_SPACE):
+                    ends = np.full(seg.n, END, np.uint64)
+                    if t.add(np.append(seg.hashes(salt), ends), np.append(seg.hashes(salt + CHECK), ends)):
+                        yield from _blob_batches(t.blobs())
+            yield from _blob_batches(t.blobs())
+
+        return run
 
-    def sums(name):
+    def sums(salt):
         def run(batches):
             for s, rows in _by_shard(batches):
-                k, c = added(np.concatenate([unpack(r[0]) for r in rows]), np.concatenate([unplanes(r[1], np.uint64) for r in rows]))
-                save(f"{at}/{name}-{s}", k, c)
-                yield _batch([(s, len(k), int(c.sum()))], ("shard", "n", "total"), (pa.int32(), pa.int64(), pa.int64()))
+                both = [(unplanes(r[1][: len(r[1]) // 2], np.uint64), unplanes(r[1][len(r[1]) // 2 :], np.uint64)) for r in rows]
+                k, _, c = told_apart(np.concatenate([unpack(r[0]) for r in rows]), np.concatenate([x[1] for x in both]), np.concatenate([x[0] for x in both]))
+                save(f"{at}/words-{salt}-{s}", k, c)
+                yield _batch([(s, len(k), int(c.sum()), int((k[1:] == k[:-1]).sum()))], ("shard", "n", "total", "clashes"), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))
 
         return run
 
-    # a row a shard
-    found = {r.shard: r for r in _merge(texts.mapInArrow(words, BLOBS), parts, sums("words"), "shard int, n long, total long").collect()}
+    salt = -1
+    while True:  # another function where two words have one hash, which is chance, a few times in 2^64 for each pair
+        salt += 1
+        # a row a shard
+        found = {r.shard: r for r in _merge(texts.mapInArrow(words(salt), BLOBS), parts, sums(salt), "shard int, n long, total long, clashes long").collect()}
+        if not any(r.clashes for r in found.values()):
+            break
     sizes = [found[s].n if s in found else 0 for s in range(1 << bits)]
     v, n = sum(sizes), sum(r.total for r in found.values())
-    model = {"at": at, "bits": bits, "words": sizes, "v": v, "n": n, "pairs": [0] * (1 << bits), "d": [0.0] * 3, "low": [0.0] * 3, "mass": 1.0, "types": 0}
+    model = {"at": at, "bits": bits, "salt": salt, "words": sizes, "v": v, "n": n, "pairs": [0] * (1 << bits), "d": [0.0] * 3, "low": [0.0] * 3, "mass": 1.0, "types": 0}
     if not n:
         return model
     if v + 1 >= 1 << 32:
         raise ValueError(f"{v} words are too many for pairs of 32-bit ids")
-    vocabulary = Shards(f"{at}/words", sizes, top)
+    vocabulary = Shards(f"{at}/words-{salt}", sizes, top)
 
     def pairs(batches):
         t = Tally(hashed)
         end = int(vocabulary.find(np.array([END]))[0][0])
         for b in batches:
             for seg in segments(b.column(0), NOT_SPACE, SCORED_BYTES):
-                u, back = np.unique(seg.hashes(), return_inverse=True)
+                u, back = np.unique(seg.hashes(salt), return_inverse=True)
                 own, context, _ = _tokens(seg, vocabulary.find(u)[0][back], end, v)
                 if t.add((context.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64)):
                     yield from _blob_batches(t.blobs())
@@ -364,7 +417,7 @@ def train(texts: DataFrame, at: str | None = None, shard_bytes: int = SHARD_BYTE
 class Scorer:
     def __init__(self, m: dict):
         self.m = m
-        self.words = Shards(f"{m['at']}/words", m["words"], _top(m["bits"]))
+        self.words = Shards(f"{m['at']}/words-{m['salt']}", m["words"], _top(m["bits"]))
         self.pairs = Shards(f"{m['at']}/pairs", m["pairs"], _hashed(m["bits"]))
         self.end = int(self.words.find(np.array([END]))[0][0]) if m["n"] else -1
 
@@ -379,7 +432,7 @@ class Scorer:
     def rows(self, seg):
         """For each row: tokens, known tokens, base score, score."""
         m = self.m
-        u, back = np.unique(np.append(seg.hashes(), END), return_inverse=True)
+        u, back = np.unique(np.append(seg.hashes(m["salt"]), END), return_inverse=True)
         place, count = self.words.find(u)
         own, context, first = _tokens(seg, place[back[:-1]], self.end, m["v"])
         times, _, _ = _tokens(seg, count[back[:-1]], int(count[back[-1]]), 0)

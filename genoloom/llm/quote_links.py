@@ -4,8 +4,8 @@ The lines of a message are read with their level of quotation (the number of lea
 level, cut at blank lines, are passages; passages and their single lines are hashed after lower-casing
 and joining white space. Quoted hashes are joined to those of what messages say themselves: to the earliest
 message with the passage in the same conversation before the reply, else to that of another conversation before it, if the passage has
-``least`` characters and at most ``origins`` conversations say it: what is short or said by many tells nothing of where
-it comes from. So a passage meets one message however many repeat it. A reply's parent is the message
+``least`` characters and at most ``origins`` messages of different texts say it: what is short, or said in many ways, tells nothing of where
+it comes from, while copies of one message count once and the earliest stands for them. So a passage meets one message however many repeat it. A reply's parent is the message
 that most of its least-nested quoted characters come from; without such a match it is the turn before in
 the conversation. Parents always come earlier in the order (conv_id, turn, place in the input), so there are
 no cycles; roots and depths are found by pointer doubling. A global range sort numbers the messages of each
@@ -79,14 +79,14 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     base = base.withColumn("_conv", F.struct(F.col("_c").isNull().alias("none"), F.coalesce("_c", "_id").alias("id")))
     m = shared.written(passages(base).drop("_text"), "messages")
     place = F.struct("_conv", F.col("_turn").isNull().alias("last"), "_turn", "_id").alias("_place")
-    each = m.select(place, "_conv", F.explode("_passages").alias("p")).select("_place", "_conv", "p.*")
+    each = m.select(place, "_conv", F.unhex(F.md5(_normal(F.col("_own")))).alias("_said"), F.explode("_passages").alias("p")).select("_place", "_conv", "_said", "p.*")
     said = each.filter("level = 0")
-    quoted = shared.written(each.filter("level > 0"), "quoted")
+    quoted = shared.written(each.filter("level > 0").drop("_said"), "quoted")
     if quoted.isEmpty():
         parents = None
     else:
         here = said.groupBy("hash", "_conv").agg(F.min("_place").alias("_here"))
-        anywhere = here.groupBy("hash").agg(F.min("_here").alias("_there"), F.count("*").alias("_origins")).filter(F.col("_origins") <= origins)
+        anywhere = said.groupBy("hash", "_said").agg(F.min("_place").alias("_there")).groupBy("hash").agg(F.min("_there").alias("_there"), F.count("*").alias("_origins")).filter(F.col("_origins") <= origins)
         found = quoted.join(here, ["hash", "_conv"], "left").join(anywhere, "hash", "left")
         near = F.when(F.col("_here") < F.col("_place"), F.col("_here"))
         found = found.withColumn("_to", F.coalesce(near, F.when((F.col("_there") < F.col("_place")) & (F.col("n") >= least), F.col("_there")))).filter("_to is not null")

@@ -11,6 +11,7 @@ import contextlib
 import ctypes
 import functools
 import os
+import re
 import tempfile
 import threading
 import uuid
@@ -39,7 +40,7 @@ def root(spark: SparkSession) -> str:
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="genoloom-")
         spark.sparkContext.setCheckpointDir(at)

@@ -12,7 +12,8 @@ What is learned comes from labelled rows whose ``crc32(doc_id) mod 4`` is not 2.
 toxic documents, each row's own label being left out when its own figures are made; those above ``LEAST`` are insults. Threats are a
 closed class of weight ``THREAT_WEIGHT``, or their log odds if more. A logistic regression makes scores of the figures.
 ``FIT_ROWS`` bounds the labelled rows that are used (those with the smallest MD5 of the id); a
-near copy counts once, by a MinHash of its shingles. ``LEXICON`` bounds the entries that are broadcast.
+near copy counts once, by a MinHash of its shingles. The lexicon has every entry that the
+fit rows support; their number (``FIT_ROWS``) alone bounds it.
 
 Defined results: null counts as empty; a text without matches, empty ones too, gets the score of the
 intercept; a row with a null id is not held out and has no label; of labels that repeat, the largest
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from genoloom.llm import shared
 
-FIT_ROWS, LEXICON, THRESHOLD, FOLDS, HELD_OUT = 20_000, 50_000, 0.3, 4, 2
+FIT_ROWS, THRESHOLD, FOLDS, HELD_OUT = 20_000, 0.3, 4, 2
 #: Prior weight of a count, the log odds from which an entry is an insult, and the weight of a threat.
 PRIOR, LEAST, THREAT_WEIGHT = 6.0, 1.8, 4.0
 BEGINNINGS = (4, 5, 6)
@@ -213,7 +214,7 @@ def held_out(id_col) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> dict:
-    """The model: lexicon, prior, weights. It has at most ``LEXICON`` entries."""
+    """The model: lexicon, prior, weights. Its size follows from ``fit_rows``."""
     shared.lean(docs.sparkSession)
     known = labels.select(labels[id_col].alias("id"), labels["toxic"].cast("int").alias("toxic")).filter("id is not null and toxic is not null")
     known = known.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.md5(F.col("id").cast("string"))).limit(fit_rows)
@@ -252,8 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not one or one == all_:
         return {"lexicon": {}, "prior": 0.5, "weights": None, "share": one / all_ if all_ else 0.5}
     prior = one / all_
-    table = table.filter(f"pos >= 2 and pos > {prior} * (pos + neg) * 2").orderBy(F.desc(F.col("pos") / (F.col("pos") + F.col("neg") + 2)), "entry").limit(LEXICON)
-    lexicon = {r.entry: (r.pos, r.neg) for r in table.collect()}
+    table = table.filter(f"pos >= 2 and pos > {prior} * (pos + neg) * 2")
+    lexicon = {r.entry: (r.pos, r.neg) for r in table.collect()}  # of fit_rows texts
     shared_lexicon = docs.sparkSession.sparkContext.broadcast((lexicon, prior))
 
     @shared.trims
@@ -280,7 +281,7 @@ def _scores(model: dict):
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON entries
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # entries of fit_rows texts
 
     @shared.trims
     def run(batches):
@@ -296,7 +297,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` below the threshold, with all their columns."""
     shared.lean(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON entries
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # entries of fit_rows texts
 
     def run(texts):
         of = _scores(sent.value)

@@ -377,7 +377,8 @@ def write_pages(pages: DataFrame, at: str, id_col: str = "page_id", url_col: str
     (null last, then the first in the input) is a response and the others revisit it. Null html is an empty payload."""
     register(pages.sparkSession)
     pages = shared.numbered(pages)
-    rid = F.concat(F.lit("urn:genoloom:page:"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(":"), F.col("_rid"))
+    # the id's bytes in hexadecimal digits, so that ids of any type come back; a null id has none and no x
+    rid = F.concat(F.lit("urn:genoloom:page:"), F.coalesce(F.concat(F.lit("x"), F.hex(F.col("_id").cast("string"))), F.lit("")), F.lit(":"), F.col("_rid"))
     base = pages.select(pages[shared.RID].alias("_rid"), pages[id_col].alias("_id"), pages[url_col].alias("target_uri"), F.coalesce(pages[html_col], F.lit("")).alias("payload"))
     base = base.withColumns({"_key": F.unhex(F.sha1("payload")), "_n": F.octet_length("payload"), "record_id": rid})
     first = base.groupBy("_key", "_n").agg(F.count("*").alias("_copies"), F.min(F.struct(F.col("_id").isNull(), "_id", "_rid", "record_id")).alias("_first"))
@@ -388,19 +389,21 @@ def write_pages(pages: DataFrame, at: str, id_col: str = "page_id", url_col: str
     rows.write.format("warc").mode(mode).options(**options).save(at)
 
 
-def read_pages(spark, at: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url; payloads of responses are verified."""
+def read_pages(spark, at: str, kind: str = "long") -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to; payloads of responses are verified. ``kind`` is the ids' type."""
     register(spark)
     t = spark.read.format("warc").option("verify", "true").schema("record_id string, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to string").load(at)
     t = t.filter(F.col("record_type").isin("response", "revisit"))
-    page = lambda c: F.nullif(F.split_part(c, F.lit(":"), F.lit(4)), F.lit("")).cast("long")
+    page = lambda c: F.decode(F.unhex(F.nullif(F.split_part(F.split_part(c, F.lit(":"), F.lit(4)), F.lit("x"), F.lit(2)), F.lit(""))), "utf-8")
+    page = lambda c, hexed=page: F.when(F.startswith(F.split_part(c, F.lit(":"), F.lit(4)), F.lit("x")), F.coalesce(hexed(c), F.lit(""))).cast(kind)
     return t.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
     at = shared.folder(spark, "warc")
-    write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), at)
-    return read_pages(spark, at)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    write_pages(pages, at)
+    return read_pages(spark, at, pages.schema["page_id"].dataType.simpleString())
 
 
 _BITS = "CASE h WHEN '0' THEN '0000' WHEN '1' THEN '0001' WHEN '2' THEN '0010' WHEN '3' THEN '0011' WHEN '4' THEN '0100' WHEN '5' THEN '0101' WHEN '6' THEN '0110' WHEN '7' THEN '0111' WHEN '8' THEN '1000' WHEN '9' THEN '1001' WHEN 'a' THEN '1010' WHEN 'b' THEN '1011' WHEN 'c' THEN '1100' WHEN 'd' THEN '1101' WHEN 'e' THEN '1110' ELSE '1111' END"

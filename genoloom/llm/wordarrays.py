@@ -52,7 +52,7 @@ def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0
     """64-bit hashes of spans of ``data``, mixed after each eight bytes; spans of more than ``LONG`` bytes by XXH3. Another ``salt``
     is another function."""
     length = ends - starts
-    out = mixed(length.astype(np.uint64) + np.uint64(salt) * _ODD)
+    out = mixed(length.astype(np.uint64) + np.uint64(salt * int(_ODD) % (1 << 64)))
     buffer = np.concatenate([data, np.zeros(8, np.uint8)])
     wide = np.ndarray(len(data) + 1, "<u8", buffer, strides=(1,))
     at, j = np.flatnonzero(length <= LONG), 0

@@ -11,7 +11,7 @@ from cases import DOCS, frame, saved
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from genoloom.llm import decontaminate, exact_dedup, html_text, minhash, mixing, ngram_lm, periodic_runs, queries, quote_links, shared, simhash, token_counts, toxicity, warc
+from genoloom.llm import decontaminate, exact_dedup, html_text, minhash, mixing, ngram_lm, periodic_runs, queries, quote_links, shared, simhash, token_counts, toxicity, warc, wordarrays
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,7 +49,7 @@ def test_warc_round_trip_of_odd_pages(spark, tmp_path):
         full = spark.read.format("warc").load(at)
         assert {bytes(r.payload).decode() for r in full.filter("record_type = 'response'").collect()} == {"<p>x", "", "WARC/1.1\r\n\r\né" * 9}
         assert [r.target_uri for r in full.filter("record_type = 'revisit' and target_uri like 'http%'").collect()] == ["http://a%20b/%0A"]
-        assert full.filter("record_id like 'urn:genoloom:page:5%'").count() == 2
+        assert full.filter("record_id like 'urn:genoloom:page:x35%'").count() == 2
     at = f"file://{tmp_path}/empty"
     warc.write_pages(df.limit(0), at)
     assert warc.read_pages(spark, at).count() == 0
@@ -247,9 +247,76 @@ def test_mixing(spark, tmp_path):
     assert mixed.count() == offers.select("_rid").distinct().count()
 
 
+def test_mixing_of_rows_with_one_id(spark, tmp_path, monkeypatch):
+    """Nulls, or one id, on every row: their ranges stay small, and the mix is as whole as any."""
+    seen, written = {}, shared.written
+
+    def noted(df, name):
+        out = written(df, name)
+        seen.setdefault(name, out)
+        return out
+
+    monkeypatch.setattr(shared, "written", noted)
+    at = f"file://{tmp_path}/d"
+    spark.range(0, 20_000, 1, 4).selectExpr("CAST(IF(id % 2 = 0, NULL, 7) AS LONG) AS doc_id", "concat_ws(' ', 'a', 'b', id) AS text", "'s' AS source").write.parquet(at)
+    docs = spark.read.parquet(at)
+    out, offers = mixing.mix(docs)
+    rows = out.collect()
+    queues = seen["queues"]
+    seen.clear()
+    assert len(rows) == 20_000 and sum(r.taken for r in rows) == 90_000 and {r.taken for r in rows} == {3, 6}
+    assert sorted((str(r.doc_id), r.taken) for r in mixing.mix(docs)[0].collect()) == sorted((str(r.doc_id), r.taken) for r in rows)
+    assert max(r["count"] for r in queues.groupBy("_part").count().collect()) < 10_000
+
+
 # 6
 
 
+def thue_morse(k):
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_one_polynomial_hash_differ(spark):
+    """Such pairs have equal hashes under any polynomial modulo 2^64."""
+    for k in (3, 6, 9, 10, 11, 12):
+        a, b = thue_morse(k)
+        model = ngram_lm.train(spark.createDataFrame([(a,), (a,)], "text string"))
+        got = {r.doc_id: r.n_known for r in ngram_lm.score(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string"), model).collect()}
+        assert got == {1: 2, 2: 1} and model["v"] == 2
+
+
+def test_hashes_mix_every_byte():
+    rng = np.random.default_rng(4)
+    words = {bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) for n in rng.integers(1, 40, 20_000)} | {b"x" * n for n in range(1, 600)}
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    for salt in (0, 1, ngram_lm.CHECK):
+        h = wordarrays.Segment(0, data, np.array([0, len(data)]), wordarrays.NOT_SPACE).hashes(salt)
+        assert len(np.unique(h)) == len(words)
+        bits = np.unpackbits(h.view(np.uint8)).reshape(-1, 64).mean(axis=0)
+        assert bits.min() > 0.47 and bits.max() < 0.53
+
+
+def test_clashing_words_take_another_hash(spark, monkeypatch):
+    """Words are found to share a hash when counts are added up, and the model is as without the clash."""
+
+    def clashing(*a):
+        from genoloom.llm.wordarrays import segments
+
+        for seg in segments(*a):
+            real = seg.hashes
+            seg.hashes = lambda salt=0, real=real: real(salt) & np.uint64(1) if salt == 0 else real(salt)
+            yield seg
+
+    monkeypatch.setattr(ngram_lm, "segments", clashing)
+    rows = [("one two two",), ("three one",)]
+    df = spark.createDataFrame(rows, "text string").coalesce(1)
+    model = ngram_lm.train(df)
+    assert (model["salt"], model["v"], model["n"]) == (1, 4, 7)
+
+
 def test_language_model_against_plain_counts(spark):
     rows = [(i, t) for i, t, _ in DOCS if i != 7] + [(7, "a b " * 500)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -397,7 +464,7 @@ def linked_by_hand(rows, least, origins):
     """(conv, turn, place) of each message's parent, by looking at all messages before it. Rows in the order of conversations."""
     marks, by = re.compile(r"^(?:[ \t]*>)+"), re.compile(quote_links.ATTRIBUTION)
     norm = lambda t: re.sub(r"\s+", " ", t.lower()).strip(" ")
-    parsed = []
+    parsed, own = [], []
     for conv, turn, _, text in rows:
         lines = [((m := marks.match(x)) and m[0].count(">") or 0, marks.sub("", x).strip(" ") if marks.match(x) else x.rstrip(" ")) for x in re.split(r"\r\n?|\n", text or "")]
         lines = [x for i, x in enumerate(lines) if not (by.match(x[1]) and i + 1 < len(lines) and lines[i + 1][0] == x[0] + 1)]
@@ -410,6 +477,7 @@ def linked_by_hand(rows, least, origins):
             if i + 1 == len(lines) or lines[i + 1][0] != level or t == "":
                 found.add((level, " ".join(x for x in run if x)))
         parsed.append({x for x in found if x[1]})
+        own.append(norm("\n".join(x for level, x in lines if not level).strip()))
     says = defaultdict(list)
     for i, found in enumerate(parsed):
         for level, t in found:
@@ -421,7 +489,7 @@ def linked_by_hand(rows, least, origins):
         for level, t in parsed[i]:
             if level:
                 near = [j for j in says[t] if rows[j][0] == conv]
-                to = near[0] if near and near[0] < i else says[t][0] if says[t] and says[t][0] < i and len(t) >= least and len({rows[j][0] for j in says[t]}) <= origins else None
+                to = near[0] if near and near[0] < i else says[t][0] if says[t] and says[t][0] < i and len(t) >= least and len({own[j] for j in says[t]}) <= origins else None
                 if to is not None:
                     votes[level, to] += len(t)
         best = max(votes, key=lambda k: (-k[0], votes[k], -k[1]), default=None)
@@ -464,11 +532,19 @@ def test_quotes_are_linked_as_by_hand(spark, seed):
 
 def test_short_and_common_passages_stay_in_their_conversation(spark):
     long = "this sentence is said once and long enough to be known again"
-    rows = [(1, 0, "user", "Thanks!"), (1, 1, "user", long), (2, 0, "user", "hello"), (2, 1, "user", "> Thanks!\nwelcome"), (3, 0, "user", f"> {long}\nyes"), (4, 0, "user", "a common line that people say very often"), (5, 0, "user", "a common line that people say very often"), (6, 0, "user", "> a common line that people say very often\nno")]
+    rows = [(1, 0, "user", "Thanks!"), (1, 1, "user", long), (2, 0, "user", "hello"), (2, 1, "user", "> Thanks!\nwelcome"), (3, 0, "user", f"> {long}\nyes"), (4, 0, "user", "a common line that people say very often\n\nand more"), (5, 0, "user", "a common line that people say very often"), (6, 0, "user", "> a common line that people say very often\nno")]
     got = {(r.conv_id, r.turn): (r.parent_conv_id, r.parent_turn, r.link) for r in quote_links.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got[2, 1] == (2, 0, "turn") and got[3, 0] == (1, 1, "quote") and got[6, 0] == (None, None, "root")
 
 
+def test_copies_of_a_message_are_one_origin(spark):
+    """Whatever the case and white space; a quotation in a copy says nothing of it."""
+    long = "this sentence is said more than once and is long enough to be known"
+    rows = [(1, 0, "user", long), (2, 0, "user", long), (2, 1, "user", f"> other words that nobody said before\n\n{long.upper()} "), (3, 0, "user", f"> {long}\nyes")]
+    got = {(r.conv_id, r.turn): (r.parent_conv_id, r.parent_turn, r.link) for r in quote_links.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[3, 0] == (1, 0, "quote") and got[2, 0] == (None, None, "root")
+
+
 # 9
 
 PAGES = [
@@ -603,6 +679,9 @@ def test_ids_of_any_type(spark, tmp_path):
     bench = spark.createDataFrame([("x", "three")], "item_id string, text string")
     assert sorted((str(r.doc_id), r.n_items) for r in decontaminate.contamination(docs, bench).collect()) == [("None", 0), ("a", 0), ("a", 1), ("b", 1)]
     assert {r.doc_id for r in token_counts.token_counts(docs).collect()} == {"a", "b", None}
+    pages = spark.createDataFrame([("a:b", "u", "<p>x"), ("", "u", "<p>x"), (None, "u", "<p>y"), ("ü", "u", "<p>x")], "page_id string, url string, html string")
+    warc.write_pages(pages, f"file://{tmp_path}/w")
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.read_pages(spark, f"file://{tmp_path}/w", "string").collect()) == [("", "response", None), ("None", "response", None), ("a:b", "revisit", ""), ("ü", "revisit", "")]
     void = docs.select("doc_id", "text", F.lit(None).alias("source"))
     assert mixing.mix(void)[0].agg(F.sum("taken")).first()[0] > 0
 
@@ -793,7 +872,7 @@ def plainly_chosen(root):
             up = up.parent
         if up is None:
             most = max(total[id(y)] for y in under(x))
-            marked.add(next(id(y) for y in under(x) if total[id(y)] > most - 1e-12))
+            marked.add(next(id(y) for y in under(x) if total[id(y)] >= most))
     kept = []
     for x in every:
         up, held = x.parent, False
