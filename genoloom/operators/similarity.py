@@ -1,6 +1,7 @@
 """Near-identity dedup and all-against-all search of proteins.
 
-Candidates come from seeds joined on equality; each candidate pair is aligned once, many at a time, in an Arrow function.
+Candidates come from seeds joined on equality. Each candidate pair is looked at once, in stages that cost more and leave fewer: edit distance by bit
+vectors, or a stretch without gaps; then a band of the alignment; then its path. All work on many pairs at a time in Arrow functions.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from genoloom import schemas
 from genoloom.storage import checkpoint, drop
 
 IDENTITY, LENGTH_RATIO, K, EVALUE, TARGETS = 0.98, 0.98, 12, 1e-6, 2000
+#: Diagonals that seeds of one stretch may lie apart, the score without gaps that a pair must reach, and what its band has on either side.
+SPREAD, TRIGGER, PAD = 16, 30, 24
 
 
 def kmers(seqs: DataFrame, k: int = 5, keep: str = "gene_id") -> DataFrame:
@@ -68,21 +71,32 @@ def minimizers(seqs: DataFrame, k: int, window: int) -> DataFrame:
     return seqs.select("ord", "aa").mapInArrow(run, "ord long, seed long")
 
 
-def _identities(pairs: DataFrame) -> DataFrame:
-    """Adds identity, identical residues over the shorter length, to (a, b, aa_a, aa_b)."""
+def _identities(pairs: DataFrame, identity: float = IDENTITY) -> DataFrame:
+    """(a, b, identity) of (a, b, aa_a, aa_b), identical residues over the shorter length, where it may reach ``identity``.
+
+    With ``same`` identical residues the edit distance is at most what either has besides. Pairs beyond that bound go
+    first, and all others are aligned in a band of its width.
+    """
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        from genoloom.functions.alignment import aligned
+        from genoloom.functions import banded
 
         for b in batches:
-            out = []
-            x, y = ([s.encode() for s in b.column(c).to_pylist()] for c in (2, 3))
-            for k in range(0, len(x), 64):
-                for (_, path), p, q in zip(aligned(list(zip(x[k : k + 64], y[k : k + 64], strict=True))), x[k:], y[k:], strict=False):
-                    out.append(sum(i >= 0 and j >= 0 and p[i] == q[j] for i, j in path) / min(len(p), len(q)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["a", "b", "identity"])
+            every = [(x.encode(), y.encode()) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            short = np.array([min(len(x), len(y)) for x, y in every])
+            most = np.array([len(x) + len(y) for x, y in every]) - 2 * np.ceil(identity * short - 1e-9).astype(np.int64)
+            order, near = np.argsort(short, kind="stable"), np.zeros(len(every), bool)
+            for k in range(0, len(order), 1024):
+                own = order[k : k + 1024]
+                near[own] = banded.edit_distances([every[i] for i in own]) <= most[own]
+            at = np.flatnonzero(near)
+            found = banded.aligned([every[i] for i in at], [(-int(most[i]) - 1, int(most[i]) + 1) for i in at])
+            out = [sum(i >= 0 and j >= 0 and every[p][0][i] == every[p][1][j] for i, j in path) / short[p] for p, (_, path) in zip(at.tolist(), found, strict=True)]
+            at = pa.array(at)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(out, pa.float64())], names=["a", "b", "identity"])
 
     return pairs.select("a", "b", "aa_a", "aa_b").mapInArrow(run, "a long, b long, identity double")
 
@@ -110,7 +124,7 @@ def near_identical(seqs: DataFrame, identity: float = IDENTITY, ratio: float = L
     one = seqs.groupBy("aa").agg(F.min_by("gene_id", "seq_ord").alias("gene_id"), F.min("seq_ord").alias("seq_ord"))
     one = checkpoint(one.withColumn("ord", F.col("seq_ord")))
     rank = one.select("ord", F.struct((-F.length("aa")).alias("l"), "ord").alias("rank"))
-    edges = _identities(_candidates(one, one, identity, ratio, True)).filter(F.col("identity") >= identity)
+    edges = _identities(_candidates(one, one, identity, ratio, True), identity).filter(F.col("identity") >= identity)
     both = edges.select("a", "b", "identity").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "identity"))
     both = both.join(rank.withColumnsRenamed({"ord": "a", "rank": "ra"}), "a").join(rank.withColumnsRenamed({"ord": "b", "rank": "rb"}), "b")
     edges = checkpoint(both.filter("ra < rb").select("a", "b", "identity"))  # a comes before b
@@ -136,40 +150,104 @@ def matched_to(new: DataFrame, reps: DataFrame, identity: float = IDENTITY, rati
     """((rep_id, member_id, member_ord), unmatched rows of ``new``): new sequences to their most similar saved representative."""
     n, r = new.withColumn("ord", F.col("seq_ord")), checkpoint(reps.withColumn("ord", F.col("seq_ord")))
     n = checkpoint(n)
-    found = _identities(_candidates(n, r, identity, ratio, False)).filter(F.col("identity") >= identity)
+    found = _identities(_candidates(n, r, identity, ratio, False), identity).filter(F.col("identity") >= identity)
     best = checkpoint(found.groupBy("a").agg(F.max_by("b", F.struct("identity", -F.col("b"))).alias("b")))
     members = best.join(n.select(F.col("ord").alias("a"), F.col("gene_id").alias("member_id")), "a").join(r.select(F.col("ord").alias("b"), F.col("gene_id").alias("rep_id")), "b")
     return members.select("rep_id", "member_id", F.col("a").alias("member_ord")), n.join(best.select(F.col("a").alias("ord")), "ord", "left_anti").drop("ord")
 
 
-def search(queries: DataFrame, targets: DataFrame, evalue: float = EVALUE, k: int = 5, shared: int = 2, best: int = TARGETS) -> DataFrame:
-    """Hits of every query against every target that shares at least ``shared`` words of ``k`` residues (gene_id, aa)."""
-    from genoloom.operators.hits import best_targets
+def seeds(seqs: DataFrame, k: int = 5, mask: bool = True) -> DataFrame:
+    """(ord, pos, word): the words of ``k`` residues, 8 at most, of each sequence (ord, aa). With ``mask`` those that touch a
+    stretch of low complexity are left out, as such stretches are alike in proteins that have nothing else in common."""
+    if not 0 < k <= 8:
+        raise ValueError("words of 1 to 8 residues")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from genoloom.functions.banded import low_complexity
+
+        for b in batches:
+            who, places, words = [], [], []
+            for o, aa in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer((text := aa.encode()), np.uint8).astype(np.int64)
+                n = len(x) - k + 1
+                if n <= 0:
+                    continue
+                word, keep = np.zeros(n, np.int64), np.ones(n, bool)
+                low = low_complexity(text) if mask else np.zeros(len(x), bool)
+                for j in range(k):
+                    word = word << 8 | x[j : n + j]
+                    keep &= ~low[j : n + j]
+                at = np.flatnonzero(keep)
+                who.append(np.full(len(at), o))
+                places.append(at)
+                words.append(word[at])
+            cat = lambda xs: np.concatenate(xs).astype(np.int64) if xs else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cat(who)), pa.array(cat(places).astype(np.int32)), pa.array(cat(words))], names=["ord", "pos", "word"])
 
-    database = targets.agg(F.sum(F.length("aa"))).first()[0] or 0
-    q, t = kmers(queries, k).withColumnRenamed("gene_id", "q"), kmers(targets, k).withColumnRenamed("gene_id", "s")
-    pairs = q.join(t, "kmer").groupBy("q", "s").agg(F.count("*").alias("n")).filter(F.col("n") >= shared).select("q", "s")
-    pairs = pairs.join(queries.select(F.col("gene_id").alias("q"), F.col("aa").alias("qa")), "q").join(targets.select(F.col("gene_id").alias("s"), F.col("aa").alias("sa")), "s")
+    return seqs.select("ord", "aa").mapInArrow(run, "ord long, pos int, word long")
+
+
+def _extended(shared: int, database: int, evalue: float, both: bool):
+    """For batches of (q, s, qa, sa, diagonals): the hits. Seeds that lie on near diagonals are extended without gaps; a pair whose best
+    stretch reaches ``TRIGGER`` is scored in a band about its diagonals, and only one that counts gets its path."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        from genoloom.functions.alignment import aligned, hit
+        from genoloom.functions import banded
+        from genoloom.functions.alignment import LAMBDA, K as KARLIN, hit
 
         names = [c.split()[0] for c in schemas.HITS.split(", ")]
         kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
         types = [kinds[c.split()[1]] for c in schemas.HITS.split(", ")]
         for b in batches:
-            rows = sorted(zip(*(b.column(c).to_pylist() for c in range(4)), strict=True), key=lambda r: (len(r[2]), len(r[3])))
+            rows, pairs, bands = [], [], []
+            for k in range(b.num_rows):
+                ds = b.column(4)[k].values
+                d, n = ds.field("d").to_numpy(), ds.field("n").to_numpy()
+                order = np.argsort(d)
+                d, total = d[order], np.concatenate([[0], np.cumsum(n[order])])
+                near = total[np.searchsorted(d, d + SPREAD, "right")] - total[np.searchsorted(d, d - SPREAD, "left")]
+                d = d[near >= shared]
+                if not len(d):
+                    continue
+                x, y = b.column(2)[k].as_py().encode(), b.column(3)[k].as_py().encode()
+                u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                if max(banded.ungapped(u, v, e) for e in d.tolist()) >= TRIGGER:
+                    rows.append(k)
+                    pairs.append((x, y))
+                    bands.append((int(d[0]) - SPREAD - PAD, int(d[-1]) + SPREAD + PAD))
+            at = [i for i, (score, _) in enumerate(banded.aligned(pairs, bands, paths=False)) if KARLIN * min(map(len, pairs[i])) * database * math.exp(-LAMBDA * score) <= evalue]
             out = []
-            for at in range(0, len(rows), 64):
-                own = rows[at : at + 64]
-                pairs = [(x.encode(), y.encode()) for _, _, x, y in own]
-                for (qid, sid, _, _), (x, y), (score, path) in zip(own, pairs, aligned(pairs), strict=True):
-                    if path:
-                        h = hit(x, y, score, path, database)
-                        if h[8] <= evalue:
-                            out.append((qid, sid, *h, len(x), len(y)))
+            for i, (score, path) in zip(at, banded.aligned([pairs[i] for i in at], [bands[i] for i in at]), strict=True):
+                q, t = (b.column(c)[rows[i]].as_py() for c in (0, 1))
+                x, y = pairs[i]
+                sides = [(q, t, x, y, path)] + [(t, q, y, x, [(j, i) for i, j in path])] * (both and q != t)
+                for qid, sid, x, y, way in sides:
+                    h = hit(x, y, score, way, database)
+                    if h[8] <= evalue:
+                        out.append((qid, sid, *h, len(x), len(y)))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=names)
 
-    return best_targets(pairs.select("q", "s", "qa", "sa").mapInArrow(run, schemas.HITS), best)
+    return run
+
+
+def search(queries: DataFrame, targets: DataFrame, evalue: float = EVALUE, k: int = 5, shared: int = 2, best: int = TARGETS, mask: bool = True) -> DataFrame:
+    """Hits of every query against every target (gene_id, aa), by local alignment of pairs that share at least ``shared`` words of
+    ``k`` residues on diagonals no more than ``SPREAD`` apart. A table against itself has each pair aligned once, for both sides."""
+    from genoloom.operators.hits import best_targets
+
+    both = queries is targets
+    t = checkpoint(targets.select(F.monotonically_increasing_id().alias("ord"), "gene_id", "aa"))
+    q = t if both else checkpoint(queries.select(F.monotonically_increasing_id().alias("ord"), "gene_id", "aa"))
+    database = t.agg(F.sum(F.length("aa"))).first()[0] or 0
+    x, y = (seeds(own, k, mask).withColumnsRenamed({"ord": c, "pos": f"p{c}"}) for own, c in ((q, "a"), (t, "b")))
+    met = x.join(y, "word")
+    met = (met.filter("a <= b") if both else met).groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("d")).agg(F.count("*").cast("int").alias("n"))
+    met = met.groupBy("a", "b").agg(F.sum("n").alias("all"), F.collect_list(F.struct("d", "n")).alias("ds")).filter(F.col("all") >= shared)
+    met = met.join(q.select(F.col("ord").alias("a"), F.col("gene_id").alias("q"), F.col("aa").alias("qa")), "a").join(t.select(F.col("ord").alias("b"), F.col("gene_id").alias("s"), F.col("aa").alias("sa")), "b")
+    return best_targets(met.select("q", "s", "qa", "sa", "ds").mapInArrow(_extended(shared, database, evalue, both), schemas.HITS), best)

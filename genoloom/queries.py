@@ -483,6 +483,29 @@ def dedup_98(spark, sf):
     return similarity.near_identical(_proteins(spark, sf))
 
 
+def _uneven_proteins(spark, sf):
+    """The same with a residue more in each third part of eight, and one less in each fifth."""
+    p, k, aa = _proteins(spark, sf), F.col("seq_ord") % 8, F.col("aa")
+    return p.withColumn("aa", F.when(k == 3, F.concat(F.substring(aa, 1, 60), F.lit("W"), F.substring(aa, 61, 60))).when(k == 5, F.concat(F.substring(aa, 1, 20), F.substring(aa, 22, 100))).otherwise(aa))
+
+
+# the longest of eight comes first, and has them all
+_UNEVEN = "l AS (SELECT p_partkey AS k, p_partkey // 8 AS f, CASE p_partkey % 8 WHEN 3 THEN 0 WHEN 5 THEN 2 ELSE 1 END AS o FROM part), g AS (SELECT k, first_value(k) OVER (PARTITION BY f ORDER BY o, k) AS rep, count(*) OVER (PARTITION BY f) AS n FROM l)"
+
+
+@query(f"WITH {_UNEVEN} SELECT 's-c-' || rep AS rep_id, CASE WHEN n > 1 THEN 's-c-' || k END AS member_id, CASE WHEN n > 1 THEN k END AS member_ord FROM g WHERE n = 1 OR k <> rep")
+def dedup_98_uneven(spark, sf):
+    """Near-identical proteins of different lengths."""
+    return similarity.near_identical(_uneven_proteins(spark, sf))
+
+
+@query("SELECT 's-c-' || (p_partkey // 8 * 8) AS rep_id, 's-c-' || p_partkey AS member_id, p_partkey AS member_ord FROM part WHERE p_partkey % 8 <> 0")
+def matched_98_uneven(spark, sf):
+    """New proteins, some longer or shorter by a residue, to their saved representatives."""
+    p = _uneven_proteins(spark, sf)
+    return similarity.matched_to(p.filter("seq_ord % 8 <> 0"), p.filter("seq_ord % 8 = 0"))[0]
+
+
 @query(f"WITH {_GROUPS} SELECT 's-c-' || rep AS rep_id, 's-c-' || k AS member_id, k AS member_ord FROM g WHERE rep % 8 = 0 AND k % 8 <> 0")
 def matched_98(spark, sf):
     """New proteins to their saved representatives."""
