@@ -2,57 +2,123 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from genoloom.functions.sequences import back_translate
+from genoloom.storage import checkpoint
 
 
-def _star(names: list[str], seqs: list[str], protein: bool) -> list[str]:
-    """Every sequence globally aligned to the longest (the first among equals); gaps of all are merged."""
-    from genoloom.functions import alignment as al
-
-    centre = max(range(len(seqs)), key=lambda i: (len(seqs[i]), -i))
-    c = seqs[centre].encode()
-    scores, cost = (al.SCORES, (al.OPEN, al.EXTEND)) if protein else (al.identity_matrix(), (4, 1))
-    others = [i for i in range(len(seqs)) if i != centre]
-    paths = {}
-    for k in range(0, len(others), 16):
-        own = others[k : k + 16]
-        for i, (_, path) in zip(own, al.aligned([(c, seqs[i].encode()) for i in own], False, scores, *cost), strict=True):
-            paths[i] = path
-    room = [0] * (len(c) + 1)  # gaps before each place of the centre
-    for path in paths.values():
-        at = run = 0
-        for i, _ in path:
-            run = run + 1 if i < 0 else 0
-            at = i + 1 if i >= 0 else at
-            if run:
-                room[at] = max(room[at], run)
-    out = []
-    for n, s in enumerate(seqs):
-        path = paths.get(n) or [(i, i) for i in range(len(c))]
-        row, at, extra = [], 0, []
-        for i, j in path:
-            if i < 0:
-                extra.append(s[j])
-            else:
-                row.append("".join(extra).ljust(room[at], "-"))
-                extra = []
-                row.append(s[j] if j >= 0 else "-")
-                at = i + 1
-        row.append("".join(extra).ljust(room[at], "-"))
-        out.append("".join(row))
-    return out
+#: Profiles that a task aligns along one tree.
+GROUP = 64
+_NODE = "family string, node long, data binary, whole boolean, h1 long, h2 long"
 
 
-def family_alignments(genes: DataFrame, protein: bool = True) -> DataFrame:
-    """(family, gene_id, aligned) of (family, gene_id, seq); a family is a task, as its alignment is."""
+def _sketched(seqs: DataFrame, protein: bool) -> DataFrame:
+    """Nodes of the first level: a row for each different sequence (family, node, seq)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        from genoloom.functions import profiles
+
+        k = profiles.kind(protein)[3]
+        for b in batches:
+            marks = [profiles.sketch(profiles.words(profiles.profile(s), k)) for s in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).cast(pa.binary()), pa.array([False] * b.num_rows), *(pa.array([m[j] for m in marks], pa.int64()) for j in (0, 1))], names=["family", "node", "data", "whole", "h1", "h2"])
+
+    return seqs.select("family", "node", "seq").mapInArrow(run, _NODE)
+
+
+def _grouped(nodes: DataFrame) -> DataFrame:
+    """Adds group, of at most ``GROUP`` nodes of a family that are near in the order of their sketches. Ranks come from ranges of the
+    order and the sizes of the ranges before, so that no family is in one task."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["h1", "h2", "node"]
+    keys = checkpoint(nodes.select("family", *order).repartitionByRange(parts, "family", *order).withColumn("part", F.spark_partition_id()))
+    keys = keys.withColumn("at", F.row_number().over(Window.partitionBy("family", "part").orderBy(*order)))
+    sizes = keys.groupBy("family", "part").agg(F.count("*").alias("n"))
+    before = sizes.select("family", "part", (F.sum("n").over(Window.partitionBy("family").orderBy("part")) - F.col("n")).alias("before"))
+    rank = keys.join(before, ["family", "part"]).select("family", "node", F.floor((F.col("at") + F.col("before") - 1) / GROUP).alias("group"))
+    return nodes.join(rank, ["family", "node"])
 
-    def run(pdf):
-        pdf = pdf.sort_values("gene_id")
-        return pdf.assign(aligned=_star(pdf.gene_id.tolist(), pdf.seq.tolist(), protein))[["family", "gene_id", "aligned"]]
 
-    return genes.select("family", "gene_id", "seq").groupBy("family").applyInPandas(run, "family string, gene_id string, aligned string")
+def _aligned_groups(nodes: DataFrame, protein: bool) -> DataFrame:
+    """Of each group: a row (``up`` null) with its profile, and a row for each of its nodes with the places of its columns in that."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        from genoloom.functions import profiles
+
+        t = table.sort_by("node")
+        own = [np.frombuffer(d, np.float32).reshape(-1, profiles.LETTERS) if whole else profiles.profile(d.decode()) for d, whole in zip(t["data"].to_pylist(), t["whole"].to_pylist(), strict=True)]
+        done, places = profiles.progressive(own, protein)
+        h1, h2 = profiles.sketch(profiles.words(done, profiles.kind(protein)[3]))
+        nodes_, n = t["node"].to_pylist(), len(own)
+        return pa.table({
+            "family": [t["family"][0].as_py()] * (n + 1), "node": [nodes_[0], *nodes_], "up": pa.array([None, *[nodes_[0]] * n], pa.int64()),
+            "data": pa.array([done.tobytes(), *[p.astype(np.int32).tobytes() for p in places]], pa.binary()), "whole": pa.array([True] * (n + 1)), "h1": pa.array([h1] + [None] * n, pa.int64()), "h2": pa.array([h2] + [None] * n, pa.int64()),
+        })
+
+    schema = "family string, node long, up long, data binary, whole boolean, h1 long, h2 long"
+    return nodes.groupBy("family", "group").applyInArrow(run, schema)
+
+
+def family_alignments(genes: DataFrame, protein: bool = True) -> DataFrame:
+    """(family, gene_id, aligned) of (family, gene_id, seq), by progressive alignment.
+
+    Equal sequences of a family are one. Level by level, groups of at most ``GROUP`` near sequences, or profiles of groups, are
+    aligned along a tree of their word distances, each group by a task, until a family has one profile. Each level keeps the places of its
+    columns in the next, and a gene's row follows from those alone.
+    """
+    genes = genes.select("family", "gene_id", "seq")
+    seqs = checkpoint(genes.select("family", "seq").distinct().withColumn("node", F.monotonically_increasing_id()))
+    nodes, levels = checkpoint(_sketched(seqs, protein)), []
+    while True:
+        several = nodes.groupBy("family").count().filter("count > 1").select("family")
+        open_ = nodes.join(several, "family", "left_semi")
+        if open_.isEmpty():
+            break
+        done = checkpoint(_aligned_groups(_grouped(open_), protein))
+        levels.append(done.filter("up IS NOT NULL").select("family", F.col("node").alias("at"), "up", F.col("data").alias("to")))
+        nodes = done.filter("up IS NULL").select("family", "node", "data", "whole", "h1", "h2").unionByName(nodes.join(several, "family", "left_anti"))
+    rows = seqs.select("family", "seq", "node", F.col("node").alias("at"), F.lit(None).cast("binary").alias("places"))
+    for level in levels:
+        both = rows.join(level, ["family", "at"], "left")
+        rows = checkpoint(both.select("family", "seq", "node", F.coalesce("up", "at").alias("at"), "places", "to").mapInArrow(_composed, "family string, seq string, node long, at long, places binary"))
+    # as many columns as a family's last profile has, or its one sequence
+    width = F.when(F.col("whole"), F.octet_length("data") / (4 * 27)).otherwise(F.char_length(F.decode("data", "utf-8"))).cast("int")
+    laid = rows.join(nodes.select("family", width.alias("width")), "family").select("family", "seq", "places", "width").mapInArrow(_laid, "family string, seq string, aligned string")
+    return genes.join(laid, ["family", "seq"]).select("family", "gene_id", "aligned")
+
+
+def _composed(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        out = []
+        for own, to in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            if own and to:
+                to = np.frombuffer(to, np.int32)[np.frombuffer(own, np.int32)].tobytes()
+            out.append(to if to is not None else own)
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(out, pa.binary())], names=["family", "seq", "node", "at", "places"])
+
+
+def _laid(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        out = []
+        for seq, places, width in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if places is not None:
+                row = np.full(width, "-")
+                row[np.frombuffer(places, np.int32)] = list(seq)
+                seq = "".join(row)
+            out.append(seq)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["family", "seq", "aligned"])
 
 
 def codon_alignments(proteins: DataFrame, nt: DataFrame) -> DataFrame:

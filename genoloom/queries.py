@@ -548,6 +548,26 @@ def family_msa(spark, sf):
     return msa.family_alignments(p.select(F.floor(F.col("seq_ord") / 8).cast("string").alias("family"), "gene_id", F.col("aa").alias("seq")))
 
 
+_GAPPED = f"""
+WITH b AS (SELECT p_partkey AS k, p_partkey // 8 AS f, substr(b, 1, 40) || translate(substr(md5(p_partkey::VARCHAR), 1, 2), '0123456789abcdef', 'ARNDCQEGHILKMFPS') || substr(b, 43, 60) AS aa FROM (SELECT p_partkey, {_PROTEIN} AS b FROM part)),
+o AS (SELECT f, bool_or(k % 8 = 3) AS longer, bool_or(k % 8 <> 5) AS whole FROM b GROUP BY f)
+SELECT b.f::VARCHAR AS family, 's-c-' || k AS gene_id, substr(aa, 1, 20) || CASE WHEN k % 8 <> 5 THEN 'WTW' WHEN whole THEN '---' ELSE '' END || substr(aa, 24, 37) ||
+  CASE WHEN k % 8 = 3 THEN 'YVY' WHEN longer THEN '---' ELSE '' END || substr(aa, 61, 42) AS aligned
+FROM b JOIN o ON b.f = o.f
+"""
+
+
+@query(_GAPPED)
+def family_msa_gaps(spark, sf):
+    """The same with three residues more in one protein of eight, and three less in another."""
+    from genoloom.operators import msa
+
+    p, k = _proteins(spark, sf), F.col("seq_ord") % 8
+    part = lambda i, n: F.substring("aa", i, n)
+    seq = F.concat(part(1, 20), F.when(k == 5, "").otherwise("WTW"), part(24, 37), F.when(k == 3, "YVY").otherwise(""), part(61, 42))
+    return msa.family_alignments(p.select(F.floor(F.col("seq_ord") / 8).cast("string").alias("family"), "gene_id", seq.alias("seq")))
+
+
 @query("WITH d AS (SELECT o_orderkey AS k, min(o_orderkey) OVER (PARTITION BY o_orderpriority, o_custkey % 97) AS rep, count(*) OVER (PARTITION BY o_orderpriority, o_custkey % 97) AS n FROM orders), g AS (SELECT c_custkey AS k, (SELECT min(o_orderkey) FROM orders) AS rep FROM customer), l AS (SELECT rep, max(k) AS last FROM d WHERE k <> rep GROUP BY rep) SELECT rep::VARCHAR AS rep_id, CASE WHEN n > 1 THEN k::VARCHAR END AS member_id, CASE WHEN n > 1 THEN k END AS member_ord FROM d WHERE (n = 1 OR k <> rep) AND NOT (n = 1 AND rep IN (SELECT rep FROM g)) UNION ALL SELECT g.rep::VARCHAR, 'new' || g.k, coalesce(l.last, -1) + 1 + g.k FROM g LEFT JOIN l ON g.rep = l.rep UNION ALL SELECT 'fresh', NULL, NULL")
 def merged_clusters(spark, sf):
     """Saved clusters with new genes matched to one of them, and a new cluster."""
