@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,6 +13,8 @@ from genoloom.operators import annotate, families, genes, graphs, hits, msa, par
 from genoloom.sources import export, genomes
 from genoloom.storage import checkpoint
 
+#: Parts of a table, after which a version writes it whole again.
+PARTS = 64
 TABLES = ("samples", "gene_annotation", "gene_position", "gene_seq", "dedup", "hits", "families")
 
 
@@ -45,20 +48,38 @@ class Collection:
     hits: DataFrame
     families: DataFrame
 
+    #: Of a saved collection: its folder, the number of its version, and the parts of each table; rows that came since.
+    home: str | None = None
+    number: int | None = None
+    parts: dict[str, list[str]] = field(default_factory=dict)
+    fresh: dict[str, DataFrame] = field(default_factory=dict)
+
     def save(self, path: str) -> None:
-        """All tables of one version, then a note that names it; a reader never sees half a collection, and a writer that ends
-        half way leaves the version before."""
-        spark = self.samples.sparkSession
-        version = uuid.uuid4().hex
+        """Write a version, then a note that names its parts; a reader never sees half a collection, and a writer that ends half way leaves
+        the version before. Into the folder that it was loaded from, of tables that only grew the new rows are written, and
+        the parts before are shared; where another writer was there meanwhile, this is a ``storage.Conflict``."""
+        spark, same = self.samples.sparkSession, self.home == path
+        number = self.number if same else storage.current(spark, path)[0]
+        version, parts = uuid.uuid4().hex, {}
         for t in TABLES:
-            getattr(self, t).write.parquet(f"{path}/{version}/{t}")
-        storage.publish(spark, path, version)
+            own, at = self.parts.get(t, []), f"{version}/{t}"
+            grows = same and t in self.fresh and 0 < len(own) < PARTS
+            (self.fresh[t] if grows else getattr(self, t)).write.parquet(f"{path}/{at}")
+            parts[t] = [*own, at] if grows else [at]
+        storage.publish(spark, path, json.dumps(parts), number)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Collection:
-        if (version := storage.latest(spark, path)) is None:
+        number, note = storage.current(spark, path)
+        if note is None:
             raise FileNotFoundError(f"no collection in {path}")
-        return Collection(**{t: spark.read.parquet(f"{path}/{version}/{t}") for t in TABLES})
+        parts = json.loads(note)
+        return Collection(**{t: spark.read.parquet(*(f"{path}/{x}" for x in parts[t])) for t in TABLES}, home=path, number=number, parts=parts)
+
+    @staticmethod
+    def clean(spark: SparkSession, path: str, keep: int = 1) -> None:
+        """Remove what the last ``keep`` versions don't need."""
+        storage.clean(spark, path, lambda note: {x.partition("/")[0] for own in json.loads(note).values() for x in own}, keep)
 
 
 def extract(samples: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -106,19 +127,16 @@ def add(old: Collection, samples: DataFrame, o: Options = Options()) -> Collecti
     fresh = checkpoint(similarity.near_identical(rest))
     new_reps = _named(seqs).join(fresh.select(F.col("rep_id").alias("gene_id")).distinct(), "gene_id", "left_semi").dropDuplicates(["gene_id"])
     saved = _named(old_reps).dropDuplicates(["gene_id"])
-    found = checkpoint(hits.combined(old.hits, similarity.search(new_reps, saved, o.evalue), similarity.search(new_reps, new_reps, o.evalue)))
-    annotation = checkpoint(old.gene_annotation.unionByName(annotation))
-    positions = checkpoint(old.gene_position.unionByName(positions))
-    membership = families.reinflated_add(_clusters(found, o), old.dedup, matched, fresh)
+    own = checkpoint(hits.combined(similarity.search(new_reps, saved, o.evalue), similarity.search(new_reps, new_reps, o.evalue)))
+    fresh_rows = {"samples": samples, "gene_annotation": checkpoint(annotation), "gene_position": checkpoint(positions), "gene_seq": seqs, "hits": own}
+    grown = {t: getattr(old, t).unionByName(rows) for t, rows in fresh_rows.items()}
+    membership = families.reinflated_add(_clusters(grown["hits"], o), old.dedup, matched, fresh)
     return replace(
         old,
-        samples=old.samples.unionByName(samples),
-        gene_annotation=annotation,
-        gene_position=positions,
-        gene_seq=old.gene_seq.unionByName(seqs),
+        **grown,
+        fresh=fresh_rows,
         dedup=checkpoint(families.merged_clusters(old.dedup, matched, fresh)),
-        hits=found,
-        families=_families(membership, annotation, positions, o),
+        families=_families(membership, grown["gene_annotation"], grown["gene_position"], o),
     )
 
 

@@ -6,7 +6,9 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,21 +55,70 @@ def drop(*tables: DataFrame) -> None:
             _remove(t.sparkSession, at)
 
 
-def publish(spark: SparkSession, path: str, version: str) -> None:
-    """Make ``version`` the latest of ``path``, by a note of its own; notes are never changed, so that a reader
-    finds a whole version whenever a writer ends."""
-    n = max((k for k, _ in _notes(spark, path)), default=0) + 1
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.text(f"{path}/notes/{n:012d}-{version}")
+class Conflict(RuntimeError):
+    """Another writer has published since this one looked."""
 
 
-def _notes(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+_END = "\nend of note\n"
+
+
+def _notes(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """(the greatest number that is taken, the whole notes by number)."""
     system, at = _files(spark, f"{path}/notes")
     if not system.exists(at):
-        return []
-    names = [str(s.getPath().getName()) for s in system.listStatus(at) if system.exists(_files(spark, f"{path}/notes/{s.getPath().getName()}/_SUCCESS")[1])]
-    return [(int(n.partition("-")[0]), n.partition("-")[2]) for n in names]
+        return 0, {}
+    every = {int(s.getPath().getName()): s for s in system.listStatus(at) if str(s.getPath().getName()).isdigit() and s.isFile()}
+    read = spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+    texts = {}
+    for n, status in every.items():
+        stream = system.open(status.getPath())
+        texts[n] = str(read.toString(stream, "UTF-8"))
+        stream.close()
+    return max(every, default=0), {n: t.removesuffix(_END) for n, t in texts.items() if t.endswith(_END)}
+
+
+def current(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """(number, version) of what was published last; (0, None) where there is nothing."""
+    whole = _notes(spark, path)[1]
+    return max(whole.items(), default=(0, None))
 
 
 def latest(spark: SparkSession, path: str) -> str | None:
     """The version that was published last; None where there is none."""
-    return max(_notes(spark, path), default=(0, None))[1]
+    return current(spark, path)[1]
+
+
+def publish(spark: SparkSession, path: str, version: str, after: int | None = None) -> int:
+    """Make ``version`` the latest of ``path``, by a note under the next number, which only one writer can create. With ``after``, the number of
+    the version that this one grew from, anything published since then is a ``Conflict``; without, the next free number is taken. A writer that ends half
+    way leaves a note that readers pass over."""
+    while True:
+        taken, whole = _notes(spark, path)
+        if after is not None and max(whole, default=0) != after:
+            raise Conflict(f"{path}: version {max(whole)} was published after version {after}, which this one grew from")
+        system, at = _files(spark, f"{path}/notes/{taken + 1:012d}")
+        try:
+            out = system.create(at, False)
+        except Py4JJavaError as e:
+            if not system.exists(at):
+                raise
+            if after is not None:
+                raise Conflict(f"{path}: another writer publishes version {taken + 1}") from e
+            continue
+        out.write(bytearray((version + _END).encode()))
+        out.close()
+        return taken + 1
+
+
+def clean(spark: SparkSession, path: str, needed: Callable[[str], set[str]], keep: int = 1) -> None:
+    """Remove all but the last ``keep`` notes, and the folders of ``path`` that none of these needs. To be called while nobody writes."""
+    whole = _notes(spark, path)[1]
+    held = sorted(whole)[-keep:]
+    names = {"notes"}.union(*(needed(whole[n]) for n in held))
+    system, at = _files(spark, path)
+    for s in system.listStatus(at) if system.exists(at) else []:
+        if s.isDirectory() and str(s.getPath().getName()) not in names:
+            system.delete(s.getPath(), True)
+    for n in whole:
+        if n not in held:
+            system.delete(_files(spark, f"{path}/notes/{n:012d}")[1], False)

@@ -1,12 +1,15 @@
 import gzip
 import random
+from dataclasses import replace
 
 import genome
 import pytest
 
-from genoloom import cli
+from pyspark.sql import functions as F
+
+from genoloom import cli, storage
 from genoloom.functions import alignment
-from genoloom.operators import gfftools, msa
+from genoloom.operators import gfftools
 from genoloom.plans.pipeline import Collection, Options, align, sample_names, write_outputs
 from genoloom.sources import tables
 
@@ -95,6 +98,51 @@ def test_a_save_that_ends_half_way_leaves_the_version_before(spark, made, tmp_pa
     assert storage.latest(spark, at) == version and sample_names(Collection.load(spark, at)) == sample_names(c)
 
 
+def test_two_writers_of_one_version_conflict(spark, tmp_path, monkeypatch):
+    """Both look before either writes: one is published, the other is told."""
+    at = str(tmp_path / "c")
+    assert storage.publish(spark, at, "first", 0) == 1
+    look = storage._notes
+    seen = look(spark, at)
+    monkeypatch.setattr(storage, "_notes", lambda *a: seen)
+    assert storage.publish(spark, at, "b-second-writer", 1) == 2
+    with pytest.raises(storage.Conflict):
+        storage.publish(spark, at, "z-third-writer", 1)
+    monkeypatch.undo()
+    assert storage.current(spark, at) == (2, "b-second-writer")
+    with pytest.raises(storage.Conflict):
+        storage.publish(spark, at, "late", 1)
+    (tmp_path / "c/notes/000000000003").write_text("half a no")
+    assert storage.current(spark, at) == (2, "b-second-writer") and storage.publish(spark, at, "after", 2) == 4 and storage.latest(spark, at) == "after"
+    monkeypatch.setattr(storage, "_notes", lambda *a, calls=[]: (calls.append(1), (2, {1: "first", 2: "b"}) if len(calls) == 1 else look(*a))[1])  # noqa: B006
+    assert storage.publish(spark, at, "whatever comes") == 5
+
+
+def test_versions_share_parts(spark, made, tmp_path):
+    """Each addition writes its own rows; what no version needs goes."""
+    import json
+    import os
+
+    out, c = str(tmp_path / "c"), Collection.load(spark, str(made / "out/collection"))
+    c.save(out)
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(out) for f in names if "gene_seq" in d and f.endswith(".parquet"))
+    first, rows = size(), spark.read.parquet(str(made / "out/collection/") + "/" + json.loads(storage.latest(spark, str(made / "out/collection")))["gene_seq"][0])
+    for k in range(3):
+        c = Collection.load(spark, out)
+        few = rows.limit(1).withColumn("gene_id", F.lit(f"new{k}"))
+        replace(c, gene_seq=c.gene_seq.unionByName(few), fresh={"gene_seq": few}).save(out)
+    now = Collection.load(spark, out)
+    assert len(now.parts["gene_seq"]) == 4 and now.gene_seq.count() == c.gene_seq.count() + 1 and size() < 2.5 * first
+    with pytest.raises(storage.Conflict):
+        c.save(out)
+    before = sorted(map(str, now.gene_seq.collect()))
+    Collection.clean(spark, out)
+    now = Collection.load(spark, out)
+    assert sorted(map(str, now.gene_seq.collect())) == before and now.families.count() == c.families.count()
+    kept = {x.split("/")[0] for own in now.parts.values() for x in own}
+    assert {d for d in os.listdir(out) if d != "notes"} == kept and [n for n in os.listdir(out + "/notes") if n.isdigit()] == ["000000000004"]
+
+
 def test_exports(spark, made, tmp_path):
     import json
 
