@@ -37,8 +37,8 @@ def annotation(g: DataFrame, samples: DataFrame) -> DataFrame:
     """One row a gene id: the last value, at the place of the first; ann_ord orders by sample and place."""
     t = g.groupBy("sample_id", "gene_id").agg(F.min("line_no").alias("first"), F.max_by(F.struct("seq_id", "length", "gene_name", "gene_product", "gene_index", "strand"), "line_no").alias("v"))
     t = t.join(samples.select("sample_id", "sample_ord"), "sample_id")
-    # a sample's genes fit 2^31 lines, so the pair orders as one number
-    return t.select((F.col("sample_ord") * F.lit(1 << 31) + F.col("first")).alias("ann_ord"), "gene_id", "sample_id", "v.*")
+    # places in a file are less than 2^40, so the pair orders as one number
+    return t.select((F.col("sample_ord") * F.lit(1 << 40) + F.col("first")).alias("ann_ord"), "gene_id", "sample_id", "v.*")
 
 
 def positions(g: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def gene_sequences(g: DataFrame, contigs: DataFrame, table: int = 11) -> DataFra
 def combined(seqs: DataFrame, samples: DataFrame) -> DataFrame:
     """gene_seq: sequences of all samples with seq_ord, which orders by sample and place; no global sort is needed."""
     t = seqs.join(samples.select("sample_id", "sample_ord"), "sample_id")
-    return t.select((F.col("sample_ord") * F.lit(1 << 31) + F.col("line_no")).alias("seq_ord"), "gene_id", "sample_id", "nt", "aa")
+    return t.select((F.col("sample_ord") * F.lit(1 << 40) + F.col("line_no")).alias("seq_ord"), "gene_id", "sample_id", "nt", "aa")
 
 
 def neighbours(positions_: DataFrame, reach: int = 5) -> DataFrame:

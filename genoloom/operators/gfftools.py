@@ -46,9 +46,11 @@ def renumbered(features: DataFrame) -> DataFrame:
 
 
 def gff_text(features: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
-    """(sample_id, ord, value): lines of GFF files, and after ``##FASTA`` the contigs where they are given."""
-    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
-    line = F.concat_ws("\t", cell("seqid"), F.lit("."), cell("type"), cell("start"), cell("end"), F.lit("."), cell("strand"), F.lit("0"), cell("attrs"))
+    """(sample_id, ord, value): lines of GFF files, and after ``##FASTA`` the contigs where they are given. Cells that the features lack
+    are written as none, the phase of coding ones as 0."""
+    cell = lambda c, none=".": F.coalesce(F.col(c).cast("string"), F.lit(none)) if c in features.columns else F.lit(none)
+    phase = F.when(F.col("type") == "CDS", cell("phase", "0")).otherwise(cell("phase"))
+    line = F.concat_ws("\t", cell("seqid"), cell("source"), cell("type"), cell("start"), cell("end"), cell("score"), cell("strand"), phase, cell("attrs"))
     out = features.select("sample_id", F.struct(F.lit(1).alias("part"), F.col("line_no").cast("long").alias("n"), F.lit("").alias("c")).alias("ord"), line.alias("value"))
     heads = [(0, "##gff-version 3")] + ([(2, "##FASTA")] if contigs is not None else [])
     for part, text in heads:

@@ -84,9 +84,8 @@ class Collection:
 
 def extract(samples: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(annotation, positions, sequences) of all genes of the samples."""
-    files = genomes.whole_files(samples, "gff_file")
-    g = checkpoint(genes.genes(genomes.gff_features(genomes.gff_lines(files)), o.min_protein_len))
-    seqs = genes.gene_sequences(g, genomes.contigs(samples, files), o.table)
+    g = checkpoint(genes.genes(genomes.gff_features(samples), o.min_protein_len))
+    seqs = genes.gene_sequences(g, genomes.contigs(samples), o.table)
     return genes.annotation(g, samples), genes.positions(g), checkpoint(genes.combined(seqs, samples))
 
 

@@ -568,6 +568,44 @@ def family_msa_gaps(spark, sf):
     return msa.family_alignments(p.select(F.floor(F.col("seq_ord") / 8).cast("string").alias("family"), "gene_id", seq.alias("seq")))
 
 
+# Files written from tables and read back
+
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    from genoloom.storage import shared_root
+
+    return f"{shared_root(spark)}/genoloom/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_type AS seqid, event_id % 7 AS kind, count(*) AS n, sum(user_id + 1)::BIGINT AS starts, sum(user_id + 121)::BIGINT AS ends, min('ID=e' || event_id) AS first FROM events WHERE event_id % 7 < 3 GROUP BY ALL")
+def gff_files(spark, sf):
+    """Features written as GFF files, a folder a sample, and read with the types that are asked for."""
+    from genoloom.sources.genome_files import register
+
+    at, e = _folder(spark, "gff"), _t(spark, sf, "events")
+    cells = [F.col("event_type"), F.lit("x"), F.concat(F.lit("t"), F.col("event_id") % 7), F.col("user_id") + 1, F.col("user_id") + 121, F.lit("."), F.lit("+"), F.lit("0"), F.concat(F.lit("ID=e"), "event_id")]
+    line = F.concat_ws("\t", *(c.cast("string") for c in cells))
+    tail = F.when(F.col("event_id") % 50 == 0, F.lit("\n# a comment\n")).otherwise("")
+    e.select(F.concat(line, tail).alias("value"), (F.col("event_id") % 3).alias("sample")).write.partitionBy("sample").text(at)
+    register(spark)
+    t = spark.read.format("gff").option("pattern", r"\.txt$").load(at).filter(F.col("type").isin("t0", "t1", "t2"))
+    return t.groupBy("seqid", F.substring("type", 2, 1).cast("long").alias("kind")).agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.min("attrs").alias("first"))
+
+
+@query("SELECT 'd' || doc_id AS name, length(text)::BIGINT AS n, md5(text) AS sum FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS text FROM documents) WHERE text IS NOT NULL")
+def fasta_files(spark, sf):
+    """Sequences written as FASTA, in lines of 60, compressed, and read back as records."""
+    from genoloom.sources.genome_files import register
+
+    at, d = _folder(spark, "fasta"), _t(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("text")).filter("text IS NOT NULL")
+    lines = F.regexp_replace("text", "(.{60})", "$1\n")
+    d.select(F.concat(F.lit(">d"), "doc_id", F.lit(" a document\n"), lines).alias("value")).write.option("compression", "gzip").text(at)
+    register(spark)
+    t = spark.read.format("fasta").option("pattern", r"\.txt\.gz$").load(at)
+    return t.select("name", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("sum"))
+
+
 @query("WITH d AS (SELECT o_orderkey AS k, min(o_orderkey) OVER (PARTITION BY o_orderpriority, o_custkey % 97) AS rep, count(*) OVER (PARTITION BY o_orderpriority, o_custkey % 97) AS n FROM orders), g AS (SELECT c_custkey AS k, (SELECT min(o_orderkey) FROM orders) AS rep FROM customer), l AS (SELECT rep, max(k) AS last FROM d WHERE k <> rep GROUP BY rep) SELECT rep::VARCHAR AS rep_id, CASE WHEN n > 1 THEN k::VARCHAR END AS member_id, CASE WHEN n > 1 THEN k END AS member_ord FROM d WHERE (n = 1 OR k <> rep) AND NOT (n = 1 AND rep IN (SELECT rep FROM g)) UNION ALL SELECT g.rep::VARCHAR, 'new' || g.k, coalesce(l.last, -1) + 1 + g.k FROM g LEFT JOIN l ON g.rep = l.rep UNION ALL SELECT 'fresh', NULL, NULL")
 def merged_clusters(spark, sf):
     """Saved clusters with new genes matched to one of them, and a new cluster."""

@@ -1,12 +1,11 @@
-"""Readers of samples, GFF3 and FASTA. Compressed files are read by Spark's codecs, chosen by extension."""
+"""Samples, and the features and sequences of their files."""
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from genoloom.functions.sequences import no_dash
+from genoloom.sources.genome_files import register
 
 EXTENSIONS = r"\.(gff3?|GFF3?)(\.gz)?$"
 
@@ -50,54 +49,27 @@ def require(samples: DataFrame, least: int) -> None:
         raise ValueError(f"at least {least} sample(s) needed")
 
 
-def _same(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "%20", " ")
+def _paths(samples: DataFrame, column: str) -> list[str]:
+    """The command's list of files."""
+    return [r[0] for r in samples.select(column).filter(F.col(column).isNotNull()).distinct().collect()]
 
 
-def whole_files(samples: DataFrame, column: str) -> DataFrame:
-    """sample_id and value, the text of the sample's file; one task reads a file, as a GFF's FASTA tail depends on its head."""
-    paths = [r[0] for r in samples.select(column).filter(F.col(column).isNotNull()).distinct().collect()]  # the command's list of files
+def _read(samples: DataFrame, kind: str, column: str) -> DataFrame:
     spark = samples.sparkSession
-    if not paths:
-        return spark.createDataFrame([], "sample_id string, value string")
-    t = spark.read.text(paths, wholetext=True).select("value", _same(F.col("_metadata.file_path")).alias("path"))
-    own = samples.select("sample_id", _same(F.col(column)).alias("path"))
-    if not any("://" in p for p in paths):
-        absolute = {p: os.path.abspath(p) for p in paths}
-        own = samples.select("sample_id", column).join(spark.createDataFrame(list(absolute.items()), f"{column} string, path string"), column).select("sample_id", "path")
-    return t.join(own, "path").select("sample_id", "value")
-
-
-def gff_lines(files: DataFrame) -> DataFrame:
-    """sample_id, line_no, line of the part before ``##FASTA``, without comments and blank lines."""
-    head = F.split("value", r"(?m)^##FASTA", 2)[0]
-    return files.select("sample_id", F.posexplode(F.split(head, "\r?\n")).alias("line_no", "line")).filter("line <> '' and not startswith(line, '#')")
-
-
-def gff_features(lines: DataFrame) -> DataFrame:
-    """Cells of GFF lines: sample_id, line_no, seqid, type, start, end, strand, attrs."""
-    c = F.split("line", "\t")
-    at = lambda i: F.try_element_at(c, F.lit(i))
-    return lines.select("sample_id", "line_no", at(1).alias("seqid"), at(3).alias("type"), at(4).try_cast("int").alias("start"), at(5).try_cast("int").alias("end"), at(7).alias("strand"), at(9).alias("attrs"))
+    register(spark)
+    t = spark.read.format(kind).option("paths", "\n".join(_paths(samples, column))).load()
+    return t.join(samples.select("sample_id", F.col(column).alias("path")), "path").drop("path")
 
 
-def fasta_records(files: DataFrame, value: Column | str = "value", keys: tuple[str, ...] = ("sample_id",)) -> DataFrame:
-    """Records of FASTA texts: the keys, rec_no, name (up to the first space; empty ones go), seq."""
-    text = F.concat(F.lit("\n"), F.col(value) if isinstance(value, str) else value)
-    t = files.select(*keys, F.posexplode(F.slice(F.split(text, "\n>"), 2, 1 << 30)).alias("rec_no", "rec"))
-    head = F.regexp_extract("rec", r"^[^\n]*", 0)
-    name = F.split(F.rtrim(F.regexp_replace(head, r"\s+$", "")), " ", 2)[0]
-    seq = F.regexp_replace(F.substr(F.col("rec"), F.length(head) + 2), r"\s*(\n|$)", "")
-    return t.select(*keys, "rec_no", name.alias("name"), seq.alias("seq")).filter("name <> ''")
+def gff_features(samples: DataFrame) -> DataFrame:
+    """The features of the samples' files: sample_id, line_no (the place in the file) and the nine cells of GFF."""
+    return _read(samples, "gff", "gff_file")
 
 
-def contigs(samples: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def contigs(samples: DataFrame) -> DataFrame:
     """sample_id, contig_id, seq: the assembly's records, or those after ``##FASTA`` where it has none; of equal ids the last."""
-    files = whole_files(samples, "gff_file") if files is None else files
-    tail = F.regexp_replace(F.coalesce(F.try_element_at(F.split("value", r"(?m)^##FASTA", 2), F.lit(2)), F.lit("")), r"^[^\n]*\n", "")
-    inside = fasta_records(files.select("sample_id", tail.alias("value"))).withColumn("rank", F.lit(1))
-    outside = fasta_records(whole_files(samples, "assembly")).withColumn("rank", F.lit(0))
-    both = outside.unionByName(inside)
-    best = both.groupBy("sample_id").agg(F.min("rank").alias("rank"))
-    both = both.join(best, ["sample_id", "rank"], "left_semi")
-    return both.groupBy("sample_id", no_dash(F.col("name")).alias("contig_id")).agg(F.max_by("seq", "rec_no").alias("seq"))
+    inside = _read(samples, "fasta", "gff_file").withColumn("rank", F.lit(1))
+    both = _read(samples, "fasta", "assembly").withColumn("rank", F.lit(0)).unionByName(inside)
+    last = both.groupBy("sample_id", "rank", no_dash(F.col("name")).alias("contig_id")).agg(F.max_by("seq", "rec_no").alias("seq"))
+    best = last.groupBy("sample_id").agg(F.min("rank").alias("rank"))
+    return last.join(best, ["sample_id", "rank"], "left_semi").select("sample_id", "contig_id", "seq")

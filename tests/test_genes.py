@@ -38,11 +38,6 @@ def test_sequences_need_their_contig(spark):
     assert [(r.gene_id, r.aa) for r in rows] == [("s-a-1", "M" * 40)]
 
 
-def test_fasta(spark):
-    t = spark.createDataFrame([("s", "junk\n>a x\nAC \nGT\n\n> \nTT\n>a\nGG")], "sample_id string, value string")
-    assert [(r.name, r.seq) for r in genomes.fasta_records(t).orderBy("rec_no").collect()] == [("a", "ACGT"), ("a", "GG")]
-
-
 def test_files(spark, tmp_path):
     gff = "#c\n\nx-1\ts\tCDS\t1\t120\t.\t+\t0\tID=1\n##FASTA\n>x-1 d\n" + "ATG" * 40 + "\n"
     (tmp_path / "a-1.gff").write_text(gff)
@@ -51,10 +46,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.fa").write_text(">x-1\n" + "GGG" * 40)
     s = genomes.samples_from_paths(spark, [str(tmp_path / "a-1.gff"), str(tmp_path / "b.GFF3.gz")])
     assert [r.sample_id for r in s.orderBy("sample_ord").collect()] == ["a_1", "b"]
-    files = genomes.whole_files(s, "gff_file")
-    g = genes.genes(genomes.gff_features(genomes.gff_lines(files)))
+    g = genes.genes(genomes.gff_features(s))
     assert sorted(r.gene_id for r in g.collect()) == ["a_1-x_1-1", "b-x_1-1"]
-    assert {r.aa for r in genes.gene_sequences(g, genomes.contigs(s, files)).collect()} == {"M" * 40}
+    assert {r.aa for r in genes.gene_sequences(g, genomes.contigs(s)).collect()} == {"M" * 40}
     (tmp_path / "list.tsv").write_text(f"a-1\t{tmp_path}/a-1.gff\t{tmp_path}/b.fa\na-1\t{tmp_path}/x.gff\t\n")
     s = genomes.samples_from_table(spark, str(tmp_path / "list.tsv"))
     assert [(r.sample_id, r.assembly is None) for r in s.collect()] == [("a_1", False)]
