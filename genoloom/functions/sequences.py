@@ -78,42 +78,42 @@ def stranded(seq: Column, strand: Column) -> Column:
 
 
 def translate_cds(seq: Column, table: int = 11) -> Column:
-    """Residues of whole codons, stops left out wherever they are; an empty sequence gives ''."""
-    own = dict(zip(map("".join, product("TCAG", repeat=3)), code(table), strict=True)) | ambiguous_codons(table)
-    # a codon's place among the codons is its residue's place among the residues
-    codons, residues_ = ",".join(own), "".join(r.ljust(4) for r in own.values())
+    """Residues of whole codons, stops left out wherever they are; an empty sequence gives ''.
 
-    def residue(up, i):
-        at = F.instr(F.lit(codons), F.substring(up, i * 3 + 1, F.lit(3)))
-        return F.when(at > 0, F.substring(F.lit(residues_), at, F.lit(1))).otherwise(F.lit("X"))
-
-    def whole(up):
-        n = F.floor(F.length(up) / 3).cast("int")
-        residues = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: residue(up, i))
-        return F.when(n > 0, F.translate(F.array_join(residues, ""), "*", "")).otherwise(F.lit(""))
+    A codon's three bases are digits of its residue's place in the table. A text with ambiguity codes is put together from its
+    codons by patterns, one for each residue that such codons can mean.
+    """
+    residues = F.array(*[F.lit("" if r == "*" else r) for r in code(table)])
+    kinds: dict[str, list[str]] = {}
+    for c, r in [*zip(map("".join, product("TCAG", repeat=3)), code(table), strict=True), *ambiguous_codons(table).items()]:
+        kinds.setdefault("" if r == "*" else r, []).append(c)
+    digit = lambda c, i: F.ascii(F.substring(c, i, 1)) - 48
+
+    def whole(text):
+        codons = F.slice(F.split(F.translate(text, "TCAG", "0123"), r"(?<=\G.{3})"), 1, F.floor(F.length(text) / 3).cast("int"))
+        plain = F.array_join(F.transform(codons, lambda c: F.get(residues, digit(c, 1) * 16 + digit(c, 2) * 4 + digit(c, 3))), "")
+        rare = F.regexp_replace(F.regexp_replace(text, "(?s)(.{3})", "$1,"), "[^,]{1,2}$", "")
+        for r, cs in kinds.items():
+            rare = F.regexp_replace(rare, f"(?:{'|'.join(cs)}),", r)
+        return F.when(text.rlike("[^TCAG]"), F.regexp_replace(rare, "(?s)[^,]{3},", "X")).otherwise(plain)
 
     # bound as a variable, so that the sequence's own expression runs once and not once a codon
     return F.transform(F.array(F.translate(F.upper(seq), "U", "T")), whole)[0]
 
 
 def back_translate(aligned: Column, nt: Column) -> Column:
-    """Codons of ``nt`` laid on an aligned protein: a gap is three gaps, each residue takes the next codon."""
-    def laid(pair):
-        return _laid(pair["a"], pair["n"])
-
-    # bound as a variable, so that the sequences' own expressions run once and not once a residue
-    return F.transform(F.array(F.struct(aligned.alias("a"), nt.alias("n"))), laid)[0]
+    """Codons of ``nt`` laid on an aligned protein: a gap is three gaps, each residue takes the next codon.
 
+    The protein is cut into runs of residues and of gaps; the residues before a run give the place of its codons, which are taken as one piece.
+    """
+    def laid(pair):
+        runs = F.filter(F.split(F.regexp_replace(pair["a"], "(-+)", ",$1,"), ","), lambda r: r != "")
+        sizes = F.transform(runs, lambda r: F.when(F.startswith(r, F.lit("-")), F.lit(0)).otherwise(F.length(r)))
+        starts = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda x, y: x + y)
+        return F.array_join(F.transform(runs, lambda r, i: F.when(F.startswith(r, F.lit("-")), F.repeat(r, F.lit(3))).otherwise(F.substring(pair["n"], starts(i) * 3 + 1, F.length(r) * 3))), "")
 
-def _laid(aligned: Column, nt: Column) -> Column:
-    chars = F.filter(F.split(aligned, ""), lambda c: c != "")
-    step = F.aggregate(
-        chars,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("k")),
-        lambda a, c: F.struct(F.concat(a["out"], F.when(c == "-", F.lit("---")).otherwise(F.substring(nt, a["k"] * 3 + 1, 3))).alias("out"), F.when(c == "-", a["k"]).otherwise(a["k"] + 1).alias("k")),
-        lambda a: a["out"],
-    )
-    return F.coalesce(step, F.lit(""))
+    # bound as a variable, so that the sequences' own expressions run once and not once a run
+    return F.coalesce(F.transform(F.array(F.struct(aligned.alias("a"), nt.alias("n"))), laid)[0], F.lit(""))
 
 
 def seq_ids(gene_id: Column) -> Column:
