@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import warnings
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from genoloom.storage import checkpoint, drop
 
 INFLATION, PRUNE, SMALL = 1.5, 1e-5, 1500
-#: A flow has settled when no weight moves by more; one that doesn't in so many rounds is an error; weights this near are equal.
-SETTLED, ROUNDS, EQUAL = 1e-5, 300, 1e-6
+#: A flow has settled when no weight moves by more; its most rounds; weights this near, many times what still moves, are equal.
+SETTLED, ROUNDS, EQUAL = 1e-8, 300, 1e-5
 WEIGHTS = ("bitscore", "evalue", "ratio")
 
 
@@ -67,8 +69,6 @@ def _small(pdf, inflation: float, prune: float):
         moved, m = np.abs(new - m).max(), new
         if moved < SETTLED:
             break
-    else:
-        raise ValueError(f"the flow of the component of {nodes[0]} doesn't settle in {ROUNDS} rounds")
     owner = (m >= m.max(axis=0) * (1 - EQUAL)).argmax(axis=0)
     # attractors that share a column are one cluster
     parent = list(range(len(nodes)))
@@ -81,7 +81,7 @@ def _small(pdf, inflation: float, prune: float):
     for c in range(len(nodes)):
         a, b = find(c), find(int(owner[c]))
         parent[max(a, b)] = min(a, b)
-    return pd.DataFrame({"cluster": [nodes[find(k)] for k in range(len(nodes))], "gene_id": nodes})
+    return pd.DataFrame({"cluster": [nodes[find(k)] for k in range(len(nodes))], "gene_id": nodes, "settled": bool(moved < SETTLED)})
 
 
 def _large(edges: DataFrame, inflation: float, prune: float) -> DataFrame:
@@ -105,32 +105,57 @@ def _large(edges: DataFrame, inflation: float, prune: float) -> DataFrame:
         m = new
         if moved is None or moved < SETTLED:
             break
-    else:
-        raise ValueError(f"the flow of a component doesn't settle in {ROUNDS} rounds")
+    settled = moved is None or moved < SETTLED
     most = m.groupBy("j").agg(F.max("w").alias("most"))
     owner = m.join(most, "j").filter(F.col("w") >= F.col("most") * (1 - EQUAL)).groupBy("j").agg(F.min("i").alias("i")).select(F.col("i").alias("a"), F.col("j").alias("b"))
-    return components(owner).select(F.col("root").alias("cluster"), F.col("node").alias("gene_id"))
+    return components(owner).select(F.col("root").alias("cluster"), F.col("node").alias("gene_id"), F.lit(settled).alias("settled"))
 
 
-def markov_clusters(edges: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, small: int = SMALL) -> DataFrame:
-    """(mcl_ord, gene_id, ord): clusters, larger ones first, of (a, b, w), undirected; of edges between the same nodes the heaviest
-    counts. A node follows the node that draws it most, the least among equals, and those that follow each other
-    are a cluster. Components of up to ``small`` nodes are one task's matrix each; larger ones are tables, by the same rule."""
-    from genoloom.operators.families import numbered
+def flowed(edges: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, small: int = SMALL) -> DataFrame:
+    """(root, cluster, gene_id) of (a, b, w), undirected; of edges between the same nodes the heaviest counts. A node follows the node that
+    draws it most, the least among equals, and those that follow each other are a cluster, named by its least node; root is the
+    least node of the connected component.
 
+    Components of up to ``small`` nodes are one task's matrix each; larger ones are tables, by the same rule. One whose flow hasn't settled in
+    ``ROUNDS`` rounds is told in a warning and clustered by its last state.
+    """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")
     edges = checkpoint(edges.groupBy("a", "b").agg(F.max("w").alias("w")))
     root = components(edges)
     size = root.groupBy("root").agg(F.count("*").alias("n"))
     own = edges.join(root.withColumnRenamed("node", "a"), "a").join(size, "root")
-    schema = f"cluster {edges.schema['a'].dataType.simpleString()}, gene_id {edges.schema['a'].dataType.simpleString()}"
+    kind = edges.schema["a"].dataType.simpleString()
+    schema = f"cluster {kind}, gene_id {kind}, settled boolean"
     found = own.filter(F.col("n") <= small).select("root", "a", "b", "w").groupBy("root").applyInPandas(lambda pdf: _small(pdf, inflation, prune), schema)
     large = own.filter(F.col("n") > small)
     if not large.isEmpty():
         found = found.unionByName(_large(large.select("a", "b", "w"), inflation, prune))
     found = checkpoint(found)
+    open_ = found.filter("not settled").groupBy("cluster").count()
+    if told := [r[0] for r in open_.orderBy("cluster").limit(5).collect()]:
+        warnings.warn(f"{open_.count()} clusters are of components whose flow hasn't settled in {ROUNDS} rounds, such as {', '.join(map(str, told))}", stacklevel=2)
+    return found.join(root, found["gene_id"] == root["node"]).select("root", "cluster", "gene_id")
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """(mcl_ord, gene_id, ord) of (cluster, gene_id): larger clusters first, then by name."""
+    from genoloom.operators.families import numbered
+
     keys = found.groupBy("cluster").agg((-F.count("*")).alias("n")).select(F.struct("n", "cluster").alias("key"))
     index = numbered(keys, ["key"]).select(F.col("cluster_idx").alias("mcl_ord"), F.col("key.cluster").alias("cluster"))
-    from pyspark.sql import Window
-
     return found.join(index, "cluster").select("mcl_ord", "gene_id", (F.row_number().over(Window.partitionBy("mcl_ord").orderBy("gene_id")) - 1).alias("ord"))
+
+
+def markov_clusters(edges: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, small: int = SMALL) -> DataFrame:
+    """(mcl_ord, gene_id, ord): the clusters of ``flowed``, larger ones first."""
+    return ordered(flowed(edges, inflation, prune, small))
+
+
+def reflowed(saved: DataFrame, old_edges: DataFrame, new_edges: DataFrame, **how) -> DataFrame:
+    """``flowed`` of old and new edges together, where ``saved`` is ``flowed`` of the old ones: only components that a new edge
+    touches flow again, with the old edges inside them; all others stay as saved."""
+    ends = new_edges.select(F.col("a").alias("gene_id")).unionByName(new_edges.select(F.col("b").alias("gene_id"))).distinct()
+    touched = checkpoint(saved.join(ends, "gene_id", "left_semi").select("root").distinct())
+    inside = saved.join(touched, "root", "left_semi").select(F.col("gene_id").alias("a"))
+    again = flowed(old_edges.join(inside, "a", "left_semi").select("a", "b", "w").unionByName(new_edges.select("a", "b", "w")), **how)
+    return saved.join(touched, "root", "left_anti").select("root", "cluster", "gene_id").unionByName(again)

@@ -15,7 +15,7 @@ from genoloom.storage import checkpoint
 
 #: Parts of a table, after which a version writes it whole again.
 PARTS = 64
-TABLES = ("samples", "gene_annotation", "gene_position", "gene_seq", "dedup", "hits", "families")
+TABLES = ("samples", "gene_annotation", "gene_position", "gene_seq", "dedup", "hits", "clusters", "families")
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,10 @@ class Options:
     shell: float = report.SHELL
     weight: str = "bitscore"
 
+    def clustering(self) -> list:
+        """What the clusters of the same hits depend on."""
+        return [self.identity, self.length_difference, self.coverage_short, self.coverage_long, self.weight]
+
 
 @dataclass(frozen=True)
 class Collection:
@@ -46,7 +50,10 @@ class Collection:
     gene_seq: DataFrame
     dedup: DataFrame
     hits: DataFrame
+    #: Components of the similarity graph and clusters in them (root, cluster, gene_id), and the options that they follow from.
+    clusters: DataFrame
     families: DataFrame
+    clustering: list = field(default_factory=list)
 
     #: Of a saved collection: its folder, the number of its version, and the parts of each table; rows that came since.
     home: str | None = None
@@ -66,20 +73,21 @@ class Collection:
             grows = same and t in self.fresh and 0 < len(own) < PARTS
             (self.fresh[t] if grows else getattr(self, t)).write.parquet(f"{path}/{at}")
             parts[t] = [*own, at] if grows else [at]
-        storage.publish(spark, path, json.dumps(parts), number)
+        storage.publish(spark, path, json.dumps({"parts": parts, "clustering": self.clustering}), number)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Collection:
         number, note = storage.current(spark, path)
         if note is None:
             raise FileNotFoundError(f"no collection in {path}")
-        parts = json.loads(note)
-        return Collection(**{t: spark.read.parquet(*(f"{path}/{x}" for x in parts[t])) for t in TABLES}, home=path, number=number, parts=parts)
+        note = json.loads(note)
+        tables = {t: spark.read.parquet(*(f"{path}/{x}" for x in note["parts"][t])) for t in TABLES}
+        return Collection(**tables, clustering=note["clustering"], home=path, number=number, parts=note["parts"])
 
     @staticmethod
     def clean(spark: SparkSession, path: str, keep: int = 1) -> None:
         """Remove what the last ``keep`` versions don't need."""
-        storage.clean(spark, path, lambda note: {x.partition("/")[0] for own in json.loads(note).values() for x in own}, keep)
+        storage.clean(spark, path, lambda note: {x.partition("/")[0] for own in json.loads(note)["parts"].values() for x in own}, keep)
 
 
 def extract(samples: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -93,9 +101,19 @@ def _named(seqs: DataFrame) -> DataFrame:
     return seqs.select("gene_id", "aa")
 
 
-def _clusters(found: DataFrame, o: Options) -> DataFrame:
-    kept = hits.filtered(found, o.identity, o.length_difference, o.coverage_short, o.coverage_long)
-    return graphs.markov_clusters(graphs.edges_of(kept, o.weight))
+def _edges(found: DataFrame, o: Options) -> DataFrame:
+    return graphs.edges_of(hits.filtered(found, o.identity, o.length_difference, o.coverage_short, o.coverage_long), o.weight)
+
+
+def _reclustered(old: Collection, own: DataFrame, every: DataFrame, o: Options) -> DataFrame:
+    """The clusters of all hits, of those saved where the new ones (``own``) touch nothing; all anew under other options."""
+    if old.clustering != o.clustering():
+        return graphs.flowed(_edges(every, o))
+    # self scores of saved genes count for weights that are ratios
+    selves = old.hits.filter("qseqid = sseqid")
+    names = own.select(F.least("qseqid", "sseqid").alias("a"), F.greatest("qseqid", "sseqid").alias("b")).distinct()
+    new = checkpoint(_edges(own.unionByName(selves), o).join(names, ["a", "b"], "left_semi"))
+    return graphs.reflowed(old.clusters, _edges(old.hits, o), new)
 
 
 def _families(membership: DataFrame, annotation: DataFrame, positions: DataFrame, o: Options) -> DataFrame:
@@ -111,8 +129,9 @@ def build(samples: DataFrame, o: Options = Options()) -> Collection:
     dedup = checkpoint(similarity.near_identical(seqs))
     reps = _named(seqs).join(dedup.select(F.col("rep_id").alias("gene_id")).distinct(), "gene_id", "left_semi").dropDuplicates(["gene_id"])
     found = checkpoint(similarity.search(reps, reps, o.evalue))
-    membership = families.reinflated(_clusters(found, o), dedup)
-    return Collection(samples, annotation, positions, seqs, dedup, found, _families(membership, annotation, positions, o))
+    clusters = checkpoint(graphs.flowed(_edges(found, o)))
+    membership = families.reinflated(graphs.ordered(clusters), dedup)
+    return Collection(samples, annotation, positions, seqs, dedup, found, clusters, _families(membership, annotation, positions, o), o.clustering())
 
 
 def add(old: Collection, samples: DataFrame, o: Options = Options()) -> Collection:
@@ -129,11 +148,14 @@ def add(old: Collection, samples: DataFrame, o: Options = Options()) -> Collecti
     own = checkpoint(hits.combined(similarity.search(new_reps, saved, o.evalue), similarity.search(new_reps, new_reps, o.evalue)))
     fresh_rows = {"samples": samples, "gene_annotation": checkpoint(annotation), "gene_position": checkpoint(positions), "gene_seq": seqs, "hits": own}
     grown = {t: getattr(old, t).unionByName(rows) for t, rows in fresh_rows.items()}
-    membership = families.reinflated_add(_clusters(grown["hits"], o), old.dedup, matched, fresh)
+    clusters = checkpoint(_reclustered(old, own, grown["hits"], o))
+    membership = families.reinflated_add(graphs.ordered(clusters), old.dedup, matched, fresh)
     return replace(
         old,
         **grown,
         fresh=fresh_rows,
+        clusters=clusters,
+        clustering=o.clustering(),
         dedup=checkpoint(families.merged_clusters(old.dedup, matched, fresh)),
         families=_families(membership, grown["gene_annotation"], grown["gene_position"], o),
     )

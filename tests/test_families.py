@@ -204,15 +204,6 @@ def test_clusters_do_not_depend_on_the_size_of_tables(spark):
     assert small == large and len(set(small.values())) > 25
 
 
-def test_a_flow_that_does_not_settle_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(graphs, "ROUNDS", 1)
-    t = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 0.5)], "a string, b string, w double")
-    with pytest.raises(ValueError, match="settle"):
-        graphs._large(t, graphs.INFLATION, graphs.PRUNE)
-    with pytest.raises(Exception, match="settle"):
-        graphs._small(t.toPandas(), graphs.INFLATION, graphs.PRUNE)
-
-
 def test_near_identity_finds_all_pairs(spark):
     """Every pair of proteins of 40 to 120 residues that is as alike has a seed in common: brute force over all pairs."""
     from genome import protein
@@ -239,3 +230,37 @@ def test_near_identity_finds_all_pairs(spark):
     t = spark.createDataFrame(rows, "seq_ord long, gene_id string, aa string").withColumn("ord", F.col("seq_ord"))
     found = {(r.a, r.b) for r in similarity._identities(similarity._candidates(t, t, 0.98, 0.98, True)).filter("identity >= 0.98").collect()}
     assert len(want) > 40 and found == want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_only_touched_components_flow_again(spark, seed, monkeypatch):
+    """Random edges in two lots: the clusters are those of all edges at once, and the flow sees none of the components that no new edge touches."""
+    rng = random.Random(seed)
+    edges = {}
+    for _ in range(220):
+        block = rng.randrange(25)
+        a, b = sorted(rng.sample(range(8), 2)) if rng.random() < 0.95 else (0, 0)
+        edges[f"n{block:02}{a}", f"n{block:02}{b}" if rng.random() < 0.97 else f"n{(block + 1) % 25:02}{b}"] = rng.choice([1.0, 2.0, 5.0])
+    rows = [(*sorted(k), w) for k, w in edges.items()]
+    late = [r for r in rows if r[0] < "n06"][::2] + [("n200", "new", 3.0), ("new2", "new3", 1.0)]
+    early = [r for r in rows if r not in late]
+    frame = lambda t: spark.createDataFrame(t, "a string, b string, w double")
+    saved = graphs.flowed(frame(early))
+    flows, flowed = [], graphs.flowed
+    monkeypatch.setattr(graphs, "flowed", lambda e, **how: flows.append(e) or flowed(e, **how))
+    got = sorted(map(tuple, graphs.reflowed(saved, frame(early), frame(late)).collect()))
+    monkeypatch.undo()
+    assert got == sorted(map(tuple, graphs.flowed(frame(early + late)).collect()))
+    seen = {r.a for r in flows[0].collect()} | {r.b for r in flows[0].collect()}
+    ends, root = {x for r in late for x in r[:2]}, {r.gene_id: r.root for r in saved.collect()}
+    touched = {root[x] for x in ends if x in root}
+    assert seen <= ends | {x for x, r in root.items() if r in touched} and len(seen) < len(root)
+    assert sorted((r.mcl_ord, r.gene_id) for r in graphs.ordered(graphs.flowed(frame(rows))).collect()) == sorted((r.mcl_ord, r.gene_id) for r in graphs.markov_clusters(frame(rows)).collect())
+
+
+def test_a_flow_that_does_not_settle_is_told(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "ROUNDS", 1)
+    e = [("a", "b", 9.0), ("b", "c", 9.0), ("a", "c", 9.0), ("c", "d", 0.5), ("d", "e", 9.0)]
+    with pytest.warns(UserWarning, match="hasn't settled"):
+        got = graphs.markov_clusters(spark.createDataFrame(e, "a string, b string, w double"), small=2)
+    assert sorted(r.gene_id for r in got.collect()) == ["a", "b", "c", "d", "e"]

@@ -126,7 +126,7 @@ def test_versions_share_parts(spark, made, tmp_path):
     out, c = str(tmp_path / "c"), Collection.load(spark, str(made / "out/collection"))
     c.save(out)
     size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(out) for f in names if "gene_seq" in d and f.endswith(".parquet"))
-    first, rows = size(), spark.read.parquet(str(made / "out/collection/") + "/" + json.loads(storage.latest(spark, str(made / "out/collection")))["gene_seq"][0])
+    first, rows = size(), spark.read.parquet(str(made / "out/collection/") + "/" + json.loads(storage.latest(spark, str(made / "out/collection")))["parts"]["gene_seq"][0])
     for k in range(3):
         c = Collection.load(spark, out)
         few = rows.limit(1).withColumn("gene_id", F.lit(f"new{k}"))
