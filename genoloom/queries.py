@@ -360,6 +360,39 @@ def reinflate(spark, sf):
     return families.reinflated(mcl, d)
 
 
+_REINFLATED_ADD = """
+WITH d AS (SELECT o_orderkey AS k, min(o_orderkey) OVER (PARTITION BY o_orderpriority, o_custkey % 97) AS rep, o_orderpriority AS p, o_custkey % 97 AS g FROM orders),
+u AS (SELECT DISTINCT g, rep FROM d WHERE p LIKE '1%'),
+nw AS (SELECT c_custkey AS k, min(c_custkey) OVER (PARTITION BY c_custkey // 7) AS rep FROM customer WHERE c_custkey % 5 <> 0),
+heads AS (SELECT DISTINCT 0 AS part, rep % 100 AS a, '' AS b, rep AS o, rep::VARCHAR AS gene FROM d WHERE rep % 3 > 0
+  UNION ALL SELECT DISTINCT 0, rep % 100, '', 1000000000 + rep, 'n' || rep FROM nw WHERE rep % 2 = 0
+  UNION ALL SELECT DISTINCT 1, 0, rep::VARCHAR, 0, rep::VARCHAR FROM d WHERE rep % 3 = 0
+  UNION ALL SELECT DISTINCT 2, 0, 'n' || rep, 0, 'n' || rep FROM nw WHERE rep % 2 = 1),
+i AS (SELECT *, dense_rank() OVER (ORDER BY part, a, b) - 1 AS c FROM heads),
+m AS (SELECT rep::VARCHAR AS rep, k::VARCHAR AS gene, 0 AS rank, k AS ord FROM d WHERE k <> rep
+  UNION ALL SELECT u.rep::VARCHAR, 'm' || c_custkey, 1, c_custkey FROM customer JOIN u ON c_custkey % 97 = u.g WHERE c_custkey % 5 = 0
+  UNION ALL SELECT 'n' || rep, 'n' || k, 2, k FROM nw WHERE k <> rep),
+e AS (SELECT c, o, -1 AS rank, 0 AS ord, gene FROM i UNION ALL SELECT i.c, i.o, m.rank, m.ord, m.gene FROM i JOIN m ON i.gene = m.rep)
+SELECT c::BIGINT AS cluster_idx, (row_number() OVER (PARTITION BY c ORDER BY o, rank, ord, gene) - 1)::BIGINT AS member_ord, gene AS gene_id FROM e
+"""
+
+
+@query(_REINFLATED_ADD)
+def reinflate_add(spark, sf):
+    """The same after an addition: saved clusters, genes matched to their representatives, and new clusters."""
+    d, c, o = _dedup(spark, sf), _t(spark, sf, "customer"), _t(spark, sf, "orders")
+    urgent = o.filter("o_orderpriority LIKE '1%'").groupBy((F.col("o_custkey") % 97).alias("g")).agg(F.min("o_orderkey").cast("string").alias("rep_id"))
+    matched = c.filter("c_custkey % 5 = 0").withColumn("g", F.col("c_custkey") % 97).join(urgent, "g").select("rep_id", F.concat(F.lit("m"), "c_custkey").alias("member_id"), F.col("c_custkey").alias("member_ord"))
+    own = c.filter("c_custkey % 5 <> 0").withColumn("g", F.floor(F.col("c_custkey") / 7))
+    rep = own.groupBy("g").agg(F.min("c_custkey").alias("r"), F.count("*").alias("n"))
+    name = lambda x: F.concat(F.lit("n"), x)
+    fresh = own.join(rep, "g").filter("c_custkey <> r OR n = 1").select(name("r").alias("rep_id"), F.when(F.col("n") > 1, name("c_custkey")).alias("member_id"), F.when(F.col("n") > 1, F.col("c_custkey")).alias("member_ord"))
+    old = d.select(F.col("rep_id").cast("long").alias("r")).distinct().filter("r % 3 > 0")
+    mcl = old.select((F.col("r") % 100).alias("mcl_ord"), F.col("r").cast("string").alias("gene_id"), F.col("r").alias("ord"))
+    mcl = mcl.unionByName(rep.filter("r % 2 = 0").select((F.col("r") % 100).alias("mcl_ord"), name("r").alias("gene_id"), (F.col("r") + 1_000_000_000).alias("ord")))
+    return families.reinflated_add(mcl, d, matched, fresh)
+
+
 def _two_sets(spark, sf):
     p = _t(spark, sf, "part")
     a = p.select(F.concat("p_brand", "p_type").alias("cluster"), F.col("p_partkey").cast("string").alias("gene_id"))
@@ -524,16 +557,33 @@ def search_proteins(spark, sf):
     return similarity.search(reps, reps)
 
 
-@query("WITH g AS (SELECT c_custkey AS k, min('n' || c_custkey) OVER (PARTITION BY c_custkey // 6) AS root, count(*) OVER (PARTITION BY c_custkey // 6) AS n FROM customer) SELECT (dense_rank() OVER (ORDER BY -n, root) - 1)::BIGINT AS mcl_ord, 'n' || k AS gene_id, (row_number() OVER (PARTITION BY root ORDER BY 'n' || k) - 1)::INT AS ord FROM g")
-def markov_clusters(spark, sf):
-    """Six customers in a row are all linked, and weakly to the next six, so that the flow has to cut one long chain."""
-    from genoloom.operators import graphs
+_LINKED = "WITH g AS (SELECT c_custkey AS k, min('n' || c_custkey) OVER (PARTITION BY c_custkey // 6) AS root, count(*) OVER (PARTITION BY c_custkey // 6) AS n FROM customer) SELECT (dense_rank() OVER (ORDER BY -n, root) - 1)::BIGINT AS mcl_ord, 'n' || k AS gene_id, (row_number() OVER (PARTITION BY root ORDER BY 'n' || k) - 1)::INT AS ord FROM g"
 
+
+def _linked(spark, sf):
     c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.floor(F.col("c_custkey") / 6).alias("g"))
     name = lambda x: F.concat(F.lit("n"), x.cast("string"))
-    inside = c.join(c.withColumnRenamed("k", "l"), "g").filter("k <= l").select(name(F.col("k")).alias("a"), name(F.col("l")).alias("b"), F.lit(1.0).alias("w"))
+    inside = c.join(c.withColumnRenamed("k", "l"), "g").filter("k <= l").select(name(F.col("k")).alias("a"), name(F.col("l")).alias("b"), F.lit(1.0).alias("w"), "k")
     weak = c.filter("k % 60 <> 0").join(c.select(F.col("k").alias("l")), F.col("l") == F.col("k") - 1).filter("floor(k / 6) <> floor(l / 6)")
-    return graphs.markov_clusters(inside.unionByName(weak.select(name(F.col("k")).alias("a"), name(F.col("l")).alias("b"), F.lit(0.01).alias("w"))))
+    return inside.unionByName(weak.select(name(F.col("k")).alias("a"), name(F.col("l")).alias("b"), F.lit(0.01).alias("w"), "k"))
+
+
+@query(_LINKED)
+def markov_clusters(spark, sf):
+    """Six customers in a row are all linked, and weakly to the next six, so that the flow has to cut one long chain."""
+    from genoloom.operators import graphs
+
+    return graphs.markov_clusters(_linked(spark, sf).drop("k"))
+
+
+@query(_LINKED)
+def clusters_after_addition(spark, sf):
+    """The same, where the links of one customer of eleven come after the others were clustered."""
+    from genoloom.operators import graphs
+
+    e = _linked(spark, sf)
+    old, new = e.filter("k % 11 > 0").drop("k"), e.filter("k % 11 = 0").drop("k")
+    return graphs.ordered(graphs.reflowed(graphs.flowed(old), old, new))
 
 
 _PROTEIN = "translate(concat(" + ", ".join(f"md5((p_partkey // 8) || '-{i}')" for i in range(4)) + "), '0123456789abcdef', 'ARNDCQEGHILKMFPS')"
