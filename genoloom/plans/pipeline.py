@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from genoloom import storage
 from genoloom.operators import annotate, families, genes, graphs, hits, msa, paralogs, report, similarity
-from genoloom.sources import export, genomes
+from genoloom.sources import export, genomes, named_files
 from genoloom.storage import checkpoint
 
 #: Parts of a table, after which a version writes it whole again.
@@ -211,8 +212,7 @@ def write_outputs(c: Collection, path: str, o: Options = Options()) -> None:
     export.write_lines(export.samples_json(c.samples), f"{path}/samples.json")
     export.write_lines(export.clusters_json(c.dedup), f"{path}/clusters.json")
     export.write_lines(export.families_json(c.families), f"{path}/annotated_clusters.json")
-    for column, kind in (("nt", "fna"), ("aa", "faa")):
-        export.sample_fasta(c.gene_seq, column).write.partitionBy("sample_id").mode("overwrite").text(f"{path}/samples/{kind}")
+    named_files.write(export.sample_records(c.gene_seq, "nt", "fna").unionByName(export.sample_records(c.gene_seq, "aa", "faa")), f"{path}/samples", "ord", mode="overwrite")
     if o.alignment:
         at = f"{path}/alignment_tables"
         version, new = storage.latest(spark, at), uuid.uuid4().hex
@@ -221,10 +221,9 @@ def write_outputs(c: Collection, path: str, o: Options = Options()) -> None:
         done = align(c, o, saved)
         done[kinds[0]].write.parquet(f"{at}/{o.alignment}-{new}")
         storage.publish(spark, at, f"{o.alignment}-{new}")
-        for kind in kinds:
-            done[kind].select("family", F.concat(F.lit(">"), "gene_id", F.lit("\n"), "aligned").alias("value")).write.partitionBy("family").mode("overwrite").text(f"{path}/alignments/{kind}")
         large = checkpoint(report.large_families(c.families, len(names), o.ratio_coverage))
-        for column, kind in (("nt", "fna"), ("aa", "faa")) if o.alignment == "protein" else (("nt", "fna"),):
-            export.family_files(large, c.gene_seq, column, f"{path}/clusters/{kind}")
+        endings = {"nucleotide": ("nt", "fna"), "protein": ("aa", "faa")}
+        records = [r for kind in kinds for r in (export.family_records(large, c.gene_seq, *endings[kind]), export.alignment_records(done[kind], c.gene_seq, f"{endings[kind][1]}.aln"))]
+        named_files.write(reduce(DataFrame.unionByName, records), f"{path}/clusters", "ord", mode="overwrite")
         export.write_lines(export.reference_fasta(large, c.gene_seq), f"{path}/pan_genome_reference.fna")
-        export.write_lines(export.core_fasta(done["core"]), f"{path}/core_gene_alignment.aln", "gzip")
+        export.write_lines(export.core_fasta(done["core"]), f"{path}/core_gene_alignment.aln.gz")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from genoloom.functions.sequences import rounded
 from genoloom.operators import report
+from genoloom.sources import named_files
 
 HEAD = ["Gene", "Annotation", "No. isolates", "No. sequences", "Avg sequences per isolate", "Min group size nuc", "Max group size nuc", "Avg group size nuc"]
 SUMMARY = ("Core genes\t({core}% <= strains <= 100%)", "Soft core genes\t({soft}% <= strains <{core}.0%)", "Shell genes\t({shell}% <= strains < {soft}%)", "Cloud genes\t(0% <= strains < {shell}%)", "Total genes\t(0% <= strains <= 100%)")
@@ -66,19 +67,25 @@ def reference_fasta(families: DataFrame, seqs: DataFrame) -> DataFrame:
     return fasta(t.orderBy("seq_ord"), F.col("gene_id"), F.col("nt"))
 
 
-def family_files(families: DataFrame, seqs: DataFrame, column: str, path: str) -> None:
-    """A folder a family with its genes' records."""
+def family_records(families: DataFrame, seqs: DataFrame, column: str, ending: str) -> DataFrame:
+    """(file, ord, value): the records of each family's genes, in order of samples, for the file ``name/name.ending``."""
     of = families.select("name", F.explode("gene_ids").alias("gene_id"))
-    t = seqs.join(of, "gene_id").select(F.col("name").alias("family"), F.concat(F.lit(">"), "gene_id", F.lit("\n"), F.col(column)).alias("value"))
-    t.write.partitionBy("family").mode("overwrite").text(path)
+    return seqs.join(of, "gene_id").select(F.concat("name", F.lit("/"), "name", F.lit(f".{ending}")).alias("file"), F.col("seq_ord").alias("ord"), F.concat(F.lit(">"), "gene_id", F.lit("\n"), F.col(column)).alias("value"))
 
 
-def core_fasta(core: DataFrame) -> DataFrame:
-    return fasta(core.orderBy("sample_ord"), F.col("sample_id"), F.col("aligned"))
+def alignment_records(aligned: DataFrame, seqs: DataFrame, ending: str) -> DataFrame:
+    """The same of an alignment (family, gene_id, aligned)."""
+    order = seqs.groupBy("gene_id").agg(F.min("seq_ord").alias("ord"))
+    return aligned.join(order, "gene_id").select(F.concat("family", F.lit("/"), "family", F.lit(f".{ending}")).alias("file"), "ord", F.concat(F.lit(">"), "gene_id", F.lit("\n"), "aligned").alias("value"))
+
 
+def sample_records(seqs: DataFrame, column: str, ending: str) -> DataFrame:
+    """(file, ord, value): the records of each sample's genes, for the file ``id/id.ending``."""
+    return seqs.select(F.concat("sample_id", F.lit("/"), "sample_id", F.lit(f".{ending}")).alias("file"), F.col("seq_ord").alias("ord"), F.concat(F.lit(">"), "gene_id", F.lit("\n"), F.col(column)).alias("value"))
 
-def sample_fasta(seqs: DataFrame, column: str) -> DataFrame:
-    return seqs.orderBy("seq_ord").select("sample_id", F.concat(F.lit(">"), "gene_id", F.lit("\n"), F.col(column)).alias("value"))
+
+def core_fasta(core: DataFrame) -> DataFrame:
+    return fasta(core.orderBy("sample_ord"), F.col("sample_id"), F.col("aligned"))
 
 
 def json_lines(t: DataFrame, key: str, value, brackets: str = "{}") -> DataFrame:
@@ -118,9 +125,11 @@ def position_lines(positions: DataFrame) -> DataFrame:
 def _text(head: DataFrame, lines: DataFrame, path: str) -> None:
     """One file in order, as the format has one header."""
     rows = head.withColumn("_k", F.lit(-1).cast("long")).unionByName(lines.withColumn("_k", F.monotonically_increasing_id()))
-    rows.coalesce(1).sortWithinPartitions("_k").select("value").write.mode("overwrite").text(path)
+    folder, _, name = path.rpartition("/")
+    named_files.write(rows.withColumn("file", F.lit(name)), folder, "_k")
 
 
-def write_lines(lines: DataFrame, path: str, compression: str | None = None) -> None:
-    w = lines.withColumn("_k", F.monotonically_increasing_id()).coalesce(1).sortWithinPartitions("_k").select("value").write.mode("overwrite")
-    (w.option("compression", compression) if compression else w).text(path)
+def write_lines(lines: DataFrame, path: str) -> None:
+    """The lines as one file; a name that ends with .gz is compressed."""
+    folder, _, name = path.rpartition("/")
+    named_files.write(lines.withColumns({"_k": F.monotonically_increasing_id(), "file": F.lit(name)}), folder, "_k")

@@ -26,8 +26,8 @@ def made(spark, tmp_path_factory):
     return at
 
 
-def text(folder) -> str:
-    return next(folder.glob("part-*.txt")).read_text()
+def text(file) -> str:
+    return file.read_bytes().decode()
 
 
 def test_main(spark, made):
@@ -35,14 +35,14 @@ def test_main(spark, made):
     assert lines[0] == "Gene\tA\tB\tC"
     assert {x.split("\t")[0]: x.split("\t")[1:] for x in lines[1:]} == {**{f"g{c}": ["1", "1", "1"] for c in "abcdef"}, "gg": ["1", "0", "1"], "gh": ["1", "0", "0"], "new": ["0", "0", "1"]}
     assert text(made / "out/summary_statistics.txt").splitlines() == ["Core genes\t(99% <= strains <= 100%)\t6", "Soft core genes\t(95% <= strains <99.0%)\t0", "Shell genes\t(15% <= strains < 95%)\t3", "Cloud genes\t(0% <= strains < 15%)\t0", "Total genes\t(0% <= strains <= 100%)\t9"]
-    sheet = next((made / "out/gene_presence_absence.csv").glob("part-*")).read_bytes().decode()
+    sheet = text(made / "out/gene_presence_absence.csv")
     assert sheet.startswith('"Gene","Annotation"') and sheet.count("\r\n") == 10 and '"A-c1-ga","B-c1-ga","C-c1-ga"' in sheet
     assert [r.cluster for r in tables.matrix_csv(spark, str(made / "out/gene_presence_absence.csv")).filter("gene_id = 'C-c1-new'").collect()] == ["new"]
     assert text(made / "out/representative_clusters_prot.fasta").count(">") == 9
 
 
 def test_core_alignment(spark, made):
-    core = gzip.decompress(next((made / "out/core_gene_alignment.aln").glob("part-*.gz")).read_bytes()).decode().split(">")[1:]
+    core = gzip.decompress((made / "out/core_gene_alignment.aln.gz").read_bytes()).decode().split(">")[1:]
     rows = {r.split("\n")[0]: r.split("\n")[1] for r in core}
     assert set(rows) == {"A", "B", "C"} and len({len(x) for x in rows.values()}) == 1
     c = Collection.load(spark, str(made / "out/collection"))
@@ -161,8 +161,12 @@ def test_exports(spark, made, tmp_path):
     assert set(json.loads(text(out / "clusters.json"))) == {r.rep_id for r in c.dedup.collect()}
     assert lines("gene_annotation.csv")[0].startswith("gene_id,sample_id") and len(lines("gene_annotation.csv")) == 1 + c.gene_annotation.count()
     assert lines("gene_position.csv")[0].startswith("A,c1,A-c1-ga,")
-    assert "".join(f.read_text() for f in (out / "samples/faa/sample_id=A").glob("part-*")).count(">") == 8
-    assert "".join(f.read_text() for f in (out / "clusters/fna/family=ga").glob("part-*")).count(">") == 3
+    assert sorted(str(f.relative_to(out)) for f in (out / "samples").rglob("*.f*")) == sorted(f"samples/{x}/{x}.{k}" for x in sample_names(c) for k in ("faa", "fna"))
+    assert [x[1:] for x in text(out / "samples/A/A.faa").splitlines() if x.startswith(">")] == sorted((g for g, r in seqs.items() if r.sample_id == "A"), key=order.get)
+    assert sorted(f.name for f in (out / "clusters/ga").iterdir()) == ["ga.faa", "ga.faa.aln", "ga.fna", "ga.fna.aln"] and text(out / "clusters/ga/ga.fna").count(">") == 3
+    rows = [x for x in text(out / "clusters/ga/ga.faa.aln").splitlines() if not x.startswith(">")]
+    assert len({len(x) for x in rows}) == 1 and [x.replace("-", "") for x in rows] == [x for x in text(out / "clusters/ga/ga.faa").splitlines() if not x.startswith(">")]
+    assert not [f for f in out.rglob("*") if f.name.startswith(("_writing", "part-")) and "alignment_tables" not in str(f)]
 
 
 def test_saved_alignments_hold_for_unchanged_families(spark, made):
