@@ -496,6 +496,47 @@ def numeric_positions(spark, sf):
     return gfftools.numeric_export(annotation, places, own, samples)[2]
 
 
+def _numeric(spark, sf, which: int):
+    """Suppliers are genes, their nations samples and families."""
+    s = _t(spark, sf, "supplier")
+    gene, sample = F.concat(F.lit("g"), "s_suppkey"), F.col("s_nationkey").cast("string")
+    annotation = s.select(gene.alias("gene_id"), sample.alias("sample_id"), F.col("s_suppkey").alias("ann_ord"), F.when(F.col("s_acctbal") < 0, "-").otherwise("+").alias("strand"))
+    places = s.select(sample.alias("sample_id"), F.lit("c").alias("seq_id"), F.col("s_suppkey").alias("pos"), gene.alias("gene_id"))
+    own = s.select(F.concat(F.lit("f"), F.col("s_suppkey") % 6).alias("name"), gene.alias("g")).groupBy("name").agg(F.collect_list("g").alias("gene_ids"))
+    samples = s.select(sample.alias("sample_id"), F.col("s_nationkey").alias("sample_ord")).distinct()
+    return gfftools.numeric_export(annotation, places, own, samples)[which]
+
+
+@query("SELECT DISTINCT s_nationkey::VARCHAR AS sample_id, s_nationkey AS sample_no FROM supplier")
+def numeric_samples(spark, sf):
+    """Samples and their numbers, for other tools."""
+    return _numeric(spark, sf, 0)
+
+
+@query("SELECT 'g' || s_suppkey || '@' || CASE WHEN s_acctbal < 0 THEN '-1' ELSE '1' END AS gene, s_nationkey AS sample_no, (dense_rank() OVER (ORDER BY 'f' || s_suppkey % 6) - 1)::BIGINT AS cluster_no, s_suppkey AS ann_ord FROM supplier")
+def numeric_genes(spark, sf):
+    """Genes with the numbers of their samples and families."""
+    return _numeric(spark, sf, 1)
+
+
+@query("SELECT p_brand AS file, bool_and(CASE WHEN p_size % 3 = 0 THEN regexp_matches(translate(p_name, ' abcdefghijklmnopqrstuvwxyz', 'AAAACCCGGGTTTNNNAAACCCGGGTT'), '^[CAGTNSYKcagtnsyk]+$') AND (p_size < 48 OR p_brand NOT LIKE '%1') ELSE p_size < 47 OR p_brand NOT LIKE '%2' END) AS valid FROM part GROUP BY p_brand")
+def gff_valid(spark, sf):
+    """Whether all lines of a file are features of eight cells at least, or sequences of nucleotides."""
+    p = _t(spark, sf, "part")
+    bases = F.translate("p_name", " abcdefghijklmnopqrstuvwxyz", "AAAACCCGGGTTTNNNAAACCCGGGTT")
+    in_fasta = F.col("p_size") % 3 == 0
+    ends = lambda x: F.col("p_brand").endswith(x)
+    cells = F.when((F.col("p_size") < 47) | ~ends("2"), "a\tb\tc\td\te\tf\tg\th").otherwise("a\tb\tc\td\te\tf\tg")
+    line = F.when(in_fasta, F.concat(bases, F.when((F.col("p_size") < 48) | ~ends("1"), "").otherwise("!"))).otherwise(cells)
+    return gfftools.valid(p.select(F.col("p_brand").alias("file"), in_fasta.alias("in_fasta"), line.alias("line")))
+
+
+@query("SELECT o_orderkey, round_even(o_custkey / 8.0::DOUBLE, 2)::DOUBLE AS rounded FROM orders")
+def rounded_figures(spark, sf):
+    """Figures for exports, halves to even."""
+    return _t(spark, sf, "orders").select("o_orderkey", q.rounded(F.col("o_custkey") / 8.0).alias("rounded"))
+
+
 # Heavy operators, checked by tests on small genomes; here they run over proteins made of digests
 
 def _proteins(spark, sf):
