@@ -360,6 +360,40 @@ def reinflate(spark, sf):
     return families.reinflated(mcl, d)
 
 
+@query("WITH p AS (SELECT p_brand, p_partkey AS k, min(p_partkey) OVER (PARTITION BY p_brand, p_size % 9) AS rep, count(*) OVER (PARTITION BY p_brand, p_size % 9) AS n, row_number() OVER (PARTITION BY p_brand, p_size % 9 ORDER BY p_partkey) AS ord FROM part) SELECT 'g' || rep AS rep_id, CASE WHEN n > 1 THEN 'g' || k END AS member_id, CASE WHEN n > 1 THEN ord::INT END AS member_ord FROM p WHERE n = 1 OR k <> rep")
+def foreign_clusters(spark, sf):
+    """Another tool's clusters, written a file a task, and read."""
+    from genoloom.sources import tables
+
+    at = _folder(spark, "clstr")
+    p = _t(spark, sf, "part").groupBy("p_brand", (F.col("p_size") % 9).alias("k")).agg(F.array_sort(F.collect_list("p_partkey")).alias("ids"))
+    lines = F.transform("ids", lambda x, i: F.concat(i.cast("string"), F.lit("\t90aa, >g"), x.cast("string"), F.when(i == 0, "... *").otherwise("... at 99.00%")))
+    p.select(F.concat(F.lit(">Cluster 0\n"), F.array_join(lines, "\n")).alias("value")).write.text(at)
+    return tables.clusters_clstr(spark, at)
+
+
+@query("SELECT 's' || s_nationkey AS sample_id, 'c' || s_suppkey % 4 AS seq_id, (row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 4 ORDER BY s_suppkey) - 1)::INT AS pos, 'g' || s_suppkey AS gene_id FROM supplier")
+def saved_positions(spark, sf):
+    """Genes along contigs, exported and read back."""
+    from genoloom.sources import export, tables
+
+    at, s = _folder(spark, "positions"), _t(spark, sf, "supplier")
+    t = s.select(F.concat(F.lit("s"), "s_nationkey").alias("sample_id"), F.concat(F.lit("c"), F.col("s_suppkey") % 4).alias("seq_id"), F.col("s_suppkey").alias("pos"), F.concat(F.lit("g"), "s_suppkey").alias("gene_id"))
+    export.write_lines(export.position_lines(t), f"{at}/gene_position.csv")
+    return tables.positions_csv(spark, f"{at}/gene_position.csv")
+
+
+@query("SELECT 'g' || s_suppkey AS gene_id, 's' || s_nationkey AS sample_id, 'c' AS seq_id, (s_suppkey * 3)::INT AS length, coalesce(s_name, '') AS gene_name, 'p, ' || s_nationkey AS gene_product, (s_suppkey % 9)::INT AS gene_index, '+' AS strand FROM supplier")
+def saved_annotation(spark, sf):
+    """Annotation of genes, exported in tab-separated lines and read back; products keep their commas."""
+    from genoloom.sources import export, tables
+
+    at, s = _folder(spark, "annotation"), _t(spark, sf, "supplier")
+    t = s.select(F.col("s_suppkey").alias("ann_ord"), F.concat(F.lit("g"), "s_suppkey").alias("gene_id"), F.concat(F.lit("s"), "s_nationkey").alias("sample_id"), F.lit("c").alias("seq_id"), (F.col("s_suppkey") * 3).alias("length"), F.col("s_name").alias("gene_name"), F.concat(F.lit("p, "), "s_nationkey").alias("gene_product"), (F.col("s_suppkey") % 9).alias("gene_index"), F.lit("+").alias("strand"))
+    export.write_lines(export.annotation_lines(t, "\t", False), f"{at}/gene_annotation.tsv")
+    return tables.annotation_tsv(spark, f"{at}/gene_annotation.tsv")
+
+
 _REINFLATED_ADD = """
 WITH d AS (SELECT o_orderkey AS k, min(o_orderkey) OVER (PARTITION BY o_orderpriority, o_custkey % 97) AS rep, o_orderpriority AS p, o_custkey % 97 AS g FROM orders),
 u AS (SELECT DISTINCT g, rep FROM d WHERE p LIKE '1%'),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -29,15 +29,22 @@ def positions_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clusters_clstr(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
-    """Foreign cluster files as (rep_id, member_id, member_ord); ``ids`` (aa_id, gene_id) names numbered members."""
-    t = _lines(spark, path)
-    t = t.withColumn("cluster", F.sum(F.startswith("line", F.lit(">")).cast("int")).over(Window.orderBy("line_no"))).filter("not startswith(line, '>')")
-    pattern = r"^\d+\t\w+, >(.+)\.\.\. (.+)$"
-    t = t.select("cluster", "line_no", F.regexp_extract("line", pattern, 1).alias("gene_id"), F.regexp_extract("line", pattern, 2).alias("how")).filter("gene_id <> ''")
+    """Foreign cluster files as (rep_id, member_id, member_ord); ``ids`` (aa_id, gene_id) names numbered members.
+
+    A file is cut at its headings, and a cluster's text at its lines; a member is named between ``, >`` and the last ``... ``, after which a
+    representative has a star.
+    """
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.concat(F.lit("\n"), "value").alias("text"))
+    blocks = texts.select("file", F.posexplode(F.slice(F.split("text", "\n>"), 2, 1 << 30)).alias("cluster", "block"))
+    t = blocks.select("file", "cluster", F.posexplode(F.split("block", "\r?\n")).alias("line_no", "line")).filter("line_no > 0 AND contains(line, ', >')")
+    rest = F.substr(F.col("line"), F.locate(", >", "line") + 3)
+    t = t.withColumn("rest", rest).withColumn("how", F.substring_index("rest", "... ", -1))
+    t = t.select("file", "cluster", "line_no", F.expr("left(rest, length(rest) - length(how) - 4)").alias("gene_id"), "how").filter("gene_id <> ''")
     if ids is not None:
         t = t.withColumnRenamed("gene_id", "aa_id").join(ids.withColumn("aa_id", F.col("aa_id").cast("string")), "aa_id")
-    reps = t.filter("how = '*'").select("cluster", F.col("gene_id").alias("rep_id"))
-    return reps.join(t.filter("how <> '*'").select("cluster", "line_no", F.col("gene_id").alias("member_id")), "cluster", "left").select("rep_id", "member_id", F.col("line_no").alias("member_ord"))
+    reps = t.filter("how = '*'").select("file", "cluster", F.col("gene_id").alias("rep_id"))
+    members = t.filter("how <> '*'").select("file", "cluster", "line_no", F.col("gene_id").alias("member_id"))
+    return reps.join(members, ["file", "cluster"], "left").select("rep_id", "member_id", F.col("line_no").alias("member_ord"))
 
 
 def clusters_lines(spark: SparkSession, path: str) -> DataFrame:
