@@ -394,6 +394,24 @@ def saved_annotation(spark, sf):
     return tables.annotation_tsv(spark, f"{at}/gene_annotation.tsv")
 
 
+@query("WITH s AS (SELECT s_suppkey AS k, 's' || s_nationkey AS sample, 's' || s_nationkey || '-c-' || s_suppkey AS gene, 5 - s_suppkey % 6 AS f FROM supplier), n AS (SELECT f, row_number() OVER (ORDER BY f) AS no FROM (SELECT DISTINCT f FROM s)) SELECT sample AS sample_id, k AS line_no, CASE WHEN k % 4 = 0 THEN 'ID=other' || k ELSE 'ID=' || gene || ';pangenome_id=' || no END AS attrs FROM s JOIN n USING (f)")
+def tagged_by_matrix(spark, sf):
+    """A presence/absence matrix, written and read back, tags the features of its genes."""
+    from genoloom.sources import export, tables
+
+    at, s = _folder(spark, "matrix"), _t(spark, sf, "supplier")
+    sample = F.concat(F.lit("s"), "s_nationkey")
+    s = s.select("s_suppkey", sample.alias("sample_id"), F.concat(sample, F.lit("-c-"), "s_suppkey").alias("gene"), (5 - F.col("s_suppkey") % 6).alias("f"))
+    families_ = s.groupBy("f").agg(F.sort_array(F.collect_list("gene")).alias("gene_ids"), F.count("*").alias("size"))
+    figures = [F.lit(x).alias(c) for c, x in (("product", 'a "quoted", product'), ("representative", ""), ("min_length", 1), ("max_length", 1), ("mean_length", 1.0))]
+    families_ = families_.select(F.col("f").alias("family_ord"), F.concat(F.lit("n"), "f").alias("name"), "gene_ids", *figures, "size")
+    names = [r[0] for r in s.select("sample_id").distinct().orderBy("sample_id").collect()]  # the list of samples
+    export.write_spreadsheet(families_, names, f"{at}/gene_presence_absence.csv")
+    other = F.col("s_suppkey") % 4 == 0
+    features = s.select("sample_id", F.col("s_suppkey").alias("line_no"), F.lit("CDS").alias("type"), F.concat(F.lit("ID="), F.when(other, F.concat(F.lit("other"), "s_suppkey")).otherwise(F.col("gene"))).alias("attrs"))
+    return gfftools.tagged(features, tables.matrix_csv(spark, f"{at}/gene_presence_absence.csv")).select("sample_id", "line_no", "attrs")
+
+
 _REINFLATED_ADD = """
 WITH d AS (SELECT o_orderkey AS k, min(o_orderkey) OVER (PARTITION BY o_orderpriority, o_custkey % 97) AS rep, o_orderpriority AS p, o_custkey % 97 AS g FROM orders),
 u AS (SELECT DISTINCT g, rep FROM d WHERE p LIKE '1%'),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from genoloom.storage import checkpoint
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).filter("line <> ''")
@@ -53,11 +55,17 @@ def clusters_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matrix_csv(spark: SparkSession, path: str, first: int = 8) -> DataFrame:
-    """(cluster, gene_id) of a presence/absence matrix whose sample cells begin at column ``first`` (from 0)."""
-    t = spark.read.csv(path, header=True, quote='"', escape='"')
-    names = t.columns
-    cells = F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names[first:]])
-    return t.select(F.col(f"`{names[0]}`").alias("cluster"), F.explode(F.flatten(F.transform(cells, lambda x: F.split(x, "\t")))).alias("gene_id")).filter("gene_id <> ''")
+    """(cluster, cluster_no, sample_id, gene_id) of a presence/absence matrix whose sample cells begin at column ``first`` (from 0); clusters are
+    numbered from 1 in the order of lines."""
+    from genoloom.operators.families import numbered
+
+    t = spark.read.csv(path, header=True, quote='"', escape='"').withColumn("_place", F.monotonically_increasing_id())
+    names = t.columns[:-1]
+    cells = F.array(*[F.struct(F.lit(c).alias("sample_id"), F.coalesce(F.col(f"`{c}`"), F.lit("")).alias("cell")) for c in names[first:]])
+    t = checkpoint(t.select("_place", F.col(f"`{names[0]}`").alias("cluster"), cells.alias("cells")))
+    order = numbered(t.select(F.col("_place").alias("key")), ["key"]).select((F.col("cluster_idx") + 1).alias("cluster_no"), F.col("key").alias("_place"))
+    t = t.join(order, "_place").select("cluster", "cluster_no", F.explode("cells").alias("x"))
+    return t.select("cluster", "cluster_no", "x.sample_id", F.explode(F.split("x.cell", "\t")).alias("gene_id")).filter("gene_id <> ''")
 
 
 def catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
