@@ -19,6 +19,7 @@ A gene without a sequence or a sample is in no family; their number is logged. T
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from genoloom.operators import report
@@ -84,14 +85,18 @@ def classified(spark: SparkSession, out: str, c: dict) -> DataFrame:
 def collect_families(spark: SparkSession, source: str, out: str, checkpoint: str, config: dict | None = None) -> DataFrame | None:
     """Take what is new in ``source`` and return all families; None while nothing with a sample and a sequence has come."""
     c = settings("collect_families") | (config or {})
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", c["files_per_batch"]).parquet(_watched(spark, source))
+    rows = spark.read.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", c["files_per_batch"]).parquet(_watched(rows, source))
     query = stream.select(c["gene"], c["sample"], c["sequence"]).writeStream.foreachBatch(take(spark, out, c)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     batches = [p for p in query.recentProgress if p.numInputRows]
     log.info("%s: %d new batches, %d new rows", source, len(batches), sum(p.numInputRows for p in batches))
-    if not _exists(spark, f"{out}/families"):
+    try:
+        found = classified(spark, out, c)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    found = classified(spark, out, c)
     counts = found.groupBy("class").agg(F.count("*").alias("families"), F.sum("n_sequences").alias("genes"))
     counts.coalesce(1).write.mode("overwrite").parquet(f"{out}/summary")
     for r in spark.read.parquet(f"{out}/summary").orderBy("class").collect():  # a row a class
@@ -99,20 +104,11 @@ def collect_families(spark: SparkSession, source: str, out: str, checkpoint: str
     return found
 
 
-def _files(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    system, at = _files(spark, path)
-    return system.exists(at)
-
-
-def _watched(spark: SparkSession, path: str) -> str:
+def _watched(rows: DataFrame, source: str) -> str:
     """A stream takes a folder or a pattern; a single file is the only one of its pattern."""
-    system, at = _files(spark, path)
-    return f"{path[:-1]}[{path[-1]}]" if system.exists(at) and system.getFileStatus(at).isFile() else path
+    one = rows.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name")).limit(1).collect()
+    source = source.rstrip("/")
+    return f"{source[:-1]}[{source[-1]}]" if one and one[0].name == source.rpartition("/")[2] else source
 
 
 if __name__ == "__main__":
