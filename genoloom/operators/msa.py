@@ -62,7 +62,9 @@ def _aligned_groups(nodes: DataFrame, protein: bool) -> DataFrame:
         })
 
     schema = "family string, node long, up long, data binary, whole boolean, h1 long, h2 long"
-    return nodes.groupBy("family", "group").applyInArrow(run, schema)
+    # aligning costs far more than its rows weigh, so that partitions are not to be put together by their size
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.repartition(parts, "family", "group").groupBy("family", "group").applyInArrow(run, schema)
 
 
 def family_alignments(genes: DataFrame, protein: bool = True) -> DataFrame:
