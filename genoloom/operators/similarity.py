@@ -71,6 +71,12 @@ def minimizers(seqs: DataFrame, k: int, window: int) -> DataFrame:
     return seqs.select("ord", "aa").mapInArrow(run, "ord long, seed long")
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) over all partitions: aligning costs far more than they weigh, so that partitions are not to be put together by their
+    size, and a sequence with many partners is not to be one task's."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+
+
 def _identities(pairs: DataFrame, identity: float = IDENTITY) -> DataFrame:
     """(a, b, identity) of (a, b, aa_a, aa_b), identical residues over the shorter length, where it may reach ``identity``.
 
@@ -98,7 +104,7 @@ def _identities(pairs: DataFrame, identity: float = IDENTITY) -> DataFrame:
             at = pa.array(at)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(out, pa.float64())], names=["a", "b", "identity"])
 
-    return pairs.select("a", "b", "aa_a", "aa_b").mapInArrow(run, "a long, b long, identity double")
+    return _dealt(pairs.select("a", "b", "aa_a", "aa_b")).mapInArrow(run, "a long, b long, identity double")
 
 
 def _candidates(left: DataFrame, right: DataFrame, identity: float, ratio: float, both: bool) -> DataFrame:
@@ -250,4 +256,4 @@ def search(queries: DataFrame, targets: DataFrame, evalue: float = EVALUE, k: in
     met = (met.filter("a <= b") if both else met).groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("d")).agg(F.count("*").cast("int").alias("n"))
     met = met.groupBy("a", "b").agg(F.sum("n").alias("all"), F.collect_list(F.struct("d", "n")).alias("ds")).filter(F.col("all") >= shared)
     met = met.join(q.select(F.col("ord").alias("a"), F.col("gene_id").alias("q"), F.col("aa").alias("qa")), "a").join(t.select(F.col("ord").alias("b"), F.col("gene_id").alias("s"), F.col("aa").alias("sa")), "b")
-    return best_targets(met.select("q", "s", "qa", "sa", "ds").mapInArrow(_extended(shared, database, evalue, both), schemas.HITS), best)
+    return best_targets(_dealt(met).select("q", "s", "qa", "sa", "ds").mapInArrow(_extended(shared, database, evalue, both), schemas.HITS), best)
