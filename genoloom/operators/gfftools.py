@@ -60,6 +60,17 @@ def gff_text(features: DataFrame, contigs: DataFrame | None = None) -> DataFrame
     return out
 
 
+def rewritten(features: DataFrame, contigs: DataFrame) -> DataFrame:
+    """``gff_text`` of features with new ids. A line of other than nine cells, and a sample without sequences, are errors, as other tools would fail on
+    what is written."""
+    wrong = F.raise_error(F.concat("sample_id", F.lit(": the feature at "), F.col("line_no").cast("string"), F.lit(" has not nine cells"))).cast("string")
+    checked = features.withColumn("attrs", F.when(F.col("attrs").isNull() | (F.col("cells") != 9), wrong).otherwise(F.col("attrs")))
+    has = contigs.select("sample_id", F.lit(True).alias("has")).distinct()
+    none = F.raise_error(F.concat("sample_id", F.lit(": no sequences"))).cast("string")
+    out = gff_text(renumbered(checked), contigs).join(has, "sample_id", "left")
+    return out.select("sample_id", "ord", F.when(F.col("has"), F.col("value")).otherwise(none).alias("value"))
+
+
 def tagged(features: DataFrame, clusters: DataFrame) -> DataFrame:
     """Adds pangenome_id to coding features whose id is in a cluster (sample_id, gene_id, cluster_no); others pass as they are."""
     t = features.withColumn("gene_id", attribute(F.col("attrs"), "ID")).join(clusters.select("sample_id", "gene_id", "cluster_no"), ["sample_id", "gene_id"], "left")

@@ -10,7 +10,8 @@ time. Compressed files are streamed, each by one task. The places of lines in th
 the first record. Tests of ``type``, ``seqid`` and ``name`` for equality are pushed down, so that no other cell of a line
 that fails, and no other sequence, is kept. Of a folder, files are read whose names match ``pattern`` (by default those of ``NAMES``).
 
-Defined results: blank lines, comments and lines without a tab are no features; cells that a line lacks, and places that are no numbers, are null; a record
+Defined results: blank lines, comments and lines without a tab are no features; cells that a line lacks, and places that are no numbers, are null, and those
+beyond nine are only counted (``cells``); a record
 without a name is left out; white space that ends a line of a sequence goes; no files give no rows.
 """
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-FEATURES = "path string, line_no long, seqid string, source string, type string, start int, end int, score string, strand string, phase string, attrs string"
+FEATURES = "path string, line_no long, seqid string, source string, type string, start int, end int, score string, strand string, phase string, attrs string, cells int"
 RECORDS = "path string, rec_no long, name string, seq string"
 NAMES = {"gff": r"\.gff3?(\.gz)?$", "fasta": r"\.(fna|faa|fa|fasta|ffn|gff3?)(\.gz)?$"}
 SPLIT, BLOCK, ROWS, BYTES = 64 << 20, 4 << 20, 20_000, 8 << 20
@@ -82,7 +83,7 @@ def features(f, start: int, end: int | None, wanted: dict[str, tuple]) -> Iterat
             continue
         c = line.split(b"\t")
         if (kinds is None or len(c) > 2 and c[2] in kinds) and (ids is None or c[0] in ids):
-            yield at, [x.decode("utf-8", "replace") for x in c[:9]]
+            yield at, [x.decode("utf-8", "replace") for x in c]
 
 
 def records(f, start: int, end: int | None, wanted: dict[str, tuple]) -> Iterator[tuple[int, str, str]]:
@@ -156,7 +157,7 @@ class GenomeReader(DataSourceReader):
             return
         text, number = pa.string(), pa.int64()
         if self.kind == "gff":
-            names, types = [c.split()[0] for c in FEATURES.split(", ")], [text, number, text, text, text, pa.int32(), pa.int32(), text, text, text, text]
+            names, types = [c.split()[0] for c in FEATURES.split(", ")], [text, number, text, text, text, pa.int32(), pa.int32(), text, text, text, text, pa.int32()]
         else:
             names, types = [c.split()[0] for c in RECORDS.split(", ")], [text, number, text, text]
         system, at = _system(part.path)
@@ -169,9 +170,10 @@ class GenomeReader(DataSourceReader):
             f = gzip.GzipFile(fileobj=raw) if part.path.lower().endswith(".gz") else raw
             if self.kind == "gff":
                 for place, c in features(f, part.start, part.end, self.wanted):
-                    c += [None] * (9 - len(c))
+                    n = len(c)
+                    c = c[:9] + [None] * (9 - n)
                     c[3], c[4] = (_number(x) if x is not None else None for x in c[3:5])
-                    rows.append((part.path, place, *c))
+                    rows.append((part.path, place, *c, n))
                     if len(rows) >= ROWS:
                         yield batch()
                         rows = []

@@ -38,7 +38,7 @@ def test_ranges_give_what_the_whole_gives(monkeypatch, block):
         for split in (7, 100, len(raw) + 1):
             parts = [(k, min(k + split, len(raw))) for k in range(0, len(raw), split)]
             got = [x for a, b in parts for x in g.features(io.BytesIO(raw), a, b, {})]
-            assert [c for _, c in got] == feats and [at for at, _ in got] == sorted({at for at, _ in got})
+            assert [c[:9] for _, c in got] == feats and [at for at, _ in got] == sorted({at for at, _ in got})
             found = [x for a, b in parts for x in g.records(io.BytesIO(raw), a, b, {})]
             assert [(n, s) for _, n, s in found] == recs
             assert all(raw[at : at + 1] == b">" for at, _, _ in found)
@@ -78,3 +78,26 @@ def test_tests_are_pushed_down():
     assert [type(f) for f in rest] == [GreaterThan] and reader.wanted == {"type": ("CDS",), "seqid": ("b",)}
     raw = b"a\tx\tCDS\t1\nb\tx\tgene\t1\nb\tx\tCDS\t9\n"
     assert [c for _, c in g.features(io.BytesIO(raw), 0, None, reader.wanted)] == [["b", "x", "CDS", "9"]]
+
+
+def test_rewritten_files(spark, tmp_path):
+    """All cells come back, ids are new, and what can't be rewritten is an error."""
+    from genoloom.operators import gfftools
+    from genoloom.sources import genomes, named_files
+    from pyspark.sql import functions as F
+
+    head = "##gff-version 3\nc\tsrc\tgene\t1\t9\t0.5\t+\t.\tID=g\nc\tsrc\tCDS\t1\t9\t7\t-\t2\tID=k;x=1\n"
+    (tmp_path / "a.gff").write_text(head + "##FASTA\n>c\nACGT\nAC\n")
+    (tmp_path / "b.gff").write_text(head)
+    (tmp_path / "d.gff").write_text(head + "c\tsrc\tCDS\t1\t9\n##FASTA\n>c\nAC\n")
+    (tmp_path / "e.gff").write_text(head + "c\ts\tCDS\t1\t9\t.\t+\t0\tID=x\tmore\n##FASTA\n>c\nAC\n")
+
+    def made(name):
+        s = genomes.samples_from_paths(spark, [str(tmp_path / name)])
+        return gfftools.rewritten(genomes.gff_features(s), genomes.contigs(s))
+
+    named_files.write(made("a.gff").withColumn("file", F.concat("sample_id", F.lit(".gff"))), str(tmp_path / "out"), "ord")
+    assert (tmp_path / "out/a.gff").read_text() == head.replace("ID=k", "ID=a_00001") + "##FASTA\n>c\nACGTAC\n"
+    for name, what in (("b.gff", "no sequences"), ("d.gff", "nine cells"), ("e.gff", "nine cells")):
+        with pytest.raises(Exception, match=what):
+            made(name).collect()
