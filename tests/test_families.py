@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from genoloom import storage
 from genoloom.operators import annotate, families, graphs, hits, paralogs, report, similarity
 
 
@@ -264,3 +265,14 @@ def test_a_flow_that_does_not_settle_is_told(spark, monkeypatch):
     with pytest.warns(UserWarning, match="hasn't settled"):
         got = graphs.markov_clusters(spark.createDataFrame(e, "a string, b string, w double"), small=2)
     assert sorted(r.gene_id for r in got.collect()) == ["a", "b", "c", "d", "e"]
+
+
+def test_candidates_never_go_through_the_driver(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=80)) for _ in range(6)]
+    t = spark.createDataFrame([(i, f"g{i}", x) for i, x in enumerate(texts * 2)], "seq_ord long, gene_id string, aa string")
+    found, rest = similarity.matched_to(t.filter("seq_ord >= 6"), t.filter("seq_ord < 6"))
+    assert sorted((r.rep_id, r.member_id) for r in found.collect()) == sorted((f"g{i}", f"g{i + 6}") for i in range(6))
+    own = storage.checkpoint(t.withColumn("ord", F.col("seq_ord")))
+    for plan in (found, rest, similarity._candidates(own, own, 0.98, 0.98, True)):
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
