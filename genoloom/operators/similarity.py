@@ -16,6 +16,8 @@ from genoloom.storage import checkpoint, drop
 IDENTITY, LENGTH_RATIO, K, EVALUE, TARGETS = 0.98, 0.98, 12, 1e-6, 2000
 #: Diagonals that seeds of one stretch may lie apart, the score without gaps that a pair must reach, and what its band has on either side.
 SPREAD, TRIGGER, PAD = 16, 30, 24
+#: What of a seed's set of sequences meets at a time.
+SLICE = 256
 
 
 def kmers(seqs: DataFrame, k: int = 5, keep: str = "gene_id") -> DataFrame:
@@ -107,13 +109,31 @@ def _identities(pairs: DataFrame, identity: float = IDENTITY) -> DataFrame:
     return _dealt(pairs.select("a", "b", "aa_a", "aa_b")).mapInArrow(run, "a long, b long, identity double")
 
 
+def _met(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """(a, b), distinct, of what shares a seed: of ``left`` and ``right`` (ord, seed), or a < b of ``left`` alone.
+
+    Sequences that are alike share most of their seeds, so sets that seeds have in common are looked at once before they become pairs. Large sets
+    are cut into slices, each of which meets each, so that no task has the pairs of one seed.
+    """
+    if right is None:
+        sets = left.groupBy("seed").agg(F.sort_array(F.collect_list("ord")).alias("l")).filter("size(l) > 1").withColumn("r", F.col("l"))
+    else:
+        both = left.select("seed", F.col("ord").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(right.select("seed", F.lit(None).cast("long").alias("a"), F.col("ord").alias("b")))
+        sets = both.groupBy("seed").agg(F.sort_array(F.collect_list("a")).alias("l"), F.sort_array(F.collect_list("b")).alias("r")).filter("size(l) > 0 AND size(r) > 0")
+    last = lambda c: F.floor((F.size(c) - 1) / SLICE).cast("int")
+    sets = sets.withColumn("i", F.explode(F.sequence(F.lit(0), last("l")))).withColumn("j", F.explode(F.sequence(F.col("i") if right is None else F.lit(0), last("r"))))
+    of = lambda c, k: F.slice(c, F.col(k) * SLICE + 1, F.lit(SLICE))
+    sets = sets.select(of("l", "i").alias("l"), of("r", "j").alias("r")).distinct()
+    pairs = sets.select(F.explode("l").alias("a"), "r").select("a", F.explode("r").alias("b"))
+    return (pairs.filter("a < b") if right is None else pairs).distinct()
+
+
 def _candidates(left: DataFrame, right: DataFrame, identity: float, ratio: float, both: bool) -> DataFrame:
     """Pairs that share a seed, as all of that identity do, and are alike in length; with ``both`` sides the same table, a < b."""
     run = shared_run(identity, ratio)
     k = min(K, run)
-    l, r = (minimizers(t, k, run - k + 1).withColumnRenamed("ord", c) for t, c in ((left, "a"), (right, "b")))
-    pairs = l.join(r, "seed").select("a", "b")
-    pairs = (pairs.filter("a < b") if both else pairs).distinct()
+    l, r = (minimizers(t, k, run - k + 1) for t in (left, right))
+    pairs = _met(l, None if both else r)
     pairs = pairs.join(left.select(F.col("ord").alias("a"), F.col("aa").alias("aa_a")), "a").join(right.select(F.col("ord").alias("b"), F.col("aa").alias("aa_b")), "b")
     n, m = F.length("aa_a"), F.length("aa_b")
     return pairs.filter(F.least(n, m) >= ratio * F.greatest(n, m))

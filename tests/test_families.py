@@ -276,3 +276,18 @@ def test_candidates_never_go_through_the_driver(spark):
     own = storage.checkpoint(t.withColumn("ord", F.col("seq_ord")))
     for plan in (found, rest, similarity._candidates(own, own, 0.98, 0.98, True)):
         assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sets_of_seeds_meet_as_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SLICE", 3)
+    rng = random.Random(9)
+    rows = [(i, s) for i in range(30) for s in range(40) if s < 20 or rng.random() < 0.05]  # twenty seeds that all have
+    t = spark.createDataFrame(rows, "ord long, seed long")
+    pairs = similarity._met(t)
+    assert sorted(tuple(r) for r in pairs.collect()) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+    l, r = t.filter("ord < 10 AND seed >= 20"), t.filter("ord >= 10 AND seed >= 20")
+    want = {(a, b) for a, s in rows for b, z in rows if a < 10 <= b and s == z >= 20}
+    assert sorted(tuple(x) for x in similarity._met(l, r).collect()) == sorted(want)
+    # seeds that the same sequences have are pairs once, not once a seed
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 3
