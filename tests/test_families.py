@@ -291,3 +291,20 @@ def test_sets_of_seeds_meet_as_pairs(spark, monkeypatch):
     # seeds that the same sequences have are pairs once, not once a seed
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Aggregate") == 3
+
+
+def test_families_of_many_paralogs_split_by_counts(spark, monkeypatch):
+    monkeypatch.setattr(paralogs, "PARALOGS", 50)
+    monkeypatch.setattr(paralogs, "GENES", 90)
+    rng = random.Random(3)
+    genes = [f"{rng.choice('aabbbccc')}-c-{i}" for i in range(600)]
+    rows = [(rng.randrange(3) if i % 2 else 3 + rng.randrange(20), i, g) for i, g in enumerate(genes)]
+    t = spark.createDataFrame(rows, "cluster_idx long, member_ord long, gene_id string")
+    around = spark.createDataFrame([(g, [rng.choice(genes) for _ in range(rng.randrange(1, 13))]) for g in genes], "gene_id string, neighbours array<string>")
+    got = [sorted(tuple(r) for r in paralogs.split_round(t, around, few)[0].collect()) for few in (0, 10, 10**6)]
+    assert got[0] == got[1] == got[2]
+    assert len({r[1] for r in got[0]}) > 25
+    # no rows for genes times paralogs: a row for each gene and block of paralogs
+    others = spark.createDataFrame([(0, f"g{i}", 10, 7) for i in range(50)], "cluster_idx long, gene_id string, all int, c long")
+    seen = spark.createDataFrame([(0, p, 7) for p in range(200)], "cluster_idx long, paralog int, c long")
+    assert [(r.paralog, r.score) for r in paralogs._counted(others, seen, seen.groupBy("cluster_idx").agg(F.count("*").alias("n"))).collect()] .count((0, 0.1)) == 50
