@@ -8,6 +8,8 @@ from genoloom.functions import alignment as al
 
 #: Letters A to Z, and one for all else. Cells of a traceback; longer profiles keep to a band about the diagonal from corner to corner.
 LETTERS, CELLS = 27, 1 << 27
+#: Cells of the tracebacks of profiles that are aligned at once.
+TOGETHER = 1 << 21
 _LOW = -1e9
 #: What share of opening a gap a letter pays that comes to stand beside a gap in another sequence, as few such gaps are long.
 BESIDE = 0.35
@@ -139,16 +141,118 @@ def merged(a: np.ndarray, b: np.ndarray, scores: np.ndarray, open_: float, exten
     return out, in_a, in_b
 
 
+def merged_all(pairs: list[tuple[np.ndarray, np.ndarray]], scores: np.ndarray, open_: float, extend: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``merged`` of each pair, a row of all pairs of a batch at a time; pairs alike in length are a batch. Long ones are aligned alone."""
+    out: list = [None] * len(pairs)
+    batches, most, wide = [], 0, 0
+    for k in sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1]))):
+        m, n = (len(x) for x in pairs[k])
+        if not m or not n or 2 * (m + 1) * (n + 1) > TOGETHER:
+            out[k] = merged(*pairs[k], scores, open_, extend)
+            continue
+        most, wide = max(most, m + 1), max(wide, n + 1)
+        if not batches or (len(batches[-1]) + 1) * most * wide > TOGETHER:
+            batches.append([])
+            most, wide = m + 1, n + 1
+        batches[-1].append(k)
+    for own in batches:
+        for k, x in zip(own, _merged([pairs[k] for k in own], scores, open_, extend), strict=True):
+            out[k] = x
+    return out
+
+
+def _merged(pairs, scores, open_, extend):
+    """The same recurrence as that of ``merged``, over (columns of b, pairs). Cells beyond a pair's own columns never reach those before."""
+    size, la, lb = len(pairs), np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
+    m, n = int(la.max()), int(lb.max())
+    fa, fb = np.zeros((size, m, LETTERS), np.float32), np.zeros((size, n, LETTERS), np.float32)
+    for k, (a, b) in enumerate(pairs):
+        fa[k, : len(a)], fb[k, : len(b)] = a, b
+    for x in (fa, fb):
+        x /= np.maximum(x.sum(axis=2).max(axis=1), 1)[:, None, None]
+    full_a, full_b = np.ascontiguousarray(fa.sum(axis=2).T), np.ascontiguousarray(fb.sum(axis=2).T)
+    match = np.ascontiguousarray((fb @ scores.T @ fa.transpose(0, 2, 1)).transpose(2, 1, 0))  # (columns of a, of b, pairs)
+    none = np.zeros((1, size), np.float32)
+    start, goes_on = np.float32(open_) * full_b, np.concatenate([none, np.cumsum(np.float32(extend) * full_b, axis=0, dtype=np.float32)])
+    moves = np.zeros((m + 1, n + 1, size), np.uint8)
+    moves[0, 1:], moves[0, 2:] = 2, 6
+    h = -start[0] - goes_on
+    h[0] = 0
+    f, diag, e = (np.full((n + 1, size), _LOW, np.float32) for _ in range(3))
+    beside, goes = np.float32(extend + BESIDE * open_), np.zeros((n + 1, size), bool)
+    cost, spare = np.empty_like(full_b), np.empty_like(full_b)
+    for i in range(1, m + 1):
+        own = full_a[i - 1]
+        fo = h - np.float32(open_ + extend) * own
+        f -= np.float32(extend) * own
+        goes_f = f > fo
+        np.maximum(fo, f, out=f)
+        np.add(full_b, own, out=cost)
+        np.multiply(full_b, 2 * own, out=spare)
+        cost -= spare
+        cost *= beside
+        np.add(h[:-1], match[i - 1], out=diag[1:])
+        diag[1:] -= cost
+        np.maximum(diag, f, out=h)
+        np.subtract(h[:-1], start, out=cost)
+        cost += goes_on[:-1]
+        np.maximum.accumulate(cost, axis=0, out=cost)
+        np.subtract(cost, goes_on[1:], out=e[1:])
+        np.maximum(h, e, out=h)
+        np.subtract(h[:-1], start, out=cost)
+        cost += goes_on[:-1]
+        cost -= goes_on[1:]
+        cost += np.float32(1e-3)
+        np.greater(e[1:], cost, out=goes[1:])
+        mv = np.where(h == diag, np.uint8(1), np.uint8(3) - (h == e))
+        mv |= goes.view(np.uint8) << 2
+        mv |= goes_f.view(np.uint8) << 3
+        moves[i] = mv
+    i, j, state, who = la.copy(), lb.copy(), np.zeros(size, np.uint8), np.arange(size)
+    steps = []
+    while (i > 0).any() or (j > 0).any():
+        mv = moves[i, j, who]
+        step = np.where(state > 0, state, np.where((i > 0) & (j > 0), mv & 3, np.where(j > 0, 2, np.where(i > 0, 3, 0)))).astype(np.uint8)
+        steps.append(step)
+        state = np.where((step == 2) & (mv & 4 > 0) & (j > 1), 2, np.where((step == 3) & (mv & 8 > 0) & (i > 1), 3, 0)).astype(np.uint8)
+        i -= (step == 1) | (step == 3)
+        j -= (step == 1) | (step == 2)
+    way = np.array(steps)[::-1]
+    out = []
+    for k, (a, b) in enumerate(pairs):
+        own = way[:, k]
+        own = own[own > 0]
+        in_a, in_b = np.flatnonzero(own != 2), np.flatnonzero(own != 3)
+        both = np.zeros((len(own), LETTERS), np.float32)
+        both[in_a] += a
+        both[in_b] += b
+        out.append((both, in_a, in_b))
+    return out
+
+
 def progressive(own: list[np.ndarray], protein: bool) -> tuple[np.ndarray, list[np.ndarray]]:
     """(profile, places of the columns of each) of profiles that are aligned along their tree."""
+    return progressive_all([own], protein)[0]
+
+
+def progressive_all(groups: list[list[np.ndarray]], protein: bool) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """``progressive`` of each group. Merges of all groups that wait for no other are one step."""
     scores, open_, extend, k = kind(protein)
-    if len(own) < 2:
-        return own[0], [np.arange(len(p)) for p in own]
-    places, at, under = [np.arange(len(p)) for p in own], list(own), [[i] for i in range(len(own))]
-    for i, j in tree([words(p, k) for p in own]):
-        at[i], left, right = merged(at[i], at[j], scores, open_, extend)
-        for x, to in ((i, left), (j, right)):
-            for y in under[x]:
-                places[y] = to[places[y]]
-        under[i] += under[j]
-    return at[0], places
+    places, at, under = [[np.arange(len(p)) for p in own] for own in groups], [list(own) for own in groups], [[[i] for i in range(len(own))] for own in groups]
+    levels: list[list[tuple[int, int, int]]] = []
+    for g, own in enumerate(groups):
+        high = [0] * len(own)
+        for i, j in tree([words(p, k) for p in own]) if len(own) > 1 else []:
+            level = max(high[i], high[j])
+            high[i] = level + 1
+            levels += [[] for _ in range(level + 1 - len(levels))]
+            levels[level].append((g, i, j))
+    for level in levels:
+        done = merged_all([(at[g][i], at[g][j]) for g, i, j in level], scores, open_, extend)
+        for (g, i, j), (both, left, right) in zip(level, done, strict=True):
+            at[g][i], at[g][j] = both, None
+            for x, to in ((i, left), (j, right)):
+                for y in under[g][x]:
+                    places[g][y] = to[places[g][y]]
+            under[g][i] += under[g][j]
+    return [(own[0], p) for own, p in zip(at, places, strict=True)]

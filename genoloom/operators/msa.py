@@ -10,6 +10,8 @@ from genoloom.storage import checkpoint
 
 #: Profiles that a task aligns along one tree.
 GROUP = 64
+#: Bytes of the profiles of the groups that a task aligns side by side.
+HELD = 16 << 20
 _NODE = "family string, node long, data binary, whole boolean, h1 long, h2 long"
 
 
@@ -45,26 +47,54 @@ def _grouped(nodes: DataFrame) -> DataFrame:
 def _aligned_groups(nodes: DataFrame, protein: bool) -> DataFrame:
     """Of each group: a row (``up`` null) with its profile, and a row for each of its nodes with the places of its columns in that."""
 
-    def run(table):
+    names = ["family", "node", "up", "data", "whole", "h1", "h2"]
+
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
         from genoloom.functions import profiles
 
-        t = table.sort_by("node")
-        own = [np.frombuffer(d, np.float32).reshape(-1, profiles.LETTERS) if whole else profiles.profile(d.decode()) for d, whole in zip(t["data"].to_pylist(), t["whole"].to_pylist(), strict=True)]
-        done, places = profiles.progressive(own, protein)
-        h1, h2 = profiles.sketch(profiles.words(done, profiles.kind(protein)[3]))
-        nodes_, n = t["node"].to_pylist(), len(own)
-        return pa.table({
-            "family": [t["family"][0].as_py()] * (n + 1), "node": [nodes_[0], *nodes_], "up": pa.array([None, *[nodes_[0]] * n], pa.int64()),
-            "data": pa.array([done.tobytes(), *[p.astype(np.int32).tobytes() for p in places]], pa.binary()), "whole": pa.array([True] * (n + 1)), "h1": pa.array([h1] + [None] * n, pa.int64()), "h2": pa.array([h2] + [None] * n, pa.int64()),
-        })
+        def groups():
+            """(family, nodes, profiles) of each group, whose rows are one after the other."""
+            last, nodes_, own = None, [], []
+            for b in batches:
+                for family, group, node, data, whole in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                    if (family, group) != last and own:
+                        yield last[0], nodes_, own
+                        nodes_, own = [], []
+                    last = family, group
+                    nodes_.append(node)
+                    own.append(np.frombuffer(data, np.float32).reshape(-1, profiles.LETTERS) if whole else profiles.profile(data.decode()))
+            if own:
+                yield last[0], nodes_, own
+
+        def done(held):
+            cols = [[] for _ in names]
+            for (family, nodes_, own), (one, places) in zip(held, profiles.progressive_all([own for _, _, own in held], protein), strict=True):
+                n = len(own)
+                h1, h2 = profiles.sketch(profiles.words(one, profiles.kind(protein)[3]))
+                rows = [family] * (n + 1), [nodes_[0], *nodes_], [None, *[nodes_[0]] * n], [one.tobytes(), *[p.astype(np.int32).tobytes() for p in places]], [True] * (n + 1), [h1] + [None] * n, [h2] + [None] * n
+                for col, row in zip(cols, rows, strict=True):
+                    col += row
+            types = pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+        held, size = [], 0
+        for g in groups():
+            held.append(g)
+            size += sum(p.nbytes for p in g[2])
+            if size >= HELD:
+                yield done(held)
+                held, size = [], 0
+        if held:
+            yield done(held)
 
     schema = "family string, node long, up long, data binary, whole boolean, h1 long, h2 long"
     # aligning costs far more than its rows weigh, so that partitions are not to be put together by their size
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return nodes.repartition(parts, "family", "group").groupBy("family", "group").applyInArrow(run, schema)
+    rows = nodes.select("family", "group", "node", "data", "whole").repartition(parts, "family", "group").sortWithinPartitions("family", "group", "node")
+    return rows.mapInArrow(run, schema)
 
 
 def family_alignments(genes: DataFrame, protein: bool = True) -> DataFrame:

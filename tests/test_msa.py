@@ -170,3 +170,37 @@ def test_nucleotides(spark):
     got = {r.gene_id: r.aligned for r in msa.family_alignments(spark.createDataFrame(rows, "family string, gene_id string, seq string"), False).collect()}
     assert {k: v.replace("-", "") for k, v in got.items()} == {g: s for _, g, s in rows} and len({len(v) for v in got.values()}) == 1
     assert got["a"][:6] == got["b"][:6] == "ACGTAC" and got["b"].count("-") == 4
+
+
+def test_groups_are_aligned_side_by_side(spark, monkeypatch):
+    """Profiles of many groups are aligned a batch at a time, with the results of one pair after the other."""
+    rng = random.Random(9)
+    scores, open_, extend, k = profiles.kind(True)
+    groups = []
+    for f in range(25):
+        p = protein(rng, rng.randrange(1, 70))
+        groups.append([profiles.profile(changed(rng, p, rng.randrange(0, 6))) for _ in range(rng.randrange(1, 9))])
+    want = []
+    for own in groups:
+        at, places, under = list(own), [list(range(len(p))) for p in own], [[i] for i in range(len(own))]
+        for i, j in profiles.tree([profiles.words(p, k) for p in own]) if len(own) > 1 else []:
+            at[i], left, right = profiles.merged(at[i], at[j], scores, open_, extend)
+            for x, to in ((i, left), (j, right)):
+                for y in under[x]:
+                    places[y] = [int(to[c]) for c in places[y]]
+            under[i] += under[j]
+        want.append((at[0].tolist(), places))
+    alone, merged = [], profiles.merged
+    monkeypatch.setattr(profiles, "merged", lambda *a: alone.append(1) or merged(*a))
+    for most in (1 << 21, 3000):  # pairs too long for that are aligned alone
+        monkeypatch.setattr(profiles, "TOGETHER", most)
+        del alone[:]
+        got = profiles.progressive_all(groups, True)
+        assert [(one.tolist(), [p.tolist() for p in places]) for one, places in got] == want
+        assert bool(alone) == (most < 1 << 21)
+    # a task that holds little at a time has the same rows
+    rows = [(f"f{f}", f"f{f}g{i}", changed(rng, "MKVLAARNDCQEGHILKMFPSTWYV", 2)) for f in range(9) for i in range(7)]
+    t = spark.createDataFrame(rows, "family string, gene_id string, seq string")
+    one = sorted(map(tuple, msa.family_alignments(t).collect()))
+    monkeypatch.setattr(msa, "HELD", 1)
+    assert sorted(map(tuple, msa.family_alignments(t).collect())) == one and len(one) == len(rows)
