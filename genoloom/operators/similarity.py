@@ -18,6 +18,8 @@ IDENTITY, LENGTH_RATIO, K, EVALUE, TARGETS = 0.98, 0.98, 12, 1e-6, 2000
 SPREAD, TRIGGER, PAD = 16, 30, 24
 #: What of a seed's set of sequences meets at a time.
 SLICE = 256
+#: Of a search: residues of a block of sequences, places of words that meet at a time, and pairs whose paths are held at a time.
+RESIDUES, MEETINGS, PATHS = 1 << 21, 1 << 21, 4096
 
 
 def kmers(seqs: DataFrame, k: int = 5, keep: str = "gene_id") -> DataFrame:
@@ -182,11 +184,9 @@ def matched_to(new: DataFrame, reps: DataFrame, identity: float = IDENTITY, rati
     return members.select("rep_id", "member_id", F.col("a").alias("member_ord")), n.join(best.select(F.col("a").alias("ord")), "ord", "left_anti").drop("ord")
 
 
-def seeds(seqs: DataFrame, k: int = 5, mask: bool = True) -> DataFrame:
-    """(ord, pos, word): the words of ``k`` residues, 8 at most, of each sequence (ord, aa). With ``mask`` those that touch a
-    stretch of low complexity are left out, as such stretches are alike in proteins that have nothing else in common."""
-    if not 0 < k <= 8:
-        raise ValueError("words of 1 to 8 residues")
+def _marked(seqs: DataFrame, mask: bool) -> DataFrame:
+    """(ord, gene_id, aa, low): low has a bit for each residue in a stretch of low complexity, as such stretches are alike in proteins that
+    have nothing else in common; null where there are none, or without ``mask``."""
 
     def run(batches):
         import numpy as np
@@ -195,85 +195,161 @@ def seeds(seqs: DataFrame, k: int = 5, mask: bool = True) -> DataFrame:
         from genoloom.functions.banded import low_complexity
 
         for b in batches:
-            who, places, words = [], [], []
-            for o, aa in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer((text := aa.encode()), np.uint8).astype(np.int64)
-                n = len(x) - k + 1
-                if n <= 0:
-                    continue
-                word, keep = np.zeros(n, np.int64), np.ones(n, bool)
-                low = low_complexity(text) if mask else np.zeros(len(x), bool)
-                for j in range(k):
-                    word = word << 8 | x[j : n + j]
-                    keep &= ~low[j : n + j]
-                at = np.flatnonzero(keep)
-                who.append(np.full(len(at), o))
-                places.append(at)
-                words.append(word[at])
-            cat = lambda xs: np.concatenate(xs).astype(np.int64) if xs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cat(who)), pa.array(cat(places).astype(np.int32)), pa.array(cat(words))], names=["ord", "pos", "word"])
+            low = [low_complexity(aa.encode()) if mask else None for aa in b.column(2).to_pylist()]
+            bits = pa.array([np.packbits(x).tobytes() if x is not None and x.any() else None for x in low], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(3)), bits], names=["ord", "gene_id", "aa", "low"])
 
-    return seqs.select("ord", "aa").mapInArrow(run, "ord long, pos int, word long")
+    return seqs.select("ord", "gene_id", "aa").mapInArrow(run, "ord long, gene_id string, aa string, low binary")
 
 
-def _extended(shared: int, database: int, evalue: float, both: bool):
-    """For batches of (q, s, qa, sa, diagonals): the hits. Seeds that lie on near diagonals are extended without gaps; a pair whose best
-    stretch reaches ``TRIGGER`` is scored in a band about its diagonals, and only one that counts gets its path."""
+class _Block:
+    """Sequences one after the other, a zero between, and their words of ``k`` residues in the order of their places."""
 
-    def run(batches):
+    def __init__(self, rows: list, k: int):
         import numpy as np
-        import pyarrow as pa
 
-        from genoloom.functions import banded
-        from genoloom.functions.alignment import LAMBDA, K as KARLIN, hit
+        self.ord, self.ids, self.texts = np.array([r[0] for r in rows], np.int64), [r[1] for r in rows], [r[2].encode() for r in rows]
+        self.x = np.frombuffer(b"\0".join([*self.texts, b""]), np.uint8)
+        self.length = np.array([len(x) for x in self.texts], np.int64)
+        self.start = np.cumsum(self.length + 1) - self.length - 1
+        usable = self.x != 0
+        for r, start, n in zip(rows, self.start.tolist(), self.length.tolist(), strict=True):
+            if r[3] is not None:
+                usable[start : start + n] &= np.unpackbits(np.frombuffer(r[3], np.uint8), count=n) == 0
+        n = max(len(self.x) - k + 1, 0)
+        word, keep = np.zeros(n, np.int64), np.ones(n, bool)
+        for j in range(k):
+            word = word << 8 | self.x[j : n + j]
+            keep &= usable[j : n + j]
+        self.at = np.flatnonzero(keep)
+        self.word, self.who = word[self.at], np.repeat(np.arange(len(rows)), self.length + 1)[self.at]
+        self.place = self.at - self.start[self.who]
+
+
+def _near_diagonals(left: _Block, right: _Block, shared: int, same: bool):
+    """(a, b, d), sorted: diagonals of pairs of sequences with ``shared`` words at most ``SPREAD`` diagonals away; of one block with itself only
+    pairs that are in order. A few sequences of the left at a time, so that no more than ``MEETINGS`` places of words meet at once."""
+    import numpy as np
+
+    by, own = np.argsort(right.word, kind="stable"), np.argsort(left.word, kind="stable")
+    words = right.word[by]
+    first, n = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+    first[own] = np.searchsorted(words, left.word[own], "left")
+    n[own] = np.searchsorted(words, left.word[own], "right") - first[own]
+    ends = np.searchsorted(left.who, np.arange(len(left.ids)), "right")
+    total, most = np.concatenate([[0], np.cumsum(n)]), int(left.length.max(initial=0))
+    span, wide = most + int(right.length.max(initial=0)) + 2 * SPREAD + 2, len(right.ids)
+    a0, p0 = 0, 0
+    while a0 < len(ends):
+        a1 = max(a0 + 1, int(np.searchsorted(total[ends], total[p0] + MEETINGS, "right")))
+        p1 = int(ends[a1 - 1])
+        at = np.repeat(np.arange(p0, p1), n[p0:p1])
+        to = by[first[at] + np.arange(len(at)) - (total[at] - total[p0])]
+        a, b = left.who[at], right.who[to]
+        key = ((a - a0) * wide + b) * span + right.place[to] - left.place[at] + most + SPREAD
+        if same:
+            key = key[left.ord[a] <= right.ord[b]]
+        del at, to, a, b
+        key.sort()
+        if shared > 1:  # what has no other near goes first
+            near, close = np.zeros(len(key), bool), np.diff(key) <= SPREAD
+            near[1:] |= close
+            near[:-1] |= close
+            key = key[near]
+        key = key[np.searchsorted(key, key + SPREAD, "right") - np.searchsorted(key, key - SPREAD, "left") >= shared]
+        key = key[np.diff(key, prepend=-1) > 0]
+        if len(key):
+            pair, d = np.divmod(key, span)
+            yield pair // wide + a0, pair % wide, d - most - SPREAD
+        a0, p0 = a1, p1
+
+
+def _hits_of(left: _Block, right: _Block, shared: int, database: int, evalue: float, both: bool, same: bool):
+    """Rows of hits of two blocks. Near diagonals are extended without gaps; a pair whose best stretch reaches ``TRIGGER`` is scored in a
+    band about its diagonals, and only one that counts gets its path. With ``both``, hits are told for both sides."""
+    import numpy as np
+
+    from genoloom.functions import banded
+    from genoloom.functions.alignment import LAMBDA, K as KARLIN, hit
+
+    for a, b, d in _near_diagonals(left, right, shared, same):
+        i, j = np.maximum(0, -d), np.maximum(0, d)
+        best = banded.stretches(left.x, right.x, left.start[a] + i, right.start[b] + j, np.minimum(left.length[a] - i, right.length[b] - j))
+        of = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0))  # where a pair begins
+        good = np.maximum.reduceat(best, of) >= TRIGGER
+        ends = np.append(of[1:], len(a)) - 1
+        rows, pairs, bands = [], [], []
+        for u, v, lo, hi in zip(a[of][good].tolist(), b[of][good].tolist(), d[of][good].tolist(), d[ends][good].tolist(), strict=True):
+            turn = both and left.ord[u] > right.ord[v]  # the earlier comes first, whatever block it is in
+            rows.append((right.ids[v], left.ids[u]) if turn else (left.ids[u], right.ids[v]))
+            pairs.append((right.texts[v], left.texts[u]) if turn else (left.texts[u], right.texts[v]))
+            bands.append((-hi - SPREAD - PAD, -lo + SPREAD + PAD) if turn else (lo - SPREAD - PAD, hi + SPREAD + PAD))
+        at = [p for p, (score, _) in enumerate(banded.aligned(pairs, bands, paths=False)) if KARLIN * min(map(len, pairs[p])) * database * math.exp(-LAMBDA * score) <= evalue]
+        for m in range(0, len(at), PATHS):
+            some, out = at[m : m + PATHS], []
+            for p, (score, path) in zip(some, banded.aligned([pairs[p] for p in some], [bands[p] for p in some]), strict=True):
+                (q, t), (x, y) = rows[p], (z.decode() for z in pairs[p])
+                sides = [(q, t, x, y, path)] + [(t, q, y, x, [(j, i) for i, j in path])] * (both and q != t)
+                for qid, sid, x, y, way in sides:
+                    h = hit(x.encode(), y.encode(), score, way, database)
+                    if h[8] <= evalue:
+                        out.append((qid, sid, *h, len(x), len(y)))
+            yield out
+
+
+def _compared(k: int, shared: int, database: int, evalue: float, both: bool):
+    """For batches of (i, j, side, ord, gene_id, aa, low), the rows of a cell of the grid one after the other: the hits."""
+
+    def run(batches):
+        import pyarrow as pa
 
         names = [c.split()[0] for c in schemas.HITS.split(", ")]
         kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
         types = [kinds[c.split()[1]] for c in schemas.HITS.split(", ")]
+
+        def hits(cell, sides):
+            if all(sides):
+                for rows in _hits_of(*(_Block(s, k) for s in sides), shared, database, evalue, both, both and cell[0] == cell[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=names)
+
+        cell, sides = None, ([], [])
         for b in batches:
-            rows, pairs, bands = [], [], []
-            for k in range(b.num_rows):
-                ds = b.column(4)[k].values
-                d, n = ds.field("d").to_numpy(), ds.field("n").to_numpy()
-                order = np.argsort(d)
-                d, total = d[order], np.concatenate([[0], np.cumsum(n[order])])
-                near = total[np.searchsorted(d, d + SPREAD, "right")] - total[np.searchsorted(d, d - SPREAD, "left")]
-                d = d[near >= shared]
-                if not len(d):
-                    continue
-                x, y = b.column(2)[k].as_py().encode(), b.column(3)[k].as_py().encode()
-                u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                if max(banded.ungapped(u, v, e) for e in d.tolist()) >= TRIGGER:
-                    rows.append(k)
-                    pairs.append((x, y))
-                    bands.append((int(d[0]) - SPREAD - PAD, int(d[-1]) + SPREAD + PAD))
-            at = [i for i, (score, _) in enumerate(banded.aligned(pairs, bands, paths=False)) if KARLIN * min(map(len, pairs[i])) * database * math.exp(-LAMBDA * score) <= evalue]
-            out = []
-            for i, (score, path) in zip(at, banded.aligned([pairs[i] for i in at], [bands[i] for i in at]), strict=True):
-                q, t = (b.column(c)[rows[i]].as_py() for c in (0, 1))
-                x, y = pairs[i]
-                sides = [(q, t, x, y, path)] + [(t, q, y, x, [(j, i) for i, j in path])] * (both and q != t)
-                for qid, sid, x, y, way in sides:
-                    h = hit(x, y, score, way, database)
-                    if h[8] <= evalue:
-                        out.append((qid, sid, *h, len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=names)
+            for i, j, side, *row in zip(*(b.column(c).to_pylist() for c in range(7)), strict=True):
+                if (i, j) != cell:
+                    yield from hits(cell, sides)
+                    cell, sides = (i, j), ([], [])
+                sides[side].append(row)
+        yield from hits(cell, sides)
 
     return run
 
 
+def _grid(q: DataFrame, t: DataFrame, sizes: tuple[int, int], both: bool) -> DataFrame:
+    """Sequences dealt into blocks of ``RESIDUES`` on either side, and a copy of each for every block that it meets: a cell (i, j) is two blocks. With
+    ``both`` sides the same, i <= j."""
+    parts = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = math.ceil(math.sqrt(parts * (2 if both else 1)))  # so that small tables are many tasks too
+    gq, gt = (max(least, -(-n // RESIDUES)) for n in sizes)
+    block = lambda g: F.pmod(F.xxhash64("ord"), F.lit(g)).cast("int")
+    every = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    rows = ["ord", "gene_id", "aa", "low"]
+    left = q.select(block(gq).alias("i"), *rows).select("i", every(F.col("i") if both else F.lit(0), F.lit(gt - 1)).alias("j"), F.lit(0).alias("side"), *rows)
+    right = t.select(block(gt).alias("j"), *rows).select(every(F.lit(0), F.col("j") if both else F.lit(gq - 1)).alias("i"), "j", F.lit(1).alias("side"), *rows)
+    return left.unionByName(right).repartition(parts, "i", "j").sortWithinPartitions("i", "j")
+
+
 def search(queries: DataFrame, targets: DataFrame, evalue: float = EVALUE, k: int = 5, shared: int = 2, best: int = TARGETS, mask: bool = True) -> DataFrame:
     """Hits of every query against every target (gene_id, aa), by local alignment of pairs that share at least ``shared`` words of
-    ``k`` residues on diagonals no more than ``SPREAD`` apart. A table against itself has each pair aligned once, for both sides."""
+    ``k`` residues, 8 at most, on diagonals no more than ``SPREAD`` apart. A table against itself has each pair aligned once, for both sides.
+
+    Words that meet by chance are as many as pairs, so they never leave a task: blocks of sequences meet as the cells of a grid, and only
+    hits come out."""
     from genoloom.operators.hits import best_targets
 
+    if not 0 < k <= 8:
+        raise ValueError("words of 1 to 8 residues")
     both = queries is targets
-    t = checkpoint(targets.select(F.monotonically_increasing_id().alias("ord"), "gene_id", "aa"))
-    q = t if both else checkpoint(queries.select(F.monotonically_increasing_id().alias("ord"), "gene_id", "aa"))
-    database = t.agg(F.sum(F.length("aa"))).first()[0] or 0
-    x, y = (seeds(own, k, mask).withColumnsRenamed({"ord": c, "pos": f"p{c}"}) for own, c in ((q, "a"), (t, "b")))
-    met = x.join(y, "word")
-    met = (met.filter("a <= b") if both else met).groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("d")).agg(F.count("*").cast("int").alias("n"))
-    met = met.groupBy("a", "b").agg(F.sum("n").alias("all"), F.collect_list(F.struct("d", "n")).alias("ds")).filter(F.col("all") >= shared)
-    met = met.join(q.select(F.col("ord").alias("a"), F.col("gene_id").alias("q"), F.col("aa").alias("qa")), "a").join(t.select(F.col("ord").alias("b"), F.col("gene_id").alias("s"), F.col("aa").alias("sa")), "b")
-    return best_targets(_dealt(met).select("q", "s", "qa", "sa", "ds").mapInArrow(_extended(shared, database, evalue, both), schemas.HITS), best)
+    t = checkpoint(_marked(targets.select(F.monotonically_increasing_id().alias("ord"), "gene_id", "aa"), mask))
+    q = t if both else checkpoint(_marked(queries.select(F.monotonically_increasing_id().alias("ord"), "gene_id", "aa"), mask))
+    sizes = [own.agg(F.sum(F.length("aa"))).first()[0] or 0 for own in ([t] if both else [q, t])]
+    return best_targets(_grid(q, t, (sizes[0], sizes[-1]), both).mapInArrow(_compared(k, shared, sizes[-1], evalue, both), schemas.HITS), best)

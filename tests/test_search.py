@@ -155,3 +155,37 @@ def test_identity_bound_loses_nothing(spark):
             if same >= identity:
                 want[k] = same
         assert got == want and 20 < len(want) < len(rows)
+
+
+def test_seeds_of_a_search_never_leave_a_task(spark, monkeypatch):
+    """Blocks of sequences meet inside tasks, whatever their sizes; what is shuffled is sequences and hits, and no pair of seeds."""
+    rng, rows = random.Random(11), []
+    for f in range(5):
+        p = protein(rng, rng.randrange(60, 110))
+        rows += [(f"f{f}m{k}", changed(rng, p, rng.choice([0, 3, 9]))) for k in range(6)]
+    t = spark.createDataFrame(rows, "gene_id string, aa string").cache()
+    whole = similarity.search(t, t)
+    assert "word" not in (plan := whole._jdf.queryExecution().optimizedPlan().toString()) and "Join" not in plan and "MapInArrow" in plan
+    want = sorted(map(tuple, whole.collect()))
+    assert len(want) > 100
+    monkeypatch.setattr(similarity, "RESIDUES", 300)
+    monkeypatch.setattr(similarity, "MEETINGS", 5)
+    monkeypatch.setattr(similarity, "PATHS", 3)
+    assert sorted(map(tuple, similarity.search(t, t).collect())) == want
+    # diagonals of pairs by the rule itself
+    blocks = [similarity._Block([(k, g, aa, None) for k, (g, aa) in enumerate(rows[lo:hi], lo)], 3) for lo, hi in ((0, 13), (13, 30))]
+    for left, right, same in ((*blocks, False), (blocks[0], blocks[0], True)):
+        met = {}
+        for i, x in enumerate(left.texts):
+            for j, y in enumerate(right.texts):
+                if not same or left.ord[i] <= right.ord[j]:
+                    ds = [v - u for u in range(len(x) - 2) for v in range(len(y) - 2) if x[u : u + 3] == y[v : v + 3]]
+                    if near := sorted({d for d in ds if sum(abs(d - e) <= similarity.SPREAD for e in ds) >= 2}):
+                        met[i, j] = near
+        got = [tuple(map(int, x)) for part in similarity._near_diagonals(left, right, 2, same) for x in zip(*part, strict=True)]
+        assert got == [(i, j, d) for (i, j), ds in sorted(met.items()) for d in ds] and len(got) > 30
+        for i, j, d in got[:200]:
+            u, v = max(0, -d), max(0, d)
+            n = min(len(left.texts[i]) - u, len(right.texts[j]) - v)
+            one = banded.stretches(left.x, right.x, left.start[[i]] + u, right.start[[j]] + v, np.array([n]))
+            assert one[0] == banded.ungapped(*(np.frombuffer(x, np.uint8) for x in (left.texts[i], right.texts[j])), d)
