@@ -308,3 +308,14 @@ def test_families_of_many_paralogs_split_by_counts(spark, monkeypatch):
     others = spark.createDataFrame([(0, f"g{i}", 10, 7) for i in range(50)], "cluster_idx long, gene_id string, all int, c long")
     seen = spark.createDataFrame([(0, p, 7) for p in range(200)], "cluster_idx long, paralog int, c long")
     assert [(r.paralog, r.score) for r in paralogs._counted(others, seen, seen.groupBy("cluster_idx").agg(F.count("*").alias("n"))).collect()] .count((0, 0.1)) == 50
+
+
+def test_clusters_never_go_through_the_driver(spark):
+    rows = [(f"n{6 * i + j}", f"n{6 * i + k}", 1.0) for i in range(5) for j in range(6) for k in range(j, 6)]
+    frame = lambda r: spark.createDataFrame(r, "a string, b string, w double")
+    saved, late = graphs.flowed(frame(rows)), frame([("n0", "n6", 0.01)])
+    once, again = graphs.ordered(saved), graphs.ordered(graphs.reflowed(saved, frame(rows), late))
+    for got in (once, again):
+        assert sorted((r.mcl_ord, r.gene_id) for r in got.collect()) == sorted((o, f"n{6 * i + j}") for o, i in enumerate(sorted(range(5), key=lambda i: min(f"n{6 * i + j}" for j in range(6)))) for j in range(6))
+        joins = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in x]
+        assert all("[_p#" in x for x in joins), joins  # a row a partition, where clusters are numbered
