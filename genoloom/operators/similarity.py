@@ -18,6 +18,8 @@ IDENTITY, LENGTH_RATIO, K, EVALUE, TARGETS = 0.98, 0.98, 12, 1e-6, 2000
 SPREAD, TRIGGER, PAD = 16, 30, 24
 #: What of a seed's set of sequences meets at a time.
 SLICE = 256
+#: Residues whose words are hashed at a time.
+TEXTS = 1 << 20
 #: Of a search: residues of a block of sequences, places of words that meet at a time, and pairs whose paths are held at a time.
 RESIDUES, MEETINGS, PATHS = 1 << 21, 1 << 21, 4096
 
@@ -45,34 +47,63 @@ def shared_run(identity: float, ratio: float) -> int:
     return max(least, 1)
 
 
+def _seeds(texts: list[bytes], k: int, window: int):
+    """(rows, seeds) of ``minimizers``, rows as places in ``texts``, sorted; all texts but short ones are hashed as one."""
+    import numpy as np
+    from numpy.lib.stride_tricks import sliding_window_view
+
+    def hashed(x, w):
+        h = np.zeros(max(len(x) - w + 1, 0), np.uint64)
+        for j in range(w):
+            h = h * np.uint64(0x100000001B3) + x[j : j + len(h)]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+    length, who, seeds = np.array([len(x) for x in texts], np.int64), [], []
+    least = k + window - 1
+    long_ = np.flatnonzero(length >= least)
+    if len(long_):
+        x = np.frombuffer(b"".join([texts[i] for i in long_]), np.uint8).astype(np.uint64)
+        low = sliding_window_view(hashed(x, k), window).min(axis=1)
+        n, start = length[long_], np.cumsum(length[long_]) - length[long_]
+        whole = np.arange(len(low)) - np.repeat(start, n)[: len(low)] <= np.repeat(n, n)[: len(low)] - least  # windows inside one text
+        who.append(np.repeat(long_, n)[: len(low)][whole])
+        seeds.append(low[whole])
+    for i in np.flatnonzero((length > 0) & (length < least)):
+        x = np.frombuffer(texts[i], np.uint8).astype(np.uint64)
+        h = hashed(x, min(k, len(x)))
+        low = sliding_window_view(h, min(window, len(h))).min(axis=1)
+        who.append(np.full(len(low), i))
+        seeds.append(low)
+    if not who:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    who, seeds = np.concatenate(who), np.concatenate(seeds).view(np.int64)
+    order = np.lexsort((seeds, who))
+    who, seeds = who[order], seeds[order]
+    new = np.concatenate([[True], (np.diff(who) != 0) | (seeds[1:] != seeds[:-1])])
+    return who[new], seeds[new]
+
+
 def minimizers(seqs: DataFrame, k: int, window: int) -> DataFrame:
     """(ord, seed): of any ``window`` words in a row the one with the least hash, so that two sequences that share
-    ``window + k - 1`` residues in a row share a seed."""
+    ``window + k - 1`` residues in a row share a seed. Sequences are dealt over all partitions first, as a table of one small file is one task's."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from numpy.lib.stride_tricks import sliding_window_view
 
         for b in batches:
-            who, seeds = [], []
-            for o, aa in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(aa.encode(), np.uint8).astype(np.uint64)
-                if not len(x):
-                    continue
-                w = min(k, len(x))
-                h = np.zeros(len(x) - w + 1, np.uint64)
-                for j in range(w):
-                    h = h * np.uint64(0x100000001B3) + x[j : len(x) - w + 1 + j]
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                h ^= h >> np.uint64(32)
-                s = np.unique(sliding_window_view(h, min(window, len(h))).min(axis=1))
-                who.append(np.full(len(s), o))
-                seeds.append(s.view(np.int64))
-            cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cat(who).astype("int64")), pa.array(cat(seeds))], names=["ord", "seed"])
-
-    return seqs.select("ord", "aa").mapInArrow(run, "ord long, seed long")
+            ords, texts = b.column(0).to_numpy(zero_copy_only=False), [aa.encode() for aa in b.column(1).to_pylist()]
+            ends = np.cumsum([len(x) for x in texts])
+            at = 0
+            while at < len(texts):  # some texts at a time
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXTS, "right")))
+                who, seeds = _seeds(texts[at:to], k, window)
+                yield pa.RecordBatch.from_arrays([pa.array(ords[at:to][who], pa.int64()), pa.array(seeds)], names=["ord", "seed"])
+                at = to
+
+    parts = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return seqs.select("ord", "aa").repartition(parts, "ord").mapInArrow(run, "ord long, seed long")
 
 
 def _dealt(pairs: DataFrame) -> DataFrame:

@@ -319,3 +319,31 @@ def test_clusters_never_go_through_the_driver(spark):
         assert sorted((r.mcl_ord, r.gene_id) for r in got.collect()) == sorted((o, f"n{6 * i + j}") for o, i in enumerate(sorted(range(5), key=lambda i: min(f"n{6 * i + j}" for j in range(6)))) for j in range(6))
         joins = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in x]
         assert all("[_p#" in x for x in joins), joins  # a row a partition, where clusters are numbered
+
+
+def test_words_of_one_file_are_many_tasks(spark):
+    """A table that one task wrote is dealt out before its words are hashed, and texts that are hashed as one have the seeds of each alone."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=n)) for n in [0, 1, 3, 4, 5, 6, 7, 8, 40, 0, 41, 6, 90] * 3]
+    t = spark.createDataFrame(list(enumerate(texts)), "ord long, aa string").coalesce(1)
+    got = similarity.minimizers(t, 5, 3)
+    assert got.rdd.getNumPartitions() == 4
+    assert len({r[0] for r in got.select(F.spark_partition_id()).distinct().collect()}) > 1
+
+    seeds = {}
+    for r in got.collect():
+        seeds.setdefault(r.ord, []).append(r.seed)
+    alone = [[int(x) for x in similarity._seeds([x.encode()], 5, 3)[1]] for x in texts]
+    assert {o: sorted(s) for o, s in seeds.items()} == {o: s for o, s in enumerate(alone) if s}
+    assert all(len(s) == len(set(s)) for s in seeds.values())
+
+    def word_hash(x):
+        h = 0
+        for c in x.encode():
+            h = (h * 0x100000001B3 + c) % 2**64
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+        return h ^ h >> 32
+
+    for x, s in zip(texts, alone, strict=True):
+        h = [word_hash(x[i : i + 5]) for i in range(max(len(x) - 4, 1))] if x else []
+        assert {v % 2**64 for v in s} == {min(h[i : i + 3]) for i in range(max(len(h) - 2, min(1, len(h))))}
