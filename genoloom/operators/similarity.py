@@ -184,9 +184,9 @@ def near_identical(seqs: DataFrame, identity: float = IDENTITY, ratio: float = L
     one = checkpoint(one.withColumn("ord", F.col("seq_ord")))
     rank = one.select("ord", F.struct((-F.length("aa")).alias("l"), "ord").alias("rank"))
     edges = _identities(_candidates(one, one, identity, ratio, True), identity).filter(F.col("identity") >= identity)
-    both = edges.select("a", "b", "identity").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "identity"))
-    both = both.join(rank.withColumnsRenamed({"ord": "a", "rank": "ra"}), "a").join(rank.withColumnsRenamed({"ord": "b", "rank": "rb"}), "b")
-    edges = checkpoint(both.filter("ra < rb").select("a", "b", "identity"))  # a comes before b
+    edges = edges.join(rank.withColumnsRenamed({"ord": "a", "rank": "ra"}), "a").join(rank.withColumnsRenamed({"ord": "b", "rank": "rb"}), "b")
+    first, last = (F.when(F.col("ra") < F.col("rb"), F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a")))
+    edges = checkpoint(edges.select(first.alias("a"), last.alias("b"), "identity"))  # a comes before b; turned where it is, as a union would align all pairs twice
     state = checkpoint(one.select("ord", F.lit(0).alias("state")))  # 0 undecided, 1 representative, 2 taken
     while not state.filter("state = 0").isEmpty():
         open_ = state.filter("state = 0").select("ord")

@@ -347,3 +347,19 @@ def test_words_of_one_file_are_many_tasks(spark):
     for x, s in zip(texts, alone, strict=True):
         h = [word_hash(x[i : i + 5]) for i in range(max(len(x) - 4, 1))] if x else []
         assert {v % 2**64 for v in s} == {min(h[i : i + 3]) for i in range(max(len(h) - 2, min(1, len(h))))}
+
+
+def test_pairs_are_aligned_once(spark, monkeypatch):
+    """Near-identical pairs are turned, the longer first, without a second alignment of them all."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return storage.checkpoint(df)
+
+    monkeypatch.setattr(similarity, "checkpoint", noted)
+    text = "".join(random.Random(2).choices("ACDEFGHIKLMNPQRSTVWY", k=100))
+    t = spark.createDataFrame([(0, "g0", text[:60] + text[61:]), (1, "g1", text), (2, "g2", text[:-1] + "W")], "seq_ord long, gene_id string, aa string")
+    got = similarity.near_identical(t)
+    assert sorted((r.rep_id, r.member_id) for r in got.collect()) == [("g1", "g0"), ("g1", "g2")]
+    assert max(len([x for x in p.split("\n") if x.lstrip(" :+-*()0123456789").startswith("MapInArrow") and "identity#" in x]) for p in plans) == 1
