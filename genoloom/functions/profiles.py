@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 
 from genoloom.functions import alignment as al
@@ -156,11 +158,39 @@ def merged_all(pairs: list[tuple[np.ndarray, np.ndarray]], scores: np.ndarray, o
             most, wide = m + 1, n + 1
         batches[-1].append(k)
     for own in batches:
-        for k, x in zip(own, _merged([pairs[k] for k in own], scores, open_, extend), strict=True):
+        straight = _straight([pairs[k] for k in own], scores, open_, extend)
+        for k in itertools.compress(own, straight):
+            a, b = pairs[k]
+            out[k] = a + b, np.arange(len(a)), np.arange(len(a))
+        rest = [k for k, one in zip(own, straight, strict=True) if not one]
+        for k, x in zip(rest, _merged([pairs[k] for k in rest], scores, open_, extend) if rest else [], strict=True):
             out[k] = x
     return out
 
 
+def _straight(pairs, scores, open_, extend) -> list[bool]:
+    """Whether column to column, without gaps, is surely the one best alignment of each pair. Any other of profiles of one length has a gap on
+    either side, and its columns score no more than each one's best opposite; where the straight one scores more than that, no recurrence is needed."""
+    out = [False] * len(pairs)
+    by_length: dict[int, list[int]] = {}
+    for k, (a, b) in enumerate(pairs):
+        if len(a) == len(b):
+            by_length.setdefault(len(a), []).append(k)
+    for m, own in by_length.items():
+        fa, fb = (np.stack([pairs[k][side] for k in own]) for side in (0, 1))
+        for x in (fa, fb):
+            x /= np.maximum(x.sum(axis=2).max(axis=1), 1)[:, None, None]
+        full_a, full_b = fa.sum(axis=2), fb.sum(axis=2)
+        match = fa @ (fb @ scores.T).transpose(0, 2, 1)
+        cost = (extend + BESIDE * open_) * (full_a + full_b - 2 * full_a * full_b)
+        score = (np.einsum("kii->ki", match) - cost).sum(axis=1)
+        most = np.minimum(*(np.maximum(match.max(axis=side), 0).sum(axis=1) for side in (1, 2)))
+        other = most - (open_ + extend) * (full_a.min(axis=1) + full_b.min(axis=1))
+        for k, one in zip(own, score > other + 1e-3 * (m + most), strict=True):  # a margin many times what sums are rounded by
+            out[k] = bool(one)
+    return out
+
+
 def _merged(pairs, scores, open_, extend):
     """The same recurrence as that of ``merged``, over (columns of b, pairs). Cells beyond a pair's own columns never reach those before."""
     size, la, lb = len(pairs), np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from genome import protein
 from pyspark.sql import functions as F
@@ -204,3 +205,42 @@ def test_groups_are_aligned_side_by_side(spark, monkeypatch):
     one = sorted(map(tuple, msa.family_alignments(t).collect()))
     monkeypatch.setattr(msa, "HELD", 1)
     assert sorted(map(tuple, msa.family_alignments(t).collect())) == one and len(one) == len(rows)
+
+
+def test_profiles_that_surely_need_no_gaps_skip_the_recurrence(monkeypatch):
+    """What is told to be straight is aligned so by the recurrence too, and near profiles never reach it."""
+    rng = np.random.default_rng(4)
+    scores, open_, extend, _ = profiles.kind(True)
+    told = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 70))
+        base = rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), n)
+
+        def some():
+            out = np.zeros((n, profiles.LETTERS), np.float32)
+            for _ in range(rng.integers(1, 4)):
+                x = base.copy()
+                at = rng.integers(0, n, rng.choice([0, 1, 2, 4, 8]))
+                x[at] = rng.choice(list("ACDEFGHIKLMNPQRSTVWYX"), len(at))
+                if rng.random() < 0.3:  # a residue that has moved: as long, and two gaps
+                    x = np.insert(np.delete(x, rng.integers(n)), rng.integers(n), "W")
+                p = profiles.profile("".join(x))
+                if rng.random() < 0.4:
+                    p[rng.integers(n) :][:3] = 0
+                out += p
+            return out
+
+        a, b = some(), some()
+        if profiles._straight([(a, b)], scores, open_, extend)[0]:
+            told += 1
+            both, left, right = profiles.merged(a, b, scores, open_, extend)
+            assert np.array_equal(left, np.arange(n)) and np.array_equal(right, np.arange(n)) and np.array_equal(both, a + b)
+    assert 100 < told < 600
+
+    text = "".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), 100))
+    near, longer = (profiles.profile(x) for x in (text[:40] + "A" + text[41:], text[:40] + "WW" + text[40:]))
+    calls = []
+    recurrence = profiles._merged
+    monkeypatch.setattr(profiles, "_merged", lambda pairs, *how: calls.append(len(pairs)) or recurrence(pairs, *how))
+    profiles.merged_all([(profiles.profile(text), near), (profiles.profile(text), longer)], scores, open_, extend)
+    assert calls == [1]
