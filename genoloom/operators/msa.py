@@ -40,8 +40,8 @@ def _grouped(nodes: DataFrame) -> DataFrame:
     keys = keys.withColumn("at", F.row_number().over(Window.partitionBy("family", "part").orderBy(*order)))
     sizes = keys.groupBy("family", "part").agg(F.count("*").alias("n"))
     before = sizes.select("family", "part", (F.sum("n").over(Window.partitionBy("family").orderBy("part")) - F.col("n")).alias("before"))
-    rank = keys.join(before, ["family", "part"]).select("family", "node", F.floor((F.col("at") + F.col("before") - 1) / GROUP).alias("group"))
-    return nodes.join(rank, ["family", "node"])
+    rank = keys.join(before.hint("merge"), ["family", "part"]).select("family", "node", F.floor((F.col("at") + F.col("before") - 1) / GROUP).alias("group"))
+    return nodes.join(rank.hint("merge"), ["family", "node"])
 
 
 def _aligned_groups(nodes: DataFrame, protein: bool) -> DataFrame:
@@ -108,7 +108,7 @@ def family_alignments(genes: DataFrame, protein: bool = True) -> DataFrame:
     seqs = checkpoint(genes.select("family", "seq").distinct().withColumn("node", F.monotonically_increasing_id()))
     nodes, levels = checkpoint(_sketched(seqs, protein)), []
     while True:
-        several = nodes.groupBy("family").count().filter("count > 1").select("family")
+        several = nodes.groupBy("family").count().filter("count > 1").select("family").hint("merge")
         open_ = nodes.join(several, "family", "left_semi")
         if open_.isEmpty():
             break
@@ -117,12 +117,12 @@ def family_alignments(genes: DataFrame, protein: bool = True) -> DataFrame:
         nodes = done.filter("up IS NULL").select("family", "node", "data", "whole", "h1", "h2").unionByName(nodes.join(several, "family", "left_anti"))
     rows = seqs.select("family", "seq", "node", F.col("node").alias("at"), F.lit(None).cast("binary").alias("places"))
     for level in levels:
-        both = rows.join(level, ["family", "at"], "left")
+        both = rows.join(level.hint("merge"), ["family", "at"], "left")
         rows = checkpoint(both.select("family", "seq", "node", F.coalesce("up", "at").alias("at"), "places", "to").mapInArrow(_composed, "family string, seq string, node long, at long, places binary"))
     # as many columns as a family's last profile has, or its one sequence
     width = F.when(F.col("whole"), F.octet_length("data") / (4 * 27)).otherwise(F.char_length(F.decode("data", "utf-8"))).cast("int")
-    laid = rows.join(nodes.select("family", width.alias("width")), "family").select("family", "seq", "places", "width").mapInArrow(_laid, "family string, seq string, aligned string")
-    return genes.join(laid, ["family", "seq"]).select("family", "gene_id", "aligned")
+    laid = rows.join(nodes.select("family", width.alias("width")).hint("merge"), "family").select("family", "seq", "places", "width").mapInArrow(_laid, "family string, seq string, aligned string")
+    return genes.join(laid.hint("merge"), ["family", "seq"]).select("family", "gene_id", "aligned")
 
 
 def _composed(batches):

@@ -244,3 +244,14 @@ def test_profiles_that_surely_need_no_gaps_skip_the_recurrence(monkeypatch):
     monkeypatch.setattr(profiles, "_merged", lambda pairs, *how: calls.append(len(pairs)) or recurrence(pairs, *how))
     profiles.merged_all([(profiles.profile(text), near), (profiles.profile(text), longer)], scores, open_, extend)
     assert calls == [1]
+
+
+def test_alignments_never_go_through_the_driver(spark, monkeypatch):
+    plans = []
+    keep = msa.checkpoint
+    monkeypatch.setattr(msa, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    t = spark.createDataFrame([(f"f{i % 3}", f"g{i}", "ACDEFGHIKL" + "MN"[i % 2] + "PQ" * (i > 3)) for i in range(9)], "family string, gene_id string, seq string")
+    got = msa.family_alignments(t)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert got.count() == 9
+    assert not [p for p in plans if "Broadcast" in p]
