@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -321,6 +322,25 @@ def test_clusters_never_go_through_the_driver(spark):
         assert all("[_p#" in x for x in joins), joins  # a row a partition, where clusters are numbered
 
 
+@pytest.mark.parametrize("name", ["markov_clusters", "clusters_after_addition"])
+def test_no_round_of_the_clusters_goes_through_the_driver(spark, tmp_path, name):
+    """Every job that the query runs, its rounds too: only starts of numbers, a row a partition, are broadcast."""
+    from genoloom.queries import QUERIES
+
+    spark.range(150).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    got = QUERIES[name](spark, str(tmp_path)).groupBy("mcl_ord").count().collect()
+    assert sorted(tuple(r) for r in got) == [(i, 6) for i in range(25)]
+    bus.waitUntilEmpty()
+    ran = [store.executionsList().apply(i) for i in range(store.executionsList().size())]
+    plans = [r.physicalPlanDescription() for r in ran if r.executionId() not in before]
+    sent = [x for p in plans for x in re.findall(r"BroadcastExchange *\nInput \[\d+\]: \[(.*?)#", p)]
+    assert len(plans) > 5 and sum("SortMergeJoin" in p for p in plans) > 5
+    assert sent and set(sent) == {"_p"}
+
+
 def test_words_of_one_file_are_many_tasks(spark):
     """A table that one task wrote is dealt out before its words are hashed, and texts that are hashed as one have the seeds of each alone."""
     rng = random.Random(11)
