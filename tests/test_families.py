@@ -112,6 +112,13 @@ def test_name_collision_with_a_numbered_name(spark):
         annotate.named(t)
 
 
+def test_numbers_of_names_are_never_shortened(spark):
+    """Six digits stay six, as names of families have to differ."""
+    t = spark.range(100_003).select(F.col("id").alias("cluster_idx"), F.lit("x").alias("base"))
+    got = annotate.named(t).agg(F.count_distinct("name"), F.max_by("name", "cluster_idx"), F.min_by("name", "cluster_idx")).first()
+    assert tuple(got) == (100_003, "x_100002", "x")
+
+
 def test_classes_at_their_edges(spark):
     t = spark.createDataFrame([("a", 100), ("b", 99), ("c", 98), ("d", 95), ("e", 94), ("f", 15), ("g", 14)], "family string, n_isolates long")
     assert {r["class"]: r.n for r in report.summary(t, 100).collect()} == {"core": 2, "soft_core": 2, "shell": 2, "cloud": 1, "total": 7}
