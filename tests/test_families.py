@@ -168,6 +168,26 @@ def test_components_of_a_chain(spark):
     assert {r.root for r in graphs.components(e).collect()} == {"n000"}
 
 
+def test_components_are_those_of_a_walk(spark):
+    """Rings, a star whose hub comes last, single nodes, and random links, under names in no order."""
+    rng = random.Random(12)
+    name = [f"x{k}" for k in rng.sample(range(1000), 150)]
+    e = [(k, (k + 1) % 30) for k in range(30)] + [(59, k) for k in range(30, 59)] + [(60, 60), (61, 61)] + [(a, b) for a in range(62, 150) for b in range(62, a) if rng.random() < 0.011]
+    near = {k: {k} for ab in e for k in ab}
+    for a, b in e:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for k in near:
+        seen, todo = {k}, [k]
+        while todo:
+            todo += (more := near[todo.pop()] - seen)
+            seen |= more
+        want[name[k]] = min(name[x] for x in seen)
+    got = graphs.components(spark.createDataFrame([(name[a], name[b]) for a, b in e], "a string, b string")).collect()
+    assert len(got) == len(want) and {r.node: r.root for r in got} == want and len(set(want.values())) > 4
+
+
 def test_near_identity_of_short_proteins(spark):
     """One residue of 50 to 61 differs, or one differs and another is added: long words in common are not to be had."""
     rng = random.Random(5)
@@ -348,6 +368,36 @@ def test_no_round_of_the_clusters_goes_through_the_driver(spark, tmp_path, name)
     assert sent and set(sent) == {"_p"}
 
 
+def test_every_six_customers_are_linked_to_the_next(spark, tmp_path, monkeypatch):
+    """The links of markov_clusters make one chain, without a gap, and its parts are those of the whole once pruning has cut it."""
+    from genoloom.queries import _linked
+
+    spark.range(150).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    e = storage.checkpoint(_linked(spark, str(tmp_path)).drop("k"))
+    links = {(int(r.a[1:]), int(r.b[1:])): r.w for r in e.collect()}
+    want = {(k, l): 1.0 for k in range(150) for l in range(k, k // 6 * 6 + 6)} | {(k, k - 1): 0.01 for k in range(6, 150, 6)}
+    assert links == want
+    assert {r.root for r in graphs.components(e).collect()} == {"n0"}
+    tasks, begun = graphs._in_tasks, []
+    monkeypatch.setattr(graphs, "_in_tasks", lambda rows, inflation, prune, rounds, b: begun.append((b, rows.count())) or tasks(rows, inflation, prune, rounds, b))
+    got = {r.gene_id: (r.root, r.cluster) for r in graphs.flowed(e, small=20).collect()}
+    assert got == {f"n{k}": ("n0", min(f"n{x}" for x in range(k // 6 * 6, k // 6 * 6 + 6))) for k in range(150)}
+    assert [b for b, _ in begun] == [False, True] and begun[0][1] == 0 and begun[1][1] == 900
+
+
+def test_matrices_of_many_sizes_are_those_of_each(monkeypatch):
+    """Graphs in one table, in whatever batches, and stacks of a few cells."""
+    import pandas as pd
+
+    rows = [(a.split("-")[0], *sorted((a, b)), w) for a, b, w in graphs_of(7)]
+    t = pd.DataFrame(sorted(rows), columns=["root", "a", "b", "w"]).drop_duplicates(["a", "b"])
+    run = lambda tables: sorted(map(tuple, pd.concat(graphs._matrices(1.5, 1e-5, 300, False)(tables)).to_numpy().tolist()))
+    want = run(own for _, own in t.groupby("root"))
+    assert run([t]) == want and run(t.iloc[k : k + 7] for k in range(0, len(t), 7)) == want
+    monkeypatch.setattr(graphs, "CELLS", 100)
+    assert run([t]) == want and all(x[2] for x in want)
+
+
 def test_words_of_one_file_are_many_tasks(spark):
     """A table that one task wrote is dealt out before its words are hashed, and texts that are hashed as one have the seeds of each alone."""
     rng = random.Random(11)
