@@ -1,7 +1,7 @@
 """Near-identity dedup and all-against-all search of proteins.
 
 Candidates come from seeds joined on equality. Each candidate pair is looked at once, in stages that cost more and leave fewer: edit distance by bit
-vectors, or a stretch without gaps; then a band of the alignment; then its path. All work on many pairs at a time in Arrow functions.
+vectors, or a stretch without gaps and a bound of what the band can score; then a band of the alignment; then its path. All work on many pairs at a time in Arrow functions.
 """
 
 from __future__ import annotations
@@ -112,11 +112,17 @@ def _dealt(pairs: DataFrame) -> DataFrame:
     return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
 
 
+def _differ(x: bytes, y: bytes) -> int:
+    """Places at which two texts of one length differ."""
+    z = int.from_bytes(x, "little") ^ int.from_bytes(y, "little")
+    return len(x) - z.to_bytes(len(x), "little").count(0)
+
+
 def _identities(pairs: DataFrame, identity: float = IDENTITY) -> DataFrame:
     """(a, b, identity) of (a, b, aa_a, aa_b), identical residues over the shorter length, where it may reach ``identity``.
 
     With ``same`` identical residues the edit distance is at most what either has besides. Pairs beyond that bound go
-    first, and all others are aligned in a band of its width.
+    first, and all others are aligned in a band of its width; those of equal length that no gap can better are counted where they are.
     """
 
     def run(batches):
@@ -129,13 +135,22 @@ def _identities(pairs: DataFrame, identity: float = IDENTITY) -> DataFrame:
             every = [(x.encode(), y.encode()) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             short = np.array([min(len(x), len(y)) for x, y in every])
             most = np.array([len(x) + len(y) for x, y in every]) - 2 * np.ceil(identity * short - 1e-9).astype(np.int64)
-            order, near = np.argsort(short, kind="stable"), np.zeros(len(every), bool)
+            count = np.full(len(every), -1, np.int64)
+            even = np.array([k for k, (x, y) in enumerate(every) if len(x) == len(y) <= 1000 and most[k] <= 16], np.int64)  # short enough that sums are small numbers
+            if len(even):
+                differ = np.array([_differ(*every[k]) for k in even.tolist()])
+                even = even[differ <= most[even]]
+                if len(even):
+                    count[even] = banded.identities_without_gaps([every[k] for k in even.tolist()], int(most[even].max()) + 1)
+            rest = np.flatnonzero(count < 0)
+            order, near = rest[np.argsort(short[rest], kind="stable")], np.zeros(len(every), bool)
             for k in range(0, len(order), 1024):
                 own = order[k : k + 1024]
                 near[own] = banded.edit_distances([every[i] for i in own]) <= most[own]
             at = np.flatnonzero(near)
-            found = banded.aligned([every[i] for i in at], [(-int(most[i]) - 1, int(most[i]) + 1) for i in at])
-            out = [sum(i >= 0 and j >= 0 and every[p][0][i] == every[p][1][j] for i, j in path) / short[p] for p, (_, path) in zip(at.tolist(), found, strict=True)]
+            count[at] = banded.identities([every[i] for i in at], [(-int(most[i]) - 1, int(most[i]) + 1) for i in at])
+            at = np.flatnonzero(count >= 0)
+            out = count[at] / short[at]
             at = pa.array(at)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(out, pa.float64())], names=["a", "b", "identity"])
 
@@ -257,12 +272,21 @@ class _Block:
         self.place = self.at - self.start[self.who]
 
 
+def _sorted(word):
+    """The stable order of words; those of five residues are sorted together with their places, which is faster."""
+    import numpy as np
+
+    if len(word) >> 23 or int(word.max(initial=0)) >> 40:
+        return np.argsort(word, kind="stable")
+    return np.sort(word << 23 | np.arange(len(word))) & ((1 << 23) - 1)
+
+
 def _near_diagonals(left: _Block, right: _Block, shared: int, same: bool):
     """(a, b, d), sorted: diagonals of pairs of sequences with ``shared`` words at most ``SPREAD`` diagonals away; of one block with itself only
     pairs that are in order. A few sequences of the left at a time, so that no more than ``MEETINGS`` places of words meet at once."""
     import numpy as np
 
-    by, own = np.argsort(right.word, kind="stable"), np.argsort(left.word, kind="stable")
+    by, own = (_sorted(x.word) for x in (right, left))
     words = right.word[by]
     first, n = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
     first[own] = np.searchsorted(words, left.word[own], "left")
@@ -297,7 +321,7 @@ def _near_diagonals(left: _Block, right: _Block, shared: int, same: bool):
 
 def _hits_of(left: _Block, right: _Block, shared: int, database: int, evalue: float, both: bool, same: bool):
     """Rows of hits of two blocks. Near diagonals are extended without gaps; a pair whose best stretch reaches ``TRIGGER`` is scored in a
-    band about its diagonals, and only one that counts gets its path. With ``both``, hits are told for both sides."""
+    band about its diagonals unless a bound of the band's scores shows that it can't count, as it does of nearly all that meet by chance, and only one that counts gets its path. With ``both``, hits are told for both sides."""
     import numpy as np
 
     from genoloom.functions import banded
@@ -309,12 +333,15 @@ def _hits_of(left: _Block, right: _Block, shared: int, database: int, evalue: fl
         of = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0))  # where a pair begins
         good = np.maximum.reduceat(best, of) >= TRIGGER
         ends = np.append(of[1:], len(a)) - 1
+        near = [x[good] for x in (a[of], b[of], d[of] - SPREAD - PAD, d[ends] + SPREAD + PAD)]
+        bound = banded.score_bounds(left.texts, right.texts, *near)
+        may = KARLIN * np.minimum(left.length[near[0]], right.length[near[1]]) * database * np.exp(-LAMBDA * bound) <= evalue * (1 + 1e-9)
         rows, pairs, bands = [], [], []
-        for u, v, lo, hi in zip(a[of][good].tolist(), b[of][good].tolist(), d[of][good].tolist(), d[ends][good].tolist(), strict=True):
+        for u, v, lo, hi in zip(*(x[may].tolist() for x in near), strict=True):
             turn = both and left.ord[u] > right.ord[v]  # the earlier comes first, whatever block it is in
             rows.append((right.ids[v], left.ids[u]) if turn else (left.ids[u], right.ids[v]))
             pairs.append((right.texts[v], left.texts[u]) if turn else (left.texts[u], right.texts[v]))
-            bands.append((-hi - SPREAD - PAD, -lo + SPREAD + PAD) if turn else (lo - SPREAD - PAD, hi + SPREAD + PAD))
+            bands.append((-hi, -lo) if turn else (lo, hi))
         at = [p for p, (score, _) in enumerate(banded.aligned(pairs, bands, paths=False)) if KARLIN * min(map(len, pairs[p])) * database * math.exp(-LAMBDA * score) <= evalue]
         for m in range(0, len(at), PATHS):
             some, out = at[m : m + PATHS], []

@@ -72,6 +72,64 @@ def test_batches_are_bounded(monkeypatch):
     assert [s for s, _ in banded.aligned(pairs, bands)] == [s for s, _ in alignment.aligned(pairs)]
 
 
+def test_bounds_hold_and_tell_chance_from_kin(monkeypatch):
+    """No band scores above its bound, whatever the texts, bands and batches; of random proteins that share a word nearly all stay far below what kin score."""
+    rng, texts, others, rows = random.Random(21), [], [], []
+    for k in range(150):
+        letters = rng.choice(["ACW", RESIDUES, RESIDUES, RESIDUES + "*x"])
+        a = "".join(rng.choices(letters, k=rng.randrange(0, 120)))
+        b = changed(rng, a, rng.randrange(0, 60)) if a and rng.random() < 0.5 else "".join(rng.choices(letters, k=rng.randrange(0, 120)))
+        texts.append(a.encode())
+        others.append(b.encode())
+    for k in range(600):
+        a, b, lo = rng.randrange(150), rng.randrange(150), rng.randrange(-130, 120)
+        rows.append((k % 150, k % 150, -20, 20) if k < 300 else (a, b, lo, lo + rng.choice([0, 6, 40, 80, 118, 119, 140])))
+    a, b, lo, hi = np.array(rows).T
+    bound = banded.score_bounds(texts, others, a, b, lo, hi)
+    score = np.array([x for i, j, l, h in rows for x, _ in banded.aligned([(texts[i], others[j])], [(l, h)], paths=False)])
+    assert (bound >= score).all() and (bound[hi - lo >= 120] == banded.BEYOND).all() and (score > 100).sum() > 20 and (bound < banded.BEYOND).sum() > 250
+    monkeypatch.setattr(banded, "SPACED", 300)
+    monkeypatch.setattr(banded, "PAIRS", 7)
+    few = banded.score_bounds(texts, others, a, b, lo, hi)
+    assert (few >= score).all() and (few <= bound + 128).all()
+    word = protein(rng, 6)
+    chance = [(protein(rng, 48) + word + protein(rng, 48)).encode() for _ in range(200)]
+    at = np.arange(200)
+    assert (banded.score_bounds(chance, chance[::-1], at, at, np.full(200, -40), np.full(200, 40)) < 110).mean() > 0.95
+
+
+def test_only_pairs_that_may_count_are_scored_in_bands(spark, monkeypatch):
+    """Random proteins that share six residues meet, but no recurrence is run for them."""
+    rng = random.Random(22)
+    word = "WCHWCM"
+    rows = [(k, f"g{k:02}", protein(rng, 48) + word + protein(rng, 48), None) for k in range(40)]
+    block, scored, aligned = similarity._Block(rows, 5), [], banded.aligned
+    monkeypatch.setattr(banded, "aligned", lambda pairs, *how, **more: scored.extend(pairs) or aligned(pairs, *how, **more))
+    hits_ = lambda: sorted(h for part in similarity._hits_of(block, block, 2, 10**8, 1e-6, True, True) for h in part)
+    few, n = hits_(), len({p for p in scored if p[0] != p[1]})
+    assert n < 200
+    monkeypatch.setattr(banded, "score_bounds", lambda texts, others, a, b, lo, hi: np.full(len(a), banded.BEYOND))
+    scored.clear()
+    assert hits_() == few and len(few) >= 40 and len({p for p in scored if p[0] != p[1]}) == 40 * 39 // 2
+
+
+def test_identities_are_those_of_paths():
+    rng, pairs = random.Random(23), []
+    for _ in range(900):
+        letters = rng.choice(["AC", "ACD", RESIDUES, RESIDUES + "*x"])
+        a = "".join(rng.choices(letters, k=rng.randrange(1, 60)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 4)):
+            b[rng.randrange(len(b))] = rng.choice(letters)
+        if rng.random() < 0.3:  # one out and one in elsewhere
+            b.insert(rng.randrange(len(b)), b.pop(rng.randrange(len(b))))
+        pairs.append((a.encode(), "".join(b).encode()))
+    whole = [sum(i >= 0 and j >= 0 and a[i] == b[j] for i, j in path) for (a, b), (_, path) in zip(pairs, banded.aligned(pairs, [(-5, 5)] * len(pairs)), strict=True)]
+    assert banded.identities(pairs, [(-5, 5)] * len(pairs)).tolist() == whole
+    sure = banded.identities_without_gaps(pairs, 5)
+    assert all(x in (-1, y) for x, y in zip(sure.tolist(), whole, strict=True)) and (sure >= 0).sum() > 450 and (sure < 0).sum() > 50
+
+
 def test_ungapped():
     rng = random.Random(6)
     for _ in range(50):
