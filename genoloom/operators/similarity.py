@@ -18,7 +18,7 @@ IDENTITY, LENGTH_RATIO, K, EVALUE, TARGETS = 0.98, 0.98, 12, 1e-6, 2000
 SPREAD, TRIGGER, PAD = 16, 30, 24
 #: What of a seed's set of sequences meets at a time.
 SLICE = 256
-#: Residues whose words are hashed at a time.
+#: Residues whose words are hashed, or whose windows are looked at, at a time.
 TEXTS = 1 << 20
 #: Of a search: residues of a block of sequences, places of words that meet at a time, and pairs whose paths are held at a time.
 RESIDUES, MEETINGS, PATHS = 1 << 21, 1 << 21, 4096
@@ -238,11 +238,15 @@ def _marked(seqs: DataFrame, mask: bool) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        from genoloom.functions.banded import low_complexity
+        from genoloom.functions.banded import low_complexities
 
         for b in batches:
-            low = [low_complexity(aa.encode()) if mask else None for aa in b.column(2).to_pylist()]
-            bits = pa.array([np.packbits(x).tobytes() if x is not None and x.any() else None for x in low], pa.binary())
+            texts, low = [aa.encode() for aa in b.column(2).to_pylist()], []
+            ends = np.cumsum([len(x) for x in texts])
+            while mask and len(low) < len(texts):  # some texts at a time
+                at = len(low)
+                low += low_complexities(texts[at : max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXTS, "right")))])
+            bits = pa.array([np.packbits(x).tobytes() if x.any() else None for x in low] if mask else [None] * len(texts), pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(3)), bits], names=["ord", "gene_id", "aa", "low"])
 
     return seqs.select("ord", "gene_id", "aa").mapInArrow(run, "ord long, gene_id string, aa string, low binary")
@@ -325,7 +329,7 @@ def _hits_of(left: _Block, right: _Block, shared: int, database: int, evalue: fl
     import numpy as np
 
     from genoloom.functions import banded
-    from genoloom.functions.alignment import LAMBDA, K as KARLIN, hit
+    from genoloom.functions.alignment import LAMBDA, K as KARLIN, hit, whole_hit
 
     for a, b, d in _near_diagonals(left, right, shared, same):
         i, j = np.maximum(0, -d), np.maximum(0, d)
@@ -336,12 +340,19 @@ def _hits_of(left: _Block, right: _Block, shared: int, database: int, evalue: fl
         near = [x[good] for x in (a[of], b[of], d[of] - SPREAD - PAD, d[ends] + SPREAD + PAD)]
         bound = banded.score_bounds(left.texts, right.texts, *near)
         may = KARLIN * np.minimum(left.length[near[0]], right.length[near[1]]) * database * np.exp(-LAMBDA * bound) <= evalue * (1 + 1e-9)
-        rows, pairs, bands = [], [], []
+        rows, pairs, bands, own = [], [], [], []
         for u, v, lo, hi in zip(*(x[may].tolist() for x in near), strict=True):
+            if left.texts[u] == right.texts[v] and lo <= 0 <= hi and (h := whole_hit(left.texts[u], database)):
+                q, t, n = left.ids[u], right.ids[v], len(left.texts[u])
+                if h[8] <= evalue:
+                    own += [(q, t, *h, n, n)] + [(t, q, *h, n, n)] * (both and q != t)
+                continue
             turn = both and left.ord[u] > right.ord[v]  # the earlier comes first, whatever block it is in
             rows.append((right.ids[v], left.ids[u]) if turn else (left.ids[u], right.ids[v]))
             pairs.append((right.texts[v], left.texts[u]) if turn else (left.texts[u], right.texts[v]))
             bands.append((-hi, -lo) if turn else (lo, hi))
+        if own:
+            yield own
         at = [p for p, (score, _) in enumerate(banded.aligned(pairs, bands, paths=False)) if KARLIN * min(map(len, pairs[p])) * database * math.exp(-LAMBDA * score) <= evalue]
         for m in range(0, len(at), PATHS):
             some, out = at[m : m + PATHS], []

@@ -152,6 +152,22 @@ def test_low_complexity():
         assert banded.low_complexity(seq.encode()).tolist() == want
 
 
+def test_low_complexity_of_many_is_that_of_each():
+    rng = random.Random(24)
+    seqs = ["".join(rng.choices(rng.choice(["AC", "ACDEF", RESIDUES]), k=rng.choice([0, 1, 5, 11, 12, 13, 40]))).encode() for _ in range(300)]
+    got = banded.low_complexities(seqs)
+    assert [x.tolist() for x in got] == [banded.low_complexity(x).tolist() for x in seqs] and 0 < sum(x.sum() for x in got) < sum(map(len, seqs))
+    assert [len(x) for x in banded.low_complexities([b""])] == [0]
+
+
+def test_a_sequence_against_itself_needs_no_alignment():
+    rng = random.Random(25)
+    for seq in [protein(rng, n) for n in (1, 7, 60)] + ["A" * 30, "WCWCWCWC"]:
+        (score, path), = alignment.aligned([(seq.encode(), seq.encode())])
+        assert alignment.whole_hit(seq.encode(), 5000) == alignment.hit(seq.encode(), seq.encode(), score, path, 5000)
+    assert alignment.whole_hit(b"ACX*", 5000) is None and alignment.whole_hit(b"", 5000) is None
+
+
 def exact_hits(rows, evalue):
     """All pairs by whole alignments."""
     database, out = sum(len(aa) for _, aa in rows), {}
